@@ -18,7 +18,7 @@ def _c(x) -> Column:
 
 def lenient_date(s, fmt: str = LENIENT_DATE) -> Column:
     """Parse or NULL (never raises)."""
-    return F.try_to_date(_c(s), F.lit(fmt))
+    return F.try_to_date(_c(s), fmt)
 
 
 def format_date(d, fmt: str = ISO_DATE) -> Column:

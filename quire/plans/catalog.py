@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.plans import corpus_reports as CR
+from quire.plans import hierarchy_reports as HR
+from quire.plans import ingest as IN
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +38,51 @@ def queries() -> dict[str, QueryFn]:
         "executive_summary": CR.executive_summary,
         "correlation_matrix": CR.correlation_matrix,
         "column_profile": CR.column_profile,
+        # hierarchy
+        "path_frequency": HR.path_frequency,
+        "path_count": HR.path_count,
+        "hierarchy_levels": HR.hierarchy_levels,
+        "wide_levels": HR.wide_levels,
+        "top_per_level": HR.top_per_level,
+        "level_pareto": HR.level_pareto,
+        "level_pairs": HR.level_pairs,
+        "level_pivot": HR.level_pivot,
+        "level_pivot_transposed": HR.level_pivot_transposed,
+        "level_pivot_share": HR.level_pivot_share,
+        # frontier / scans
+        "calendar_weekdays": IN.calendar_weekdays,
+        "frontier_urls": IN.frontier_urls,
+        "rolling_window": IN.rolling_window,
+        "scan_projection": IN.scan_projection,
+        "union_sources": IN.union_sources,
+        "editions_in_range": IN.editions_in_range,
+        # fetch log / responses
+        "request_response_join": IN.request_response_join,
+        "retry_triage": IN.retry_triage,
+        "fetch_success_ratio": IN.fetch_success_ratio,
+        # parsing
+        "json_field_counts": IN.json_field_counts,
+        "edition_payloads": IN.edition_payloads,
+        "pdf_urls": IN.pdf_urls,
+        "nav_links": IN.nav_links,
+        # assembly
+        "dedupe_keep_deepest": IN.dedupe_keep_deepest,
+        "dedupe_stats": IN.dedupe_stats,
+        "edition_article_counts": IN.edition_article_counts,
+        "orphan_articles": IN.orphan_articles,
+        "empty_editions": IN.empty_editions,
+        # lake tables
+        "editions_table": IN.editions_table,
+        "articles_table": IN.articles_table,
+        "relationships_table": IN.relationships_table,
+        "edition_hash": IN.edition_hash,
+        "content_split": IN.content_split,
+        "content_blobs": IN.content_blobs,
+        "content_lookup": IN.content_lookup,
+        "summary_metrics": IN.summary_metrics,
+        # article query
+        "query_articles_filter": IN.query_articles_filter,
+        "query_articles_limit": IN.query_articles_limit,
     }
     return q
 

@@ -218,3 +218,274 @@ SELECT * FROM (VALUES
   ('title', 'string', (SELECT count(title) FROM articles)),
   ('hierarchy_path', 'array<string>', (SELECT count(hierarchy_path) FROM articles))
 ) t("column", dtype, non_null)"""
+
+# --------------------------------------------------------------------------- hierarchy
+
+LEVELS = """lv AS (
+  SELECT article_id, CAST(generate_subscripts(hierarchy_path, 1) - 1 AS INTEGER) AS level,
+         unnest(hierarchy_path) AS element
+  FROM articles),
+lfreq AS (SELECT level, element, count(*) AS count FROM lv GROUP BY level, element)"""
+
+TOP_L1 = """top_l1 AS (SELECT element, count FROM lfreq WHERE level = 1 ORDER BY count DESC, element LIMIT 10),
+pairs AS (SELECT hierarchy_path[1] AS level_0, hierarchy_path[2] AS level_1 FROM articles
+          WHERE len(hierarchy_path) >= 2),
+pc AS (SELECT level_0, level_1, count(*) AS count FROM pairs
+       WHERE level_1 IN (SELECT element FROM top_l1) GROUP BY level_0, level_1)"""
+
+SQL["path_frequency"] = _with(ARTICLES) + f"""
+, freq AS (SELECT {PATH_LABEL} AS path, count(*) AS count FROM articles GROUP BY 1),
+top AS (SELECT * FROM freq ORDER BY count DESC, path LIMIT 20)
+SELECT CAST(row_number() OVER (ORDER BY count DESC, path) AS INTEGER) AS rank, path,
+       CASE WHEN length(path) >= 80 THEN substr(path, 1, 77) || '...' ELSE path END AS display_path,
+       count, CAST(count AS DOUBLE) * 100.0 / (SELECT count(*) FROM articles) AS pct
+FROM top"""
+
+SQL["path_count"] = _with(ARTICLES) + f"""
+SELECT count(*) AS n_distinct_paths, CAST(sum(c) AS BIGINT) AS n_articles
+FROM (SELECT {PATH_LABEL} AS p, count(*) AS c FROM articles GROUP BY 1)"""
+
+SQL["hierarchy_levels"] = _with(ARTICLES, LEVELS) + """
+SELECT level, element, count,
+       CAST(count AS DOUBLE) * 100.0 / sum(count) OVER (PARTITION BY level) AS pct
+FROM lfreq"""
+
+SQL["wide_levels"] = _with(ARTICLES) + """
+SELECT article_id, hierarchy_path[1] AS level_1, hierarchy_path[2] AS level_2, hierarchy_path[3] AS level_3
+FROM articles WHERE hierarchy_path IS NOT NULL"""
+
+SQL["top_per_level"] = _with(ARTICLES, LEVELS) + """
+, s AS (SELECT level, element, count,
+               CAST(count AS DOUBLE) * 100.0 / sum(count) OVER (PARTITION BY level) AS pct,
+               CAST(row_number() OVER (PARTITION BY level ORDER BY count DESC, element) AS INTEGER) AS rank
+        FROM lfreq WHERE level < 5)
+SELECT level, rank, substr(element, 1, 60) AS element, count, pct FROM s WHERE rank <= 10"""
+
+SQL["level_pareto"] = _with(ARTICLES, LEVELS) + """
+, t AS (SELECT level, sum(count) AS total FROM lfreq GROUP BY level),
+top AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.level ORDER BY f.count DESC, f.element) AS rn
+                       FROM lfreq f WHERE f.level <= 1) WHERE rn <= 12)
+SELECT top.level, CAST(rn AS INTEGER) AS rank, element, count,
+       CAST(count AS DOUBLE) * 100.0 / t.total AS pct,
+       CAST(sum(count) OVER (PARTITION BY top.level ORDER BY count DESC, element
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) * 100.0 / t.total AS cum_pct
+FROM top JOIN t USING (level)"""
+
+SQL["level_pairs"] = _with(ARTICLES, LEVELS, TOP_L1) + """
+SELECT level_0, level_1, count FROM pc"""
+
+SQL["level_pivot"] = _with(ARTICLES, LEVELS, TOP_L1) + """
+SELECT * FROM (PIVOT pc ON level_1 USING CAST(coalesce(sum(count), 0) AS BIGINT) GROUP BY level_0)"""
+
+SQL["level_pivot_transposed"] = _with(ARTICLES, LEVELS, TOP_L1) + """
+SELECT * FROM (PIVOT pc ON level_0 USING CAST(coalesce(sum(count), 0) AS BIGINT) GROUP BY level_1)"""
+
+SQL["level_pivot_share"] = _with(ARTICLES, LEVELS, TOP_L1) + """
+, sh AS (SELECT level_0, level_1, count / sum(count) OVER (PARTITION BY level_1) AS share FROM pc)
+SELECT * FROM (PIVOT sh ON level_0 USING coalesce(max(share), 0.0) GROUP BY level_1)"""
+
+# --------------------------------------------------------------------------- frontier / scans
+
+_HOLIDAYS = "('01-01', '04-21', '05-01', '09-07', '10-12', '11-02', '11-15', '12-25')"
+
+SQL["calendar_weekdays"] = f"""
+WITH b AS (SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM orders),
+days AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d FROM b)
+SELECT d, CAST(isodow(d) AS INTEGER) AS iso_weekday FROM days
+WHERE isodow(d) <= 5 AND strftime(d, '%m-%d') NOT IN {_HOLIDAYS}"""
+
+SQL["frontier_urls"] = _with(EDITIONS, PORTALS, EDITION_MUNI) + """
+, eds AS (SELECT e.edition_id, e.publication_date, m.municipality, m.domain_url
+          FROM editions e JOIN edition_muni m USING (edition_id)),
+ranges AS (SELECT municipality, domain_url, min(publication_date) AS lo, max(publication_date) AS hi
+           FROM eds GROUP BY municipality, domain_url),
+days AS (SELECT municipality, domain_url, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS d
+         FROM ranges)
+SELECT 'metadata' AS phase, municipality, strftime(d, '%Y-%m-%d') AS request_key,
+       domain_url || '/apifront/portal/edicoes/edicoes_from_data/' || strftime(d, '%Y-%m-%d') || '.json' AS url
+FROM days WHERE isodow(d) <= 5
+UNION ALL
+SELECT 'structure', municipality, CAST(edition_id AS VARCHAR),
+       domain_url || '/portal/visualizacoes/view_html_diario/' || CAST(edition_id AS VARCHAR) FROM eds
+UNION ALL
+SELECT * FROM (SELECT DISTINCT 'content', m.municipality, CAST(l_partkey AS VARCHAR),
+       m.domain_url || '/apifront/portal/edicoes/publicacoes_ver_conteudo/' || CAST(l_partkey AS VARCHAR)
+       FROM lineitem JOIN edition_muni m ON l_orderkey = m.edition_id)"""
+
+SQL["rolling_window"] = _with(EDITIONS) + """
+SELECT edition_id, publication_date, edition_type_name FROM editions
+WHERE publication_date <= (SELECT max(publication_date) FROM editions)
+  AND publication_date >= (SELECT max(publication_date) FROM editions) - 6"""
+
+SQL["scan_projection"] = _with(EDITIONS) + "SELECT edition_id, publication_date FROM editions"
+
+SQL["union_sources"] = """
+SELECT 'metadata' AS phase, count(*) AS n_responses, CAST(sum(octet_length(encode(props))) AS BIGINT) AS n_bytes,
+       CAST(0 AS BIGINT) AS n_with_url, CAST(0 AS BIGINT) AS n_with_municipality FROM events
+UNION ALL
+SELECT 'structure', count(*), CAST(sum(octet_length(encode(html))) AS BIGINT), count(url), CAST(0 AS BIGINT) FROM pages
+UNION ALL
+SELECT 'content', count(*), CAST(sum(octet_length(encode(text))) AS BIGINT), CAST(0 AS BIGINT), count(source)
+FROM documents"""
+
+SQL["editions_in_range"] = _with(EDITIONS, ARTICLES_FLAT) + """
+, c AS (SELECT edition_id, count(*) AS n FROM articles_flat GROUP BY edition_id)
+SELECT e.edition_id, e.publication_date, e.edition_type_name, CAST(coalesce(c.n, 0) AS INTEGER) AS num_articles
+FROM editions e LEFT JOIN c USING (edition_id)
+WHERE e.publication_date BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'"""
+
+# --------------------------------------------------------------------------- fetch log
+
+FETCH_LOG = """log AS (
+  SELECT event_id AS fetch_id, CAST(ts AS DATE) AS day,
+         CASE WHEN event_type <> 'error' THEN 200 WHEN value < 10 THEN 503 WHEN value < 20 THEN 429
+              WHEN value < 30 THEN 404 WHEN value < 40 THEN 400 ELSE 0 END AS status
+  FROM events)"""
+
+SQL["request_response_join"] = """
+WITH req AS (SELECT DISTINCT l_partkey AS request_key FROM lineitem),
+resp AS (SELECT doc_id AS request_key, 200 AS status, CAST(octet_length(encode(text)) AS BIGINT) AS content_size
+         FROM documents)
+SELECT r.request_key, coalesce(s.status, 404) AS status, s.content_size,
+       coalesce(s.status, 404) BETWEEN 200 AND 299 AS ok
+FROM req r LEFT JOIN resp s USING (request_key)"""
+
+SQL["retry_triage"] = _with(FETCH_LOG) + """
+, tri AS (SELECT *, CASE WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status = 0 THEN 'retry'
+                         WHEN status BETWEEN 500 AND 599 THEN 'retry' WHEN status IN (408, 429) THEN 'retry'
+                         ELSE 'give_up' END AS action FROM log)
+SELECT fetch_id, status, action, CAST(a AS INTEGER) AS attempt, a < 3 AS next_attempt,
+       CASE WHEN a < 3 THEN least(greatest(pow(2.0, a - 1), 1.0), 10.0) ELSE 0.0 END AS wait_s
+FROM tri, range(1, 4) r(a) WHERE action = 'retry'"""
+
+SQL["fetch_success_ratio"] = _with(FETCH_LOG) + """
+SELECT day, count(*) AS n, count(*) FILTER (WHERE status BETWEEN 200 AND 299) AS n_ok,
+       CAST(count(*) FILTER (WHERE status BETWEEN 200 AND 299) AS DOUBLE) / count(*) AS ratio
+FROM log GROUP BY day"""
+
+# --------------------------------------------------------------------------- parsing
+
+SQL["json_field_counts"] = """
+WITH kv AS (SELECT unnest(json_keys(props)) AS field, props FROM events),
+v AS (SELECT field, json_extract_string(props, '$."' || field || '"') AS value FROM kv)
+SELECT field, count(*) AS n_payloads, count(DISTINCT value) AS n_distinct,
+       min(TRY_CAST(value AS DOUBLE)) AS min_value, max(TRY_CAST(value AS DOUBLE)) AS max_value
+FROM v GROUP BY field"""
+
+SQL["edition_payloads"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS edition_id, CAST(o_orderdate AS DATE) AS publication_date,
+       CAST(o_custkey AS INTEGER) AS edition_number, o_orderstatus = 'F' AS supplement,
+       CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS edition_type_id, o_orderpriority AS edition_type_name
+FROM orders"""
+
+SQL["pdf_urls"] = _with(PORTALS, EDITION_MUNI) + """
+SELECT edition_id, municipality,
+       domain_url || '/apifront/portal/edicoes/pdf_diario/' || CAST(edition_id AS VARCHAR) || '/' AS pdf_url,
+       'https://diariodomunicipio.sjc.sp.gov.br/apifront/portal/edicoes/pdf_diario/' || CAST(edition_id AS VARCHAR)
+         || '/' AS pdf_url_compat
+FROM edition_muni"""
+
+SQL["nav_links"] = """
+WITH u AS (SELECT page_id, regexp_extract(html, '(?s)<ul[^>]*>(.*?)</ul>', 1) AS ul FROM pages),
+h AS (SELECT page_id, regexp_extract_all(ul, '<a\\s[^>]*href="([^"]*)"', 1) AS hrefs FROM u)
+SELECT page_id, CAST(generate_subscripts(hrefs, 1) - 1 AS INTEGER) AS pos, unnest(hrefs) AS href FROM h"""
+
+# --------------------------------------------------------------------------- assembly
+
+SQL["dedupe_keep_deepest"] = _with(ARTICLES) + """
+SELECT identifier, article_id, edition_id, depth, hierarchy_path FROM articles
+QUALIFY row_number() OVER (PARTITION BY identifier ORDER BY depth DESC, article_id) = 1"""
+
+SQL["dedupe_stats"] = """
+SELECT count(*) AS rows_in, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS rows_out,
+       count(*) - (SELECT count(DISTINCT l_partkey) FROM lineitem) AS removed
+FROM lineitem"""
+
+SQL["edition_article_counts"] = _with(EDITIONS, ARTICLES_FLAT) + """
+, c AS (SELECT edition_id, count(*) AS n FROM articles_flat GROUP BY edition_id)
+SELECT e.edition_id, CAST(coalesce(c.n, 0) AS INTEGER) AS num_articles FROM editions e LEFT JOIN c USING (edition_id)"""
+
+SQL["orphan_articles"] = _with(EDITIONS, ARTICLES_FLAT) + """
+SELECT a.article_id, a.edition_id FROM articles_flat a
+WHERE NOT EXISTS (SELECT 1 FROM editions e WHERE e.edition_id = a.edition_id)"""
+
+SQL["empty_editions"] = _with(EDITIONS, ARTICLES_FLAT) + """
+SELECT e.edition_id, e.publication_date FROM editions e
+WHERE NOT EXISTS (SELECT 1 FROM articles_flat a WHERE a.edition_id = e.edition_id)"""
+
+# --------------------------------------------------------------------------- lake tables (ingest pipeline)
+
+CORPUS = _with(EDITIONS, PORTALS, EDITION_MUNI, ARTICLES) + """
+, links AS (SELECT a.*, m.municipality FROM articles a JOIN edition_muni m USING (edition_id)),
+uniq AS (SELECT * FROM links WHERE identifier IS NOT NULL
+         QUALIFY row_number() OVER (PARTITION BY municipality, identifier ORDER BY depth DESC, article_id) = 1),
+content AS (
+  SELECT doc_id AS request_key,
+         CASE lang WHEN 'en' THEN 'html' WHEN 'fr' THEN 'text' WHEN 'de' THEN 'pdf' WHEN 'es' THEN 'html' END
+           AS content_type,
+         CAST(length(text) AS BIGINT) AS char_length,
+         CAST(octet_length(encode(text)) AS BIGINT) AS content_size,
+         length(text) > 2000 AS is_blob,
+         CASE WHEN length(text) > 2000 THEN sha256(text) END AS content_hash,
+         CASE WHEN length(text) > 2000 THEN 'content/' || substr(sha256(text), 1, 2) || '/'
+              || substr(sha256(text), 3, 2) || '/' || sha256(text) || '.bin' END AS content_path,
+         CASE WHEN length(text) <= 2000 THEN text END AS inline_text
+  FROM documents),
+arts AS (SELECT u.* EXCLUDE (content_type, content_size), c.content_type, c.content_size, c.content_hash,
+                c.content_path, c.inline_text
+         FROM uniq u JOIN content c ON u.identifier = c.request_key),
+counts2 AS (SELECT edition_id, count(*) AS n FROM arts GROUP BY edition_id),
+eds AS (SELECT e.*, m.municipality, m.domain_url, CAST(coalesce(c.n, 0) AS INTEGER) AS total_articles,
+               md5(CAST(e.edition_id AS VARCHAR) || '_' || strftime(e.publication_date, '%Y-%m-%d') || '_'
+                   || CAST(coalesce(c.n, 0) AS VARCHAR)) AS edition_hash
+        FROM editions e JOIN edition_muni m USING (edition_id) LEFT JOIN counts2 c USING (edition_id)),
+blobs AS (SELECT content_hash, min(content_path) AS content_path, max(content_size) AS content_size,
+                 count(*) AS n_refs FROM content WHERE is_blob GROUP BY content_hash),
+art_rows AS (
+  SELECT a.municipality, CAST(a.article_id AS VARCHAR) AS article_id, CAST(a.edition_id AS VARCHAR) AS edition_id,
+         e.edition_hash, e.publication_date, a.title, CAST(to_json(a.hierarchy_path) AS VARCHAR) AS hierarchy_path_json,
+         CAST(a.identifier AS VARCHAR) AS identifier, coalesce(a.protocol, '') AS protocol, a.depth,
+         a.content_type, a.content_size, a.content_hash, a.content_path, a.inline_text,
+         CAST(year(e.publication_date) AS INTEGER) AS year, CAST(month(e.publication_date) AS INTEGER) AS month,
+         CAST(day(e.publication_date) AS INTEGER) AS day
+  FROM arts a JOIN eds e USING (edition_id)),
+ed_rows AS (
+  SELECT municipality, CAST(edition_id AS VARCHAR) AS edition_id, publication_date, edition_number, supplement,
+         edition_type_id, edition_type_name,
+         domain_url || '/apifront/portal/edicoes/pdf_diario/' || CAST(edition_id AS VARCHAR) || '/' AS pdf_url,
+         total_articles, edition_hash, CAST(year(publication_date) AS INTEGER) AS year,
+         CAST(month(publication_date) AS INTEGER) AS month, CAST(day(publication_date) AS INTEGER) AS day
+  FROM eds)
+"""
+
+SQL["editions_table"] = CORPUS + "SELECT * FROM ed_rows"
+SQL["articles_table"] = CORPUS + "SELECT * FROM art_rows"
+SQL["relationships_table"] = CORPUS + """
+SELECT municipality, edition_id, article_id, edition_hash, publication_date FROM art_rows"""
+SQL["edition_hash"] = CORPUS + """
+SELECT edition_id, total_articles, edition_hash, year, month, day FROM ed_rows"""
+SQL["content_split"] = CORPUS + """
+SELECT request_key, content_type, char_length, content_size, is_blob, content_hash, content_path FROM content"""
+SQL["content_blobs"] = CORPUS + "SELECT * FROM blobs"
+SQL["content_lookup"] = CORPUS + """
+SELECT a.article_id, a.content_hash, b.content_path, b.content_size
+FROM art_rows a JOIN blobs b USING (content_hash)"""
+SQL["summary_metrics"] = CORPUS + """
+SELECT (SELECT count(*) FROM ed_rows) AS n_editions, (SELECT count(*) FROM art_rows) AS n_articles,
+       (SELECT count(*) FROM art_rows) AS n_relationships,
+       (SELECT count(*) FROM ed_rows WHERE total_articles = 0) AS n_empty_editions,
+       (SELECT count(*) FROM blobs) AS n_blobs, (SELECT CAST(sum(content_size) AS BIGINT) FROM blobs) AS blob_bytes"""
+
+# --------------------------------------------------------------------------- article query
+
+QUERY_BASE = _with(EDITIONS, PORTALS, EDITION_MUNI, ARTICLES_FLAT) + """
+, q AS (SELECT a.article_id, a.edition_id, m.municipality, e.publication_date, a.content_type, a.content_size
+        FROM articles_flat a JOIN editions e USING (edition_id) JOIN edition_muni m USING (edition_id))
+"""
+
+SQL["query_articles_filter"] = QUERY_BASE + """
+SELECT * FROM q WHERE municipality = 'rj_rio_de_janeiro'
+  AND publication_date >= DATE '1996-01-01' AND publication_date <= DATE '1997-12-31'
+  AND content_type IN ('html', 'text')"""
+
+SQL["query_articles_limit"] = SQL["query_articles_filter"] + " ORDER BY article_id LIMIT 100"
