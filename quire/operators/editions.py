@@ -21,23 +21,24 @@ def _get(v: Column, path: str, typ: str = "variant") -> Column:
     return F.try_variant_get(v, F.lit(path), typ)
 
 
-def truthy(v: Column) -> Column:
+def truthy(v: Column, t: Column | None = None) -> Column:
     """Python truthiness of a JSON value (D11): false for missing, null, false, 0, "",
-    [] and {}; true otherwise (the string "false" is truthy)."""
-    t = F.schema_of_variant(v)
+    [] and {}; true otherwise (the string "false" is truthy). ``t`` is the value's
+    precomputed ``schema_of_variant``."""
+    t = F.schema_of_variant(v) if t is None else t
     return (F.when(v.isNull(), F.lit(False))
              .when(t == "VOID", F.lit(False))
              .when(t == "BOOLEAN", _get(v, "$", "boolean"))
              .when(t == "STRING", F.char_length(_get(v, "$", "string")) > 0)
-             .when(t.startswith("ARRAY"), F.array_size(_get(v, "$", "array<variant>")) > 0)
+             .when(t.startswith("ARRAY"), t != "ARRAY<VOID>")
              .when(t.startswith("OBJECT"), t != "OBJECT<>")
              .otherwise(_get(v, "$", "double") != 0))
 
 
-def supplement_flag(v: Column) -> Column:
+def supplement_flag(v: Column, t: Column | None = None) -> Column:
     """null/missing -> false; bool as is; string in {true,1,yes} (any case) -> true;
     integer != 0 -> true; anything else (float, list, object) -> false."""
-    t = F.schema_of_variant(v)
+    t = F.schema_of_variant(v) if t is None else t
     return (F.when(v.isNull() | (t == "VOID"), F.lit(False))
              .when(t == "BOOLEAN", _get(v, "$", "boolean"))
              .when(t == "STRING", F.lower(_get(v, "$", "string")).isin("true", "1", "yes"))
@@ -45,70 +46,81 @@ def supplement_flag(v: Column) -> Column:
              .otherwise(F.lit(False)))
 
 
-def int_field(v: Column) -> Column:
+def int_field(v: Column, t: Column | None = None) -> Column:
     """P5: missing -> 0; JSON null or not an integer -> NULL (the item is dropped)."""
-    t = F.schema_of_variant(v)
+    t = F.schema_of_variant(v) if t is None else t
     return (F.when(v.isNull(), F.lit(0))
              .when(t == "VOID", F.lit(None).cast("int"))
              .otherwise(_get(v, "$", "int")))
 
 
-def parse_editions(responses: DataFrame, payload: str = "payload", compat_pdf_host: bool = False) -> DataFrame:
-    """Every item of every payload with a ``reason`` column (NULL = valid).
+ITEM_FIELDS = {"id": "_id", "suplemento": "_sup", "numero": "_num", "tipo_edicao_id": "_tid",
+               "tipo_edicao_nome": "_tname"}
+# One parse per payload: the drifting fields are read as VARIANT (type kept), invalid
+# JSON lands in the corrupt-record column. Duplicate keys keep the last value.
+PAYLOAD_SCHEMA = ("struct<erro variant, data variant, itens array<struct<"
+                  + ", ".join(f"{k} variant" for k in ITEM_FIELDS) + ">>, _corrupt string>")
+JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
-    A payload yields no item rows when it is invalid JSON, not an object, falsy, has a
-    truthy ``erro`` or a falsy ``itens``; such payloads appear once with a reason.
+
+def parse_editions(responses: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(items, bad_payloads). ``items`` has one row per item of every usable
+    payload with a ``reason`` column (NULL = valid); ``bad_payloads`` has one row per
+    payload that yields no items (invalid JSON, not an object, truthy ``erro``, falsy
+    ``itens``).
+
+    The JSON is parsed once into a struct whose drifting fields stay VARIANT; each
+    field's type is probed once; no expression is evaluated twice per row.
     """
     body = F.col(payload)
     is_binary = dict(responses.dtypes)[payload] == "binary"
-    text = F.decode(body, "UTF-8") if is_binary else body
-    v = F.try_parse_json(text)
-    t = F.schema_of_variant(v)
-    itens = _get(v, "$.itens")
-    payload_reason = (F.when(v.isNull(), F.lit("invalid_json"))
-                       .when(~t.startswith("OBJECT"), F.lit("not_object"))
-                       .when(~truthy(v), F.lit("empty_payload"))
-                       .when(truthy(_get(v, "$.erro")), F.lit("erro"))
-                       .when(~truthy(itens), F.lit("no_items"))
-                       .when(~F.schema_of_variant(itens).startswith("ARRAY"), F.lit("items_not_array")))
+    text = F.decode(body, "UTF-8") if is_binary else body.cast("string")
     keep = [c for c in responses.columns if c != payload]
-    pr = responses.select(*keep, body.alias("_payload"), v.alias("_v"), payload_reason.alias("_preason"))
-
-    bad_payloads = pr.where(F.col("_preason").isNotNull()).select(
+    s1 = responses.select(*keep, text.alias("_payload"),
+                          F.from_json(text, PAYLOAD_SCHEMA, JSON_OPTIONS).alias("_s"))
+    s2 = s1.select(*keep, "_payload", F.col("_s._corrupt").alias("_corrupt"), F.col("_s.erro").alias("_erro"),
+                   F.schema_of_variant("_s.erro").alias("_erro_t"), F.col("_s.itens").alias("_itens"),
+                   F.coalesce(_get(F.col("_s.data"), "$", "string"), F.lit(UNKNOWN_DATE)).alias("_data"))
+    root_obj = F.ltrim(F.col("_payload")).startswith("{")
+    preason = (F.when(F.col("_payload").isNull() | ~root_obj, F.lit("not_object"))
+                .when(F.col("_corrupt").isNotNull(), F.lit("invalid_json"))
+                .when(truthy(F.col("_erro"), F.col("_erro_t")), F.lit("erro"))
+                .when(F.coalesce(F.size("_itens"), F.lit(0)) <= 0, F.lit("no_items")))
+    s3 = s2.select(*keep, "_payload", "_itens", "_data", preason.alias("_preason"))
+
+    bad_payloads = s3.where(F.col("_preason").isNotNull()).select(
         *keep, F.lit(None).cast("int").alias("item_index"), F.col("_preason").alias("reason"),
-        F.col("_payload").cast("string").alias("payload"))
-
-    items = (pr.where(F.col("_preason").isNull())
-               .select(*keep, "_v", F.posexplode(_get(F.col("_v"), "$.itens", "array<variant>"))
-                       .alias("item_index", "item")))
-    it = F.col("item")
-    id_v, sup_v = _get(it, "$.id"), _get(it, "$.suplemento")
-    num_v, tid_v, tname_v = _get(it, "$.numero"), _get(it, "$.tipo_edicao_id"), _get(it, "$.tipo_edicao_nome")
-    pub = F.coalesce(_get(F.col("_v"), "$.data", "string"), F.lit(UNKNOWN_DATE))
-    edition_id = _get(it, "$.id", "string")
-    number = int_field(num_v)
-    type_id = int_field(tid_v)
-    type_name = (F.when(tname_v.isNull(), F.lit(""))
-                  .when(F.schema_of_variant(tname_v) == "VOID", F.lit("None"))
-                  .otherwise(_get(it, "$.tipo_edicao_nome", "string")))
-    pub_date = F.try_to_date(pub, LENIENT_DATE)
-    reason = (F.when(~F.schema_of_variant(it).startswith("OBJECT"), F.lit("item_not_object"))
-               .when(id_v.isNull() | (F.schema_of_variant(id_v) == "VOID"), F.lit("missing_id"))
-               .when(number.isNull(), F.lit("bad_number"))
-               .when(type_id.isNull(), F.lit("bad_type_id"))
-               .when(pub_date.isNull(), F.lit("bad_date")))
-    parsed = items.select(
-        *keep, "item_index",
-        edition_id.alias("edition_id"),
-        pub.alias("publication_date_str"),
-        pub_date.alias("publication_date"),
-        number.alias("edition_number"),
-        supplement_flag(sup_v).alias("supplement"),
-        type_id.alias("edition_type_id"),
-        type_name.alias("edition_type_name"),
-        reason.alias("reason"),
-        F.to_json(it).alias("payload"),
-    )
+        F.col("_payload").alias("payload"))
+
+    items = (s3.where(F.col("_preason").isNull())
+               .select(*keep, "_data", F.posexplode("_itens").alias("item_index", "item")))
+    c = F.col
+    i1 = items.select(*keep, "_data", "item_index", c("item").isNull().alias("_bad_item"),
+                      *[c(f"item.{k}").alias(a) for k, a in ITEM_FIELDS.items()],
+                      *[F.schema_of_variant(f"item.{k}").alias(a + "_t") for k, a in ITEM_FIELDS.items()],
+                      F.try_to_date("_data", LENIENT_DATE).alias("_date"))
+    number = int_field(c("_num"), c("_num_t"))
+    type_id = int_field(c("_tid"), c("_tid_t"))
+    type_name = (F.when(c("_tname").isNull(), F.lit(""))
+                  .when(c("_tname_t") == "VOID", F.lit("None"))
+                  .otherwise(_get(c("_tname"), "$", "string")))
+    i2 = i1.select(*keep, "item_index", "_bad_item", "_id", "_id_t", "_data", "_date",
+                   *ITEM_FIELDS.values(),
+                   _get(c("_id"), "$", "string").alias("edition_id"),
+                   number.alias("edition_number"),
+                   supplement_flag(c("_sup"), c("_sup_t")).alias("supplement"),
+                   type_id.alias("edition_type_id"),
+                   type_name.alias("edition_type_name"))
+    reason = (F.when(c("_bad_item"), F.lit("item_not_object"))
+               .when(c("_id").isNull() | (c("_id_t") == "VOID"), F.lit("missing_id"))
+               .when(c("edition_number").isNull(), F.lit("bad_number"))
+               .when(c("edition_type_id").isNull(), F.lit("bad_type_id"))
+               .when(c("_date").isNull(), F.lit("bad_date")))
+    item_json = F.to_json(F.struct(*[c(a).alias(k) for k, a in ITEM_FIELDS.items()]))
+    parsed = i2.select(*keep, "item_index", "edition_id", c("_data").alias("publication_date_str"),
+                       c("_date").alias("publication_date"), "edition_number", "supplement",
+                       "edition_type_id", "edition_type_name", reason.alias("reason"),
+                       item_json.alias("payload"))
     return parsed, bad_payloads
 
 
