@@ -174,6 +174,31 @@ def nav_tree_udtf():
     return NavTree
 
 
+_UDTF = None
+
+
+def nav_tree():
+    """The UDTF object (created once per process)."""
+    global _UDTF
+    if _UDTF is None:
+        _UDTF = nav_tree_udtf()
+    return _UDTF
+
+
 def register(spark, name: str = "nav_tree"):
-    spark.udtf.register(name, nav_tree_udtf())
+    """Register for SQL: ``LATERAL nav_tree(html, 'ul', 'tree', 'linkMateria', 'folder')``."""
+    from quire.session import ship_package
+    ship_package(spark)
+    spark.udtf.register(name, nav_tree())
     return name
+
+
+def extract(df, html: str = "html", root_tag: str = "ul", root_id: str = "tree",
+            link_class: str = "linkMateria", folder_class: str = "folder"):
+    """Lateral join of every document row with its extracted links (DataFrame API)."""
+    from pyspark.sql import functions as F
+    from quire.session import ship_package
+    ship_package(df.sparkSession)
+    call = nav_tree()(F.col(html).outer(), F.lit(root_tag), F.lit(root_id or ""), F.lit(link_class or ""),
+                      F.lit(folder_class))
+    return df.lateralJoin(call)

@@ -46,37 +46,40 @@ def structure_links(spark: SparkSession, d: str) -> DataFrame:
     return a.join(em, "edition_id")
 
 
-def build_corpus(spark: SparkSession, d: str) -> Corpus:
-    links = structure_links(spark, d)
+def assemble_corpus(spark: SparkSession, editions: DataFrame, links: DataFrame, split: DataFrame) -> Corpus:
+    """J1-J5 + K1-K3 from parsed parts.
+
+    editions: municipality, edition_id, publication_date, edition_number, supplement,
+              edition_type_id, edition_type_name (one row per edition)
+    links:    municipality, edition_id, article_id, identifier, title, protocol, depth,
+              hierarchy_path, ord (one row per extracted link, duplicates allowed)
+    split:    content responses after dispatch + split (request_key = identifier)
+    """
     rejects = (links.where(F.col("identifier").isNull())
                     .select("municipality", F.lit("structure").alias("phase"),
                             F.col("article_id").cast("string").alias("request_key"),
                             F.lit("missing_identifier").alias("reason")))
     unique = A.dedupe_keep_deepest(links.where(F.col("identifier").isNotNull()))
-
-    responses = driver.content_responses(spark, d).drop("municipality")
-    split = C.split_inline(C.dispatch(responses))
     bad_content = split.where(F.col("reason").isNotNull())
     good = split.where(F.col("reason").isNull()).drop("reason")
-    content_cols = good.select("request_key", "content_type", "content_size", "content_hash",
-                               "content_path", "inline_text")
-    # the article's own stand-in content columns give way to the fetched content
+    content_cols = good.select(F.col("request_key").cast("string").alias("_rk"), "content_type", "content_size",
+                               "content_hash", "content_path", "inline_text")
+    # an article's own stand-in content columns (if any) give way to the fetched content
     arts = (unique.drop("content_type", "content_size")
-                  .join(content_cols, unique.identifier == content_cols.request_key)
-                  .drop("request_key"))
+                  .join(content_cols, F.col("identifier").cast("string") == F.col("_rk"))
+                  .drop("_rk"))
 
-    eds = driver.editions_full(spark, d).withColumn(
-        "publication_date_str", F.date_format("publication_date", ISO_DATE))
+    eds = editions.withColumn("publication_date_str", F.date_format("publication_date", ISO_DATE))
     eds = E.with_pdf_url(eds, spark)
-    eds = A.with_article_counts(eds, arts, key=("edition_id",))
+    eds = A.with_article_counts(eds, arts, key=A.EDITION_KEY)
     eds = A.with_edition_hash(eds)
-    editions = eds.select(
+    editions_out = eds.select(
         "municipality", F.col("edition_id").cast("string").alias("edition_id"), "publication_date",
         "edition_number", "supplement", "edition_type_id", "edition_type_name", "pdf_url",
         "total_articles", "edition_hash", *date_parts("publication_date"))
 
-    e_keys = eds.select("edition_id", "edition_hash", "publication_date")
-    articles = (arts.join(e_keys, "edition_id")
+    e_keys = eds.select(*A.EDITION_KEY, "edition_hash", "publication_date")
+    articles = (arts.join(e_keys, list(A.EDITION_KEY))
                     .select("municipality", F.col("article_id").cast("string").alias("article_id"),
                             F.col("edition_id").cast("string").alias("edition_id"), "edition_hash",
                             "publication_date", "title", "hierarchy_path",
@@ -86,11 +89,19 @@ def build_corpus(spark: SparkSession, d: str) -> Corpus:
                             "content_type", "content_size", "content_hash", "content_path", "inline_text",
                             *date_parts("publication_date")))
     relationships = articles.select("municipality", "edition_id", "article_id", "edition_hash",
-                                    "publication_date")
+                                    "publication_date", "year", "month", "day")
     rejects = rejects.unionByName(
         bad_content.select(F.lit(None).cast("string").alias("municipality"), F.lit("content").alias("phase"),
                            F.col("request_key").cast("string").alias("request_key"), "reason"))
-    return Corpus(editions, articles, relationships, C.blob_refs(good), good, rejects)
+    return Corpus(editions_out, articles, relationships, C.blob_refs(good), good, rejects)
+
+
+def build_corpus(spark: SparkSession, d: str) -> Corpus:
+    """The pipeline over the driver tables (see the module docstring)."""
+    links = structure_links(spark, d)
+    split = C.split_inline(C.dispatch(driver.content_responses(spark, d).drop("municipality")))
+    eds = driver.editions_full(spark, d)
+    return assemble_corpus(spark, eds, links, split)
 
 
 # --------------------------------------------------------------------------- registered queries
@@ -294,10 +305,10 @@ def json_field_counts(spark, d):
                                    F.max(F.col("value").try_cast("double")).alias("max_value"))
 
 
-def edition_payloads(spark, d):
-    """P1-P6 end to end: every edition is landed as a JSON payload (types drift by
-    order status like the real portals: numbers, numeric strings, '' / 0 / 1
-    supplements) and parsed back into typed edition rows."""
+def edition_payloads_landed(spark, d) -> DataFrame:
+    """Every edition landed as a metadata JSON payload (request_key = edition id). Field
+    types drift by order status as they do across the real portals: numbers, numeric
+    strings, and '' / 0 / 1 supplements."""
     o = driver.table(spark, d, "orders")
     type_id = F.substring("o_orderpriority", 1, 1).cast("int")
     item_f = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.lit(1).alias("suplemento"),
@@ -314,8 +325,12 @@ def edition_payloads(spark, d):
             .otherwise(item_p)
     payload = F.concat(F.lit('{"erro":false,"msg":"","data":"'), F.date_format("o_orderdate", ISO_DATE),
                        F.lit('","numero":null,"itens":['), item, F.lit("]}"))
-    landed = o.select(F.col("o_orderkey").alias("request_key"), payload.alias("payload"))
-    parsed, bad = E.parse_editions(landed)
+    return o.select(F.col("o_orderkey").alias("request_key"), payload.alias("payload"))
+
+
+def edition_payloads(spark, d):
+    """P1-P6 end to end: landed edition payloads parsed back into typed edition rows."""
+    parsed, bad = E.parse_editions(edition_payloads_landed(spark, d))
     good, _ = E.split_valid(parsed, bad)
     return good.select("edition_id", "publication_date", "edition_number", "supplement",
                        "edition_type_id", "edition_type_name")
@@ -323,11 +338,9 @@ def edition_payloads(spark, d):
 
 def nav_links(spark, d):
     """P8 (flat form) over raw pages: links of the first <ul> of each page."""
-    from quire.functions.navtree import register
-    name = register(spark)
+    from quire.functions.navtree import extract
     pages = driver.table(spark, d, "pages").select("page_id", "html")
-    return spark.sql(f"SELECT p.page_id, t.pos, t.href FROM {{pages}} p, "
-                     f"LATERAL {name}(p.html, 'ul', '', '', 'folder') t", pages=pages)
+    return extract(pages, "html", "ul", "", "", "folder").select("page_id", "pos", "href")
 
 
 def query_articles_base(spark, d) -> DataFrame:

@@ -461,7 +461,7 @@ ed_rows AS (
 SQL["editions_table"] = CORPUS + "SELECT * FROM ed_rows"
 SQL["articles_table"] = CORPUS + "SELECT * FROM art_rows"
 SQL["relationships_table"] = CORPUS + """
-SELECT municipality, edition_id, article_id, edition_hash, publication_date FROM art_rows"""
+SELECT municipality, edition_id, article_id, edition_hash, publication_date, year, month, day FROM art_rows"""
 SQL["edition_hash"] = CORPUS + """
 SELECT edition_id, total_articles, edition_hash, year, month, day FROM ed_rows"""
 SQL["content_split"] = CORPUS + """
