@@ -35,12 +35,14 @@ def charset_of(header: Column) -> Column:
 
 
 def _decode(body: Column, charset: Column) -> Column:
-    # decode() takes a literal charset in ANSI mode: branch over the supported ones
-    out = None
-    for cs in SUPPORTED_CHARSETS:
-        dec = F.decode(body, cs.upper())
-        out = F.when(charset == cs, dec) if out is None else out.when(charset == cs, dec)
-    return out.otherwise(F.decode(body, "UTF-8"))
+    """Text of a body in its charset, never failing: invalid UTF-8 / ASCII sequences
+    become U+FFFD (as an HTTP client's ``.text`` does); ISO-8859-1 maps every byte."""
+    lenient = F.make_valid_utf8(body.cast("string"))
+    return (F.when(charset == "iso-8859-1", F.decode(body, "ISO-8859-1"))
+             .when(charset == "utf-16be", F.decode(body, "UTF-16BE"))
+             .when(charset == "utf-16le", F.decode(body, "UTF-16LE"))
+             .when(charset == "utf-16", F.decode(body, "UTF-16"))
+             .otherwise(lenient))
 
 
 def dispatch(responses: DataFrame, header: str = "content_type_header", body: str = "body") -> DataFrame:
@@ -50,21 +52,28 @@ def dispatch(responses: DataFrame, header: str = "content_type_header", body: st
     json -> the ``conteudo`` field as HTML ('' when absent or null); invalid JSON or a
             non-object root is rejected
     html / text -> body decoded by the header's charset
+
+    Staged projections: each row decodes its body at most once, and only JSON bodies
+    are parsed.
     """
-    h, b = F.col(header), F.col(body)
-    ctype = content_type_of(h)
-    is_pdf = F.lower(F.coalesce(h, F.lit(""))).contains("application/pdf")
-    is_json = ~is_pdf & F.lower(F.coalesce(h, F.lit(""))).contains("application/json")
-    decoded = _decode(b, charset_of(h))
-    v = F.try_parse_json(decoded)
-    json_ok = v.isNotNull() & F.schema_of_variant(v).startswith("OBJECT")
-    conteudo = F.coalesce(F.try_variant_get(v, F.lit("$.conteudo"), "string"), F.lit(""))
-    pdf_text = F.when(F.is_valid_utf8(b.cast("string")), b.cast("string"))
-    text = F.when(is_pdf, pdf_text).when(is_json, conteudo).otherwise(decoded)
-    reason = F.when(is_json & ~json_ok, F.lit("invalid_json"))
+    h, b = F.lower(F.coalesce(F.col(header), F.lit(""))), F.col(body)
     keep = [c for c in responses.columns if c != body]
-    out = responses.select(*keep, ctype.alias("content_type"), text.alias("text"),
-                           F.when(is_pdf, b).alias("_raw"), reason.alias("reason"))
+    s1 = responses.select(*keep, b.alias("_b"), content_type_of(F.col(header)).alias("content_type"),
+                          h.contains("application/pdf").alias("_pdf"),
+                          charset_of(F.col(header)).alias("_cs"))
+    s2 = s1.select(*keep, "_b", "content_type", "_pdf",
+                   ((~F.col("_pdf")) & (F.col("content_type") == "html")
+                    & F.lower(F.coalesce(F.col(header), F.lit(""))).contains("application/json")).alias("_json"),
+                   F.when(~F.col("_pdf"), _decode(F.col("_b"), F.col("_cs"))).alias("_dec"))
+    s3 = s2.select(*keep, "_b", "content_type", "_pdf", "_json", "_dec",
+                   F.when(F.col("_json"), F.try_parse_json("_dec")).alias("_v"))
+    json_ok = F.col("_v").isNotNull() & F.schema_of_variant("_v").startswith("OBJECT")
+    conteudo = F.coalesce(F.try_variant_get(F.col("_v"), "$.conteudo", "string"), F.lit(""))
+    pdf_text = F.when(F.is_valid_utf8(F.col("_b").cast("string")), F.col("_b").cast("string"))
+    text = F.when(F.col("_pdf"), pdf_text).when(F.col("_json"), conteudo).otherwise(F.col("_dec"))
+    out = s3.select(*keep, "content_type", text.alias("text"),
+                    F.when(F.col("_pdf"), F.col("_b")).alias("_raw"),
+                    F.when(F.col("_json") & ~json_ok, F.lit("invalid_json")).alias("reason"))
     # Bytes to store = raw pdf bytes, else the UTF-8 encoding of the text
     return out.withColumn("bytes_", F.when(F.col("_raw").isNotNull(), F.col("_raw"))
                                      .otherwise(F.encode(F.col("text"), "UTF-8"))).drop("_raw")

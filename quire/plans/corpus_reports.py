@@ -177,10 +177,11 @@ def size_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def top_largest(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
-    """T2 + P26: the n largest articles (tie: article_id); a top-k, planned as
-    TakeOrderedAndProject (per-partition top-n, then a final merge of n rows each)."""
+    """T2 + P26: the n largest articles; a top-k, planned as TakeOrderedAndProject
+    (per-partition top-n, then a final merge of n rows each). article_id is not unique
+    in the driver data, so identifier and protocol complete the tie-break."""
     a = driver.articles(spark, d)
-    return (a.orderBy(F.desc("content_size"), "article_id").limit(n)
+    return (a.orderBy(F.desc("content_size"), "article_id", "identifier", "protocol").limit(n)
              .select("article_id", "content_size", ellipsize("title", 40, 37).alias("title"),
                      round_half_up(mib("content_size"), 4).alias("size_mb")))
 

@@ -41,7 +41,8 @@ class Corpus:
 
 def structure_links(spark: SparkSession, d: str) -> DataFrame:
     """Extracted article links with their edition's municipality and date."""
-    a = driver.articles(spark, d).withColumn("ord", F.col("article_id"))
+    # first-seen order; article_id is not unique in the driver data, protocol completes it
+    a = driver.articles(spark, d).withColumn("ord", F.struct("article_id", "protocol"))
     em = driver.edition_municipality(spark, d)
     return a.join(em, "edition_id")
 
@@ -359,9 +360,9 @@ def query_articles_filter(spark, d):
 
 
 def query_articles_limit(spark, d):
-    """T5: the same query with LIMIT 100 (ordered by article_id so the rows are defined)."""
+    """T5: the same query with LIMIT 100 (a full ordering so the rows are defined)."""
     from quire.plans.query import query_articles
     return query_articles(query_articles_base(spark, d), municipality="rj_rio_de_janeiro",
                           start_date="1996-01-01", end_date="1997-12-31", content_types=["html", "text"],
-                          limit=100, order_by=["article_id"])
+                          limit=100, order_by=["article_id", "edition_id", "content_type", "content_size"])
 

@@ -147,7 +147,7 @@ SQL["top_largest"] = _with(ARTICLES) + f"""
 SELECT article_id, content_size,
        CASE WHEN length(title) >= 40 THEN substr(title, 1, 37) || '...' ELSE title END AS title,
        {rhu('content_size / 1024.0 / 1024.0', 4)} AS size_mb
-FROM articles ORDER BY content_size DESC, article_id LIMIT 10"""
+FROM articles ORDER BY content_size DESC, article_id, identifier, protocol LIMIT 10"""
 
 # --------------------------------------------------------------------------- combined
 
@@ -418,7 +418,7 @@ WHERE NOT EXISTS (SELECT 1 FROM articles_flat a WHERE a.edition_id = e.edition_i
 CORPUS = _with(EDITIONS, PORTALS, EDITION_MUNI, ARTICLES) + """
 , links AS (SELECT a.*, m.municipality FROM articles a JOIN edition_muni m USING (edition_id)),
 uniq AS (SELECT * FROM links WHERE identifier IS NOT NULL
-         QUALIFY row_number() OVER (PARTITION BY municipality, identifier ORDER BY depth DESC, article_id) = 1),
+         QUALIFY row_number() OVER (PARTITION BY municipality, identifier ORDER BY depth DESC, article_id, protocol) = 1),
 content AS (
   SELECT doc_id AS request_key,
          CASE lang WHEN 'en' THEN 'html' WHEN 'fr' THEN 'text' WHEN 'de' THEN 'pdf' WHEN 'es' THEN 'html' END
@@ -488,4 +488,5 @@ SELECT * FROM q WHERE municipality = 'rj_rio_de_janeiro'
   AND publication_date >= DATE '1996-01-01' AND publication_date <= DATE '1997-12-31'
   AND content_type IN ('html', 'text')"""
 
-SQL["query_articles_limit"] = SQL["query_articles_filter"] + " ORDER BY article_id LIMIT 100"
+SQL["query_articles_limit"] = SQL["query_articles_filter"] + (
+    " ORDER BY article_id, edition_id, content_type, content_size LIMIT 100")
