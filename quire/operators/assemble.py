@@ -18,11 +18,13 @@ ARTICLE_DEDUPE_KEY = ("municipality", "identifier")
 
 
 def dedupe_keep_deepest(articles: DataFrame, key=ARTICLE_DEDUPE_KEY, depth: str = "depth",
-                        order: str = "ord") -> DataFrame:
+                        order="ord") -> DataFrame:
     """J1 + U3: one row per key: the greatest depth wins, ties go to the first seen
-    (smallest ``order``). Rows with a NULL key component are not deduplicated here;
-    route them to rejects first (D2)."""
-    w = Window.partitionBy(*key).orderBy(F.desc(depth), F.asc(order))
+    (smallest ``order``: a column name or a list of them, compared left to right).
+    Rows with a NULL key component are not deduplicated here; route them to rejects
+    first (D2). Plain (non-struct) order columns keep Spark's prefix sort usable."""
+    order = [order] if isinstance(order, str) else list(order)
+    w = Window.partitionBy(*key).orderBy(F.desc(depth), *[F.asc(o) for o in order])
     return articles.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 

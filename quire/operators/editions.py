@@ -92,8 +92,10 @@ def parse_editions(responses: DataFrame, payload: str = "payload") -> tuple[Data
         *keep, F.lit(None).cast("int").alias("item_index"), F.col("_preason").alias("reason"),
         F.col("_payload").alias("payload"))
 
-    items = (s3.where(F.col("_preason").isNull())
-               .select(*keep, "_data", F.posexplode("_itens").alias("item_index", "item")))
+    # no filter before the explode: Catalyst would push it below the projections and
+    # re-evaluate the JSON parse inside the predicate; exploding NULL yields no rows
+    usable = F.when(F.col("_preason").isNull(), F.col("_itens"))
+    items = s3.select(*keep, "_data", F.posexplode(usable).alias("item_index", "item"))
     c = F.col
     i1 = items.select(*keep, "_data", "item_index", c("item").isNull().alias("_bad_item"),
                       *[c(f"item.{k}").alias(a) for k, a in ITEM_FIELDS.items()],

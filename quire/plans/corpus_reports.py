@@ -259,23 +259,26 @@ def executive_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """Pearson correlation of depth, content_size, year, month, day. All pairs come
-    from ONE aggregate; constant columns give NULL instead of a division error."""
+    """Pearson correlation of depth, content_size, year, month, day. One aggregate
+    computes each unordered pair once (10 corr + 5 stddev) and the 25 cells are mirrored
+    from it; constant columns give NULL instead of a division error."""
     cols = ["depth", "content_size", "year", "month", "day"]
     a = articles_with_editions(spark, d).select(
         "depth", "content_size", F.year("publication_date").alias("year"),
         F.month("publication_date").alias("month"), F.dayofmonth("publication_date").alias("day"))
-    pairs = [(x, y) for x in cols for y in cols]
-    aggs = []
-    for i, (x, y) in enumerate(pairs):
-        if x == y:
-            aggs.append(F.when(F.stddev_pop(x) > 0, F.lit(1.0)).alias(f"c{i}"))
-        else:
-            aggs.append(F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0),
-                               F.corr(x, y)).alias(f"c{i}"))
+    aggs = [F.stddev_pop(c).alias(f"sd_{c}") for c in cols]
+    pairs = [(x, y) for i, x in enumerate(cols) for y in cols[i + 1:]]
+    aggs += [F.corr(x, y).alias(f"r_{x}_{y}") for x, y in pairs]
     wide = a.agg(*aggs)
-    stack = F.stack(F.lit(len(pairs)), *[e for i, (x, y) in enumerate(pairs)
-                                         for e in (F.lit(x), F.lit(y), F.col(f"c{i}"))])
+
+    def cell(x, y):
+        if x == y:
+            return F.when(F.col(f"sd_{x}") > 0, F.lit(1.0))
+        r = f"r_{x}_{y}" if (x, y) in pairs else f"r_{y}_{x}"
+        return F.when((F.col(f"sd_{x}") > 0) & (F.col(f"sd_{y}") > 0), F.col(r))
+
+    stack = F.stack(F.lit(len(cols) ** 2), *[e for x in cols for y in cols
+                                             for e in (F.lit(x), F.lit(y), cell(x, y))])
     return wide.select(stack.alias("col_a", "col_b", "corr")).select(
         "col_a", "col_b", round_half_up("corr", 6).alias("corr"))
 

@@ -41,26 +41,27 @@ class Corpus:
 
 def structure_links(spark: SparkSession, d: str) -> DataFrame:
     """Extracted article links with their edition's municipality and date."""
-    # first-seen order; article_id is not unique in the driver data, protocol completes it
-    a = driver.articles(spark, d).withColumn("ord", F.struct("article_id", "protocol"))
+    a = driver.articles(spark, d)
     em = driver.edition_municipality(spark, d)
     return a.join(em, "edition_id")
 
 
-def assemble_corpus(spark: SparkSession, editions: DataFrame, links: DataFrame, split: DataFrame) -> Corpus:
+def assemble_corpus(spark: SparkSession, editions: DataFrame, links: DataFrame, split: DataFrame,
+                    order=("ord",)) -> Corpus:
     """J1-J5 + K1-K3 from parsed parts.
 
     editions: municipality, edition_id, publication_date, edition_number, supplement,
               edition_type_id, edition_type_name (one row per edition)
     links:    municipality, edition_id, article_id, identifier, title, protocol, depth,
-              hierarchy_path, ord (one row per extracted link, duplicates allowed)
+              hierarchy_path + the ``order`` columns giving first-seen order (one row per
+              extracted link, duplicates allowed)
     split:    content responses after dispatch + split (request_key = identifier)
     """
     rejects = (links.where(F.col("identifier").isNull())
                     .select("municipality", F.lit("structure").alias("phase"),
                             F.col("article_id").cast("string").alias("request_key"),
                             F.lit("missing_identifier").alias("reason")))
-    unique = A.dedupe_keep_deepest(links.where(F.col("identifier").isNotNull()))
+    unique = A.dedupe_keep_deepest(links.where(F.col("identifier").isNotNull()), order=list(order))
     bad_content = split.where(F.col("reason").isNotNull())
     good = split.where(F.col("reason").isNull()).drop("reason")
     content_cols = good.select(F.col("request_key").cast("string").alias("_rk"), "content_type", "content_size",
@@ -102,7 +103,8 @@ def build_corpus(spark: SparkSession, d: str) -> Corpus:
     links = structure_links(spark, d)
     split = C.split_inline(C.dispatch(driver.content_responses(spark, d).drop("municipality")))
     eds = driver.editions_full(spark, d)
-    return assemble_corpus(spark, eds, links, split)
+    # first-seen order: article_id is not unique in the driver data, protocol completes it
+    return assemble_corpus(spark, eds, links, split, order=("article_id", "protocol"))
 
 
 # --------------------------------------------------------------------------- registered queries
@@ -148,22 +150,22 @@ def content_lookup(spark, d):
 
 
 def summary_metrics(spark, d):
-    """One row of run totals."""
+    """One row of run totals: one aggregate per table (three scalar subqueries)."""
     c = build_corpus(spark, d)
+    e = c.editions.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                                F.count_if(F.col("total_articles") == 0).alias("empty"))).scalar()
+    n_rel = c.relationships.agg(F.count(F.lit(1))).scalar()
+    b = c.content.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("content_size").alias("bytes"))).scalar()
     return spark.range(1).select(
-        c.editions.agg(F.count(F.lit(1))).scalar().alias("n_editions"),
-        c.articles.agg(F.count(F.lit(1))).scalar().alias("n_articles"),
-        c.relationships.agg(F.count(F.lit(1))).scalar().alias("n_relationships"),
-        c.editions.where(F.col("total_articles") == 0).agg(F.count(F.lit(1))).scalar().alias("n_empty_editions"),
-        c.content.agg(F.count(F.lit(1))).scalar().alias("n_blobs"),
-        c.content.agg(F.sum("content_size")).scalar().alias("blob_bytes"),
-    )
+        e.getField("n").alias("n_editions"), n_rel.alias("n_articles"), n_rel.alias("n_relationships"),
+        e.getField("empty").alias("n_empty_editions"), b.getField("n").alias("n_blobs"),
+        b.getField("bytes").alias("blob_bytes"))
 
 
 def dedupe_keep_deepest(spark, d):
     """J1 + U3 over the raw links, keyed by identifier."""
-    a = driver.articles(spark, d).withColumn("ord", F.col("article_id"))
-    return (A.dedupe_keep_deepest(a, key=("identifier",))
+    a = driver.articles(spark, d)
+    return (A.dedupe_keep_deepest(a, key=("identifier",), order=("article_id", "protocol"))
              .select("identifier", "article_id", "edition_id", "depth", "hierarchy_path"))
 
 

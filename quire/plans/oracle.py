@@ -394,7 +394,7 @@ SELECT page_id, CAST(generate_subscripts(hrefs, 1) - 1 AS INTEGER) AS pos, unnes
 
 SQL["dedupe_keep_deepest"] = _with(ARTICLES) + """
 SELECT identifier, article_id, edition_id, depth, hierarchy_path FROM articles
-QUALIFY row_number() OVER (PARTITION BY identifier ORDER BY depth DESC, article_id) = 1"""
+QUALIFY row_number() OVER (PARTITION BY identifier ORDER BY depth DESC, article_id, protocol) = 1"""
 
 SQL["dedupe_stats"] = """
 SELECT count(*) AS rows_in, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS rows_out,

@@ -39,8 +39,7 @@ def parse_landed(spark: SparkSession, landed: DataFrame):
     struct = (landed.where(F.col("phase") == "structure")
                     .select("municipality", "edition_id", "seq", F.decode("body", "UTF-8").alias("html")))
     links = extract_links(struct).select("municipality", "edition_id", "article_id", "identifier", "title", "protocol",
-                         F.size("hierarchy_path").alias("depth"), "hierarchy_path",
-                         F.struct("seq", "pos").alias("ord"))
+                         F.size("hierarchy_path").alias("depth"), "hierarchy_path", "seq", "pos")
 
     content = landed.where(F.col("phase") == "content").select("request_key", "content_type_header", "body")
     split = C.split_inline(C.dispatch(content))
@@ -56,7 +55,7 @@ def process_landed(spark: SparkSession, landed: DataFrame, persist: bool = False
     if persist:
         editions, links, split = (x.persist() for x in (editions, links, split))
         cached = [editions, links, split]
-    return assemble_corpus(spark, editions, links, split), split, cached
+    return assemble_corpus(spark, editions, links, split, order=("seq", "pos")), split, cached
 
 
 def run_incremental(spark: SparkSession, landing_dir: str, lake_root: str, checkpoint_dir: str,
