@@ -72,12 +72,18 @@ def with_edition_hash(editions: DataFrame, date_str: str = "publication_date_str
 
 
 def edition_article_lists(editions: DataFrame, articles: DataFrame, key=EDITION_KEY,
-                          fields=("article_id", "identifier", "title", "depth"), order: str = "ord") -> DataFrame:
+                          fields=("article_id", "identifier", "title", "depth"), order=("ord",)) -> DataFrame:
     """A31, on request only: nested ``array<struct>`` of article metadata per edition,
-    sorted by first-seen order. Bodies are never collected. The list length is the
-    edition's article count (bounded by one gazette's size, not by the corpus)."""
-    packed = articles.select(*key, F.struct(F.col(order).alias("ord"), *fields).alias("a"))
-    lists = packed.groupBy(*key).agg(F.array_sort(F.collect_list("a")).alias("articles"))
+    sorted by first-seen order (``order`` columns, then the fields). Bodies are never
+    collected. The list length is the edition's article count (bounded by one
+    gazette's size, not by the corpus)."""
+    order = [order] if isinstance(order, str) else list(order)
+    sort_cols = [f"_o{i}" for i in range(len(order))]
+    packed = articles.select(*key, F.struct(*[F.col(o).alias(n) for o, n in zip(order, sort_cols)],
+                                            *fields).alias("a"))
+    lists = packed.groupBy(*key).agg(F.array_sort(F.collect_list("a")).alias("_l"))
+    lists = lists.select(*key, F.transform("_l", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+                         .alias("articles"))
     return (editions.join(lists, list(key), "left")
                     .withColumn("articles", F.coalesce("articles", F.array().cast(lists.schema["articles"].dataType))))
 

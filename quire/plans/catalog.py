@@ -29,9 +29,12 @@ def queries() -> dict[str, QueryFn]:
         "type_share": CR.type_share,
         "depth_distribution": CR.depth_distribution,
         "size_histogram": CR.size_histogram,
+        "size_histogram_bytes": CR.size_histogram_bytes,
         "top_largest": CR.top_largest,
         # articles x editions
         "articles_per_year": CR.articles_per_year,
+        "articles_per_month": CR.articles_per_month,
+        "edition_article_lists": CR.edition_article_lists,
         "articles_by_type": CR.articles_by_type,
         "supplement_stats": CR.supplement_stats,
         "articles_suffixed_join": CR.articles_suffixed_join,

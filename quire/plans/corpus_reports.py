@@ -176,6 +176,12 @@ def size_histogram(spark: SparkSession, d: str) -> DataFrame:
     return equal_width_histogram(a, "size_kb", HISTOGRAM_BINS_KB)
 
 
+def size_histogram_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """A12 on article size in bytes, 40 bins."""
+    a = driver.articles(spark, d, with_path=False).select(F.col("content_size").cast("double").alias("size"))
+    return equal_width_histogram(a, "size", HISTOGRAM_BINS_BYTES)
+
+
 def top_largest(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
     """T2 + P26: the n largest articles; a top-k, planned as TakeOrderedAndProject
     (per-partition top-n, then a final merge of n rows each). article_id is not unique
@@ -198,6 +204,26 @@ def articles_per_year(spark: SparkSession, d: str) -> DataFrame:
              .orderBy("year"))
 
 
+def articles_per_month(spark: SparkSession, d: str) -> DataFrame:
+    """Article counts per publication month (all years)."""
+    a = articles_with_editions(spark, d)
+    return (a.groupBy(F.month("publication_date").alias("month")).agg(F.count(F.lit(1)).alias("count"))
+             .orderBy("month"))
+
+
+def edition_article_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Each edition with the ordered list of its article ids (empty for editions
+    without articles). Lists are per edition, so
+    their length is one gazette's article count."""
+    from quire.operators.assemble import edition_article_lists as lists
+    e = driver.editions(spark, d).select("edition_id", "publication_date")
+    a = driver.articles(spark, d, with_path=False)
+    out = lists(e, a, key=("edition_id",), fields=("article_id",), order=("article_id", "protocol"))
+    return out.select("edition_id", "publication_date",
+                      F.transform("articles", lambda x: x["article_id"]).alias("article_ids"),
+                      F.size("articles").alias("n_articles"))
+
+
 def articles_by_type(spark: SparkSession, d: str) -> DataFrame:
     """A20."""
     a = articles_with_editions(spark, d, ("edition_type_name",))

@@ -143,6 +143,14 @@ b AS (SELECT CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor((x - mn) * 50 / (mx
 SELECT bin, mn + bin * ((mx - mn) / 50.0) AS lo, mn + (bin + 1) * ((mx - mn) / 50.0) AS hi, count(*) AS count
 FROM b, mm GROUP BY bin, mn, mx ORDER BY bin"""
 
+SQL["size_histogram_bytes"] = _with(ARTICLES_FLAT) + """
+, v AS (SELECT CAST(content_size AS DOUBLE) AS x FROM articles_flat),
+mm AS (SELECT min(x) AS mn, max(x) AS mx FROM v),
+b AS (SELECT CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor((x - mn) * 40 / (mx - mn)), 39) END AS INTEGER) AS bin
+      FROM v, mm)
+SELECT bin, mn + bin * ((mx - mn) / 40.0) AS lo, mn + (bin + 1) * ((mx - mn) / 40.0) AS hi, count(*) AS count
+FROM b, mm GROUP BY bin, mn, mx ORDER BY bin"""
+
 SQL["top_largest"] = _with(ARTICLES) + f"""
 SELECT article_id, content_size,
        CASE WHEN length(title) >= 40 THEN substr(title, 1, 37) || '...' ELSE title END AS title,
@@ -157,6 +165,16 @@ SELECT CAST(year(publication_date) AS INTEGER) AS year, count(*) AS num_articles
        {rhu(gib('sum(content_size)'), 6)} AS total_size_gb
 FROM ae GROUP BY 1 ORDER BY 1"""
 
+SQL["articles_per_month"] = _with(EDITIONS, ARTICLES_FLAT, AE) + """
+SELECT CAST(month(publication_date) AS INTEGER) AS month, count(*) AS count FROM ae GROUP BY 1 ORDER BY 1"""
+
+SQL["edition_article_lists"] = _with(EDITIONS, ARTICLES_FLAT) + """
+, l AS (SELECT edition_id, list(article_id ORDER BY article_id, protocol) AS ids
+        FROM articles_flat GROUP BY edition_id)
+SELECT e.edition_id, e.publication_date, coalesce(l.ids, []) AS article_ids,
+       CAST(len(coalesce(l.ids, [])) AS INTEGER) AS n_articles
+FROM editions e LEFT JOIN l USING (edition_id)"""
+
 SQL["articles_by_type"] = _with(EDITIONS, ARTICLES_FLAT, AE) + """
 SELECT edition_type_name, count(*) AS count FROM ae GROUP BY 1 ORDER BY count DESC, edition_type_name"""
 

@@ -23,9 +23,7 @@ from quire.operators import content as C
 from quire.operators import editions as E
 from quire.plans.ingest import Corpus, assemble_corpus
 from quire.sinks import lake
-
-RAW_SCHEMA = ("municipality string, phase string, request_key string, edition_id string, "
-              "content_type_header string, body binary, seq bigint")
+from quire.sources.responses import RAW_SCHEMA, stream_landed  # noqa: F401  (RAW_SCHEMA re-exported)
 
 
 def parse_landed(spark: SparkSession, landed: DataFrame):
@@ -78,8 +76,7 @@ def run_incremental(spark: SparkSession, landing_dir: str, lake_root: str, check
                 c.unpersist()
             batch.unpersist()
 
-    q = (spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
-              .option("recursiveFileLookup", "true").parquet(landing_dir)
+    q = (stream_landed(spark, landing_dir, max_files_per_trigger)
               .writeStream.foreachBatch(handle)
               .option("checkpointLocation", checkpoint_dir)
               .trigger(availableNow=True).start())
