@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.hashing import content_hash, content_path
+from quire.functions.rows import keep_where
 
 # Fixed value: texts longer than this many characters are stored out of line.
 INLINE_THRESHOLD = 2000
@@ -98,7 +99,7 @@ def new_blobs(split: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """K4 + J11: one row per blob hash not yet in ``existing`` (a content table; only its
     hash column is read). Hashes are filtered first on a narrow projection; bodies are
     shuffled once, by hash, and the dedupe reuses that partitioning."""
-    blobs = split.where(F.col("is_blob"))
+    blobs = keep_where(split, F.col("is_blob"))
     hashes = blobs.select("content_hash").distinct()
     if existing is not None:
         hashes = hashes.join(existing.select("content_hash"), "content_hash", "left_anti")
@@ -112,7 +113,7 @@ def new_blobs(split: DataFrame, existing: DataFrame | None = None) -> DataFrame:
 
 def blob_refs(split: DataFrame) -> DataFrame:
     """K7 metadata without bodies: (hash, path, size, number of references)."""
-    return (split.where(F.col("is_blob"))
+    return (keep_where(split, F.col("is_blob"))
                  .groupBy("content_hash")
                  .agg(F.first("content_path").alias("content_path"),
                       F.max("content_size").alias("content_size"),

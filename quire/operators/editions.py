@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.dates import LENIENT_DATE
+from quire.functions.rows import keep_where
 from quire.sources.portals import COMPAT_PDF_HOST, PDF_PATH, portals
 
 UNKNOWN_DATE = "unknown"
@@ -88,7 +89,7 @@ def parse_editions(responses: DataFrame, payload: str = "payload") -> tuple[Data
                 .when(F.coalesce(F.size("_itens"), F.lit(0)) <= 0, F.lit("no_items")))
     s3 = s2.select(*keep, "_payload", "_itens", "_data", preason.alias("_preason"))
 
-    bad_payloads = s3.where(F.col("_preason").isNotNull()).select(
+    bad_payloads = keep_where(s3, F.col("_preason").isNotNull()).select(
         *keep, F.lit(None).cast("int").alias("item_index"), F.col("_preason").alias("reason"),
         F.col("_payload").alias("payload"))
 
@@ -140,6 +141,6 @@ def with_pdf_url(editions: DataFrame, spark, compat: bool = False) -> DataFrame:
 
 def split_valid(parsed: DataFrame, bad_payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(editions, rejects). Item-level faults are isolated: siblings of a bad item stay."""
-    good = parsed.where(F.col("reason").isNull()).drop("reason", "payload")
-    rejects = parsed.where(F.col("reason").isNotNull()).select(*bad_payloads.columns).unionByName(bad_payloads)
+    good = keep_where(parsed, F.col("reason").isNull()).drop("reason", "payload")
+    rejects = keep_where(parsed, F.col("reason").isNotNull()).select(*bad_payloads.columns).unionByName(bad_payloads)
     return good, rejects

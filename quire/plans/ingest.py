@@ -13,12 +13,13 @@ edition) and the blob dedupe (on hash, narrow first).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.dates import ISO_DATE, date_parts
+from quire.functions.rows import keep_where, spread
 from quire.functions.text import path_to_json
 from quire.operators import assemble as A
 from quire.operators import content as C
@@ -29,59 +30,61 @@ from quire.sources import driver
 from quire.sources.portals import portals
 
 
-@dataclass
 class Corpus:
-    editions: DataFrame
-    articles: DataFrame
-    relationships: DataFrame
-    content: DataFrame        # blob metadata (hash, path, size, refs); bodies via content_bodies
-    content_split: DataFrame  # per response, after dispatch + split (no body columns)
-    rejects: DataFrame
-
-
-def structure_links(spark: SparkSession, d: str) -> DataFrame:
-    """Extracted article links with their edition's municipality and date."""
-    a = driver.articles(spark, d)
-    em = driver.edition_municipality(spark, d)
-    return a.join(em, "edition_id")
-
-
-def assemble_corpus(spark: SparkSession, editions: DataFrame, links: DataFrame, split: DataFrame,
-                    order=("ord",)) -> Corpus:
-    """J1-J5 + K1-K3 from parsed parts.
-
-    editions: municipality, edition_id, publication_date, edition_number, supplement,
-              edition_type_id, edition_type_name (one row per edition)
-    links:    municipality, edition_id, article_id, identifier, title, protocol, depth,
-              hierarchy_path + the ``order`` columns giving first-seen order (one row per
-              extracted link, duplicates allowed)
-    split:    content responses after dispatch + split (request_key = identifier)
+    """J1-J5 + K1-K3 from parsed parts, built lazily: each table is constructed on first
+    access, so a query that needs one table does not plan the others.
+
+    editions_in: municipality, edition_id, publication_date, edition_number, supplement,
+                 edition_type_id, edition_type_name (one row per edition)
+    links:       municipality, edition_id, article_id, identifier, title, protocol, depth,
+                 hierarchy_path + the ``order`` columns giving first-seen order (one row
+                 per extracted link, duplicates allowed)
+    split:       content responses after dispatch + split (request_key = identifier)
     """
-    rejects = (links.where(F.col("identifier").isNull())
-                    .select("municipality", F.lit("structure").alias("phase"),
-                            F.col("article_id").cast("string").alias("request_key"),
-                            F.lit("missing_identifier").alias("reason")))
-    unique = A.dedupe_keep_deepest(links.where(F.col("identifier").isNotNull()), order=list(order))
-    bad_content = split.where(F.col("reason").isNotNull())
-    good = split.where(F.col("reason").isNull()).drop("reason")
-    content_cols = good.select(F.col("request_key").cast("string").alias("_rk"), "content_type", "content_size",
-                               "content_hash", "content_path", "inline_text")
-    # an article's own stand-in content columns (if any) give way to the fetched content
-    arts = (unique.drop("content_type", "content_size")
-                  .join(content_cols, F.col("identifier").cast("string") == F.col("_rk"))
-                  .drop("_rk"))
-
-    eds = editions.withColumn("publication_date_str", F.date_format("publication_date", ISO_DATE))
-    eds = E.with_pdf_url(eds, spark)
-    eds = A.with_article_counts(eds, arts, key=A.EDITION_KEY)
-    eds = A.with_edition_hash(eds)
-    editions_out = eds.select(
-        "municipality", F.col("edition_id").cast("string").alias("edition_id"), "publication_date",
-        "edition_number", "supplement", "edition_type_id", "edition_type_name", "pdf_url",
-        "total_articles", "edition_hash", *date_parts("publication_date"))
-
-    e_keys = eds.select(*A.EDITION_KEY, "edition_hash", "publication_date")
-    articles = (arts.join(e_keys, list(A.EDITION_KEY))
+
+    def __init__(self, spark: SparkSession, editions_in: DataFrame, links: DataFrame, split: DataFrame,
+                 order=("ord",)):
+        self.spark, self._editions_in, self._links, self._split = spark, editions_in, links, split
+        self._order = list(order)
+
+    @cached_property
+    def content_split(self) -> DataFrame:
+        """Valid content responses after dispatch + split (no reason column)."""
+        return keep_where(self._split, F.col("reason").isNull()).drop("reason")
+
+    @cached_property
+    def content(self) -> DataFrame:
+        """Blob metadata: (hash, path, size, references)."""
+        return C.blob_refs(self.content_split)
+
+    @cached_property
+    def _articles_core(self) -> DataFrame:
+        unique = A.dedupe_keep_deepest(self._links.where(F.col("identifier").isNotNull()), order=self._order)
+        content_cols = self.content_split.select(F.col("request_key").cast("string").alias("_rk"), "content_type",
+                                                 "content_size", "content_hash", "content_path", "inline_text")
+        # an article's own stand-in content columns (if any) give way to the fetched content
+        return (unique.drop("content_type", "content_size")
+                      .join(content_cols, F.col("identifier").cast("string") == F.col("_rk"))
+                      .drop("_rk"))
+
+    @cached_property
+    def _eds(self) -> DataFrame:
+        eds = self._editions_in.withColumn("publication_date_str", F.date_format("publication_date", ISO_DATE))
+        eds = E.with_pdf_url(eds, self.spark)
+        eds = A.with_article_counts(eds, self._articles_core, key=A.EDITION_KEY)
+        return A.with_edition_hash(eds)
+
+    @cached_property
+    def editions(self) -> DataFrame:
+        return self._eds.select(
+            "municipality", F.col("edition_id").cast("string").alias("edition_id"), "publication_date",
+            "edition_number", "supplement", "edition_type_id", "edition_type_name", "pdf_url",
+            "total_articles", "edition_hash", *date_parts("publication_date"))
+
+    @cached_property
+    def articles(self) -> DataFrame:
+        e_keys = self._eds.select(*A.EDITION_KEY, "edition_hash", "publication_date")
+        return (self._articles_core.join(e_keys, list(A.EDITION_KEY))
                     .select("municipality", F.col("article_id").cast("string").alias("article_id"),
                             F.col("edition_id").cast("string").alias("edition_id"), "edition_hash",
                             "publication_date", "title", "hierarchy_path",
@@ -90,12 +93,35 @@ def assemble_corpus(spark: SparkSession, editions: DataFrame, links: DataFrame,
                             F.coalesce("protocol", F.lit("")).alias("protocol"), "depth",
                             "content_type", "content_size", "content_hash", "content_path", "inline_text",
                             *date_parts("publication_date")))
-    relationships = articles.select("municipality", "edition_id", "article_id", "edition_hash",
+
+    @cached_property
+    def relationships(self) -> DataFrame:
+        return self.articles.select("municipality", "edition_id", "article_id", "edition_hash",
                                     "publication_date", "year", "month", "day")
-    rejects = rejects.unionByName(
-        bad_content.select(F.lit(None).cast("string").alias("municipality"), F.lit("content").alias("phase"),
-                           F.col("request_key").cast("string").alias("request_key"), "reason"))
-    return Corpus(editions_out, articles, relationships, C.blob_refs(good), good, rejects)
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        structure = (self._links.where(F.col("identifier").isNull())
+                         .select("municipality", F.lit("structure").alias("phase"),
+                                 F.col("article_id").cast("string").alias("request_key"),
+                                 F.lit("missing_identifier").alias("reason")))
+        bad_content = keep_where(self._split, F.col("reason").isNotNull())
+        return structure.unionByName(
+            bad_content.select(F.lit(None).cast("string").alias("municipality"), F.lit("content").alias("phase"),
+                               F.col("request_key").cast("string").alias("request_key"), "reason"))
+
+
+def structure_links(spark: SparkSession, d: str) -> DataFrame:
+    """Extracted article links with their edition's municipality."""
+    a = driver.articles(spark, d)
+    em = driver.edition_municipality(spark, d)
+    return a.join(em, "edition_id")
+
+
+def assemble_corpus(spark: SparkSession, editions: DataFrame, links: DataFrame, split: DataFrame,
+                    order=("ord",)) -> Corpus:
+    """See :class:`Corpus`."""
+    return Corpus(spark, editions, links, split, order)
 
 
 def build_corpus(spark: SparkSession, d: str) -> Corpus:
@@ -144,7 +170,7 @@ def content_blobs(spark, d):
 def content_lookup(spark, d):
     """Out-of-line articles joined to the blob store by hash."""
     c = build_corpus(spark, d)
-    return (c.articles.where(F.col("content_hash").isNotNull())
+    return (keep_where(c.articles, F.col("content_hash").isNotNull())
               .select("article_id", "content_hash")
               .join(c.content.select("content_hash", "content_path", "content_size"), "content_hash"))
 
@@ -312,7 +338,8 @@ def edition_payloads_landed(spark, d) -> DataFrame:
     """Every edition landed as a metadata JSON payload (request_key = edition id). Field
     types drift by order status as they do across the real portals: numbers, numeric
     strings, and '' / 0 / 1 supplements."""
-    o = driver.table(spark, d, "orders")
+    o = spread(driver.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
+                                                       "o_orderdate", "o_orderpriority"))
     type_id = F.substring("o_orderpriority", 1, 1).cast("int")
     item_f = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.lit(1).alias("suplemento"),
                                 F.col("o_custkey").alias("numero"), type_id.alias("tipo_edicao_id"),
@@ -342,7 +369,7 @@ def edition_payloads(spark, d):
 def nav_links(spark, d):
     """P8 (flat form) over raw pages: links of the first <ul> of each page."""
     from quire.functions.navtree import extract
-    pages = driver.table(spark, d, "pages").select("page_id", "html")
+    pages = spread(driver.table(spark, d, "pages").select("page_id", "html"))
     return extract(pages, "html", "ul", "", "", "folder").select("page_id", "pos", "href")
 
 

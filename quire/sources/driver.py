@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.rows import spread
 from quire.sources.portals import portals
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -46,8 +47,20 @@ LANG_CONTENT_HEADER = {
 MAX_DEPTH = 3
 
 
+_SCHEMAS: dict = {}
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
+    """A driver table. Its schema is inferred once per session and path, later reads pass
+    it explicitly (no footer-reading job per query)."""
+    path = f"{d.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def _case(col: Column, mapping: dict) -> Column:
@@ -125,7 +138,8 @@ def article_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def content_responses(spark: SparkSession, d: str) -> DataFrame:
     """Landed content responses: request_key, municipality, content_type_header, body."""
-    doc = table(spark, d, "documents")
+    # decoding, JSON and hashing of bodies follow: use every core even for a small file
+    doc = spread(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
     lang = F.col("lang")
     body = F.when(lang == "es", F.encode(F.to_json(F.struct(F.col("text").alias("conteudo"))), "UTF-8")) \
             .otherwise(F.encode("text", "UTF-8"))
