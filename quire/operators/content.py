@@ -97,18 +97,20 @@ def split_inline(dispatched: DataFrame, threshold: int = INLINE_THRESHOLD) -> Da
 
 def new_blobs(split: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """K4 + J11: one row per blob hash not yet in ``existing`` (a content table; only its
-    hash column is read). Hashes are filtered first on a narrow projection; bodies are
-    shuffled once, by hash, and the dedupe reuses that partitioning."""
+    hash column is read).
+
+    Copies are collapsed by hash first: the aggregation runs partially on the map side,
+    so a body repeated across a large share of the rows leaves each task once, and the
+    shuffle by hash carries each distinct body once per task. The anti join against the
+    store then reuses that hash partitioning for the (narrow) stored hashes."""
     blobs = keep_where(split, F.col("is_blob"))
-    hashes = blobs.select("content_hash").distinct()
+    dedup = (blobs.groupBy("content_hash")
+                  .agg(F.first("bytes_").alias("content"),
+                       F.first("content_path").alias("content_path"),
+                       F.first("content_size").alias("content_size")))
     if existing is not None:
-        hashes = hashes.join(existing.select("content_hash"), "content_hash", "left_anti")
-    fresh = blobs.join(hashes, "content_hash", "left_semi")
-    return (fresh.groupBy("content_hash")
-                 .agg(F.first("bytes_").alias("content"),
-                      F.first("content_path").alias("content_path"),
-                      F.first("content_size").alias("content_size"))
-                 .withColumn("created_at", F.current_timestamp()))
+        dedup = dedup.join(existing.select("content_hash"), "content_hash", "left_anti")
+    return dedup.withColumn("created_at", F.current_timestamp())
 
 
 def blob_refs(split: DataFrame) -> DataFrame:

@@ -49,16 +49,23 @@ def _configure(spark: SparkSession, zstd_level: int = ZSTD_LEVEL) -> None:
     spark.sparkContext._jsc.hadoopConfiguration().set("parquet.compression.codec.zstd.level", str(zstd_level))
 
 
+# Each partition value is spread over at most this many writer tasks (and files).
+WRITE_SALT = 8
+
+
 def _writer(df: DataFrame, parts: list[str], tiebreak: str | None = None, obs: Observation | None = None):
     """K5: zstd, dictionary encoding and column statistics (parquet defaults kept on).
 
-    Rows are range-partitioned on the partition columns plus a tie-break key, so a hot
-    partition value (one municipality-day holding a large share of a batch) is split
-    over several tasks instead of landing in one; each task then writes few files."""
-    keys = [*parts, tiebreak] if tiebreak else parts
-    out = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    Rows are hash-partitioned on the partition columns plus a salt taken from a
+    tie-break key: a hot partition value (one municipality-day holding a large share of
+    a batch) is split over up to WRITE_SALT tasks instead of one, and each partition
+    value ends up in at most WRITE_SALT files. No sampling pass is needed (a range
+    partitioner would evaluate the whole upstream plan twice)."""
+    keys = [F.col(k) for k in parts]
+    if tiebreak:
+        keys.append(F.pmod(F.xxhash64(F.col(tiebreak)), F.lit(WRITE_SALT)))
+    out = df.repartition(*keys).sortWithinPartitions(*parts)
     if obs is not None:
-        # observed above the exchange: the range partitioner's sampling pass is not counted
         out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
     return (out.write.option("compression", "zstd").option("parquet.enable.dictionary", "true")
                .partitionBy(*parts))
