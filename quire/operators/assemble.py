@@ -35,9 +35,12 @@ def duplicates_removed(articles: DataFrame, key=ARTICLE_DEDUPE_KEY) -> DataFrame
         "rows_in", distinct_keys.alias("rows_out"), (F.col("rows_in") - distinct_keys).alias("removed"))
 
 
-def latest_editions(editions: DataFrame, key=EDITION_KEY, order: str = "ord") -> DataFrame:
-    """J2 metadata dedupe: the last occurrence of an edition key wins."""
-    w = Window.partitionBy(*key).orderBy(F.desc(order))
+def latest_editions(editions: DataFrame, key=EDITION_KEY, order="ord") -> DataFrame:
+    """J2 metadata dedupe: the last occurrence of an edition key wins (``order``: a
+    column or a list of columns, compared left to right). Partial rank-limit per task
+    before the shuffle, as for the article dedupe."""
+    order = [order] if isinstance(order, str) else list(order)
+    w = Window.partitionBy(*key).orderBy(*[F.desc(o) for o in order])
     return editions.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from quire.functions.navtree import extract as extract_links
 from quire.operators import content as C
 from quire.operators import editions as E
+from quire.operators.assemble import latest_editions
 from quire.plans.ingest import Corpus, assemble_corpus
 from quire.sinks import lake
 from quire.sources.responses import RAW_SCHEMA, stream_landed  # noqa: F401  (RAW_SCHEMA re-exported)
@@ -31,8 +32,10 @@ def parse_landed(spark: SparkSession, landed: DataFrame):
     meta = landed.where(F.col("phase") == "metadata").select("municipality", "request_key", "seq", "body")
     parsed, bad = E.parse_editions(meta, payload="body")
     editions, _ = E.split_valid(parsed, bad)
-    editions = editions.select("municipality", "edition_id", "publication_date", "edition_number",
-                               "supplement", "edition_type_id", "edition_type_name")
+    # the same edition may be listed by more than one payload: the last one wins
+    editions = latest_editions(editions, order=("seq", "item_index")).select(
+        "municipality", "edition_id", "publication_date", "edition_number", "supplement",
+        "edition_type_id", "edition_type_name")
 
     struct = (landed.where(F.col("phase") == "structure")
                     .select("municipality", "edition_id", "seq", F.decode("body", "UTF-8").alias("html")))
