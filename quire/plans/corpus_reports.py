@@ -39,6 +39,17 @@ def editions_with_counts(spark: SparkSession, d: str) -> DataFrame:
              .drop("n"))
 
 
+def per_edition_with(spark: SparkSession, d: str, edition_cols=("publication_date",)) -> DataFrame:
+    """J6, pre-aggregated: (edition columns, n articles, bytes) per edition that has
+    articles. Articles are counted per edition first (partial aggregation map-side), so
+    the join with editions sees one row per edition, and an edition holding a large
+    share of all articles is one row, not a skewed join partition."""
+    per = (driver.articles(spark, d, with_path=False).groupBy("edition_id")
+           .agg(F.count(F.lit(1)).alias("n"), F.sum("content_size").alias("bytes")))
+    e = driver.editions(spark, d).select("edition_id", *edition_cols)
+    return per.join(e, "edition_id", "left")
+
+
 def articles_with_editions(spark: SparkSession, d: str, edition_cols=("publication_date",),
                            with_path: bool = False) -> DataFrame:
     """Articles left-join editions on the edition key, carrying only ``edition_cols``."""
@@ -108,9 +119,9 @@ def monthly_series(spark: SparkSession, d: str) -> DataFrame:
 
 def daily_series(spark: SparkSession, d: str) -> DataFrame:
     """Articles per publication day (dates that fail to parse are dropped)."""
-    a = articles_with_editions(spark, d)
+    a = per_edition_with(spark, d)
     return (a.where(F.col("publication_date").isNotNull())
-             .groupBy(F.col("publication_date").alias("date")).agg(F.count(F.lit(1)).alias("count"))
+             .groupBy(F.col("publication_date").alias("date")).agg(F.sum("n").alias("count"))
              .orderBy("date"))
 
 
@@ -196,18 +207,18 @@ def top_largest(spark: SparkSession, d: str, n: int = 10) -> DataFrame:
 
 def articles_per_year(spark: SparkSession, d: str) -> DataFrame:
     """Flagship (J6 + A19 + A24): articles and bytes per publication year."""
-    a = articles_with_editions(spark, d)
+    a = per_edition_with(spark, d)
     return (a.groupBy(F.year("publication_date").alias("year"))
-             .agg(F.count(F.lit(1)).alias("num_articles"),
-                  F.sum("content_size").alias("total_size"))
+             .agg(F.sum("n").alias("num_articles"),
+                  F.sum("bytes").alias("total_size"))
              .withColumn("total_size_gb", round_half_up(gib("total_size"), 6))
              .orderBy("year"))
 
 
 def articles_per_month(spark: SparkSession, d: str) -> DataFrame:
     """Article counts per publication month (all years)."""
-    a = articles_with_editions(spark, d)
-    return (a.groupBy(F.month("publication_date").alias("month")).agg(F.count(F.lit(1)).alias("count"))
+    a = per_edition_with(spark, d)
+    return (a.groupBy(F.month("publication_date").alias("month")).agg(F.sum("n").alias("count"))
              .orderBy("month"))
 
 
@@ -226,17 +237,17 @@ def edition_article_lists(spark: SparkSession, d: str) -> DataFrame:
 
 def articles_by_type(spark: SparkSession, d: str) -> DataFrame:
     """A20."""
-    a = articles_with_editions(spark, d, ("edition_type_name",))
-    return (a.groupBy("edition_type_name").agg(F.count(F.lit(1)).alias("count"))
+    a = per_edition_with(spark, d, ("edition_type_name",))
+    return (a.groupBy("edition_type_name").agg(F.sum("n").alias("count"))
              .orderBy(F.desc("count"), "edition_type_name"))
 
 
 def supplement_stats(spark: SparkSession, d: str) -> DataFrame:
     """Regular vs supplement editions."""
-    a = articles_with_editions(spark, d, ("supplement",))
+    a = per_edition_with(spark, d, ("supplement",))
     return (a.groupBy("supplement")
-             .agg(F.count(F.lit(1)).alias("num_articles"),
-                  round_half_up(kib(F.avg("content_size")), 3).alias("avg_size_kb"))
+             .agg(F.sum("n").alias("num_articles"),
+                  round_half_up(kib(F.sum("bytes").cast("double") / F.sum("n")), 3).alias("avg_size_kb"))
              .orderBy("supplement"))
 
 
