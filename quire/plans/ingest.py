@@ -47,6 +47,20 @@ class Corpus:
         self.spark, self._editions_in, self._links, self._split = spark, editions_in, links, split
         self._order = list(order)
 
+    def materialize(self) -> "Corpus":
+        """Checkpoint the deduplicated, content-joined articles (the expensive shared core
+        of all three tables) into the session's ``spark.checkpoint.dir``. Writing the
+        editions, articles and relationships tables then reads it instead of re-running
+        the pipeline three times; the checkpoint also cuts the lineage, so a lost
+        executor recomputes from the checkpoint files, not from the raw responses."""
+        from quire.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        core = self._articles_core.checkpoint(eager=True)
+        for name in ("_articles_core", "_eds", "editions", "articles", "relationships"):
+            self.__dict__.pop(name, None)
+        self.__dict__["_articles_core"] = core
+        return self
+
     @cached_property
     def content_split(self) -> DataFrame:
         """Valid content responses after dispatch + split (no reason column)."""

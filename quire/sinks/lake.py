@@ -84,6 +84,8 @@ def write_corpus(spark: SparkSession, corpus, root: str, batch_id: str, granular
     (see quire.operators.content); when given, new blobs are appended to ``content``.
     """
     _configure(spark)
+    if hasattr(corpus, "materialize"):
+        corpus.materialize()  # the three tables share one checkpointed core
     parts = partition_columns(granularity)
     stats = {"batch_id": batch_id}
     tiebreak = {"editions": "edition_id", "articles": "article_id", "relationships": "article_id"}
