@@ -24,8 +24,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     a single task. When the input has fewer partitions than the session's parallelism
     the rows are redistributed (round robin). On large inputs (more splits than cores,
     the normal case on a cluster) this returns ``df`` unchanged and adds no shuffle."""
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave as is
         return df
-    return df.repartition(target)
+    return df if n >= target else df.repartition(target)

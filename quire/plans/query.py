@@ -61,3 +61,17 @@ def query_articles(articles: DataFrame, municipality: str | None = None, start_d
     if limit:
         df = df.limit(int(limit))
     return df
+
+
+def iter_editions(spark, lake_root: str, start_date=None, end_date=None, municipality: str | None = None):
+    """Iterate stored editions of a date range on the driver, each with the list of
+    its articles' metadata (no bodies). Rows stream one partition at a time
+    (``toLocalIterator``); the per-edition list is bounded by one gazette's size."""
+    from quire.operators.assemble import edition_article_lists
+    from quire.sinks.lake import read_table
+    eds = query_articles(read_table(spark, lake_root, "editions"), municipality, start_date, end_date)
+    arts = query_articles(read_table(spark, lake_root, "articles"), municipality, start_date, end_date)
+    out = edition_article_lists(eds, arts, fields=("article_id", "identifier", "title", "hierarchy_path",
+                                                   "content_type", "content_size"),
+                                order=("article_id",))
+    return out.orderBy("publication_date", "municipality", "edition_id").toLocalIterator()

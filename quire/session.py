@@ -73,7 +73,10 @@ def ship_package(spark: SparkSession) -> None:
     Needed only by the Python UDTF; zipped once per driver process and added to the
     session's context, which distributes it to every executor."""
     import zipfile
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: ship with spark.addArtifacts or --py-files instead
+        return
     key = id(sc)
     if key in _SHIPPED:
         return

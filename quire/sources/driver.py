@@ -54,7 +54,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A driver table. Its schema is inferred once per session and path, later reads pass
     it explicitly (no footer-reading job per query)."""
     path = f"{d.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
+    key = (id(getattr(spark, "_jsparkSession", spark)), path)
     schema = _SCHEMAS.get(key)
     if schema is None:
         df = spark.read.parquet(path)

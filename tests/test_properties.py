@@ -52,3 +52,14 @@ def test_migrate_copies_every_table(spark, sf_small, tmp_dir):
     assert report["articles"]["rows"] == s["articles"]
     assert not report["content"]["ok"]  # no content table was written: reported, others continue
     assert lake.read_table(spark, dst, "relationships").count() == s["relationships"]
+
+
+def test_iter_editions(spark, sf_small, tmp_dir):
+    from quire.plans.query import iter_editions
+    c = IN.build_corpus(spark, sf_small)
+    lake.write_corpus(spark, c, tmp_dir, "b1", granularity="year")
+    rows = list(iter_editions(spark, tmp_dir, "1996-01-01", "1996-01-31"))
+    eds = lake.read_table(spark, tmp_dir, "editions").where(
+        F.col("publication_date").between("1996-01-01", "1996-01-31"))
+    assert len(rows) == eds.count()
+    assert sum(len(r.articles) for r in rows) == eds.agg(F.sum("total_articles")).first()[0]
