@@ -83,6 +83,8 @@ def write_corpus(spark: SparkSession, corpus, root: str, batch_id: str, granular
     ``content_bodies`` is the dispatched/split content frame with a ``bytes_`` column
     (see quire.operators.content); when given, new blobs are appended to ``content``.
     """
+    import time
+    started = time.perf_counter()
     _configure(spark)
     if hasattr(corpus, "materialize"):
         corpus.materialize()  # the three tables share one checkpointed core
@@ -96,9 +98,22 @@ def write_corpus(spark: SparkSession, corpus, root: str, batch_id: str, granular
         stats[name] = obs.get["rows"]
     if content_bodies is not None:
         stats["content"] = append_content(spark, content_bodies, root)
+    stats["seconds"] = round(time.perf_counter() - started, 3)
     return stats
 
 
+def run_summary(batch_stats: list[dict]) -> dict:
+    """K10 + R2: totals over the batches of a run, with editions/s and articles/s over
+    the time spent writing."""
+    keys = ("editions", "articles", "relationships", "content")
+    total = {k: sum(int(b.get(k) or 0) for b in batch_stats) for k in keys}
+    secs = sum(float(b.get("seconds") or 0.0) for b in batch_stats)
+    total.update(batches=len(batch_stats), seconds=round(secs, 3),
+                 editions_per_s=round(total["editions"] / secs, 2) if secs else None,
+                 articles_per_s=round(total["articles"] / secs, 2) if secs else None)
+    return total
+
+
 def append_content(spark: SparkSession, split: DataFrame, root: str) -> int:
     """K4 + J11: append blobs whose hash is not stored yet; returns the rows added.
 

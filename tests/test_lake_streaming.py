@@ -34,6 +34,9 @@ def test_stream_equals_batch_and_is_idempotent(spark, sf_small, tmp_dir):
         got = _rows(lake.read_table(spark, f"{tmp_dir}/lake", k), cols)
         assert got == sorted(expected[k]), k
     assert sum(s["articles"] for s in stats) == len(expected["articles"])
+    summary = lake.run_summary(stats)
+    assert summary["batches"] == 2 and summary["articles"] == len(expected["articles"])
+    assert summary["articles_per_s"] > 0
 
     # content is stored once per hash across batches
     content = lake.read_table(spark, f"{tmp_dir}/lake", "content")
