@@ -34,7 +34,6 @@ def queries() -> dict[str, QueryFn]:
         # articles x editions
         "articles_per_year": CR.articles_per_year,
         "articles_per_month": CR.articles_per_month,
-        "edition_article_lists": CR.edition_article_lists,
         "articles_by_type": CR.articles_by_type,
         "supplement_stats": CR.supplement_stats,
         "articles_suffixed_join": CR.articles_suffixed_join,

@@ -223,8 +223,10 @@ def articles_per_month(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edition_article_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Each edition with the ordered list of its article ids (empty for editions
-    without articles). Lists are per edition, so
+    """A31 on request (not registered as a whole-corpus query): each edition with the
+    ordered list of its article ids (empty for editions without articles). A list holds
+    one edition's articles in one row, so it is meant for bounded selections (a date
+    range, a batch), as ``quire.plans.query.iter_editions`` uses it. Lists are per edition, so
     their length is one gazette's article count."""
     from quire.operators.assemble import edition_article_lists as lists
     e = driver.editions(spark, d).select("edition_id", "publication_date")

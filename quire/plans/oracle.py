@@ -168,13 +168,6 @@ FROM ae GROUP BY 1 ORDER BY 1"""
 SQL["articles_per_month"] = _with(EDITIONS, ARTICLES_FLAT, AE) + """
 SELECT CAST(month(publication_date) AS INTEGER) AS month, count(*) AS count FROM ae GROUP BY 1 ORDER BY 1"""
 
-SQL["edition_article_lists"] = _with(EDITIONS, ARTICLES_FLAT) + """
-, l AS (SELECT edition_id, list(article_id ORDER BY article_id, protocol) AS ids
-        FROM articles_flat GROUP BY edition_id)
-SELECT e.edition_id, e.publication_date, coalesce(l.ids, []) AS article_ids,
-       CAST(len(coalesce(l.ids, [])) AS INTEGER) AS n_articles
-FROM editions e LEFT JOIN l USING (edition_id)"""
-
 SQL["articles_by_type"] = _with(EDITIONS, ARTICLES_FLAT, AE) + """
 SELECT edition_type_name, count(*) AS count FROM ae GROUP BY 1 ORDER BY count DESC, edition_type_name"""
 
