@@ -59,11 +59,6 @@ def get_workdays(spark: SparkSession, start: dt.date | dt.datetime, end: dt.date
     return weekdays(r, hol).select("d").orderBy("d")
 
 
-def fixed_holidays(days: DataFrame, col: str = "d") -> Column:
-    """Predicate: the day falls on a fixed-date holiday."""
-    return F.date_format(F.col(col), "MM-dd").isin(FIXED_HOLIDAYS)
-
-
 def metadata_urls(days: DataFrame, domain: str = "domain_url", d: str = "d") -> Column:
     """S3: {domain}{METADATA_PATH}{yyyy-MM-dd}.json"""
     return F.concat(F.col(domain), F.lit(METADATA_PATH), F.date_format(F.col(d), ISO_DATE), F.lit(".json"))

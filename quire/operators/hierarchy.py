@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import path_label
 
-# A level dimension has at most max-depth rows; the reference data nests a handful of
-# folders. Broadcasting per-level totals is safe under this bound, checked at runtime.
-MAX_LEVELS_BROADCAST = 1024
-
 
 def explode_levels(df: DataFrame, path: str = "hierarchy_path", id_col: str = "article_id") -> DataFrame:
     """One row per (id, level 0-based, element, depth). Empty paths give no rows."""
@@ -50,10 +46,10 @@ def level_frequency(levels: DataFrame) -> DataFrame:
 
 
 def with_level_share(freq: DataFrame) -> DataFrame:
-    """Count / level total. Level totals are one row per level (bounded by the
-    maximum depth) and are joined back with a broadcast."""
+    """Count / level total. Level totals are one row per level; the join is left to
+    AQE, which broadcasts them after measuring their (tiny) size."""
     totals = freq.groupBy("level").agg(F.sum("count").alias("level_total"))
-    return (freq.join(F.broadcast(totals), "level")
+    return (freq.join(totals, "level")
                 .withColumn("pct", F.col("count") * 100.0 / F.col("level_total")))
 
 
