@@ -48,6 +48,28 @@ MAX_DEPTH = 3
 
 
 _SCHEMAS: dict = {}
+LAKE_PREFIX = "lake:"
+
+
+def lake_root(d: str) -> str | None:
+    """The lake root when ``d`` names a quire lake (``lake:<root>``, or a local folder
+    holding ``editions/`` and ``articles/``); None for driver-table folders."""
+    import os
+    if d.startswith(LAKE_PREFIX):
+        return d[len(LAKE_PREFIX):].rstrip("/")
+    if os.path.isdir(os.path.join(d, "editions")) and os.path.isdir(os.path.join(d, "articles")):
+        return d.rstrip("/")
+    return None
+
+
+def _lake(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+
+
+def _lake_edition_key() -> Column:
+    """Edition ids are unique only within a portal (D7): the lake views key editions by
+    municipality and id together, so every report joins on the full key."""
+    return F.concat_ws(":", F.col("municipality"), F.col("edition_id"))
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -73,7 +95,13 @@ def _case(col: Column, mapping: dict) -> Column:
 # --------------------------------------------------------------------------- editions
 
 def editions(spark: SparkSession, d: str) -> DataFrame:
-    """One row per edition, from ``orders`` only (no join)."""
+    """One row per edition, from ``orders`` only (no join), or from a lake's editions."""
+    root = lake_root(d)
+    if root:
+        e = _lake(spark, root, "editions")
+        return e.select(_lake_edition_key().alias("edition_id"), "publication_date", "edition_number",
+                        "supplement", "edition_type_id", "edition_type_name",
+                        F.lit(None).cast("bigint").alias("customer_key"))
     o = table(spark, d, "orders")
     return o.select(
         F.col("o_orderkey").alias("edition_id"),
@@ -89,7 +117,10 @@ def editions(spark: SparkSession, d: str) -> DataFrame:
 def edition_municipality(spark: SparkSession, d: str) -> DataFrame:
     """edition_id -> municipality. customer is joined by key (AQE sizes the join at
     runtime); nation (25 rows) and the portal dimension (5 rows) are fixed-size and
-    broadcast."""
+    broadcast. On a lake the municipality is stored with the edition."""
+    root = lake_root(d)
+    if root:
+        return _lake(spark, root, "editions").select(_lake_edition_key().alias("edition_id"), "municipality")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     n = F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_regionkey"))
@@ -108,7 +139,16 @@ def editions_full(spark: SparkSession, d: str) -> DataFrame:
 # --------------------------------------------------------------------------- articles
 
 def articles(spark: SparkSession, d: str, with_path: bool = True) -> DataFrame:
-    """One row per article. ``with_path`` adds title and hierarchy_path (joins ``part``)."""
+    """One row per article. ``with_path`` adds title and hierarchy_path (joins ``part``;
+    on a lake both are stored columns)."""
+    root = lake_root(d)
+    if root:
+        a = _lake(spark, root, "articles")
+        cols = [F.col("article_id"), _lake_edition_key().alias("edition_id"), "identifier", "protocol",
+                "content_type", "content_size", "depth"]
+        if with_path:
+            cols += ["title", "hierarchy_path"]
+        return a.select(*cols)
     li = table(spark, d, "lineitem")
     base = li.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("article_id"),

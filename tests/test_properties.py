@@ -63,3 +63,20 @@ def test_iter_editions(spark, sf_small, tmp_dir):
         F.col("publication_date").between("1996-01-01", "1996-01-31"))
     assert len(rows) == eds.count()
     assert sum(len(r.articles) for r in rows) == eds.agg(F.sum("total_articles")).first()[0]
+
+
+def test_reports_run_on_a_lake(spark, sf_small, tmp_dir):
+    """The report views also read a quire lake (editions keyed by municipality + id)."""
+    import __spark_entry__ as E
+    c = IN.build_corpus(spark, sf_small)
+    lake.write_corpus(spark, c, tmp_dir, "b1", granularity="year")
+    qs = E.queries()
+    arts = lake.read_table(spark, tmp_dir, "articles")
+    by_type = {r.content_type: r["count"] for r in qs["by_content_type"](spark, f"lake:{tmp_dir}").collect()}
+    assert by_type == {r.content_type: r["count"] for r in arts.groupBy("content_type").count().collect()}
+    per_year = qs["articles_per_year"](spark, tmp_dir).collect()
+    assert sum(r.num_articles for r in per_year) == arts.count()
+    overview = qs["corpus_overview"](spark, tmp_dir).first()
+    assert overview.n_articles == arts.count()
+    assert overview.n_editions == lake.read_table(spark, tmp_dir, "editions").count()
+    assert qs["path_frequency"](spark, tmp_dir).count() > 0
