@@ -22,7 +22,7 @@ from quire.functions.navtree import extract as extract_links
 from quire.operators import content as C
 from quire.operators import editions as E
 from quire.operators.assemble import latest_editions
-from quire.plans.ingest import Corpus, assemble_corpus
+from quire.plans.ingest import assemble_corpus
 from quire.sinks import lake
 from quire.sources.responses import RAW_SCHEMA, stream_landed  # noqa: F401  (RAW_SCHEMA re-exported)
 
