@@ -168,9 +168,9 @@ def depth_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 def equal_width_histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width bins over [min, max]; the last bin is closed; min == max puts
-    everything in bin 0. min/max come from scalar subqueries."""
-    mn = df.agg(F.min(value)).scalar()
-    mx = df.agg(F.max(value)).scalar()
+    everything in bin 0. min and max come from one scalar subquery (one extra scan)."""
+    bounds = df.agg(F.struct(F.min(value).alias("mn"), F.max(value).alias("mx"))).scalar()
+    mn, mx = bounds.getField("mn"), bounds.getField("mx")
     width = (mx - mn) / F.lit(float(bins))
     b = F.when(mx == mn, F.lit(0)).otherwise(
         F.least(F.floor((F.col(value) - mn) * bins / (mx - mn)), F.lit(bins - 1))).cast("int")
@@ -280,9 +280,11 @@ def executive_summary(spark: SparkSession, d: str) -> DataFrame:
                  .agg(F.sort_array(F.collect_list(F.struct(-F.col("n"), F.col("p")))).alias("s"))
                  .select(F.transform("s", lambda x: x.getField("p")).alias("top")))
     labels = F.array(*[F.lit(x) for x in WEEKDAY_LABELS])
-    ne = e.agg(F.count(F.lit(1))).scalar()
-    ny = e.agg(F.countDistinct(F.year("publication_date"))).scalar()
-    na = a.agg(F.count(F.lit(1))).scalar()
+    es = e.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                        F.countDistinct(F.year("publication_date")).alias("years"))).scalar()
+    ne, ny = es.getField("n"), es.getField("years")
+    at = a.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("depth").alias("depth"))).scalar()
+    na = at.getField("n")
     row = spark.range(1).select(
         ne.alias("n_editions"),
         na.alias("n_articles"),
@@ -290,7 +292,7 @@ def executive_summary(spark: SparkSession, d: str) -> DataFrame:
         round_half_up(na / ne, 1).alias("articles_per_edition"),
         F.element_at(labels, wd.select("m").scalar()).alias("modal_weekday"),
         ct.select("m").scalar().alias("dominant_content_type"),
-        round_half_up(a.agg(F.avg("depth")).scalar(), 2).alias("mean_depth"),
+        round_half_up(at.getField("depth"), 2).alias("mean_depth"),
         paths.agg(F.count(F.lit(1))).scalar().alias("n_distinct_paths"),
         top3.select("top").scalar().alias("top_paths"),
     )
