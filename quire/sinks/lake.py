@@ -153,6 +153,13 @@ def dry_run(corpus) -> dict:
     return stats
 
 
+def _table_stats(df: DataFrame) -> DataFrame:
+    """(files, rows, bytes) of a file-based table from its ``_metadata`` column."""
+    m = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"))
+    per_file = m.groupBy("f").agg(F.count(F.lit(1)).alias("rows"), F.first("s").alias("bytes"))
+    return per_file.agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+
+
 def storage_stats(spark: SparkSession, root: str) -> DataFrame:
     """Files, rows and bytes per table, from the files' own metadata columns."""
     frames = []
@@ -161,10 +168,7 @@ def storage_stats(spark: SparkSession, root: str) -> DataFrame:
             df = spark.read.parquet(f"{root}/{name}")
         except Exception:
             continue
-        m = df.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s"))
-        per_file = m.groupBy("f").agg(F.count(F.lit(1)).alias("rows"), F.first("s").alias("bytes"))
-        frames.append(per_file.agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"),
-                                   F.sum("bytes").alias("bytes")).withColumn("table", F.lit(name)))
+        frames.append(_table_stats(df).withColumn("table", F.lit(name)))
     if not frames:
         return spark.createDataFrame([], "table string, files bigint, rows bigint, bytes bigint")
     out = frames[0]
@@ -175,7 +179,8 @@ def storage_stats(spark: SparkSession, root: str) -> DataFrame:
 
 def migrate(spark: SparkSession, src_root: str, dst_root: str, granularity: str = "day") -> list[dict]:
     """K8: copy every table to another root/URI (e.g. an s3a:// bucket), keeping the
-    partitioning; a failing table is reported and the others continue."""
+    partitioning; reports rows, files and bytes written per table; a failing table is
+    reported and the others continue."""
     _configure(spark)
     report = []
     for name in TABLES:
@@ -185,7 +190,9 @@ def migrate(spark: SparkSession, src_root: str, dst_root: str, granularity: str
             tb = "content_hash" if name == "content" else ("edition_id" if name == "editions" else "article_id")
             obs = Observation(f"migrate_{name}")
             _writer(df, parts, tb, obs).mode("overwrite").parquet(f"{dst_root}/{name}")
-            report.append({"table": name, "rows": obs.get["rows"], "ok": True})
+            written = _table_stats(spark.read.parquet(f"{dst_root}/{name}")).first()
+            report.append({"table": name, "rows": obs.get["rows"], "files": written["files"],
+                           "bytes": written["bytes"], "ok": True})
         except Exception as exc:  # continue with the next dataset
             report.append({"table": name, "rows": 0, "ok": False, "error": str(exc)[:200]})
     return report

@@ -50,6 +50,7 @@ def test_migrate_copies_every_table(spark, sf_small, tmp_dir):
     report = {r["table"]: r for r in lake.migrate(spark, src, dst, granularity="year")}
     assert report["editions"]["ok"] and report["editions"]["rows"] == s["editions"]
     assert report["articles"]["rows"] == s["articles"]
+    assert report["articles"]["files"] >= 1 and report["articles"]["bytes"] > 0
     assert not report["content"]["ok"]  # no content table was written: reported, others continue
     assert lake.read_table(spark, dst, "relationships").count() == s["relationships"]
 
