@@ -84,3 +84,20 @@ def test_content_append_skips_known_hashes(spark, tmp_dir):
     assert lake.append_content(spark, split, tmp_dir) == 1
     assert lake.append_content(spark, split, tmp_dir) == 0
     assert spark.read.parquet(f"{tmp_dir}/content").count() == 1
+
+
+def test_empty_phases_keep_editions(spark, sf_small, tmp_dir):
+    """R5 + D6: a batch whose structure and content phases are empty still yields its
+    editions (zero articles) and nothing else."""
+    landing = f"{tmp_dir}/landing"
+    INC.land_from_driver(spark, sf_small, landing, n_batches=1)
+    landed = spark.read.schema(INC.RAW_SCHEMA).option("recursiveFileLookup", "true").parquet(landing)
+    meta_only = landed.where(F.col("phase") == "metadata")
+    corpus, split, _ = INC.process_landed(spark, meta_only)
+    n_meta = meta_only.count()
+    assert corpus.editions.count() == n_meta
+    assert corpus.editions.where(F.col("total_articles") != 0).count() == 0
+    assert corpus.articles.count() == 0 and corpus.content.count() == 0
+    empty = landed.limit(0)
+    corpus2, _, _ = INC.process_landed(spark, empty)
+    assert corpus2.editions.count() == 0 and corpus2.articles.count() == 0
