@@ -77,13 +77,15 @@ def _stars(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray
     size = np.diff(cut)
 
     def join(a, b):
+        """Hang the larger root of each link below the smaller one until none differs."""
+        nonlocal label
         while True:
-            m = np.minimum(label[a], label[b])
-            if not ((label[a] != m).any() or (label[b] != m).any()):
+            ra, rb = label[a], label[b]
+            if (ra == rb).all():
                 return
-            np.minimum.at(label, a, m)
-            np.minimum.at(label, b, m)
-            label[:] = label[label]
+            np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
+            while (label != (up := label[label])).any():
+                label = up
 
     small = np.repeat(size <= 64, size)
     for d in range(1, int(min(size.max(initial=0), 64))):
@@ -98,8 +100,6 @@ def _stars(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray
             keep = a < b
             if keep.any():
                 join(a[keep] + i, b[keep] + i)
-    while (label != label[label]).any():
-        label = label[label]
     member = np.flatnonzero(label != np.arange(n))
     return fps[member], fps[label[member]]
 
