@@ -85,7 +85,7 @@ def let(expr: Column, body) -> Column:
 
 def words_array(text: Column) -> Column:
     """The words of a text; null and blank texts have none."""
-    t = F.trim(F.lit(SPACES), F.coalesce(text, F.lit("")))
+    t = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[ \\t-\\r]+"))
 
 

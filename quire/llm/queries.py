@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
+from quire.llm.order_minhash import fingerprint_edits, to_text
 from quire.llm.simhash import hex16, simhash_groups
 
 
@@ -17,8 +18,18 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every text and of its edited text (2-word k-mers, tuples of 2, 64 bins)."""
+    r = fingerprint_edits(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"),
+                    F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                    to_text(F.col("sig")).alias("fingerprint"), to_text(F.col("edited_sig")).alias("edited_fingerprint"),
+                    "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
+    "op2_order_minhash": op2_order_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}

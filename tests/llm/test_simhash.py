@@ -91,7 +91,7 @@ def test_hot_blocks_are_split_without_losing_links(spark):
         links = near_links(df, chunk=chunk)
         got = {}
         for r in connected_components(links).collect():
-            got.setdefault(r.root, set()).add(r.node % (1 << 64))
+            got.setdefault(r.root, {r.root % (1 << 64)}).add(r.node % (1 << 64))
         assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
