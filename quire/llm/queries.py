@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
+from quire.llm.mixing import mix
 from quire.llm.order_minhash import fingerprint_edits, to_text
 from quire.llm.simhash import hex16, simhash_groups
 
@@ -27,9 +28,16 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "near_edited", "near_next")
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document: sources weigh 5, 2, 1, repeating."""
+    m = mix(table(spark, sf_dir, "documents"))
+    return m.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_order_minhash": op2_order_minhash,
+    "op3_source_mixing": op3_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
