@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import table
 from quire.llm.mixing import mix
 from quire.llm.order_minhash import fingerprint_edits, to_text
+from quire.llm.packing import pack
 from quire.llm.simhash import hex16, simhash_groups
 
 
@@ -34,10 +35,17 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 2048 words; no bin holds two exact copies or more than two pieces of a source."""
+    p = pack(table(spark, sf_dir, "documents"))
+    return p.select("doc_id", "source", "cluster", "piece", "piece_words", "bin_id", "bin_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_order_minhash": op2_order_minhash,
     "op3_source_mixing": op3_source_mixing,
+    "op4_best_fit_packing": op4_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,73 @@
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from quire.llm.packing import best_fit, pack
+
+
+def slow_best_fit(size, source, cluster, capacity, per_source):
+    """Tightest compatible bin, by looking at every bin; of equally tight ones any will do."""
+    left, held, out = [], [], []
+    for s, q, c in zip(size, source, cluster, strict=True):
+        fit = [b for b in range(len(left)) if left[b] >= s and c not in held[b][1] and held[b][0].count(q) < per_source]
+        if not fit:
+            left.append(capacity)
+            held.append(([], set()))
+        b = min(fit, key=lambda b: left[b]) if fit else len(left) - 1
+        left[b] -= s
+        held[b][0].append(q)
+        if c >= 0:
+            held[b][1].add(c)
+        out.append(left[b])
+    return out, len(left)
+
+
+def test_takes_the_tightest_compatible_bin():
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        n = 400
+        size = np.sort(rng.integers(1, 101, n))[::-1]
+        if seed % 2:
+            rng.shuffle(size)
+        source = np.where(rng.random(n) < .4, 0, rng.integers(0, 90, n))
+        cluster = np.where(rng.random(n) < .5, -1, rng.integers(0, 70, n))
+        per = 1 + seed % 3
+        bins = best_fit(size, source, cluster, 100, per, block=7)
+        left, got, held = {}, [], {}
+        for i, b in enumerate(bins):
+            # every choice is as tight as any compatible bin at that moment
+            ok = [left[x] for x in left if left[x] >= size[i] and held[x][0].count(source[i]) < per
+                  and (cluster[i] < 0 or cluster[i] not in held[x][1])]
+            assert (left[b] == min(ok)) if b in left else not ok
+            left[b] = left.get(b, 100) - size[i]
+            held.setdefault(b, ([], set()))
+            assert left[b] >= 0 and held[b][0].count(source[i]) < per
+            assert cluster[i] < 0 or cluster[i] not in held[b][1]
+            held[b][0].append(source[i])
+            held[b][1].add(cluster[i])
+            got.append(left[b])
+        if seed % 2 == 0 and len(set(zip(size, source, cluster))) == n:
+            assert slow_best_fit(size, source, cluster, 100, per)[1] == len(left)
+
+
+def test_pieces_constraints_and_fill(spark, frame):
+    rnd = random.Random(3)
+    rows = [(i, " ".join(["w%d" % rnd.randrange(99)] * rnd.choice([3, 20, 70, 150, 480])),
+             "en", rnd.choice(["hot", "hot", "hot", "hot", "b", None, "c", "d", "e", "f"])) for i in range(1500)]
+    rows += [(2000 + i, "copy of one text", "en", f"s{i % 40}") for i in range(500)]
+    rows += [(2000, "copy of one text", "en", "s0")] * 3 + [(3000, "", "en", "b"), (3001, None, "en", None), (None, "x y", None, None)]
+    df = frame(rows).withColumn("row", F.lit("mine")).withColumn("cluster", F.lit(1)).withColumn("bin_id", F.lit(0))
+    p = pack(df, capacity=200, chunk=600).toPandas()
+    words = sum(len((t or "").split()) for _, t, *_ in rows)
+    assert p["piece_words"].sum() == words and (p["piece_words"] <= 200).all()
+    assert p.groupby(["row", "piece"]).size().max() == 1 and p["row"].nunique() == len(rows)
+    assert p["bin_id"].isna().sum() == 2
+    b = p[p["bin_id"].notna()]
+    assert (b.groupby("bin_id")["piece_words"].sum() == b.groupby("bin_id")["bin_words"].first()).all()
+    assert b["bin_words"].max() <= 200
+    assert b.groupby(["bin_id", "cluster"]).size().max() == 1
+    assert b.assign(source=b["source"].fillna("-")).groupby(["bin_id", "source"]).size().max() <= 2
+    need = max(-(-words // 200), 503, -(-sum(r[3] == "hot" for r in rows) // 2))
+    assert b["bin_id"].nunique() <= 1.25 * need
+    assert pack(df.where("false")).count() == 0
