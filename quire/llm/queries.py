@@ -12,6 +12,7 @@ from quire.llm.mixing import mix
 from quire.llm.order_minhash import fingerprint_edits, to_text
 from quire.llm.packing import pack
 from quire.llm.simhash import hex16, simhash_groups
+from quire.llm.tokens import count_tokens
 
 
 def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +42,17 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "source", "cluster", "piece", "piece_words", "bin_id", "bin_words")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text under the 50k byte-level BPE vocabulary."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_order_minhash": op2_order_minhash,
     "op3_source_mixing": op3_source_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_token_counts": op5_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
