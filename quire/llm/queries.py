@@ -11,6 +11,8 @@ from quire.llm.common import table
 from quire.llm.mixing import mix
 from quire.llm.order_minhash import fingerprint_edits, to_text
 from quire.llm.packing import pack
+from quire.llm.quality_rules import ORACLE as RULES_SQL
+from quire.llm.quality_rules import apply_rules
 from quire.llm.simhash import hex16, simhash_groups
 from quire.llm.tokens import count_tokens
 
@@ -47,15 +49,24 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every text and the verdict of the line rules."""
+    r = apply_rules(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_order_minhash": op2_order_minhash,
     "op3_source_mixing": op3_source_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op7_line_quality_rules": op7_line_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_quality_rules": RULES_SQL,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
