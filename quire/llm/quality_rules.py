@@ -129,8 +129,8 @@ ln AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
 judged AS (
   SELECT doc_id, line, len(lw) AS n,
          len(lw) > 0 AND (
-           len(list_filter(lw, x -> regexp_matches(x, '{NOISE_WORD}$'))) > len(lw) * {NOISE_SHARE}
-           OR len(list_filter(lw, x -> regexp_full_match(x, '{SEPARATORS}'))) > len(lw) * {NAV_SHARE}
+           len(list_filter(lw, lambda x: regexp_matches(x, '{NOISE_WORD}$'))) > len(lw) * {NOISE_SHARE}
+           OR len(list_filter(lw, lambda x: regexp_full_match(x, '{SEPARATORS}'))) > len(lw) * {NAV_SHARE}
            OR regexp_matches(line, '{BOILERPLATE}')
            OR NOT regexp_matches(line, '{SENTENCE_END.replace("'", "''")}')) AS failed
   FROM ln),

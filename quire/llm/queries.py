@@ -11,6 +11,7 @@ from quire.llm.common import table
 from quire.llm.mixing import mix
 from quire.llm.order_minhash import fingerprint_edits, to_text
 from quire.llm.packing import pack
+from quire.llm.pii import find
 from quire.llm.quality_rules import ORACLE as RULES_SQL
 from quire.llm.quality_rules import apply_rules
 from quire.llm.simhash import hex16, simhash_groups
@@ -55,6 +56,13 @@ def op7_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base patterns, and what the skip-chain field adds."""
+    r = find(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added",
+                    F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_order_minhash": op2_order_minhash,
@@ -62,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
     "op7_line_quality_rules": op7_line_quality_rules,
+    "op8_pii_skip_chain": op8_pii_skip_chain,
 }
 
 ORACLE_SQL: dict[str, str] = {
