@@ -1,9 +1,5 @@
-import pandas as pd
 import pytest
 
-ALPHA = "ka lo mi nu pe ra si to ve wa xi yo zu da fe gi".split()
-
-
 @pytest.fixture(scope="session")
 def frame(spark):
     """rows -> DataFrame with the columns of documents (more columns by keyword)."""
@@ -12,11 +8,3 @@ def frame(spark):
         full = [tuple(list(r) + [None] * (len(names) - len(r))) for r in rows]
         return spark.createDataFrame(full, schema)
     return make
-
-
-def write_documents(spark, tmp_dir, rows):
-    """A table folder holding only documents.parquet."""
-    pdf = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])
-    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint") \
-        .write.parquet(f"{tmp_dir}/documents.parquet")
-    return pdf
