@@ -12,6 +12,7 @@ from quire.llm.mixing import mix
 from quire.llm.order_minhash import fingerprint_edits, to_text
 from quire.llm.packing import pack
 from quire.llm.pii import find
+from quire.llm.quality_model import score_quality
 from quire.llm.quality_rules import ORACLE as RULES_SQL
 from quire.llm.quality_rules import apply_rules
 from quire.llm.simhash import hex16, simhash_groups
@@ -63,12 +64,18 @@ def op8_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text; ids with crc32 modulo 3 = 1 are held out."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_order_minhash": op2_order_minhash,
     "op3_source_mixing": op3_source_mixing,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_line_quality_rules": op7_line_quality_rules,
     "op8_pii_skip_chain": op8_pii_skip_chain,
 }
