@@ -120,16 +120,18 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                           F.col("th").alias("to_th"), F.col("n").alias("to_n"))
     steps = materialize(order.select("_index", "kid", "th").join(before, "_index").drop("_index"), "steps")
 
-    rows = src.select("kid", "th", "doc_id", "text", sig.alias("sig")).repartition("kid", "th")
+    # No lambda below the exchange: Spark takes two plans that hold one for different ones and
+    # would shuffle the texts twice. Each side computes the signature after it instead.
+    rows = src.select("kid", "th", "doc_id", "text").repartition("kid", "th")
     once = Window.partitionBy("kid", "th").orderBy("kid")
     heads = (rows.withColumn("_n", F.row_number().over(once)).where("_n = 1").join(steps, ["kid", "th"])
              .select(F.col("to_kid").alias("kid"), F.col("to_th").alias("th"), F.col("doc_id").alias("next_id"),
                      F.substring(F.col("text"), F.lit(1), F.floor(F.col("to_n") / 4).cast("int")).alias("head"),
-                     F.col("sig").alias("next_sig")))
+                     sig.alias("next_sig")))
     n = F.char_length("text")
     out = rows.join(heads, ["kid", "th"]).withColumn(
         "edited", F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("head")))
-    out = out.withColumn("edited_sig", signature(F.col("edited"), k, ell, bins))
+    out = out.withColumns({"sig": sig, "edited_sig": signature(F.col("edited"), k, ell, bins)})
     return out.select("doc_id", "next_id", "text", "edited", "sig", "edited_sig", "next_sig",
                       likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
                       likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
