@@ -17,6 +17,7 @@ from quire.llm.quality_rules import ORACLE as RULES_SQL
 from quire.llm.quality_rules import apply_rules
 from quire.llm.simhash import hex16, simhash_groups
 from quire.llm.tokens import count_tokens
+from quire.llm.toxicity import score_toxicity
 
 
 def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; ids with crc32 modulo 4 = 2 are held out."""
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_order_minhash": op2_order_minhash,
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_classifier": op6_quality_classifier,
     "op7_line_quality_rules": op7_line_quality_rules,
     "op8_pii_skip_chain": op8_pii_skip_chain,
+    "op9_toxicity_weak_supervision": op9_toxicity_weak_supervision,
 }
 
 ORACLE_SQL: dict[str, str] = {
