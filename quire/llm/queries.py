@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
+from quire.llm.context_mixing import score_texts
 from quire.llm.mixing import mix
 from quire.llm.order_minhash import fingerprint_edits, to_text
 from quire.llm.packing import pack
@@ -75,6 +76,11 @@ def op9_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text; ids with crc32 modulo 5 = 1 teach nothing."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_order_minhash": op2_order_minhash,
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_quality_rules": op7_line_quality_rules,
     "op8_pii_skip_chain": op8_pii_skip_chain,
     "op9_toxicity_weak_supervision": op9_toxicity_weak_supervision,
+    "op10_context_mixing_lm": op10_context_mixing_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
