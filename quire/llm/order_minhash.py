@@ -110,9 +110,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     sig = signature(F.col("text"), k, ell, bins)
     src = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-           .select("*", F.coalesce("doc_id", F.lit(0)).alias("kid"),
-                   F.xxhash64("text", F.col("doc_id").isNull()).alias("th")))
-    keys = (src.select("kid", "th", F.col("doc_id").isNull().alias("none"), F.char_length("text").alias("n"))
+           # (kid, th) is the key of a document: id and text hash, whose last bit says "no id"
+           .select("text", F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("kid"),
+                   F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("bigint")).alias("th")))
+    none = F.col("th").bitwiseAND(F.lit(1)) == 1
+    own_id = F.when(~none, F.col("kid"))
+    keys = (src.select("kid", "th", none.alias("none"), F.char_length("text").alias("n"))
             .groupBy("none", "kid", "th").agg(F.max("n").alias("n")))
     order = ordered_index(keys, [F.col("none"), F.col("kid"), F.col("th")])
     total = order.agg(F.count(F.lit(1))).first()[0]
@@ -120,18 +123,19 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                           F.col("th").alias("to_th"), F.col("n").alias("to_n"))
     steps = materialize(order.select("_index", "kid", "th").join(before, "_index").drop("_index"), "steps")
 
-    # No lambda below the exchange: Spark takes two plans that hold one for different ones and
-    # would shuffle the texts twice. Each side computes the signature after it instead.
-    rows = src.select("kid", "th", "doc_id", "text").repartition("kid", "th")
+    # One exchange serves both sides, so below it there is no lambda (Spark takes two plans that
+    # hold one for different ones) and no column that a caller's projection could take from one
+    # side alone. Each side computes the signature after it.
+    rows = src.select("kid", "th", "text").repartition("kid", "th")
     once = Window.partitionBy("kid", "th").orderBy("kid")
     heads = (rows.withColumn("_n", F.row_number().over(once)).where("_n = 1").join(steps, ["kid", "th"])
-             .select(F.col("to_kid").alias("kid"), F.col("to_th").alias("th"), F.col("doc_id").alias("next_id"),
+             .select(F.col("to_kid").alias("kid"), F.col("to_th").alias("th"), own_id.alias("next_id"),
                      F.substring(F.col("text"), F.lit(1), F.floor(F.col("to_n") / 4).cast("int")).alias("head"),
                      sig.alias("next_sig")))
     n = F.char_length("text")
     out = rows.join(heads, ["kid", "th"]).withColumn(
         "edited", F.concat(F.substring(F.col("text"), F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("head")))
     out = out.withColumns({"sig": sig, "edited_sig": signature(F.col("edited"), k, ell, bins)})
-    return out.select("doc_id", "next_id", "text", "edited", "sig", "edited_sig", "next_sig",
+    return out.select(own_id.alias("doc_id"), "next_id", "text", "edited", "sig", "edited_sig", "next_sig",
                       likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
                       likeness(F.col("sig"), F.col("next_sig")).alias("near_next"))
