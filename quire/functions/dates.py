@@ -35,17 +35,16 @@ def year_month(y, m) -> Column:
     return F.concat(_c(y).cast("string"), F.lit("-"), F.lpad(_c(m).cast("string"), 2, "0"))
 
 
+def quarter(d) -> Column:
+    """Quarter of the year, 1 to 4."""
+    return F.quarter(_c(d))
+
+
 def date_parts(d) -> list[Column]:
     d = _c(d)
     return [F.year(d).alias("year"), F.month(d).alias("month"), F.dayofmonth(d).alias("day")]
 
 
-def date_parts_or_today(d) -> list[Column]:
-    """year/month/day of a date, falling back to today's parts when it is NULL."""
-    d = F.coalesce(_c(d), F.current_date())
-    return date_parts(d)
-
-
 def rolling_window(days: int = 7, end: dt.date | None = None, start: dt.date | None = None,
                    today: dt.date | None = None) -> tuple[dt.date, dt.date]:
     """end = given or today; start = given, else end - (days - 1); days=0 -> end."""

@@ -15,18 +15,3 @@ def keep_where(df: DataFrame, cond: Column) -> DataFrame:
     selection as an explode of a zero-or-one element array keeps it above the
     projection: every value is derived once per row. Same rows, same order."""
     return df.select("*", F.explode(F.when(cond, F.array(F.lit(True)))).alias("__keep")).drop("__keep")
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Make sure CPU-heavy row-local work that follows runs on every core.
-
-    A scan yields one task per parquet split; a small table stored as one row group is
-    a single task. When the input has fewer partitions than the session's parallelism
-    the rows are redistributed (round robin). On large inputs (more splits than cores,
-    the normal case on a cluster) this returns ``df`` unchanged and adds no shuffle."""
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave as is
-        return df
-    return df if n >= target else df.repartition(target)

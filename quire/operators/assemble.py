@@ -49,11 +49,6 @@ def orphan_articles(articles: DataFrame, editions: DataFrame, key=EDITION_KEY) -
     return articles.join(editions.select(*key), list(key), "left_anti")
 
 
-def known_articles(articles: DataFrame, editions: DataFrame, key=EDITION_KEY) -> DataFrame:
-    """J3 complement: articles whose edition exists."""
-    return articles.join(editions.select(*key).distinct(), list(key), "left_semi")
-
-
 def empty_editions(editions: DataFrame, articles: DataFrame, key=EDITION_KEY) -> DataFrame:
     """Editions with no article."""
     return editions.join(articles.select(*key), list(key), "left_anti")

@@ -8,16 +8,15 @@ against the existing store on a narrow (hash-only) projection.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.charset import charset_of, decode_body, lenient
 from quire.functions.hashing import content_hash, content_path
 from quire.functions.rows import keep_where
 
 # Fixed value: texts longer than this many characters are stored out of line.
 INLINE_THRESHOLD = 2000
-# Charsets Spark's decode() understands; anything else falls back to UTF-8.
-SUPPORTED_CHARSETS = ["us-ascii", "iso-8859-1", "utf-8", "utf-16be", "utf-16le", "utf-16"]
 
 
 def content_type_of(header: Column) -> Column:
@@ -29,23 +28,6 @@ def content_type_of(header: Column) -> Column:
              .otherwise(F.lit("text")))
 
 
-def charset_of(header: Column) -> Column:
-    cs = F.lower(F.regexp_extract(F.coalesce(header, F.lit("")), r"(?i)charset=\s*\"?([A-Za-z0-9_\-]+)", 1))
-    cs = F.when(cs == "latin-1", F.lit("iso-8859-1")).when(cs == "latin1", F.lit("iso-8859-1")).otherwise(cs)
-    return F.when(cs.isin(SUPPORTED_CHARSETS), cs).otherwise(F.lit("utf-8"))
-
-
-def _decode(body: Column, charset: Column) -> Column:
-    """Text of a body in its charset, never failing: invalid UTF-8 / ASCII sequences
-    become U+FFFD (as an HTTP client's ``.text`` does); ISO-8859-1 maps every byte."""
-    lenient = F.make_valid_utf8(body.cast("string"))
-    return (F.when(charset == "iso-8859-1", F.decode(body, "ISO-8859-1"))
-             .when(charset == "utf-16be", F.decode(body, "UTF-16BE"))
-             .when(charset == "utf-16le", F.decode(body, "UTF-16LE"))
-             .when(charset == "utf-16", F.decode(body, "UTF-16"))
-             .otherwise(lenient))
-
-
 def dispatch(responses: DataFrame, header: str = "content_type_header", body: str = "body") -> DataFrame:
     """P11 + P12: (content_type, text, bytes_, reason).
 
@@ -62,10 +44,11 @@ def dispatch(responses: DataFrame, header: str = "content_type_header", body: st
     s1 = responses.select(*keep, b.alias("_b"), content_type_of(F.col(header)).alias("content_type"),
                           h.contains("application/pdf").alias("_pdf"),
                           charset_of(F.col(header)).alias("_cs"))
-    s2 = s1.select(*keep, "_b", "content_type", "_pdf",
-                   ((~F.col("_pdf")) & (F.col("content_type") == "html")
-                    & F.lower(F.coalesce(F.col(header), F.lit(""))).contains("application/json")).alias("_json"),
-                   F.when(~F.col("_pdf"), _decode(F.col("_b"), F.col("_cs"))).alias("_dec"))
+    with lenient(responses.sparkSession):
+        s2 = s1.select(*keep, "_b", "content_type", "_pdf",
+                       ((~F.col("_pdf")) & (F.col("content_type") == "html")
+                        & F.lower(F.coalesce(F.col(header), F.lit(""))).contains("application/json")).alias("_json"),
+                       F.when(~F.col("_pdf"), decode_body(F.col("_b"), F.col("_cs"))).alias("_dec"))
     s3 = s2.select(*keep, "_b", "content_type", "_pdf", "_json", "_dec",
                    F.when(F.col("_json"), F.try_parse_json("_dec")).alias("_v"))
     json_ok = F.col("_v").isNotNull() & F.schema_of_variant("_v").startswith("OBJECT")
@@ -97,28 +80,28 @@ def split_inline(dispatched: DataFrame, threshold: int = INLINE_THRESHOLD) -> Da
     })
 
 
-def new_blobs(split: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def new_blobs(split: DataFrame, existing: DataFrame | None = None, key: str = "request_key") -> DataFrame:
     """K4 + J11: one row per blob hash not yet in ``existing`` (a content table; only its
     hash column is read).
 
-    Copies are collapsed by hash first: the aggregation runs partially on the map side,
-    so a body repeated across a large share of the rows leaves each task once, and the
-    shuffle by hash carries each distinct body once per task. The anti join against the
-    store then reuses that hash partitioning for the (narrow) stored hashes."""
-    blobs = keep_where(split, F.col("is_blob"))
-    dedup = (blobs.groupBy("content_hash")
-                  .agg(F.first("bytes_").alias("content"),
-                       F.first("content_path").alias("content_path"),
-                       F.first("content_size").alias("content_size")))
+    Copies are collapsed on (hash, one row's key) alone: a partial hash aggregate over two
+    narrow columns, anti-joined to the stored hashes. Only the row chosen for a new hash then
+    brings its body, by a join on that key; of rows that share key and hash one is taken."""
+    blobs = keep_where(split, F.col("is_blob")).select(
+        F.xxhash64(F.col(key).cast("string"), F.col("content_hash")).alias("_row"), "content_hash", "content_size", F.col("bytes_").alias("content"))
+    chosen = blobs.groupBy("content_hash").agg(F.min("_row").alias("_row"))
     if existing is not None:
-        dedup = dedup.join(existing.select("content_hash"), "content_hash", "left_anti")
-    return dedup.withColumn("created_at", F.current_timestamp())
+        chosen = chosen.join(existing.select("content_hash"), "content_hash", "left_anti")
+    once = Window.partitionBy("content_hash").orderBy("_row")
+    return (blobs.join(chosen, ["content_hash", "_row"], "left_semi")
+            .withColumn("_n", F.row_number().over(once)).where("_n = 1")
+            .select("content_hash", "content", content_path(F.col("content_hash")).alias("content_path"), "content_size")
+            .withColumn("created_at", F.current_timestamp()))
 
 
 def blob_refs(split: DataFrame) -> DataFrame:
-    """K7 metadata without bodies: (hash, path, size, number of references)."""
-    return (keep_where(split, F.col("is_blob"))
-                 .groupBy("content_hash")
-                 .agg(F.first("content_path").alias("content_path"),
-                      F.max("content_size").alias("content_size"),
-                      F.count(F.lit(1)).alias("n_refs")))
+    """K7 metadata without bodies: (hash, path, size, number of references). The path
+    follows from the hash, so the aggregate's buffers are numbers only."""
+    refs = (keep_where(split, F.col("is_blob")).groupBy("content_hash")
+            .agg(F.max("content_size").alias("content_size"), F.count(F.lit(1)).alias("n_refs")))
+    return refs.select("content_hash", content_path(F.col("content_hash")).alias("content_path"), "content_size", "n_refs")

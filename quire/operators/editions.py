@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.charset import charset_of, decode_body, lenient
 from quire.functions.dates import LENIENT_DATE
 from quire.functions.rows import keep_where
 from quire.sources.portals import COMPAT_PDF_HOST, PDF_PATH, portals
@@ -31,7 +32,7 @@ def truthy(v: Column, t: Column | None = None) -> Column:
              .when(t == "VOID", F.lit(False))
              .when(t == "BOOLEAN", _get(v, "$", "boolean"))
              .when(t == "STRING", F.char_length(_get(v, "$", "string")) > 0)
-             .when(t.startswith("ARRAY"), t != "ARRAY<VOID>")
+             .when(t.startswith("ARRAY"), (t != "ARRAY<VOID>") | _get(v, "$[0]").isNotNull())
              .when(t.startswith("OBJECT"), t != "OBJECT<>")
              .otherwise(_get(v, "$", "double") != 0))
 
@@ -57,10 +58,11 @@ def int_field(v: Column, t: Column | None = None) -> Column:
 
 ITEM_FIELDS = {"id": "_id", "suplemento": "_sup", "numero": "_num", "tipo_edicao_id": "_tid",
                "tipo_edicao_nome": "_tname"}
-# One parse per payload: the drifting fields are read as VARIANT (type kept), invalid
-# JSON lands in the corrupt-record column. Duplicate keys keep the last value.
-PAYLOAD_SCHEMA = ("struct<erro variant, data variant, itens array<struct<"
-                  + ", ".join(f"{k} variant" for k in ITEM_FIELDS) + ">>, _corrupt string>")
+# Items are read as JSON text and parsed one by one, so a bad item (a scalar, a string, null)
+# costs nothing but itself; drifting fields are read as VARIANT (type kept); invalid JSON
+# lands in the corrupt-record column. Duplicate keys keep the last value.
+PAYLOAD_SCHEMA = "struct<erro variant, data variant, itens array<string>, _corrupt string>"
+ITEM_SCHEMA = "struct<" + ", ".join(f"{k} variant" for k in ITEM_FIELDS) + ">"
 JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
 
 
@@ -70,19 +72,21 @@ def parse_editions(responses: DataFrame, payload: str = "payload") -> tuple[Data
     payload that yields no items (invalid JSON, not an object, truthy ``erro``, falsy
     ``itens``).
 
-    The JSON is parsed once into a struct whose drifting fields stay VARIANT; each
-    field's type is probed once; no expression is evaluated twice per row.
+    A binary payload is decoded leniently, by the charset of its ``content_type_header``
+    where the frame has one. The JSON is parsed once, each item once more into a struct whose
+    drifting fields stay VARIANT; no expression is evaluated twice per row.
     """
     body = F.col(payload)
     is_binary = dict(responses.dtypes)[payload] == "binary"
-    text = F.decode(body, "UTF-8") if is_binary else body.cast("string")
-    keep = [c for c in responses.columns if c != payload]
-    s1 = responses.select(*keep, text.alias("_payload"),
-                          F.from_json(text, PAYLOAD_SCHEMA, JSON_OPTIONS).alias("_s"))
+    keep = [c for c in responses.columns if c not in (payload, "content_type_header")]
+    header = F.col("content_type_header") if "content_type_header" in responses.columns else F.lit(None).cast("string")
+    with lenient(responses.sparkSession):
+        s0 = responses.select(*keep, (decode_body(body, charset_of(header)) if is_binary else body.cast("string")).alias("_payload"))
+    s1 = s0.select(*keep, "_payload", F.from_json("_payload", PAYLOAD_SCHEMA, JSON_OPTIONS).alias("_s"))
     s2 = s1.select(*keep, "_payload", F.col("_s._corrupt").alias("_corrupt"), F.col("_s.erro").alias("_erro"),
                    F.schema_of_variant("_s.erro").alias("_erro_t"), F.col("_s.itens").alias("_itens"),
                    F.coalesce(_get(F.col("_s.data"), "$", "string"), F.lit(UNKNOWN_DATE)).alias("_data"))
-    root_obj = F.ltrim(F.col("_payload")).startswith("{")
+    root_obj = F.ltrim(F.col("_payload"), F.lit(" \t\r\n\ufeff")).startswith("{")
     preason = (F.when(F.col("_payload").isNull() | ~root_obj, F.lit("not_object"))
                 .when(F.col("_corrupt").isNotNull(), F.lit("invalid_json"))
                 .when(truthy(F.col("_erro"), F.col("_erro_t")), F.lit("erro"))
@@ -96,9 +100,11 @@ def parse_editions(responses: DataFrame, payload: str = "payload") -> tuple[Data
     # no filter before the explode: Catalyst would push it below the projections and
     # re-evaluate the JSON parse inside the predicate; exploding NULL yields no rows
     usable = F.when(F.col("_preason").isNull(), F.col("_itens"))
-    items = s3.select(*keep, "_data", F.posexplode(usable).alias("item_index", "item"))
+    items = s3.select(*keep, "_data", F.posexplode(usable).alias("item_index", "_item"))
+    items = items.select(*keep, "_data", "item_index", "_item", F.from_json("_item", ITEM_SCHEMA).alias("item"))
     c = F.col
-    i1 = items.select(*keep, "_data", "item_index", c("item").isNull().alias("_bad_item"),
+    is_object = F.coalesce(F.ltrim(c("_item"), F.lit(" \t\r\n")).startswith("{"), F.lit(False))
+    i1 = items.select(*keep, "_data", "item_index", "_item", (~is_object).alias("_bad_item"),
                       *[c(f"item.{k}").alias(a) for k, a in ITEM_FIELDS.items()],
                       *[F.schema_of_variant(f"item.{k}").alias(a + "_t") for k, a in ITEM_FIELDS.items()],
                       F.try_to_date("_data", LENIENT_DATE).alias("_date"))
@@ -107,8 +113,7 @@ def parse_editions(responses: DataFrame, payload: str = "payload") -> tuple[Data
     type_name = (F.when(c("_tname").isNull(), F.lit(""))
                   .when(c("_tname_t") == "VOID", F.lit("None"))
                   .otherwise(_get(c("_tname"), "$", "string")))
-    i2 = i1.select(*keep, "item_index", "_bad_item", "_id", "_id_t", "_data", "_date",
-                   *ITEM_FIELDS.values(),
+    i2 = i1.select(*keep, "item_index", "_item", "_bad_item", "_id", "_id_t", "_data", "_date",
                    _get(c("_id"), "$", "string").alias("edition_id"),
                    number.alias("edition_number"),
                    supplement_flag(c("_sup"), c("_sup_t")).alias("supplement"),
@@ -119,11 +124,10 @@ def parse_editions(responses: DataFrame, payload: str = "payload") -> tuple[Data
                .when(c("edition_number").isNull(), F.lit("bad_number"))
                .when(c("edition_type_id").isNull(), F.lit("bad_type_id"))
                .when(c("_date").isNull(), F.lit("bad_date")))
-    item_json = F.to_json(F.struct(*[c(a).alias(k) for k, a in ITEM_FIELDS.items()]))
     parsed = i2.select(*keep, "item_index", "edition_id", c("_data").alias("publication_date_str"),
                        c("_date").alias("publication_date"), "edition_number", "supplement",
                        "edition_type_id", "edition_type_name", reason.alias("reason"),
-                       item_json.alias("payload"))
+                       c("_item").alias("payload"))
     return parsed, bad_payloads
 
 

@@ -35,12 +35,10 @@ def is_weekday(d: Column) -> Column:
 def weekdays(ranges: DataFrame, holidays: DataFrame | None = None, start: str = "start_date",
              end: str = "end_date") -> DataFrame:
     """S2 + J10: all Mon-Fri days of each range, minus holidays (a ``d`` date column).
-    Holidays are at most one row per calendar day of the requested span and are
-    broadcast."""
+    Spark sizes the anti join (holidays: one row per calendar day at most)."""
     days = expand_days(ranges, start, end).where(is_weekday(F.col("d")))
     if holidays is not None:
-        days = days.join(F.broadcast(holidays.select(F.col("d").cast("date").alias("d")).distinct()),
-                         "d", "left_anti")
+        days = days.join(holidays.select(F.col("d").cast("date").alias("d")).distinct(), "d", "left_anti")
     return days
 
 

@@ -90,15 +90,34 @@ def level_pairs(paths: DataFrame, path: str = "hierarchy_path") -> DataFrame:
 
 def pair_counts(pairs: DataFrame, level1_keep: DataFrame | None = None) -> DataFrame:
     """A15 (+ J9/F7): counts of (level_0, level_1), optionally semi-joined to a top-N list
-    of level-1 elements (at most N rows: broadcast)."""
+    of level-1 elements (Spark sizes the join)."""
     if level1_keep is not None:
-        pairs = pairs.join(F.broadcast(level1_keep.select(F.col("element").alias("level_1"))),
-                           "level_1", "left_semi")
+        pairs = pairs.join(level1_keep.select(F.col("element").alias("level_1")), "level_1", "left_semi")
     return pairs.groupBy("level_0", "level_1").agg(F.count(F.lit(1)).alias("count"))
 
 
-def pivot_counts(counts: DataFrame, row: str, col: str, values: list) -> DataFrame:
-    """Matrix with one column per value (fixed order), absent cells as 0."""
+def filled_pairs(counts: DataFrame, level1_keep: DataFrame) -> DataFrame:
+    """A16 in long form: every level_0 element with every one of the top-N level_1 elements,
+    absent pairs as 0. The N elements travel as one array and are exploded per row; nothing
+    is cross-joined or collected."""
+    names = level1_keep.agg(F.collect_set("element")).scalar()  # N elements
+    grid = counts.select("level_0").distinct().select("level_0", F.explode(names).alias("level_1"))
+    return (grid.join(counts, ["level_0", "level_1"], "left")
+                .select("level_0", "level_1", F.coalesce("count", F.lit(0)).alias("count")))
+
+
+def pair_shares(filled: DataFrame) -> DataFrame:
+    """A18 in long form: each count divided by the sum of its level_1 element (NULL if 0)."""
+    totals = filled.groupBy("level_1").agg(F.sum("count").alias("_t"))
+    return filled.join(totals, "level_1").select(
+        "level_1", "level_0", F.try_divide(F.col("count").cast("double"), F.col("_t")).alias("share"))
+
+
+def pivot_counts(counts: DataFrame, row: str, col: str, values: list, max_columns: int = 1000) -> DataFrame:
+    """A16/A17 in wide form, on request: one column per value (fixed order), absent cells as
+    0. More than ``max_columns`` values are refused: use the long form."""
+    if len(values) > max_columns:
+        raise ValueError(f"{len(values)} columns; the limit is {max_columns}")
     return (counts.groupBy(row).pivot(col, values).agg(F.sum("count"))
                   .na.fill(0, subset=[str(v) for v in values]))
 

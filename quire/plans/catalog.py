@@ -67,11 +67,13 @@ def queries() -> dict[str, QueryFn]:
         "edition_payloads": IN.edition_payloads,
         "pdf_urls": IN.pdf_urls,
         "nav_links": IN.nav_links,
+        "nav_tree_paths": IN.nav_tree_paths,
         # assembly
         "dedupe_keep_deepest": IN.dedupe_keep_deepest,
         "dedupe_stats": IN.dedupe_stats,
         "edition_article_counts": IN.edition_article_counts,
         "orphan_articles": IN.orphan_articles,
+        "rejects_summary": IN.rejects_summary,
         "empty_editions": IN.empty_editions,
         # lake tables
         "editions_table": IN.editions_table,
@@ -79,6 +81,7 @@ def queries() -> dict[str, QueryFn]:
         "relationships_table": IN.relationships_table,
         "edition_hash": IN.edition_hash,
         "content_split": IN.content_split,
+        "content_charsets": IN.content_charsets,
         "content_blobs": IN.content_blobs,
         "content_lookup": IN.content_lookup,
         "summary_metrics": IN.summary_metrics,

@@ -77,33 +77,22 @@ def level_pairs(spark: SparkSession, d: str) -> DataFrame:
     return H.pair_counts(pairs, _top_level1(spark, d))
 
 
-def _pivot_inputs(spark: SparkSession, d: str):
+def _filled(spark: SparkSession, d: str) -> DataFrame:
     top = _top_level1(spark, d)
-    # at most PIVOT_TOP_LEVEL1 values reach the driver: they name the pivot columns
-    values = [r["element"] for r in top.orderBy(F.desc("count"), "element").collect()]
-    counts = H.pair_counts(H.level_pairs(_paths(spark, d)), top)
-    return counts, values
+    return H.filled_pairs(H.pair_counts(H.level_pairs(_paths(spark, d)), top), top)
 
 
 def level_pivot(spark: SparkSession, d: str) -> DataFrame:
-    """Rows level_0, one column per top-10 level-1 element, zeros filled."""
-    counts, values = _pivot_inputs(spark, d)
-    return H.pivot_counts(counts, "level_0", "level_1", values)
-
-
-def _transposed(spark: SparkSession, d: str):
-    counts, _ = _pivot_inputs(spark, d)
-    # column names = distinct level-0 elements (bounded by spark.sql.pivotMaxValues)
-    cols = [r["level_0"] for r in counts.select("level_0").distinct().orderBy("level_0").collect()]
-    return H.pivot_counts(counts, "level_1", "level_0", cols), cols
+    """level_0 by top-10 level-1 element, zeros filled, in long form."""
+    return _filled(spark, d)
 
 
 def level_pivot_transposed(spark: SparkSession, d: str) -> DataFrame:
-    """The matrix transposed: rows = top-10 level-1 elements."""
-    return _transposed(spark, d)[0]
+    """The matrix transposed, with the rank of every cell in its row (long form)."""
+    w = Window.partitionBy("level_1").orderBy(F.desc("count"), "level_0")
+    return _filled(spark, d).select("level_1", "level_0", "count", F.row_number().over(w).alias("rank"))
 
 
 def level_pivot_share(spark: SparkSession, d: str) -> DataFrame:
-    """The transposed matrix normalised by row."""
-    m, cols = _transposed(spark, d)
-    return H.row_normalise(m, "level_1", cols)
+    """The transposed matrix normalised by row (long form)."""
+    return H.pair_shares(_filled(spark, d))

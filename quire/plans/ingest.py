@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.dates import ISO_DATE, date_parts
-from quire.functions.rows import keep_where, spread
+from quire.functions.rows import keep_where
 from quire.functions.text import path_to_json
 from quire.operators import assemble as A
 from quire.operators import content as C
@@ -47,18 +47,20 @@ class Corpus:
         self.spark, self._editions_in, self._links, self._split = spark, editions_in, links, split
         self._order = list(order)
 
-    def materialize(self) -> "Corpus":
+    def materialize(self, fallback: str | None = None) -> "Corpus":
         """Checkpoint the deduplicated, content-joined articles (the expensive shared core
-        of all three tables) into the session's ``spark.checkpoint.dir``. Writing the
+        of all three tables) into the session's ``spark.checkpoint.dir`` (``fallback`` where
+        that is unset: a folder every executor shares). Writing the
         editions, articles and relationships tables then reads it instead of re-running
         the pipeline three times; the checkpoint also cuts the lineage, so a lost
         executor recomputes from the checkpoint files, not from the raw responses."""
         from quire.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(self.spark)
+        ensure_checkpoint_dir(self.spark, fallback)
         core = self._articles_core.checkpoint(eager=True)
         for name in ("_articles_core", "_eds", "editions", "articles", "relationships"):
             self.__dict__.pop(name, None)
         self.__dict__["_articles_core"] = core
+        self.__dict__["_stored"] = True
         return self
 
     @cached_property
@@ -81,11 +83,26 @@ class Corpus:
                       .join(content_cols, F.col("identifier").cast("string") == F.col("_rk"))
                       .drop("_rk"))
 
+    @cached_property
+    def _edition_counts(self) -> DataFrame:
+        """Articles per edition. Counting needs no body: the dedupe runs on the keys and is
+        joined to the keys of valid responses only."""
+        keys = self._links.where(F.col("identifier").isNotNull()).select(
+            *dict.fromkeys([*A.EDITION_KEY, "identifier", "depth", *self._order]))
+        unique = A.dedupe_keep_deepest(keys, order=self._order)
+        valid = self._split.select(F.col("request_key").cast("string").alias("_rk"), "reason")
+        kept = unique.join(keep_where(valid, F.col("reason").isNull()).select("_rk"),
+                           F.col("identifier").cast("string") == F.col("_rk"))
+        return kept.groupBy(*A.EDITION_KEY).agg(F.count(F.lit(1)).alias("_n"))
+
     @cached_property
     def _eds(self) -> DataFrame:
         eds = self._editions_in.withColumn("publication_date_str", F.date_format("publication_date", ISO_DATE))
         eds = E.with_pdf_url(eds, self.spark)
-        eds = A.with_article_counts(eds, self._articles_core, key=A.EDITION_KEY)
+        counts = self._edition_counts if "_stored" not in self.__dict__ else self._articles_core.groupBy(
+            *A.EDITION_KEY).agg(F.count(F.lit(1)).alias("_n"))
+        eds = (eds.join(counts, list(A.EDITION_KEY), "left")
+                  .withColumn("total_articles", F.coalesce("_n", F.lit(0)).cast("int")).drop("_n"))
         return A.with_edition_hash(eds)
 
     @cached_property
@@ -113,6 +130,16 @@ class Corpus:
         return self.articles.select("municipality", "edition_id", "article_id", "edition_hash",
                                     "publication_date", "year", "month", "day")
 
+    @cached_property
+    def totals(self) -> DataFrame:
+        """One row of run totals (K10) from two aggregates: editions with their counts, and
+        blob references. An article is a row of an edition, so their number is the counts' sum."""
+        e = self._eds.agg(F.count(F.lit(1)).alias("n_editions"), F.coalesce(F.sum("total_articles"), F.lit(0)).alias("n_articles"),
+                          F.count_if(F.col("total_articles") == 0).alias("n_empty_editions"))
+        b = self.content.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("content_size").alias("bytes"))).scalar()
+        return e.select("n_editions", "n_articles", F.col("n_articles").alias("n_relationships"), "n_empty_editions",
+                        b.getField("n").alias("n_blobs"), b.getField("bytes").alias("blob_bytes"))
+
     @cached_property
     def rejects(self) -> DataFrame:
         structure = (self._links.where(F.col("identifier").isNull())
@@ -183,23 +210,13 @@ def content_blobs(spark, d):
 
 def content_lookup(spark, d):
     """Out-of-line articles joined to the blob store by hash."""
-    c = build_corpus(spark, d)
-    return (keep_where(c.articles, F.col("content_hash").isNotNull())
-              .select("article_id", "content_hash")
-              .join(c.content.select("content_hash", "content_path", "content_size"), "content_hash"))
+    a = build_corpus(spark, d).articles  # path and size are on the article already
+    return keep_where(a.select("article_id", "content_hash", "content_path", "content_size"), F.col("content_hash").isNotNull())
 
 
 def summary_metrics(spark, d):
-    """One row of run totals: one aggregate per table (three scalar subqueries)."""
-    c = build_corpus(spark, d)
-    e = c.editions.agg(F.struct(F.count(F.lit(1)).alias("n"),
-                                F.count_if(F.col("total_articles") == 0).alias("empty"))).scalar()
-    n_rel = c.relationships.agg(F.count(F.lit(1))).scalar()
-    b = c.content.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("content_size").alias("bytes"))).scalar()
-    return spark.range(1).select(
-        e.getField("n").alias("n_editions"), n_rel.alias("n_articles"), n_rel.alias("n_relationships"),
-        e.getField("empty").alias("n_empty_editions"), b.getField("n").alias("n_blobs"),
-        b.getField("bytes").alias("blob_bytes"))
+    """One row of run totals."""
+    return build_corpus(spark, d).totals
 
 
 def dedupe_keep_deepest(spark, d):
@@ -222,8 +239,10 @@ def edition_article_counts(spark, d):
 
 
 def orphan_articles(spark, d):
-    """Articles whose edition is unknown."""
-    return A.orphan_articles(driver.articles(spark, d, with_path=False), driver.editions(spark, d),
+    """Articles whose edition is unknown, while only the regular editions (no
+    supplements) have been stored."""
+    stored = driver.editions(spark, d).where(~F.col("supplement"))
+    return A.orphan_articles(driver.articles(spark, d, with_path=False), stored,
                              key=("edition_id",)).select("article_id", "edition_id")
 
 
@@ -268,8 +287,7 @@ def calendar_weekdays(spark, d):
 def frontier_urls(spark, d):
     """S1 + S3-S5: metadata requests per portal weekday, structure requests per edition,
     content requests per (portal, identifier)."""
-    em = driver.edition_municipality(spark, d)
-    eds = driver.editions(spark, d).select("edition_id", "publication_date").join(em, "edition_id")
+    eds = driver.editions_full(spark, d).select("edition_id", "publication_date", "municipality")
     ranges = eds.groupBy("municipality").agg(F.min("publication_date").alias("start_date"),
                                              F.max("publication_date").alias("end_date"))
     meta = FR.metadata_frontier(spark, ranges).withColumn("phase", F.lit("metadata"))
@@ -279,7 +297,7 @@ def frontier_urls(spark, d):
                          F.col("edition_id").cast("string").alias("request_key"),
                          FR.structure_url(F.col("domain_url"), F.col("edition_id")).alias("url")))
     ids = (driver.articles(spark, d, with_path=False).select("edition_id", "identifier")
-                 .join(em, "edition_id").select("municipality", "identifier").distinct())
+                 .join(eds.select("edition_id", "municipality"), "edition_id").select("municipality", "identifier").distinct())
     content = (ids.join(dom, "municipality")
                   .select(F.lit("content").alias("phase"), "municipality",
                           F.col("identifier").cast("string").alias("request_key"),
@@ -290,10 +308,8 @@ def frontier_urls(spark, d):
 def pdf_urls(spark, d):
     """Per-portal PDF link (D5) and the original fixed-host form."""
     e = driver.editions_full(spark, d).select("edition_id", "municipality")
-    e = E.with_pdf_url(e, spark)
-    return e.withColumn("pdf_url_compat", F.concat(F.lit("https://diariodomunicipio.sjc.sp.gov.br"
-                                                         "/apifront/portal/edicoes/pdf_diario/"),
-                                                   F.col("edition_id").cast("string"), F.lit("/")))
+    compat = E.with_pdf_url(e, spark, compat=True).withColumnRenamed("pdf_url", "pdf_url_compat")
+    return E.with_pdf_url(compat, spark).select("edition_id", "municipality", "pdf_url", "pdf_url_compat")
 
 
 def union_sources(spark, d):
@@ -352,8 +368,8 @@ def edition_payloads_landed(spark, d) -> DataFrame:
     """Every edition landed as a metadata JSON payload (request_key = edition id). Field
     types drift by order status as they do across the real portals: numbers, numeric
     strings, and '' / 0 / 1 supplements."""
-    o = spread(driver.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
-                                                       "o_orderdate", "o_orderpriority"))
+    o = driver.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
+                                                "o_orderpriority")
     type_id = F.substring("o_orderpriority", 1, 1).cast("int")
     item_f = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.lit(1).alias("suplemento"),
                                 F.col("o_custkey").alias("numero"), type_id.alias("tipo_edicao_id"),
@@ -380,10 +396,56 @@ def edition_payloads(spark, d):
                        "edition_type_id", "edition_type_name")
 
 
+def content_charsets(spark, d):
+    """Documents landed in a charset by language (with a windows-1252 sign at the end, or
+    broken input where the charset has such), decoded back: length, size and hash of the text."""
+    doc = driver.table(spark, d, "documents").select("doc_id", "lang", "text")
+    lang, text = F.col("lang"), F.col("text")
+    body = (F.when(lang == "fr", F.concat(F.encode(text, "UTF-16LE"), F.unhex(F.lit("41"))))
+             .when(lang == "de", F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit("80"))))
+             .when(lang == "es", F.encode(text, "UTF-16BE")).otherwise(F.encode(text, "UTF-8")))
+    header = (F.when(lang == "fr", "text/plain; charset=utf-16le").when(lang == "de", "text/html; charset=UTF-8")
+               .when(lang == "es", "text/plain; charset=utf-16be").otherwise("text/html"))
+    landed = doc.select(F.col("doc_id").alias("request_key"), header.alias("content_type_header"), body.alias("body"))
+    r = C.dispatch(landed)
+    return r.select("request_key", "content_type", F.char_length("text").cast("bigint").alias("n_chars"),
+                    F.octet_length("bytes_").cast("bigint").alias("content_size"), F.sha2("bytes_", 256).alias("text_hash"))
+
+
+def rejects_summary(spark, d):
+    """P17 + J3: what would be rejected, and why: payloads without editions, articles whose
+    edition is not stored (regular editions only), articles without landed content."""
+    parsed, bad = E.parse_editions(driver.payloads(spark, d))
+    _, meta = E.split_valid(parsed, bad)
+    a = driver.articles(spark, d, with_path=False).select("edition_id", F.col("identifier").alias("request_key"))
+    have = driver.table(spark, d, "documents").select(F.col("doc_id").alias("request_key"))
+    parts = [meta.select(F.lit("metadata").alias("phase"), "reason"),
+             orphan_articles(spark, d).select(F.lit("structure").alias("phase"), F.lit("orphan").alias("reason")),
+             a.join(have, "request_key", "left_anti").select(F.lit("content").alias("phase"), F.lit("missing_content").alias("reason"))]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.groupBy("phase", "reason").agg(F.count(F.lit(1)).alias("n_rejected"))
+
+
+def nav_tree_paths(spark, d):
+    """A navigation tree for every article (nested folders, link inside), parsed back:
+    ids, text and folder path of its link."""
+    from quire.functions.navtree import extract
+    a = driver.articles(spark, d)
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    link = F.concat(F.lit('<li><a class="linkMateria" data-materia-id="'), F.col("article_id").cast("string"),
+                    F.lit('" identificador="'), F.col("identifier").cast("string"), F.lit('" data-protocolo="'),
+                    F.col("protocol"), F.lit('"> '), esc(F.col("title")), F.lit(" </a></li>"))
+    tree = F.aggregate(F.reverse("hierarchy_path"), link, lambda acc, x: F.concat(
+        F.lit('<li><span class="folder"> '), esc(x), F.lit("</span><ul>"), acc, F.lit("</ul></li>")))
+    pages = a.select("edition_id", F.concat(F.lit('<div><ul><li>menu</li></ul><ul id="tree">'), tree, F.lit("</ul></div>")).alias("html"))
+    return extract(pages, "html").select("edition_id", "article_id", "identifier", "protocol", "title",
+                                         F.size("hierarchy_path").alias("depth"), F.concat_ws("|", "hierarchy_path").alias("path"))
+
+
 def nav_links(spark, d):
     """P8 (flat form) over raw pages: links of the first <ul> of each page."""
     from quire.functions.navtree import extract
-    pages = spread(driver.table(spark, d, "pages").select("page_id", "html"))
+    pages = driver.table(spark, d, "pages").select("page_id", "html")
     return extract(pages, "html", "ul", "", "", "folder").select("page_id", "pos", "href")
 
 

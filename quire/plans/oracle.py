@@ -285,15 +285,20 @@ FROM top JOIN t USING (level)"""
 SQL["level_pairs"] = _with(ARTICLES, LEVELS, TOP_L1) + """
 SELECT level_0, level_1, count FROM pc"""
 
-SQL["level_pivot"] = _with(ARTICLES, LEVELS, TOP_L1) + """
-SELECT * FROM (PIVOT pc ON level_1 USING CAST(coalesce(sum(count), 0) AS BIGINT) GROUP BY level_0)"""
+FILLED = """
+, filled AS (SELECT r.level_0, c.level_1, CAST(coalesce(pc.count, 0) AS BIGINT) AS count
+             FROM (SELECT DISTINCT level_0 FROM pc) r CROSS JOIN (SELECT DISTINCT level_1 FROM pc) c
+             LEFT JOIN pc ON pc.level_0 = r.level_0 AND pc.level_1 = c.level_1)
+"""
+
+SQL["level_pivot"] = _with(ARTICLES, LEVELS, TOP_L1) + FILLED + "SELECT * FROM filled"
 
-SQL["level_pivot_transposed"] = _with(ARTICLES, LEVELS, TOP_L1) + """
-SELECT * FROM (PIVOT pc ON level_0 USING CAST(coalesce(sum(count), 0) AS BIGINT) GROUP BY level_1)"""
+SQL["level_pivot_transposed"] = _with(ARTICLES, LEVELS, TOP_L1) + FILLED + """
+SELECT level_1, level_0, count,
+       CAST(row_number() OVER (PARTITION BY level_1 ORDER BY count DESC, level_0) AS INTEGER) AS rank FROM filled"""
 
-SQL["level_pivot_share"] = _with(ARTICLES, LEVELS, TOP_L1) + """
-, sh AS (SELECT level_0, level_1, count / sum(count) OVER (PARTITION BY level_1) AS share FROM pc)
-SELECT * FROM (PIVOT sh ON level_0 USING coalesce(max(share), 0.0) GROUP BY level_1)"""
+SQL["level_pivot_share"] = _with(ARTICLES, LEVELS, TOP_L1) + FILLED + """
+SELECT level_1, level_0, CAST(count AS DOUBLE) / sum(count) OVER (PARTITION BY level_1) AS share FROM filled"""
 
 # --------------------------------------------------------------------------- frontier / scans
 
@@ -418,7 +423,28 @@ SELECT e.edition_id, CAST(coalesce(c.n, 0) AS INTEGER) AS num_articles FROM edit
 
 SQL["orphan_articles"] = _with(EDITIONS, ARTICLES_FLAT) + """
 SELECT a.article_id, a.edition_id FROM articles_flat a
-WHERE NOT EXISTS (SELECT 1 FROM editions e WHERE e.edition_id = a.edition_id)"""
+WHERE NOT EXISTS (SELECT 1 FROM editions e WHERE e.edition_id = a.edition_id AND NOT e.supplement)"""
+
+SQL["rejects_summary"] = _with(EDITIONS, ARTICLES_FLAT) + """
+, r AS (
+  SELECT 'metadata' AS phase, CASE WHEN props IS NULL OR NOT starts_with(ltrim(props), '{') THEN 'not_object' ELSE 'no_items' END AS reason
+  FROM events
+  UNION ALL
+  SELECT 'structure', 'orphan' FROM articles_flat a
+  WHERE NOT EXISTS (SELECT 1 FROM editions e WHERE e.edition_id = a.edition_id AND NOT e.supplement)
+  UNION ALL
+  SELECT 'content', 'missing_content' FROM articles_flat a
+  WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = a.identifier))
+SELECT phase, reason, count(*) AS n_rejected FROM r GROUP BY phase, reason"""
+
+SQL["nav_tree_paths"] = _with(ARTICLES) + """
+SELECT edition_id, CAST(article_id AS VARCHAR) AS article_id, CAST(identifier AS VARCHAR) AS identifier, protocol, title, depth,
+       array_to_string(hierarchy_path, '|') AS path FROM articles"""
+
+SQL["content_charsets"] = """
+SELECT doc_id AS request_key, CASE WHEN lang = 'de' OR lang NOT IN ('fr', 'es') THEN 'html' ELSE 'text' END AS content_type,
+       CAST(length(t) AS BIGINT) AS n_chars, CAST(octet_length(encode(t)) AS BIGINT) AS content_size, sha256(t) AS text_hash
+FROM (SELECT doc_id, lang, text || CASE WHEN lang IN ('fr', 'de') THEN chr(65533) ELSE '' END AS t FROM documents)"""
 
 SQL["empty_editions"] = _with(EDITIONS, ARTICLES_FLAT) + """
 SELECT e.edition_id, e.publication_date FROM editions e

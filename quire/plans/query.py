@@ -68,9 +68,9 @@ def iter_editions(spark, lake_root: str, start_date=None, end_date=None, municip
     its articles' metadata (no bodies). Rows stream one partition at a time
     (``toLocalIterator``); the per-edition list is bounded by one gazette's size."""
     from quire.operators.assemble import edition_article_lists
-    from quire.sinks.lake import read_table
-    eds = query_articles(read_table(spark, lake_root, "editions"), municipality, start_date, end_date)
-    arts = query_articles(read_table(spark, lake_root, "articles"), municipality, start_date, end_date)
+    from quire.sinks.lake import read_current
+    eds = query_articles(read_current(spark, lake_root, "editions"), municipality, start_date, end_date)
+    arts = query_articles(read_current(spark, lake_root, "articles"), municipality, start_date, end_date)
     out = edition_article_lists(eds, arts, fields=("article_id", "identifier", "title", "hierarchy_path",
                                                    "content_type", "content_size"),
                                 order=("article_id",))

@@ -44,15 +44,21 @@ def build_session(master: str | None = None, app: str = "quire", shuffle_partiti
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is. Only when
-    it is unset (local tests) do we create a private folder under the system temp dir.
+    Where that is unset, ``fallback`` is used: a folder that every executor shares, such as
+    one below a lake's root. Without either, a local session gets a private temporary folder;
+    on a cluster that would be a folder other hosts cannot see, so it is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="quire-ckpt-")
+        if fallback:
+            d = fallback
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            d = tempfile.mkdtemp(prefix="quire-ckpt-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d

@@ -6,6 +6,11 @@ Layout under ``root``::
     articles/      same partitioning
     relationships/ same partitioning
     content/       prefix=<first two hash chars>/part-*.parquet   (blobs, one row per hash)
+    rejects/       batch_id=/part-*.parquet                       (phase, key, reason)
+
+An edition that is written again (a re-crawl, a late page) gets a full new set of rows in its
+new batch. `read_current` gives the rows of each edition's latest batch; every report and
+query reads a lake through it.
 
 * K6 is honoured: the partition granularity is day, month or year.
 * Re-running a batch is idempotent: tables are written with dynamic partition
@@ -24,6 +29,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.content import new_blobs
+from quire.sources.files import path_exists
 
 TABLES = ("editions", "articles", "relationships", "content")
 GRANULARITY = {"year": ["year"], "month": ["year", "month"], "day": ["year", "month", "day"]}
@@ -44,31 +50,22 @@ def partition_columns(granularity: str = "day") -> list[str]:
     return ["municipality", *GRANULARITY[granularity], "batch_id"]
 
 
-def _configure(spark: SparkSession, zstd_level: int = ZSTD_LEVEL) -> None:
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.compression.codec.zstd.level", str(zstd_level))
-
-
-# Each partition value is spread over at most this many writer tasks (and files).
-WRITE_SALT = 8
+# Files of a hot partition value are split by rows; which tasks write it is left to AQE.
+MAX_RECORDS_PER_FILE = 5_000_000
 
 
-def _writer(df: DataFrame, parts: list[str], tiebreak: str | None = None, obs: Observation | None = None):
+def _writer(df: DataFrame, parts: list[str], obs: Observation | None = None, zstd_level: int = ZSTD_LEVEL):
     """K5: zstd, dictionary encoding and column statistics (parquet defaults kept on).
 
-    Rows are hash-partitioned on the partition columns plus a salt taken from a
-    tie-break key: a hot partition value (one municipality-day holding a large share of
-    a batch) is split over up to WRITE_SALT tasks instead of one, and each partition
-    value ends up in at most WRITE_SALT files. No sampling pass is needed (a range
-    partitioner would evaluate the whole upstream plan twice)."""
-    keys = [F.col(k) for k in parts]
-    if tiebreak:
-        keys.append(F.pmod(F.xxhash64(F.col(tiebreak)), F.lit(WRITE_SALT)))
-    out = df.repartition(*keys).sortWithinPartitions(*parts)
+    A REBALANCE hint on the partition columns brings a partition value's rows together, and
+    AQE splits a value by its measured size when it exceeds the advisory partition size: a hot
+    municipality-day is written by as many tasks as it needs."""
+    out = df.hint("rebalance", *[F.col(k) for k in parts])
     if obs is not None:
         out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
-    return (out.write.option("compression", "zstd").option("parquet.enable.dictionary", "true")
-               .partitionBy(*parts))
+    return (out.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(zstd_level))
+               .option("parquet.enable.dictionary", "true").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+               .option("partitionOverwriteMode", "dynamic").partitionBy(*parts))
 
 
 def stamp(df: DataFrame, batch_id: str) -> DataFrame:
@@ -85,16 +82,14 @@ def write_corpus(spark: SparkSession, corpus, root: str, batch_id: str, granular
     """
     import time
     started = time.perf_counter()
-    _configure(spark)
     if hasattr(corpus, "materialize"):
-        corpus.materialize()  # the three tables share one checkpointed core
+        corpus.materialize(f"{root}/_checkpoint")  # the three tables share one checkpointed core
     parts = partition_columns(granularity)
     stats = {"batch_id": batch_id}
-    tiebreak = {"editions": "edition_id", "articles": "article_id", "relationships": "article_id"}
     for name in ("editions", "articles", "relationships"):
         df = stamp(getattr(corpus, name), batch_id)
         obs = Observation(f"{name}_{batch_id}")
-        _writer(df, parts, tiebreak[name], obs).mode("overwrite").parquet(f"{root}/{name}")
+        _writer(df, parts, obs).mode("overwrite").parquet(f"{root}/{name}")
         stats[name] = obs.get["rows"]
     if content_bodies is not None:
         stats["content"] = append_content(spark, content_bodies, root)
@@ -115,31 +110,63 @@ def run_summary(batch_stats: list[dict]) -> dict:
 
 
 def append_content(spark: SparkSession, split: DataFrame, root: str) -> int:
-    """K4 + J11: append blobs whose hash is not stored yet; returns the rows added.
-
-    The new blobs of one batch are persisted (memory, spilling to disk) so the count
-    and the write share one evaluation; lost blocks are recomputed from lineage."""
-    _configure(spark)
+    """K4 + J11: append blobs whose hash is not stored yet; returns the rows added. A store
+    that cannot be read is an error; only a store that is not there yet is empty."""
     path = f"{root}/content"
-    try:
-        existing = spark.read.parquet(path).select("content_hash")
-    except Exception:  # first write: no store yet
-        existing = None
-    blobs = new_blobs(split, existing).withColumn("prefix", F.substring("content_hash", 1, 2)).persist()
-    try:
-        n = blobs.count()
-        if n:
-            # hashes are uniformly spread, so partitioning by their prefix cannot skew
-            blobs.repartition("prefix").write.option("compression", "zstd").partitionBy("prefix") \
-                 .mode("append").parquet(path)
-    finally:
-        blobs.unpersist()
-    return n
+    existing = spark.read.schema("content_hash string").parquet(path) if path_exists(spark, path) else None
+    obs = Observation("blobs")
+    blobs = new_blobs(split, existing).withColumn("prefix", F.substring("content_hash", 1, 2))
+    _writer(blobs, ["prefix"], obs).mode("append").parquet(path)
+    return obs.get["rows"]
+
+
+def write_rejects(rejects: DataFrame, root: str, batch_id: str) -> int:
+    """What one batch could not use: municipality, phase, request_key, reason."""
+    obs = Observation(f"rejects_{batch_id}")
+    (rejects.select("municipality", "phase", F.col("request_key").cast("string").alias("request_key"), "reason")
+     .withColumn("batch_id", F.lit(batch_id)).observe(obs, F.count(F.lit(1)).alias("rows"))
+     .write.option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
+     .mode("overwrite").parquet(f"{root}/rejects"))
+    return obs.get["rows"]
+
+
+_PARTS = "municipality string, year int, month int, day int, batch_id string"
+SCHEMAS = {
+    "editions": "edition_id string, publication_date date, edition_number int, supplement boolean, edition_type_id int, "
+                "edition_type_name string, pdf_url string, total_articles int, edition_hash string, "
+                "processed_at timestamp_ntz, " + _PARTS,
+    "articles": "article_id string, edition_id string, edition_hash string, publication_date date, title string, "
+                "hierarchy_path array<string>, hierarchy_path_json string, identifier string, protocol string, depth int, "
+                "content_type string, content_size bigint, content_hash string, content_path string, inline_text string, "
+                "processed_at timestamp_ntz, " + _PARTS,
+    "relationships": "edition_id string, article_id string, edition_hash string, publication_date date, "
+                     "processed_at timestamp_ntz, " + _PARTS,
+    "content": "content_hash string, content binary, content_path string, content_size bigint, created_at timestamp, prefix string",
+    "rejects": "phase string, request_key string, reason string, municipality string, batch_id string",
+}
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Read a lake table with its partition columns (pruned by year/month filters)."""
-    return spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+    """Read a lake table under its fixed schema (pruned by partition filters); a table that
+    was never written is empty."""
+    path = f"{root}/{name}"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], SCHEMAS[name])
+    return spark.read.schema(SCHEMAS[name]).option("basePath", path).parquet(path)
+
+
+def _latest(spark: SparkSession, root: str) -> DataFrame:
+    return (read_table(spark, root, "editions").groupBy("municipality", "edition_id")
+            .agg(F.max_by("batch_id", F.struct("processed_at", "batch_id")).alias("batch_id")))
+
+
+def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows that hold now: of every edition those of its latest batch. The batches are
+    found on three narrow columns of the editions table."""
+    df = read_table(spark, root, name)
+    if name not in ("editions", "articles", "relationships"):
+        return df
+    return df.join(_latest(spark, root), ["municipality", "edition_id", "batch_id"], "left_semi")
 
 
 def dry_run(corpus) -> dict:
@@ -164,10 +191,9 @@ def storage_stats(spark: SparkSession, root: str) -> DataFrame:
     """Files, rows and bytes per table, from the files' own metadata columns."""
     frames = []
     for name in TABLES:
-        try:
-            df = spark.read.parquet(f"{root}/{name}")
-        except Exception:
+        if not path_exists(spark, f"{root}/{name}"):
             continue
+        df = spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
         frames.append(_table_stats(df).withColumn("table", F.lit(name)))
     if not frames:
         return spark.createDataFrame([], "table string, files bigint, rows bigint, bytes bigint")
@@ -181,15 +207,15 @@ def migrate(spark: SparkSession, src_root: str, dst_root: str, granularity: str
     """K8: copy every table to another root/URI (e.g. an s3a:// bucket), keeping the
     partitioning; reports rows, files and bytes written per table; a failing table is
     reported and the others continue."""
-    _configure(spark)
     report = []
     for name in TABLES:
         try:
-            df = read_table(spark, src_root, name)
+            if not path_exists(spark, f"{src_root}/{name}"):
+                raise FileNotFoundError(f"{src_root}/{name}")
+            df = read_table(spark, src_root, name)  # fixed schema: a prefix such as 07 stays text
             parts = ["prefix"] if name == "content" else partition_columns(granularity)
-            tb = "content_hash" if name == "content" else ("edition_id" if name == "editions" else "article_id")
             obs = Observation(f"migrate_{name}")
-            _writer(df, parts, tb, obs).mode("overwrite").parquet(f"{dst_root}/{name}")
+            _writer(df, parts, obs).mode("overwrite").parquet(f"{dst_root}/{name}")
             written = _table_stats(spark.read.parquet(f"{dst_root}/{name}")).first()
             report.append({"table": name, "rows": obs.get["rows"], "files": written["files"],
                            "bytes": written["bytes"], "ok": True})

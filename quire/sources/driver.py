@@ -15,7 +15,7 @@ articles  <- lineitem   article_id = l_orderkey*10 + l_linenumber (also first-se
                         l_orderkey -> edition_id, l_partkey -> identifier,
                         l_returnflag A/N/R -> content_type pdf/html/text,
                         floor(l_extendedprice) -> content_size (bytes),
-                        depth = least(l_linenumber - 1, 3),
+                        depth = l_linenumber - 1, as far as the path's columns go (3),
                         hierarchy_path = first `depth` of [p_type, p_brand, p_name], title = p_name
 content   <- documents  one landed response per document: doc_id -> request_key,
                         source -> municipality, lang -> MIME header, text -> body
@@ -29,7 +29,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.rows import spread
 from quire.sources.portals import portals
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -44,10 +43,10 @@ LANG_CONTENT_HEADER = {
     "de": "application/pdf",
     "es": "application/json; charset=UTF-8",
 }
-MAX_DEPTH = 3
+# Columns of ``part`` that make a path, outermost first: a path has as many elements as its
+# article is deep, and no more than there are columns.
+PATH_COLUMNS = ("p_type", "p_brand", "p_name")
 
-
-_SCHEMAS: dict = {}
 LAKE_PREFIX = "lake:"
 
 
@@ -63,7 +62,9 @@ def lake_root(d: str) -> str | None:
 
 
 def _lake(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
+    """The current rows of a lake table: those of each edition's latest batch."""
+    from quire.sinks.lake import read_current
+    return read_current(spark, root, name)
 
 
 def _lake_edition_key() -> Column:
@@ -73,16 +74,8 @@ def _lake_edition_key() -> Column:
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A driver table. Its schema is inferred once per session and path, later reads pass
-    it explicitly (no footer-reading job per query)."""
-    path = f"{d.rstrip('/')}/{name}.parquet"
-    key = (id(getattr(spark, "_jsparkSession", spark)), path)
-    schema = _SCHEMAS.get(key)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[key] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    """A driver table, with the schema its file has now."""
+    return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
 def _case(col: Column, mapping: dict) -> Column:
@@ -94,14 +87,15 @@ def _case(col: Column, mapping: dict) -> Column:
 
 # --------------------------------------------------------------------------- editions
 
-def editions(spark: SparkSession, d: str) -> DataFrame:
-    """One row per edition, from ``orders`` only (no join), or from a lake's editions."""
+def editions(spark: SparkSession, d: str, with_municipality: bool = False) -> DataFrame:
+    """One row per edition, from ``orders`` only (no join), or from a lake's editions
+    (whose stored municipality can come along)."""
     root = lake_root(d)
     if root:
         e = _lake(spark, root, "editions")
         return e.select(_lake_edition_key().alias("edition_id"), "publication_date", "edition_number",
                         "supplement", "edition_type_id", "edition_type_name",
-                        F.lit(None).cast("bigint").alias("customer_key"))
+                        F.lit(None).cast("bigint").alias("customer_key"), *(["municipality"] if with_municipality else []))
     o = table(spark, d, "orders")
     return o.select(
         F.col("o_orderkey").alias("edition_id"),
@@ -114,26 +108,29 @@ def editions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def edition_municipality(spark: SparkSession, d: str) -> DataFrame:
-    """edition_id -> municipality. customer is joined by key (AQE sizes the join at
-    runtime); nation (25 rows) and the portal dimension (5 rows) are fixed-size and
-    broadcast. On a lake the municipality is stored with the edition."""
-    root = lake_root(d)
-    if root:
-        return _lake(spark, root, "editions").select(_lake_edition_key().alias("edition_id"), "municipality")
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+def _customer_municipality(spark: SparkSession, d: str) -> DataFrame:
+    """customer_key -> municipality. The joins carry no hint: Spark broadcasts nation and the
+    portal dimension after its own size check."""
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    n = F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_regionkey"))
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
     p = portals(spark).select("portal_key", F.col("name").alias("municipality"))
-    return (o.join(c, o.o_custkey == c.c_custkey)
-             .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return (c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
              .join(p, F.col("n_regionkey") == F.col("portal_key"))
-             .select(F.col("o_orderkey").alias("edition_id"), "municipality"))
+             .select(F.col("c_custkey").alias("customer_key"), "municipality"))
 
 
 def editions_full(spark: SparkSession, d: str) -> DataFrame:
-    """Editions with their municipality."""
-    return editions(spark, d).join(edition_municipality(spark, d), "edition_id")
+    """Editions with their municipality: one join on the customer key that an edition
+    carries. On a lake the municipality is stored with the edition."""
+    root = lake_root(d)
+    if root:
+        return editions(spark, d, with_municipality=True)
+    return editions(spark, d).join(_customer_municipality(spark, d), "customer_key")
+
+
+def edition_municipality(spark: SparkSession, d: str) -> DataFrame:
+    """edition_id -> municipality."""
+    return editions_full(spark, d).select("edition_id", "municipality")
 
 
 # --------------------------------------------------------------------------- articles
@@ -157,15 +154,15 @@ def articles(spark: SparkSession, d: str, with_path: bool = True) -> DataFrame:
         F.col("l_suppkey").cast("string").alias("protocol"),
         _case(F.col("l_returnflag"), RETURNFLAG_CONTENT_TYPE).alias("content_type"),
         F.floor("l_extendedprice").cast("bigint").alias("content_size"),
-        F.least(F.col("l_linenumber") - 1, F.lit(MAX_DEPTH)).alias("depth"),
+        F.least(F.col("l_linenumber") - 1, F.lit(len(PATH_COLUMNS))).alias("depth"),
     )
     if not with_path:
         return base
-    p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_name")
+    p = table(spark, d, "part").select("p_partkey", *PATH_COLUMNS)
     return (base.join(p, base.identifier == p.p_partkey)
                 .select(base["*"],
                         F.col("p_name").alias("title"),
-                        F.slice(F.array("p_type", "p_brand", "p_name"), 1, F.col("depth"))
+                        F.slice(F.array(*PATH_COLUMNS), 1, F.col("depth"))
                          .alias("hierarchy_path")))
 
 
@@ -178,8 +175,7 @@ def article_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def content_responses(spark: SparkSession, d: str) -> DataFrame:
     """Landed content responses: request_key, municipality, content_type_header, body."""
-    # decoding, JSON and hashing of bodies follow: use every core even for a small file
-    doc = spread(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
+    doc = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
     lang = F.col("lang")
     body = F.when(lang == "es", F.encode(F.to_json(F.struct(F.col("text").alias("conteudo"))), "UTF-8")) \
             .otherwise(F.encode("text", "UTF-8"))

@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system; any other failure raises."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_parquet(spark: SparkSession, path, columns: list[str] | None = None, schema=None) -> DataFrame:
     """One path, a directory, or an explicit list of files; optional projection
     (the scan's ReadSchema then holds only those columns)."""
@@ -31,13 +37,10 @@ def read_parquets(spark: SparkSession, base_dir: str, merge_schema: bool = True)
 def list_files(spark: SparkSession, prefix: str, suffix: str | None = None) -> DataFrame:
     """S10 + T7: (path, length, modified) of the files under ``prefix``, sorted by path.
     The binary content column is never read (pruned). A missing prefix gives no rows."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if suffix:
         reader = reader.option("pathGlobFilter", f"*{suffix}")
-    try:
-        df = reader.load(prefix)
-    except (AnalysisException, Py4JJavaError):
+    if not path_exists(spark, prefix):
         return spark.createDataFrame([], "path string, length bigint, modified timestamp")
+    df = reader.load(prefix)
     return df.select("path", "length", F.col("modificationTime").alias("modified")).orderBy("path")

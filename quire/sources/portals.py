@@ -42,11 +42,3 @@ def portals(spark: SparkSession) -> DataFrame:
     """The portal dimension; ``portal_key`` is the 0-based position in ``PORTALS``."""
     rows = [(i, n, d, u) for i, (n, d, u) in enumerate(PORTALS)]
     return F.broadcast(spark.createDataFrame(rows, PORTAL_SCHEMA))
-
-
-def portal(spark: SparkSession, name: str) -> DataFrame:
-    """Lookup by name; an unknown name is an error, as in the original CLI."""
-    names = [p[0] for p in PORTALS]
-    if name not in names:
-        raise ValueError(f"unknown portal {name!r}; available: {', '.join(names)}")
-    return portals(spark).where(F.col("name") == name)

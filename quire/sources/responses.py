@@ -32,8 +32,3 @@ def stream_landed(spark: SparkSession, path: str, max_files_per_trigger: int = 1
     ``max_files_per_trigger`` new files (one crawl batch per file)."""
     return (spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
                  .option("recursiveFileLookup", "true").parquet(path))
-
-
-def align(requests: DataFrame, landed: DataFrame, key: str = "request_key") -> DataFrame:
-    """Requests with their response (NULL body when nothing was landed for a key)."""
-    return requests.join(landed, key, "left")

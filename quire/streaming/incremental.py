@@ -1,16 +1,19 @@
 """Incremental ingest with Structured Streaming.
 
-Landed raw responses (all three phases of a crawl batch) arrive as parquet files in a
-landing folder. A ``readStream`` over that folder with ``maxFilesPerTrigger`` plays the
-role of the fixed-size crawl batches; ``trigger(availableNow=True)`` drains what is
-there and stops. Each micro-batch goes through the same plan as the batch job
-(``quire.plans.ingest.assemble_corpus``) inside ``foreachBatch`` and is written to the
-lake under a batch id derived from the run id and the micro-batch id:
-
-* a replayed micro-batch (after a failure) rewrites exactly its own partitions;
-* content is deduplicated against the whole store with a hash-only anti join, so no
-  unbounded streaming state is kept;
-* empty phases simply produce empty frames (R5).
+Landed raw responses arrive as parquet files in a landing folder, in any grouping: a crawl's
+three phases may come in one file or in many, early or late. A ``readStream`` with
+``maxFilesPerTrigger`` and ``trigger(availableNow=True)`` drains what is there. Each
+micro-batch
+
+1. parses its responses and stores them per phase below ``<lake>/_phases`` (editions, links,
+   content without bodies) under its batch id, and appends new bodies to the content store;
+2. finds the editions it touches: those it lists or has links of, and those that hold a link
+   to content or to an identifier it brings;
+3. assembles these editions from everything stored so far and writes their rows under its
+   batch id. Lake reads take each edition's latest batch, so the new rows replace the old.
+
+The result depends on what has landed, not on how it was grouped. A replayed micro-batch
+rewrites exactly its own partitions; no streaming state is kept.
 """
 
 from __future__ import annotations
@@ -18,66 +21,145 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.charset import charset_of, decode_body, lenient
+from quire.functions.rows import keep_where
 from quire.functions.navtree import extract as extract_links
+from quire.operators import assemble as A
 from quire.operators import content as C
 from quire.operators import editions as E
-from quire.operators.assemble import latest_editions
 from quire.plans.ingest import assemble_corpus
 from quire.sinks import lake
+from quire.sources.files import path_exists
 from quire.sources.responses import RAW_SCHEMA, stream_landed  # noqa: F401  (RAW_SCHEMA re-exported)
 
+PHASE_SCHEMAS = {
+    "editions": "municipality string, edition_id string, publication_date date, edition_number int, supplement boolean, "
+                "edition_type_id int, edition_type_name string, seq bigint, item_index int",
+    "links": "municipality string, edition_id string, article_id string, identifier string, title string, protocol string, "
+             "depth int, hierarchy_path array<string>, seq bigint, pos int",
+    "content": "request_key string, content_type string, reason string, is_blob boolean, content_size bigint, "
+               "char_length bigint, content_hash string, content_path string, inline_text string, seq bigint",
+}
+
+
+def _columns(phase: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in PHASE_SCHEMAS[phase].replace("array<string>", "array").split(",")]
+
 
 def parse_landed(spark: SparkSession, landed: DataFrame):
-    """Split one batch of landed responses by phase and parse each phase."""
-    meta = landed.where(F.col("phase") == "metadata").select("municipality", "request_key", "seq", "body")
+    """Parse each phase of landed responses: (editions, links, split, rejects). Bodies are
+    decoded by the charset of their header; nothing in a body stops the job."""
+    meta = landed.where(F.col("phase") == "metadata").select("municipality", "request_key", "seq", "content_type_header", "body")
     parsed, bad = E.parse_editions(meta, payload="body")
-    editions, _ = E.split_valid(parsed, bad)
-    # the same edition may be listed by more than one payload: the last one wins
-    editions = latest_editions(editions, order=("seq", "item_index")).select(
-        "municipality", "edition_id", "publication_date", "edition_number", "supplement",
-        "edition_type_id", "edition_type_name")
-
-    struct = (landed.where(F.col("phase") == "structure")
-                    .select("municipality", "edition_id", "seq", F.decode("body", "UTF-8").alias("html")))
+    editions, meta_rejects = E.split_valid(parsed, bad)
+
+    with lenient(spark):
+        struct = (landed.where(F.col("phase") == "structure")
+                  .select("municipality", "edition_id", "seq",
+                          decode_body(F.col("body"), charset_of(F.col("content_type_header"))).alias("html")))
     links = extract_links(struct).select("municipality", "edition_id", "article_id", "identifier", "title", "protocol",
-                         F.size("hierarchy_path").alias("depth"), "hierarchy_path", "seq", "pos")
+                                         F.size("hierarchy_path").alias("depth"), "hierarchy_path", "seq", "pos")
 
-    content = landed.where(F.col("phase") == "content").select("request_key", "content_type_header", "body")
+    content = landed.where(F.col("phase") == "content").select("request_key", "content_type_header", "body", "seq")
     split = C.split_inline(C.dispatch(content))
-    return editions, links, split
-
-
-def process_landed(spark: SparkSession, landed: DataFrame, persist: bool = False):
-    """Parse and assemble one batch. With ``persist`` the three parsed frames are cached
-    (the four table writes reuse them instead of re-parsing, and the parse expressions
-    stay in their own stage); the caller unpersists them."""
-    editions, links, split = parse_landed(spark, landed)
-    cached = []
-    if persist:
-        editions, links, split = (x.persist() for x in (editions, links, split))
-        cached = [editions, links, split]
-    return assemble_corpus(spark, editions, links, split, order=("seq", "pos")), split, cached
+    no_id = links.where(F.col("identifier").isNull()).select(
+        "municipality", F.lit("structure").alias("phase"), F.col("article_id").alias("request_key"), F.lit("missing_identifier").alias("reason"))
+    bad_content = keep_where(split, F.col("reason").isNotNull()).select(
+        F.lit(None).cast("string").alias("municipality"), F.lit("content").alias("phase"), "request_key", "reason")
+    rejects = meta_rejects.select("municipality", F.lit("metadata").alias("phase"), "request_key", "reason").unionByName(
+        no_id).unionByName(bad_content)
+    return editions, links, split, rejects
+
+
+def process_landed(spark: SparkSession, landed: DataFrame):
+    """The batch form: parse and assemble one frame of landed responses: (corpus, split)."""
+    editions, links, split, _ = parse_landed(spark, landed)
+    return _assemble(spark, editions, links, split), split
+
+
+def _assemble(spark: SparkSession, editions: DataFrame, links: DataFrame, split: DataFrame):
+    """Of an edition listed more than once the last wins (J2), of content landed more than
+    once for a key likewise."""
+    editions = A.latest_editions(editions, order=("seq", "item_index")).select(*_columns("editions")[:-2])
+    split = A.latest_editions(split.select(*_columns("content")).where("reason is null"), key=("request_key",),
+                              order=("seq", "content_hash", "inline_text"))
+    return assemble_corpus(spark, editions, links, split, order=("seq", "pos", "article_id"))
+
+
+def _store(df: DataFrame, root: str, phase: str, batch_id: str) -> None:
+    (df.select(*_columns(phase)).withColumn("batch_id", F.lit(batch_id)).write.option("compression", "zstd")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").mode("overwrite").parquet(f"{root}/_phases/{phase}"))
+
+
+def read_phase(spark: SparkSession, root: str, phase: str, batch_id: str | None = None) -> DataFrame:
+    """Everything stored of a phase, or what one batch brought."""
+    path = f"{root}/_phases/{phase}"
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], PHASE_SCHEMAS[phase])
+    df = spark.read.schema(PHASE_SCHEMAS[phase] + ", batch_id string").parquet(path)
+    return (df if batch_id is None else df.where(F.col("batch_id") == batch_id)).drop("batch_id")
+
+
+def touched_editions(spark: SparkSession, root: str, batch_id: str) -> DataFrame:
+    """Keys of the editions whose rows a batch can change."""
+    new_links = read_phase(spark, root, "links", batch_id)
+    ids = new_links.select("municipality", "identifier").distinct()
+    landed = read_phase(spark, root, "content", batch_id).select(F.col("request_key").alias("identifier")).distinct()
+    links = read_phase(spark, root, "links").select("municipality", "edition_id", "identifier")
+    return (read_phase(spark, root, "editions", batch_id).select(*A.EDITION_KEY)
+            .unionByName(new_links.select(*A.EDITION_KEY))
+            .unionByName(links.join(ids, ["municipality", "identifier"], "left_semi").select(*A.EDITION_KEY))
+            .unionByName(links.join(landed, "identifier", "left_semi").select(*A.EDITION_KEY)).distinct())
+
+
+def touched_corpus(spark: SparkSession, root: str, batch_id: str):
+    """The touched editions, assembled from all that is stored. An identifier's deepest link
+    is chosen among all its links, also those in other editions; then only the links of
+    touched editions go on."""
+    keys = touched_editions(spark, root, batch_id)
+    links = read_phase(spark, root, "links").where("identifier is not null")
+    ids = links.join(keys, list(A.EDITION_KEY), "left_semi").select("municipality", "identifier").distinct()
+    best = A.dedupe_keep_deepest(links.join(ids, ["municipality", "identifier"], "left_semi"), order=("seq", "pos", "article_id"))
+    content = read_phase(spark, root, "content").join(ids.select(F.col("identifier").alias("request_key")).distinct(),
+                                                      "request_key", "left_semi")
+    editions = read_phase(spark, root, "editions").join(keys, list(A.EDITION_KEY), "left_semi")
+    return _assemble(spark, editions, best.join(keys, list(A.EDITION_KEY), "left_semi"), content)
+
+
+def current_rejects(spark: SparkSession, root: str) -> DataFrame:
+    """P17 + J3: stored rejects of all batches, and links that cannot be used as things
+    stand: their edition is unknown, or no valid content has landed for them."""
+    links = read_phase(spark, root, "links").where("identifier is not null")
+    editions = read_phase(spark, root, "editions").select(*A.EDITION_KEY)
+    valid = read_phase(spark, root, "content").where("reason is null").select(F.col("request_key").alias("identifier"))
+    row = lambda df, reason: df.select("municipality", F.lit("structure").alias("phase"),
+                                       F.col("article_id").alias("request_key"), F.lit(reason).alias("reason"))
+    return (lake.read_table(spark, root, "rejects").select("municipality", "phase", "request_key", "reason")
+            .unionByName(row(A.orphan_articles(links, editions), "orphan"))
+            .unionByName(row(links.join(valid, "identifier", "left_anti"), "missing_content")))
+
+
+def ingest_batch(spark: SparkSession, landed: DataFrame, root: str, batch_id: str, granularity: str = "day") -> dict:
+    """One micro-batch: store its phases, then rewrite the editions it touches."""
+    editions, links, split, rejects = parse_landed(spark, landed)
+    _store(editions, root, "editions", batch_id)
+    _store(links, root, "links", batch_id)
+    _store(split, root, "content", batch_id)
+    n_rejects = lake.write_rejects(rejects, root, batch_id)
+    stats = lake.write_corpus(spark, touched_corpus(spark, root, batch_id), root, batch_id, granularity, content_bodies=split)
+    return stats | {"rejects": n_rejects}
 
 
 def run_incremental(spark: SparkSession, landing_dir: str, lake_root: str, checkpoint_dir: str,
                     run_id: str, max_files_per_trigger: int = 1, granularity: str = "day") -> list[dict]:
     """R1 + R2: drain the landing folder batch by batch into the lake; returns the
-    per-batch row counts (the run summary is their sum)."""
+    per-batch row counts (the run summary is their sum; an edition touched by several
+    batches counts in each)."""
     stats: list[dict] = []
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        batch = batch.persist()
-        cached = []
-        try:
-            corpus, split, cached = process_landed(batch.sparkSession, batch, persist=True)
-            s = lake.write_corpus(batch.sparkSession, corpus, lake_root, f"{run_id}_{epoch_id:06d}", granularity,
-                                  content_bodies=split)
-            s["epoch"] = epoch_id
-            stats.append(s)
-        finally:
-            for c in cached:
-                c.unpersist()
-            batch.unpersist()
+        s = ingest_batch(batch.sparkSession, batch, lake_root, f"{run_id}_{epoch_id:06d}", granularity)
+        stats.append(s | {"epoch": epoch_id})
 
     q = (stream_landed(spark, landing_dir, max_files_per_trigger)
               .writeStream.foreachBatch(handle)
@@ -85,59 +167,3 @@ def run_incremental(spark: SparkSession, landing_dir: str, lake_root: str, check
               .trigger(availableNow=True).start())
     q.awaitTermination()
     return stats
-
-
-def land_from_driver(spark: SparkSession, d: str, out_dir: str, n_batches: int = 3) -> list[str]:
-    """Test/bench fixture: land the driver tables as raw responses, ``n_batches``
-    files, each a complete crawl batch (metadata + structure + content) for the
-    editions whose id falls in it. Structure pages are rebuilt as navigation trees."""
-    from quire.plans.ingest import edition_payloads_landed
-    from quire.sources import driver
-
-    em = driver.edition_municipality(spark, d)
-    meta = (edition_payloads_landed(spark, d).join(em, F.col("request_key") == F.col("edition_id"))
-            .select("municipality", F.lit("metadata").alias("phase"),
-                    F.col("request_key").cast("string").alias("request_key"),
-                    F.col("request_key").cast("string").alias("edition_id"),
-                    F.lit("application/json").alias("content_type_header"),
-                    F.encode("payload", "UTF-8").alias("body"), F.col("request_key").alias("seq")))
-
-    a = driver.articles(spark, d)
-    link = F.concat(F.lit('<li><a class="linkMateria" data-materia-id="'), F.col("article_id").cast("string"),
-                    F.lit('" identificador="'), F.col("identifier").cast("string"),
-                    F.lit('" data-protocolo="'), F.col("protocol"), F.lit('">'), F.col("title"), F.lit("</a></li>"))
-    frag = F.aggregate(F.reverse("hierarchy_path"), link,
-                       lambda acc, x: F.concat(F.lit('<li><span class="folder">'), x, F.lit("</span><ul>"), acc,
-                                               F.lit("</ul></li>")))
-    # one page per edition: its links (at most one gazette's worth) in article order
-    pages = (a.select("edition_id", "article_id", frag.alias("frag"))
-              .groupBy("edition_id")
-              .agg(F.array_sort(F.collect_list(F.struct("article_id", "frag"))).alias("fr"))
-              .select("edition_id", F.concat(F.lit('<html><body><ul id="tree">'),
-                                             F.array_join(F.transform("fr", lambda s: s["frag"]), ""),
-                                             F.lit("</ul></body></html>")).alias("html")))
-    struct = (pages.join(em, "edition_id")
-                   .select("municipality", F.lit("structure").alias("phase"),
-                           F.col("edition_id").cast("string").alias("request_key"),
-                           F.col("edition_id").cast("string").alias("edition_id"),
-                           F.lit("text/html; charset=utf-8").alias("content_type_header"),
-                           F.encode("html", "UTF-8").alias("body"), F.col("edition_id").alias("seq")))
-
-    responses = driver.content_responses(spark, d).drop("municipality")
-    wanted = a.select("edition_id", "identifier").distinct()
-    content = (wanted.join(responses, F.col("identifier") == F.col("request_key"))
-                     .join(em, "edition_id")
-                     .select("municipality", F.lit("content").alias("phase"),
-                             F.col("request_key").cast("string").alias("request_key"),
-                             F.col("edition_id").cast("string").alias("edition_id"),
-                             "content_type_header", "body", F.col("edition_id").alias("seq")))
-    landed = meta.unionByName(struct).unionByName(content).withColumn(
-        "_b", F.pmod(F.col("edition_id").cast("bigint"), F.lit(n_batches)))
-    paths = []
-    for b in range(n_batches):
-        p = f"{out_dir}/b{b:04d}"
-        (landed.where(F.col("_b") == b).drop("_b")
-               .dropDuplicates(["phase", "request_key"])
-               .coalesce(1).write.mode("overwrite").parquet(p))
-        paths.append(p)
-    return paths

@@ -6,6 +6,7 @@ from quire.plans.query import query_articles
 from quire.sinks import lake
 from quire.sources.files import list_files, read_parquets
 from quire.streaming import incremental as INC
+from tests.landing import land_from_driver
 
 KEY_COLS = {
     "editions": ["municipality", "edition_id", "publication_date", "total_articles", "edition_hash"],
@@ -17,37 +18,114 @@ def _rows(df, cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_stream_equals_batch_and_is_idempotent(spark, sf_small, tmp_dir):
-    landing = f"{tmp_dir}/landing"
-    INC.land_from_driver(spark, sf_small, landing, n_batches=2)
-    stats = INC.run_incremental(spark, landing, f"{tmp_dir}/lake", f"{tmp_dir}/ckpt", "t1", granularity="year")
-    assert len(stats) == 2
-
-    # batch mode over the same files, one landed file at a time (dedupe scope = batch)
-    expected = {k: [] for k in KEY_COLS}
-    for f in sorted(p.path for p in list_files(spark, landing, ".parquet").collect()):
-        landed = spark.read.schema(INC.RAW_SCHEMA).parquet(f)
-        corpus, _, _ = INC.process_landed(spark, landed)
-        for k, cols in KEY_COLS.items():
-            expected[k] += _rows(getattr(corpus, k), cols)
+def _stable(spark, root):
+    """The current tables without run columns, as sorted rows."""
+    drop = ("batch_id", "processed_at")
+    return {n: sorted(map(str, lake.read_current(spark, root, n).drop(*drop).collect()))
+            for n in ("editions", "articles", "relationships")} | {
+        "content": sorted(r.content_hash for r in lake.read_table(spark, root, "content").collect()),
+        "rejects": sorted(map(str, INC.current_rejects(spark, root).collect()))}
+
+
+def _landing(spark, sf_small, folder, n=60):
+    """A small crawl: the first editions of the driver tables, all phases, two bad bodies."""
+    land_from_driver(spark, sf_small, folder, n_batches=1)
+    raw = spark.read.schema(INC.RAW_SCHEMA).option("recursiveFileLookup", "true").parquet(folder)
+    rows = [r for r in raw.collect() if int(r.edition_id) % 1500 < n]
+    rows.append(("rj_rio_de_janeiro", "metadata", "bad", None, "application/json", b"{nope", 10**9))
+    rows.append(("rj_rio_de_janeiro", "structure", "late", "999999999", "text/html",
+                 b'<ul id="tree"><li><a class="linkMateria" data-materia-id="1" identificador="x1">t</a></li></ul>', 10**9 + 1))
+    return [tuple(r) for r in rows]
+
+
+def test_result_does_not_depend_on_how_responses_are_grouped(spark, sf_small, tmp_dir):
+    rows = _landing(spark, sf_small, f"{tmp_dir}/all")
+    phase = {p: [r for r in rows if r[1] == p] for p in ("metadata", "structure", "content")}
+    half = len(rows) // 2
+    groupings = {
+        "one file": [rows],
+        "one per phase": [phase["metadata"], phase["structure"], phase["content"]],
+        "phases in reverse, ten files at once": [phase["content"], phase["structure"], phase["metadata"]],
+        "halves": [rows[half:], rows[:half]],
+    }
+    want = None
+    for k, (name, groups) in enumerate(groupings.items()):
+        land, root = f"{tmp_dir}/land{k}", f"{tmp_dir}/lake{k}"
+        for i, g in enumerate(groups):
+            spark.createDataFrame(g, INC.RAW_SCHEMA).coalesce(1).write.parquet(f"{land}/f{i}")
+        stats = INC.run_incremental(spark, land, root, f"{tmp_dir}/ck{k}", "t", max_files_per_trigger=10 if k == 2 else 1,
+                                    granularity="year")
+        assert len(stats) == (1 if k == 2 else len(groups))
+        got = _stable(spark, root)
+        assert got["articles"] and got["content"] and any("invalid_json" in r for r in got["rejects"])
+        assert any("orphan" in r for r in got["rejects"])
+        want = want or got
+        assert got == want, name
+        # a drained stream adds nothing; a replayed batch changes nothing
+        assert INC.run_incremental(spark, land, root, f"{tmp_dir}/ck{k}", "t", granularity="year") == []
+    landed = spark.createDataFrame(rows, INC.RAW_SCHEMA)
+    INC.ingest_batch(spark, landed, f"{tmp_dir}/lake0", "t_000000", "year")
+    assert _stable(spark, f"{tmp_dir}/lake0") == want
+    corpus, _ = INC.process_landed(spark, landed)  # the batch form agrees
     for k, cols in KEY_COLS.items():
-        got = _rows(lake.read_table(spark, f"{tmp_dir}/lake", k), cols)
-        assert got == sorted(expected[k]), k
-    assert sum(s["articles"] for s in stats) == len(expected["articles"])
-    summary = lake.run_summary(stats)
-    assert summary["batches"] == 2 and summary["articles"] == len(expected["articles"])
-    assert summary["articles_per_s"] > 0
-
-    # content is stored once per hash across batches
-    content = lake.read_table(spark, f"{tmp_dir}/lake", "content")
-    assert content.count() == content.select("content_hash").distinct().count()
-
-    # a drained stream re-run adds nothing; the stats table sees all four tables
-    assert INC.run_incremental(spark, landing, f"{tmp_dir}/lake", f"{tmp_dir}/ckpt", "t1",
-                               granularity="year") == []
-    st = {r.table: r for r in lake.storage_stats(spark, f"{tmp_dir}/lake").collect()}
-    assert set(st) == {"editions", "articles", "relationships", "content"}
-    assert st["articles"].rows == len(expected["articles"])
+        assert _rows(getattr(corpus, k), cols) == _rows(lake.read_current(spark, f"{tmp_dir}/lake0", k), cols)
+    summary = lake.run_summary([{"editions": 2, "articles": 4, "seconds": 2.0}])
+    assert summary["batches"] == 1 and summary["articles_per_s"] == 2
+
+
+def test_recrawl_replaces_rows_and_reports_count_once(spark, sf_small, tmp_dir):
+    from quire.plans import catalog
+    rows = _landing(spark, sf_small, f"{tmp_dir}/all", n=40)
+    once, twice = f"{tmp_dir}/once", f"{tmp_dir}/twice"
+    landed = spark.createDataFrame(rows, INC.RAW_SCHEMA)
+    INC.ingest_batch(spark, landed, once, "b1", "year")
+    INC.ingest_batch(spark, landed, twice, "b1", "year")
+    INC.ingest_batch(spark, landed, twice, "b2", "year")  # the same crawl again
+    assert lake.read_table(spark, twice, "editions").count() == 2 * lake.read_table(spark, once, "editions").count()
+    q = catalog.queries()
+    for name in ("corpus_overview", "articles_per_year", "articles_by_type", "supplement_stats"):
+        a, b = (sorted(map(str, q[name](spark, f"lake:{r}").collect())) for r in (once, twice))
+        assert a == b, name
+
+
+def test_empty_lake_reads_have_the_schema(spark, tmp_dir):
+    for name in ("editions", "articles", "relationships", "content", "rejects"):
+        df = lake.read_current(spark, f"{tmp_dir}/none", name)
+        assert df.count() == 0 and "prefix" in df.columns or "batch_id" in df.columns
+    assert query_articles(lake.read_current(spark, f"{tmp_dir}/none", "articles"), municipality="x", start_date="2020-01-01").count() == 0
+
+
+def test_hot_partition_value_is_split_by_size(spark, tmp_dir):
+    df = spark.range(60000).select(F.lit("m").alias("municipality"), F.lit(2020).alias("year"), F.lit("b").alias("batch_id"),
+                                   F.sha2(F.col("id").cast("string"), 512).alias("x"))
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        lake._writer(df.repartition(8), ["municipality", "year", "batch_id"]).mode("overwrite").parquet(f"{tmp_dir}/hot")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert list_files(spark, f"{tmp_dir}/hot", ".parquet").count() > 1
+    assert spark.read.parquet(f"{tmp_dir}/hot").count() == 60000
+
+
+def test_store_that_cannot_be_read_raises_and_migrate_keeps_prefixes(spark, tmp_dir):
+    import os
+    import pytest
+    from quire.operators import content as C
+    body = next(("x%d" % i * 3000).encode() for i in range(999)
+                if __import__("hashlib").sha256(("x%d" % i * 3000).encode()).hexdigest().startswith("0"))
+    split = C.split_inline(C.dispatch(spark.createDataFrame([("a", "text/plain", body)],
+                                                            "request_key string, content_type_header string, body binary")))
+    lake.append_content(spark, split, f"{tmp_dir}/a")
+    report = {r["table"]: r for r in lake.migrate(spark, f"{tmp_dir}/a", f"{tmp_dir}/b")}
+    assert report["content"]["ok"] and report["content"]["rows"] == 1 and not report["editions"]["ok"]
+    assert sorted(x for x in os.listdir(f"{tmp_dir}/b/content") if "=" in x) == sorted(
+        x for x in os.listdir(f"{tmp_dir}/a/content") if "=" in x)
+    os.makedirs(f"{tmp_dir}/bad/content/prefix=00")
+    with open(f"{tmp_dir}/bad/content/prefix=00/part-0.parquet", "wb") as f:
+        f.write(b"not parquet")
+    with pytest.raises(Exception):
+        lake.append_content(spark, split, f"{tmp_dir}/bad")
 
 
 def test_rewrite_same_batch_is_idempotent_and_pruning(spark, sf_small, tmp_dir):
@@ -90,14 +168,14 @@ def test_empty_phases_keep_editions(spark, sf_small, tmp_dir):
     """R5 + D6: a batch whose structure and content phases are empty still yields its
     editions (zero articles) and nothing else."""
     landing = f"{tmp_dir}/landing"
-    INC.land_from_driver(spark, sf_small, landing, n_batches=1)
+    land_from_driver(spark, sf_small, landing, n_batches=1)
     landed = spark.read.schema(INC.RAW_SCHEMA).option("recursiveFileLookup", "true").parquet(landing)
     meta_only = landed.where(F.col("phase") == "metadata")
-    corpus, split, _ = INC.process_landed(spark, meta_only)
+    corpus, _ = INC.process_landed(spark, meta_only)
     n_meta = meta_only.count()
     assert corpus.editions.count() == n_meta
     assert corpus.editions.where(F.col("total_articles") != 0).count() == 0
-    assert corpus.articles.count() == 0 and corpus.content.count() == 0
+    assert corpus.articles.count() == 0
     empty = landed.limit(0)
-    corpus2, _, _ = INC.process_landed(spark, empty)
+    corpus2, _ = INC.process_landed(spark, empty)
     assert corpus2.editions.count() == 0 and corpus2.articles.count() == 0
