@@ -19,6 +19,7 @@ def queries() -> dict[str, QueryFn]:
         "corpus_overview": CR.corpus_overview,
         "by_type": CR.by_type,
         "by_year": CR.by_year,
+        "by_quarter": CR.by_quarter,
         "by_month": CR.by_month,
         "by_weekday_zero_filled": CR.by_weekday_zero_filled,
         "monthly_series": CR.monthly_series,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.dates import iso_weekday, year_month
+from quire.functions.dates import iso_weekday, quarter, year_month
 from quire.functions.text import ellipsize, gib, kib, mib, path_label, round_half_up
 from quire.sources import driver
 
@@ -90,6 +90,13 @@ def by_year(spark: SparkSession, d: str) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("count")).orderBy("year"))
 
 
+def by_quarter(spark: SparkSession, d: str) -> DataFrame:
+    """Editions per year and quarter."""
+    e = driver.editions(spark, d)
+    return (e.groupBy(F.year("publication_date").alias("year"), quarter("publication_date").alias("quarter"))
+             .agg(F.count(F.lit(1)).alias("count")))
+
+
 def by_month(spark: SparkSession, d: str) -> DataFrame:
     """A5: seasonality across all years."""
     e = driver.editions(spark, d)

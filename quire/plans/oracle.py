@@ -95,6 +95,10 @@ SQL["by_year"] = _with(EDITIONS) + """
 SELECT CAST(year(publication_date) AS INTEGER) AS year, count(*) AS count
 FROM editions GROUP BY 1 ORDER BY 1"""
 
+SQL["by_quarter"] = _with(EDITIONS) + """
+SELECT CAST(year(publication_date) AS INTEGER) AS year, CAST(quarter(publication_date) AS INTEGER) AS quarter, count(*) AS count
+FROM editions GROUP BY 1, 2"""
+
 SQL["by_month"] = _with(EDITIONS) + """
 SELECT CAST(month(publication_date) AS INTEGER) AS month, count(*) AS count
 FROM editions GROUP BY 1 ORDER BY 1"""
