@@ -2,9 +2,10 @@
 
 The patterns (email, ip, card, phone) give the base spans. The field labels every token that
 holds a digit or an at sign: unary potentials come from the token's shape, chain potentials
-from its neighbour, and skip potentials tie tokens of a document that repeat or carry the
-same digits, however far apart. Loopy message passing then settles one label for all of
-them; a token that ends up as personal data without a base span is added.
+from its neighbour, and skip potentials tie every token that repeats, or carries the same
+digits, to one hub variable for all its places in the document, however far apart and however
+the digits are cut into tokens. Message passing until nothing moves then settles one label for
+all of them; a token that ends up as personal data without a base span is added.
 
 All potentials are trained here, piece by piece, from the base spans of the corpus itself:
 one pass counts shapes, neighbouring pairs and skip pairs by label (a table of bounded size).
@@ -12,7 +13,9 @@ one pass counts shapes, neighbouring pairs and skip pairs by label (a table of b
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
 THRESHOLD = 0.95  # belief from which a token is added
 SKIP_DIGITS = 7  # tokens of that many equal digits share a potential
-ROUNDS = 30
+RUN_DIGITS = 19  # a base span of digits has no more, so no longer run of tokens can equal one
+SLOW = 100  # rounds of message passing after which the steps are halved, and so on: it always ends
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -35,6 +39,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
+_NO_DIGIT = re.compile(r"[^0-9]")
 _WORD = re.compile(r"[^ \t-\r]+")
 
 
@@ -114,21 +119,93 @@ class Graph:
                     self.label[i] = LABELS.index(ordered[k][2])
                     break
                 k += 1
-        edges, last = [], {}
+        edges, last, places = [], {}, {}
+        digits = [_NO_DIGIT.sub("", t) for t in tokens]
         for i, t in enumerate(tokens):
             if i and self.spans[i][2] == self.spans[i - 1][2] + 1:
                 edges.append((i - 1, i, 0))
-            digits = re.sub(r"[^0-9]", "", t)
-            key = digits if len(digits) >= SKIP_DIGITS and "@" not in t else t.strip(".,;:!?()[]{}\"'<>").lower()
+            key = digits[i] if len(digits[i]) >= SKIP_DIGITS and "@" not in t else t.strip(".,;:!?()[]{}\"'<>").lower()
             if key in last and not (last[key] == i - 1 and edges and edges[-1][:2] == (i - 1, i)):
-                edges.append((last[key], i, 1))  # to the occurrence before: linear, yet all are connected
+                edges.append((last[key], i, 1))  # the pairs that the skip potentials are counted from
             last[key] = i
+            places.setdefault(key, set()).add((i, i))
         self.edges = np.array(edges, np.int64).reshape(-1, 3)
-
-
-def beliefs(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+        self._runs(tokens, digits, places)
+        self._base(text, ordered, places)
+        self.hubs = self._hubs(places)
+
+    def _runs(self, tokens: list[str], digits: list[str], places: dict) -> None:
+        """Runs of neighbouring tokens of digits (no letters), by all their digits."""
+        plain = [not any(c.isalpha() or c == "@" for c in t) for t in tokens]
+        for i in range(len(tokens)):
+            run, j = digits[i], i
+            while (plain[i] and j + 1 < len(tokens) and plain[j + 1] and self.spans[j + 1][2] == self.spans[j][2] + 1
+                   and len(run) + len(digits[j + 1]) <= RUN_DIGITS):
+                j += 1
+                run += digits[j]
+                if len(run) >= SKIP_DIGITS:
+                    places.setdefault(run, set()).add((i, j))
+
+    def _base(self, text: str, ordered: list, places: dict) -> None:
+        """Whole base spans by their digits."""
+        starts = [a for a, _, _ in self.spans]
+        for a, b, kind in ordered:
+            run = _NO_DIGIT.sub("", text[a:b])
+            if kind != "email" and len(run) >= SKIP_DIGITS:
+                places.setdefault(run, set()).add((bisect_right(starts, a) - 1, bisect_left(starts, b) - 1))
+
+    @staticmethod
+    def _hubs(places: dict) -> list[tuple[bool, list[tuple[int, int]]]]:
+        """(identifying, places as first and last token) of every key with two places or more.
+        A place of digits is also one of every key that its digits end with; a key all of
+        whose places lie within those of one longer key says nothing new and is left out."""
+        identity = lambda key: len(key) >= SKIP_DIGITS and not _NO_DIGIT.search(key)
+        all_of = {key: set(at) for key, at in places.items()}
+        ends: list[str] = []  # keys in reverse that the one at hand starts with
+        for back in sorted(key[::-1] for key in places if identity(key)):
+            while ends and not back.startswith(ends[-1]):
+                ends.pop()
+            for shorter in ends:
+                all_of[shorter[::-1]] |= places[back[::-1]]
+            ends.append(back)
+        hubs, cover = [], {}
+        for key in sorted(all_of, key=lambda k: (-len(k), k)):
+            at, end = [], -1
+            for i, j in sorted(all_of[key], key=lambda p: (p[1], -p[0])):  # the narrowest, without overlap
+                if i > end:
+                    at.append((i, j))
+                    end = j
+            if len(at) < 2:
+                continue
+            within = None
+            for i, j in at if identity(key) else ():
+                over = {h for a, b, h in cover.get(j, ()) if a <= i and j <= b}
+                within = over if within is None else within & over
+                if not within:
+                    break
+            if within:
+                continue
+            for i, j in at if identity(key) else ():
+                for t in range(i, j + 1):
+                    cover.setdefault(t, []).append((i, j, len(hubs)))
+            hubs.append((identity(key) or "@" in key, at))
+        return hubs
+
+    def skip_edges(self) -> tuple[np.ndarray, list[set]]:
+        """Edges from hub (numbered after the tokens) to token, and the labels that the base
+        spans give to each hub: the place of an identifying key has its tokens' one label."""
+        edges, known = [], []
+        for h, (identifying, at) in enumerate(self.hubs):
+            edges += [(len(self.spans) + h, t, 1) for i, j in at for t in range(i, j + 1)]
+            labels = [set(self.label[i:j + 1].tolist()) for i, j in at] if identifying else []
+            known.append({y for s in labels if len(s) == 1 for y in s if y})
+        return np.array(edges, np.int64).reshape(-1, 3), known
+
+
+def beliefs(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int | None = None) -> np.ndarray:
     """Marginals of a pairwise model by loopy sum-product (exact on trees). ``edges``: rows
-    (i, j, kind); ``pair[kind][label i, label j]``: log potentials."""
+    (i, j, kind); ``pair[kind][label i, label j]``: log potentials. Without ``rounds`` it goes
+    on until no message moves; steps get shorter where the messages keep swinging."""
     total = unary.copy()
     if len(edges):
         n = len(edges)
@@ -136,13 +213,14 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
         back = np.concatenate((np.arange(n, 2 * n), np.arange(n)))
         pots = np.concatenate((pair[edges[:, 2]], pair[edges[:, 2]].transpose(0, 2, 1)))
         msg = np.zeros((2 * n, unary.shape[1]))
-        for _ in range(max(rounds, 1)):
+        for turn in itertools.count() if rounds is None else range(max(rounds, 1)):
             total = unary.copy()
             np.add.at(total, dst, msg)
             new = np.logaddexp.reduce((total[src] - msg[back])[:, :, None] + pots, axis=1)
             new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
-            step = np.abs(new - msg).max()
-            msg = new if step < 1e-6 else (msg + new) / 2
+            part = 0.5 ** (1 + turn // SLOW)
+            step = np.abs(new - msg).max() * part * 2
+            msg = new if step < 1e-6 and turn < SLOW else msg + (new - msg) * part
             if step < 1e-6:
                 break
         total = unary.copy()
@@ -172,6 +250,7 @@ class Model:
         # how much more often two labels meet on an edge than apart (symmetric for skips)
         pair[1] = (pair[1] + pair[1].T) / 2
         pair /= pair.sum((1, 2), keepdims=True)
+        self.hub = np.log(pair[1].sum(1))
         self.pair = np.log(pair) - np.log(pair.sum(2, keepdims=True)) - np.log(pair.sum(1, keepdims=True))
 
     def unary(self, g: Graph, clamp: float = 12.0) -> np.ndarray:
@@ -181,13 +260,25 @@ class Model:
         u[known, g.label[known]] = 0.0
         return u
 
+    def settle(self, g: Graph, clamp: float = 12.0) -> np.ndarray:
+        """Beliefs of the tokens. A hub that base spans label is observed: no number of places
+        that look otherwise outvotes them."""
+        skips, known = g.skip_edges()
+        hubs = np.tile(self.hub, (len(known), 1))
+        for h, labels in enumerate(known):
+            if labels:
+                hubs[h] = -1e6
+                hubs[h, list(labels)] = 0.0
+        edges = np.concatenate((g.edges[g.edges[:, 2] == 0], skips))
+        return beliefs(np.concatenate((self.unary(g, clamp), hubs)), edges, self.pair)[:len(g.spans)]
+
 
 def added_spans(text: str, base: list[tuple[int, int, str]], model: Model, threshold: float = THRESHOLD):
     """Spans that the field adds to the base spans; neighbouring tokens of one label join."""
     g = Graph(text, base)
     if not len(g.spans) or (g.label > 0).all():
         return []
-    p = beliefs(model.unary(g), g.edges, model.pair)
+    p = model.settle(g)
     best = p.argmax(1)
     out, last = [], -2
     for i in np.flatnonzero((g.label == 0) & (best > 0) & (p.max(1) >= threshold)):

@@ -94,3 +94,34 @@ def test_rows_nulls_and_training(spark, frame):
     assert find(df.where("false")).count() == 0
     assert mask("ab cd", [(0, 2, "ip"), (1, 4, "card")]) == "[IP]d"
     assert LABELS[0] == "other"
+
+
+def phones():
+    """As a corpus of phone numbers that mostly repeat as they are would train it."""
+    rows = [(0, shape(t), 4, 900) for t in ("+1", "(017)", "555-7713")]
+    return Model([*rows, (0, shape("7"), 0, 5000), (0, shape("0175557713"), 0, 60), (0, shape("017-555-7713"), 0, 60),
+                  (0, shape("017"), 0, 500), (1, 4, 4, 600), (1, 0, 0, 300), (2, 4, 4, 2000), (2, 0, 0, 2000)])
+
+
+def test_skip_links_cross_token_borders():
+    for other in ("017-555-7713", "0175557713", "10175557713", "(017) 555-7713"):
+        text = f"call +1 (017) 555-7713 now {'word ' * 50}or {other} later"
+        at = text.index(other, 30)
+        got = added_spans(text, base_spans(text), phones())
+        assert any(k == "phone" and a < at + len(other) and b >= at + len(other) for a, b, k in got), other
+    g = Graph("+10175557713 a 0175557713 b 5557713 c 8880175557713", [])
+    assert sorted(len(at) for _, at in g.hubs) == [3, 4]  # by suffix; the longest have one place
+    assert Graph("+1 (017) 555-7713 a 12 b", []).hubs == []
+
+
+def test_all_mentions_are_tied_to_the_only_base_span():
+    other, n = "017-555-7713", 200
+    for text in ("+1 (017) 555-7713 a " + f"{other} b " * n, f"{other} b " * n + "a +1 (017) 555-7713"):
+        got = [x for x in added_spans(text, base_spans(text), phones()) if x[2] == "phone"]
+        assert len(got) == n
+    one = beliefs(np.log([[.5, .5], [.5, .5]]), np.array([(0, 1, 0)]), np.log([[[.9, .1], [.1, .9]]]))
+    assert np.abs(one - .5).max() < 1e-9
+    chain = np.array([(i, i + 1, 0) for i in range(80)])
+    u = np.zeros((81, 2))
+    u[0, 0] = -9
+    assert beliefs(u, chain, np.log([[[.999, .001], [.001, .999]]]))[80, 1] > .9  # 80 hops
