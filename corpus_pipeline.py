@@ -38,9 +38,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 words and their bins."""
-    p = packing.pack(docs)
-    return p.select("doc_id", "source", "cluster", "piece", "piece_words", "bin_id", "bin_words")
+    """Pieces of at most 2048 words with their texts, and their bins; ``row`` tells the copies
+    of a document apart."""
+    return packing.pack(docs)
 
 
 STAGES = [
@@ -62,3 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
+
+
+def write_bins(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Run all stages and write the packed sequences, one row per bin, as Parquet in ``path``."""
+    packing.bins(run(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)

@@ -12,6 +12,8 @@ its own, so neither a hot source nor a large cluster of copies meets in one task
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,7 +81,23 @@ def best_fit(size: np.ndarray, source: np.ndarray, cluster: np.ndarray, capacity
 
 
 _OUT = ("doc_id bigint, source string, cluster bigint, row bigint, piece int, piece_words bigint, "
-        "bin_id bigint, bin_words bigint")
+        "start bigint, end bigint, bin_id bigint, bin_words bigint")
+_WORD = re.compile(r"[^ \t-\r]+")  # as words_array has them
+
+
+def _tiles(capacity: int):
+    """Code points at which a text is cut: its start, and every word after a full piece."""
+    @F.pandas_udf("array<bigint>")
+    def cuts(texts: pd.Series) -> pd.Series:
+        def one(t):
+            return t and [0, *(m.start() for i, m in enumerate(_WORD.finditer(t)) if i and i % capacity == 0)]
+        return texts.map(one, na_action="ignore")
+
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [t[a:b] for a, b in zip(c, [*c[1:], None], strict=True)]
+                          for t, c in zip(texts, at, strict=True)], dtype=object)
+    return cuts, parts
 
 
 def _pack_chunk(capacity: int, per_source: int):
@@ -99,11 +117,14 @@ def _pack_chunk(capacity: int, per_source: int):
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          cluster: Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE,
-         chunk: int = CHUNK) -> DataFrame:
-    """One row per piece: ``doc_id, source, cluster, row, piece, piece_words, bin_id, bin_words``.
+         chunk: int = CHUNK, texts: bool = True) -> DataFrame:
+    """One row per piece: ``doc_id, source, cluster, row, piece, piece_words, start, end, bin_id,
+    bin_words``, and with ``texts`` the piece's ``text``.
 
     A text of more than ``capacity`` words is cut into pieces of ``capacity`` words and a
-    rest; other texts are one piece (number 0). ``cluster`` is the duplicate cluster (the
+    rest; other texts are one piece (number 0). A piece is the code points from ``start`` to
+    before ``end``, up to the next piece's first word: the pieces of a row, one after the
+    other, are its text. ``cluster`` is the duplicate cluster (the
     text's XXH64 by default: exact copies); no bin holds two pieces of one cluster or more
     than ``per_source`` of one source (null is a source). A null or blank text is a piece of
     no words with a null bin. ``row`` tells equal rows apart. An empty table gives an empty
@@ -113,21 +134,41 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     if capacity < 1 or per_source < 1:
         raise ValueError("capacity and per_source must be positive")
     text = F.col(f"`{text_col}`")
-    rows = materialize(docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
+    cuts, parts = _tiles(capacity)
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), text.alias("text"),
         (F.xxhash64(text) if cluster is None else cluster).cast("bigint").alias("cluster"),
-        F.size(words_array(text)).cast("bigint").alias("words"), F.monotonically_increasing_id().alias("row")), "sizes")
+        F.size(words_array(text)).cast("bigint").alias("words"), F.monotonically_increasing_id().alias("row"))
+    # Python sees the texts that are cut, no others
+    long = F.when(F.col("words") > capacity, F.col("text"))
+    rows = rows.withColumn("n", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")).withColumn(
+        "cuts", F.coalesce(cuts(long), F.array(F.lit(0).cast("bigint"))))
+    if texts:
+        rows = rows.withColumn("texts", F.coalesce(parts(long, F.col("cuts")), F.array("text")))
     # the code of a null cluster: a cluster of its own for every row
-    rows = rows.withColumn("cluster", F.coalesce("cluster", F.xxhash64("row")))
-    n = rows.agg(F.sum(F.greatest(F.ceil(F.col("words") / capacity), F.lit(1)))).first()[0] or 0
-    chunks = max(1, -(-int(n) // chunk))
-    last = F.greatest(F.ceil(F.col("words") / capacity) - 1, F.lit(0)).cast("int")
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn(
-        "piece_words", F.least(F.lit(capacity), F.col("words") - F.col("piece") * F.lit(capacity)).cast("bigint"))
-    packed = (pieces.where("piece_words > 0")
+    rows = rows.withColumn("cluster", F.coalesce("cluster", F.xxhash64("row"))).drop("text")
+    at = F.col("piece")
+    pieces = rows.select("*", F.posexplode("cuts").alias("piece", "start")).select(
+        "doc_id", "source", "cluster", "row", "piece",
+        F.least(F.lit(capacity), F.col("words") - at * F.lit(capacity)).cast("bigint").alias("piece_words"),
+        "start", F.coalesce(F.get("cuts", at + 1), F.col("n")).alias("end"),
+        *([F.get("texts", at).alias("text")] if texts else []))
+    pieces = materialize(pieces, "pieces")
+    keys = pieces.drop("text")
+    chunks = max(1, -(-keys.count() // chunk))
+    packed = (keys.where("piece_words > 0")
               .withColumn("chunk", F.pmod(F.xxhash64("row", "piece"), F.lit(chunks)))
               .groupBy("chunk").applyInPandas(_pack_chunk(capacity, per_source), _OUT))
-    none = pieces.where("piece_words = 0").select(
-        "doc_id", "source", "cluster", "row", "piece", "piece_words", F.lit(None).cast("bigint").alias("bin_id"),
-        F.lit(None).cast("bigint").alias("bin_words"))
-    return packed.unionByName(none)
+    none = keys.where("piece_words = 0").select(
+        "*", F.lit(None).cast("bigint").alias("bin_id"), F.lit(None).cast("bigint").alias("bin_words"))
+    out = packed.unionByName(none)
+    return out.join(pieces.select("row", "piece", "text"), ["row", "piece"]).select(*out.columns, "text") if texts else out
+
+
+def bins(packed: DataFrame) -> DataFrame:
+    """The packed sequences, one row per bin: ``bin_id, bin_words, pieces`` (each with its
+    ``doc_id, row, piece, start, end, text``, by row and piece). Takes what `pack` returns
+    with texts; wordless texts are in no bin."""
+    piece = F.struct("row", "piece", "doc_id", "source", "start", "end", "piece_words", "text")
+    return (packed.where("bin_id is not null").groupBy("bin_id")
+            .agg(F.first("bin_words").alias("bin_words"), F.sort_array(F.collect_list(piece)).alias("pieces")))

@@ -44,7 +44,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins of 2048 words; no bin holds two exact copies or more than two pieces of a source."""
-    p = pack(table(spark, sf_dir, "documents"))
+    p = pack(table(spark, sf_dir, "documents"), texts=False)
     return p.select("doc_id", "source", "cluster", "piece", "piece_words", "bin_id", "bin_words")
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm.packing import best_fit, pack
+from quire.llm.packing import best_fit, bins, pack
 
 
 def slow_best_fit(size, source, cluster, capacity, per_source):
@@ -71,3 +71,28 @@ def test_pieces_constraints_and_fill(spark, frame):
     need = max(-(-words // 200), 503, -(-sum(r[3] == "hot" for r in rows) // 2))
     assert b["bin_id"].nunique() <= 1.25 * need
     assert pack(df.where("false")).count() == 0
+
+
+def test_pieces_hold_the_texts_of_every_copy(spark, frame):
+    long = "  é\t" + " \n ".join(f"wörd{i}" for i in range(23)) + " \x0b"
+    rows = [(1, long, "en", "a"), (1, long, "en", "a"), (2, " one two ", "en", "b"), (3, None, "en", "b"), (4, " ", "en", "b"), (5, "", "en", "b"),
+            (6, " ".join("x" * 20), "en", None)]
+    for texts in (True, False):
+        p = pack(frame(rows), capacity=10, texts=texts).toPandas().sort_values(["row", "piece"])
+        assert len(p) == 3 + 3 + 1 + 3 + 2 and ("text" in p) == texts
+        got = []
+        for _, g in p.groupby("row"):
+            own = next(t for i, t, *_ in rows if i == g["doc_id"].iloc[0]) or ""
+            cut = [own[a:b] for a, b in zip(g["start"], g["end"])]
+            assert "".join(cut) == own and [len(c.split()) for c in cut] == list(g["piece_words"])
+            if texts and g["doc_id"].iloc[0] != 3:
+                assert list(g["text"]) == cut
+            got.append(own)
+        assert sorted(got) == sorted(t or "" for _, t, *_ in rows)
+
+
+def test_bins_are_whole_sequences(spark, frame):
+    rows = [(i, " ".join(f"t{i}_{j}" for j in range(3 + i % 40)), "en", f"s{i % 9}") for i in range(200)]
+    made = bins(pack(frame(rows), capacity=64)).collect()
+    assert sorted(p.text for b in made for p in b.pieces) == sorted(t for _, t, *_ in rows)
+    assert all(b.bin_words == sum(len(p.text.split()) for p in b.pieces) <= 64 for b in made)

@@ -75,3 +75,14 @@ def test_stages_against_brute_force(spark, tmp_dir):
 def test_run_is_repeatable_and_takes_an_empty_table(spark, tmp_dir):
     write_documents(spark, tmp_dir + "/e", rows()[:0])
     assert corpus_pipeline.run(spark, tmp_dir + "/e").count() == 0
+
+
+def test_run_ends_in_the_texts(spark, tmp_dir):
+    data = [(i, " ".join(f"w{i * 7 + j * j % 97}" for j in range(40)).capitalize() + ". Mail a@b.example.com now.", "en",
+             "abc"[i % 3], None) for i in range(30)]
+    write_documents(spark, tmp_dir + "/t", data)
+    made = corpus_pipeline.write_bins(spark, tmp_dir + "/t", tmp_dir + "/bins").collect()
+    pieces = [p for b in made for p in b.pieces]
+    assert pieces and len({(p.row, p.piece) for p in pieces}) == len(pieces)
+    assert len({p.doc_id for p in pieces}) < len(pieces)  # copies of the mix
+    assert all("[EMAIL]" in p.text and "@" not in p.text for p in pieces)
