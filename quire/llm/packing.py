@@ -7,7 +7,9 @@ piece's size and goes on, block by block, until such a bin is found; if there is
 bin is opened. Pieces are taken in decreasing size.
 
 Pieces are dealt by hash to chunks of bounded expected size, and each chunk is packed on
-its own, so neither a hot source nor a large cluster of copies meets in one task.
+its own, so neither a hot source nor a large cluster of copies meets in one task. The pieces of
+bins that stay underfilled are then dealt to fewer chunks and packed again, pass by pass, until
+one chunk holds them all or a pass saves next to nothing.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize, prepare, words_array
+from quire.llm.simhash import simhash_groups
 
 CAPACITY = 2048  # words in a bin
 PER_SOURCE = 2  # pieces of one source that a bin takes at most
 CHUNK = 4096  # pieces packed together
+FULL = 0.95  # share of the capacity from which a bin is not packed again
+GAIN = 0.01  # share of the underfilled bins that a pass must save for another one to follow
 BLOCK = 256  # bins that one step of the search looks at
 
 
@@ -100,7 +105,7 @@ def _tiles(capacity: int):
     return cuts, parts
 
 
-def _pack_chunk(capacity: int, per_source: int):
+def _pack_chunk(capacity: int, per_source: int, first: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["piece_words", "cluster", "row", "piece"], ascending=[False, True, True, True],
                               ignore_index=True)
@@ -109,15 +114,51 @@ def _pack_chunk(capacity: int, per_source: int):
         code = np.where(times > 1, np.cumsum(times > 1) - 1, -1)  # bits only for clusters that meet here
         bins = best_fit(pdf["piece_words"].to_numpy(), source, code[inverse], capacity, per_source)
         used = np.bincount(bins, weights=pdf["piece_words"]).astype(np.int64)
-        pdf["bin_id"] = (int(key[0]) << 32) + bins
+        pdf["bin_id"] = (first + int(key[0]) << 32) + bins
         pdf["bin_words"] = used[bins]
         return pdf[[c.split()[0] for c in _OUT.split(", ")]]
     return run
 
 
+def _pack_level(pieces: DataFrame, n: int, chunk: int, capacity: int, per_source: int, level: int, first: int) -> DataFrame:
+    deal = F.xxhash64("row", "piece") if level == 0 else F.xxhash64(F.lit(level), F.col("row"), F.col("piece"))
+    return materialize(pieces.withColumn("chunk", F.pmod(deal, F.lit(max(1, -(-n // chunk)))))
+                       .groupBy("chunk").applyInPandas(_pack_chunk(capacity, per_source, first), _OUT), f"packed{level}")
+
+
+def _pack_all(pieces: DataFrame, n: int, chunk: int, capacity: int, per_source: int) -> DataFrame:
+    """Chunks, then passes over the pieces of underfilled bins; a pass that saves no bin is dropped."""
+    packed, level, first, settled = _pack_level(pieces, n, chunk, capacity, per_source, 0, 0), 0, 0, []
+    while n > chunk and level < 100:
+        level, first = level + 1, first + -(-n // chunk)  # chunks of all passes are numbered on
+        rest = F.col("bin_words") < FULL * capacity
+        under = packed.where(rest)
+        n, before = under.agg(F.count(F.lit(1)), F.count_distinct("bin_id")).first()
+        if not n:
+            break
+        again = _pack_level(under.drop("bin_id", "bin_words"), n, chunk, capacity, per_source, level, first)
+        after = again.agg(F.count_distinct("bin_id")).first()[0]
+        if after >= before:
+            break
+        settled.append(packed.where(~rest))
+        packed = again
+        if before - after < GAIN * before:
+            break
+    for s in settled:
+        packed = packed.unionByName(s)
+    return packed
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """``doc_id, text_hash, cluster`` of every document: the class of its near copies, as the
+    smallest fingerprint of its SimHash component."""
+    g = simhash_groups(docs, id_col, text_col, **params)
+    return materialize(g.groupBy("doc_id", "text_hash").agg(F.min("root").alias("cluster")), "near-copies")
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
          cluster: Column | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE,
-         chunk: int = CHUNK, texts: bool = True) -> DataFrame:
+         chunk: int = CHUNK, texts: bool = True, classes: DataFrame | None = None) -> DataFrame:
     """One row per piece: ``doc_id, source, cluster, row, piece, piece_words, start, end, bin_id,
     bin_words``, and with ``texts`` the piece's ``text``.
 
@@ -125,7 +166,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rest; other texts are one piece (number 0). A piece is the code points from ``start`` to
     before ``end``, up to the next piece's first word: the pieces of a row, one after the
     other, are its text. ``cluster`` is the duplicate cluster (the
-    text's XXH64 by default: exact copies); no bin holds two pieces of one cluster or more
+    text's XXH64 by default: exact copies; with ``classes``, which holds ``doc_id, text_hash,
+    cluster`` once for each id and text, the row's class there, else as before); no bin holds two pieces of one cluster or more
     than ``per_source`` of one source (null is a source). A null or blank text is a piece of
     no words with a null bin. ``row`` tells equal rows apart. An empty table gives an empty
     result.
@@ -143,6 +185,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     long = F.when(F.col("words") > capacity, F.col("text"))
     rows = rows.withColumn("n", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")).withColumn(
         "cuts", F.coalesce(cuts(long), F.array(F.lit(0).cast("bigint"))))
+    if classes is not None:
+        rows = rows.withColumn("text_hash", F.xxhash64("text"))
     if texts:
         rows = rows.withColumn("texts", F.coalesce(parts(long, F.col("cuts")), F.array("text")))
     # the code of a null cluster: a cluster of its own for every row
@@ -151,14 +195,16 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     pieces = rows.select("*", F.posexplode("cuts").alias("piece", "start")).select(
         "doc_id", "source", "cluster", "row", "piece",
         F.least(F.lit(capacity), F.col("words") - at * F.lit(capacity)).cast("bigint").alias("piece_words"),
-        "start", F.coalesce(F.get("cuts", at + 1), F.col("n")).alias("end"),
+        "start", F.coalesce(F.get("cuts", at + 1), F.col("n")).alias("end"), *(["text_hash"] if classes is not None else []),
         *([F.get("texts", at).alias("text")] if texts else []))
     pieces = materialize(pieces, "pieces")
     keys = pieces.drop("text")
-    chunks = max(1, -(-keys.count() // chunk))
-    packed = (keys.where("piece_words > 0")
-              .withColumn("chunk", F.pmod(F.xxhash64("row", "piece"), F.lit(chunks)))
-              .groupBy("chunk").applyInPandas(_pack_chunk(capacity, per_source), _OUT))
+    if classes is not None:
+        near = classes.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("cluster").alias("_near"))
+        joined = keys.join(near, keys["doc_id"].eqNullSafe(near["_id"]) & (keys["text_hash"] == near["_hash"]), "left")
+        keys = materialize(joined.withColumn("cluster", F.coalesce("_near", "cluster")).drop("_id", "_hash", "_near"), "classed")
+    keys = keys.drop("text_hash")
+    packed = _pack_all(keys.where("piece_words > 0"), keys.count(), chunk, capacity, per_source)
     none = keys.where("piece_words = 0").select(
         "*", F.lit(None).cast("bigint").alias("bin_id"), F.lit(None).cast("bigint").alias("bin_words"))
     out = packed.unionByName(none)

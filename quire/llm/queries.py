@@ -11,7 +11,7 @@ from quire.llm.common import table
 from quire.llm.context_mixing import score_texts
 from quire.llm.mixing import mix
 from quire.llm.order_minhash import fingerprint_edits, to_text
-from quire.llm.packing import pack
+from quire.llm.packing import near_copies, pack
 from quire.llm.pii import find
 from quire.llm.quality_model import score_quality
 from quire.llm.quality_rules import ORACLE as RULES_SQL
@@ -43,8 +43,9 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins of 2048 words; no bin holds two exact copies or more than two pieces of a source."""
-    p = pack(table(spark, sf_dir, "documents"), texts=False)
+    """Bins of 2048 words; no bin holds two near copies (SimHash) or more than two pieces of a source."""
+    docs = table(spark, sf_dir, "documents")
+    p = pack(docs, texts=False, classes=near_copies(docs))
     return p.select("doc_id", "source", "cluster", "piece", "piece_words", "bin_id", "bin_words")
 
 

@@ -3,7 +3,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.llm.packing import best_fit, bins, pack
+from quire.llm import queries
+from quire.llm.packing import best_fit, bins, near_copies, pack
+from tests.llm.helpers import write_documents
 
 
 def slow_best_fit(size, source, cluster, capacity, per_source):
@@ -96,3 +98,29 @@ def test_bins_are_whole_sequences(spark, frame):
     made = bins(pack(frame(rows), capacity=64)).collect()
     assert sorted(p.text for b in made for p in b.pieces) == sorted(t for _, t, *_ in rows)
     assert all(b.bin_words == sum(len(p.text.split()) for p in b.pieces) <= 64 for b in made)
+
+
+def test_near_copies_do_not_share_a_bin(spark, frame, tmp_dir):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words) + (" Last." if i % 2 else f"  last{i}"), "en", f"s{i}", None) for i in range(12)]
+    rows += [(None, " ".join(words), "en", "z", None), (99, " ".join(f"v{i}" for i in range(300)), "en", "y", None)]
+    write_documents(spark, tmp_dir + "/n", rows)
+    p = queries.op4_best_fit_packing(spark, tmp_dir + "/n").toPandas()
+    near = p[p["doc_id"] != 99]
+    assert len(p) == 14 and near["cluster"].nunique() == 1 and near["bin_id"].nunique() == 13
+    assert p.loc[p["doc_id"] == 99, "cluster"].iloc[0] != near["cluster"].iloc[0]
+    docs = frame(rows)
+    some = near_copies(docs).where("doc_id < 5")  # the others fall back on exact copies
+    q = pack(docs, classes=some).toPandas()
+    assert len(q) == 14 and q.loc[q["doc_id"] < 5, "cluster"].nunique() == 1 and q.loc[~(q["doc_id"] < 5), "cluster"].nunique() > 3
+
+
+def test_underfilled_bins_of_all_chunks_are_packed_again(frame):
+    rnd = random.Random(8)
+    rows = [(i, " ".join(["x%d" % i] * rnd.choice([30, 34, 38])), "en", f"s{i}") for i in range(400)]
+    p = pack(frame(rows), capacity=100, chunk=4).toPandas()
+    used = p.groupby("bin_id")["piece_words"].sum()
+    assert (used == p.groupby("bin_id")["bin_words"].first()).all() and used.max() <= 100 and len(p) == 400
+    assert p["row"].nunique() == 400
+    need = -(-p["piece_words"].sum() // 100)
+    assert len(used) <= 1.2 * need  # chunks of four alone leave far more bins
