@@ -109,3 +109,18 @@ def ordered_index(df: DataFrame, order: list[Column], index: str = "_index") ->
             .withColumn(index, F.col("_start") + F.col("_pos")).drop("_start", "_pos", "_pid"))
 
 
+HOT_KEYS = 1000  # a key with more than one in so many rows is joined from a broadcast table
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, n: int) -> DataFrame:
+    """Inner join of ``rows`` (``n`` of them) to ``groups``: one row a key, with the number of
+    ``rows`` that have it in ``count``.
+
+    Keys with more than ``n / HOT_KEYS`` rows are fewer than ``HOT_KEYS``, whatever the data:
+    their groups are broadcast, so a key with a third of all rows is joined where its rows
+    lie. The others are joined by Spark's choice, and none fills a task.
+    """
+    limit = -(-n // HOT_KEYS)
+    hot = materialize(groups.where(F.col(count) > limit), "hot-groups")
+    return rows.join(F.broadcast(hot), key).unionByName(
+        rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(count) <= limit), key))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import table
 from quire.llm.context_mixing import score_texts
+from quire.llm.exact_dedup import ORACLE as COPIES_SQL
+from quire.llm.exact_dedup import mark
 from quire.llm.mixing import mix
 from quire.llm.order_minhash import fingerprint_edits, to_text
 from quire.llm.packing import near_copies, pack
@@ -82,6 +84,11 @@ def op10_context_mixing_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts; the row with the largest id stays."""
+    return mark(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_order_minhash": op2_order_minhash,
@@ -93,10 +100,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_skip_chain": op8_pii_skip_chain,
     "op9_toxicity_weak_supervision": op9_toxicity_weak_supervision,
     "op10_context_mixing_lm": op10_context_mixing_lm,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_line_quality_rules": RULES_SQL,
+    "op11_exact_dedup": COPIES_SQL,
 }
 
 
