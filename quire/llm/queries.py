@@ -11,6 +11,8 @@ from quire.llm.common import table
 from quire.llm.context_mixing import score_texts
 from quire.llm.exact_dedup import ORACLE as COPIES_SQL
 from quire.llm.exact_dedup import mark
+from quire.llm.filter_audit import ORACLE as AUDIT_SQL
+from quire.llm.filter_audit import audit
 from quire.llm.mixing import mix
 from quire.llm.order_minhash import fingerprint_edits, to_text
 from quire.llm.packing import near_copies, pack
@@ -89,6 +91,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors of five filters for each source, order and step."""
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_neardup": op1_simhash_neardup,
     "op2_order_minhash": op2_order_minhash,
@@ -101,11 +108,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity_weak_supervision": op9_toxicity_weak_supervision,
     "op10_context_mixing_lm": op10_context_mixing_lm,
     "op11_exact_dedup": op11_exact_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_line_quality_rules": RULES_SQL,
     "op11_exact_dedup": COPIES_SQL,
+    "op13_filter_audit": AUDIT_SQL,
 }
 
 
