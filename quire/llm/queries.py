@@ -23,6 +23,7 @@ from quire.llm.quality_rules import apply_rules
 from quire.llm.simhash import hex16, simhash_groups
 from quire.llm.tokens import count_tokens
 from quire.llm.toxicity import score_toxicity
+from quire.llm.whitening import whiten
 
 
 def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +92,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every embedding."""
+    return whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors of five filters for each source, order and step."""
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity_weak_supervision": op9_toxicity_weak_supervision,
     "op10_context_mixing_lm": op10_context_mixing_lm,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
 
