@@ -1,8 +1,9 @@
-"""Navigation-tree extraction as a Python UDTF.
+"""Navigation-tree extraction.
 
-One HTML document in, one row per article link out. This is the single place where
-per-row Python is needed (Spark has no HTML parser); it runs Arrow-batched inside the
-task that holds the document, and everything downstream (dedupe, joins) is Spark.
+One HTML document in, one row per article link out. Spark has no HTML parser, so this is
+the library's one Python stage: `extract` takes whole Arrow batches (`mapInArrow`) inside
+the task that holds the documents, after small inputs have been dealt out to all cores;
+everything downstream (dedupe, joins) is Spark. For SQL the same parser is a UDTF.
 
 Semantics (matching the original selector-based recursion, emitted once per link):
   * the tree root is the first <ul id="tree"> (configurable);
@@ -20,11 +21,16 @@ deepest row per identifier afterwards (J1) gives the same result.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr"}
 
+PAGES = 1000  # of which the links are gathered before a batch goes out
+
 NAV_SCHEMA = ("pos int, article_id string, identifier string, title string, protocol string, "
               "href string, hierarchy_path array<string>")
 
@@ -77,6 +83,46 @@ class _TreeBuilder(HTMLParser):
         self.stack[-1].children.append(node)
 
 
+# Markup that needs no tokenizer state: text, end tags, and start tags whose attributes are all
+# name="value"; a page with anything else (comments, scripts, bare < or quotes) goes to the parser.
+_PLAIN = re.compile(r"""([^<]+)|</([a-zA-Z][a-zA-Z0-9]*)\s*>|<([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z_][-a-zA-Z0-9_:.]*="[^"]*")*)\s*>""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_][-a-zA-Z0-9_:.]*)="([^"]*)\"""")
+# elements whose content the parser reads in a mode of its own
+_RAW_TEXT = frozenset(("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript", "plaintext"))
+
+
+def _parse(html: str) -> _TreeBuilder:
+    """The element tree of a page. Plain markup is cut by one pattern; both ways build the
+    same tree."""
+    b = _TreeBuilder()
+    end = 0
+    for m in _PLAIN.finditer(html):
+        if m.start() != end:
+            break
+        end = m.end()
+        text, close, tag, attrs = m.groups()
+        if text is not None:
+            b.handle_data(unescape(text) if "&" in text else text)
+        elif close is not None:
+            b.handle_endtag(close.lower())
+        else:
+            tag = tag.lower()
+            if tag in _RAW_TEXT:
+                end = -1
+                break
+            found = [(k.lower(), unescape(v) if "&" in v else v) for k, v in _ATTRIBUTE.findall(attrs)] if attrs else []
+            b.handle_starttag(tag, found)
+    if end == len(html):
+        return b
+    b = _TreeBuilder()
+    try:
+        b.feed(html)
+        b.close()
+    except Exception:  # malformed input: whatever was parsed so far is used
+        pass
+    return b
+
+
 def _number(root):
     """Pre/post order numbers (iterative: deep trees must not hit the recursion limit)."""
     counter = 0
@@ -115,12 +161,7 @@ def extract_links(html: str | None, root_tag: str = "ul", root_id: str | None =
     """Yield (pos, article_id, identifier, title, protocol, href, path) per link."""
     if not html:
         return
-    b = _TreeBuilder()
-    try:
-        b.feed(html)
-        b.close()
-    except Exception:  # malformed input: whatever was parsed so far is used
-        pass
+    b = _parse(html)
     _number(b.root)
     root = next((n for n in _iter(b.root) if n.tag == root_tag
                  and (root_id is None or n.attrs.get("id") == root_id)), None)
@@ -195,10 +236,32 @@ def register(spark, name: str = "nav_tree"):
 
 def extract(df, html: str = "html", root_tag: str = "ul", root_id: str = "tree",
             link_class: str = "linkMateria", folder_class: str = "folder"):
-    """Lateral join of every document row with its extracted links (DataFrame API)."""
-    from pyspark.sql import functions as F
+    """Every document row with each of its links: the columns of ``df`` but ``html``, and those
+    of ``NAV_SCHEMA`` behind them."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from quire.functions.rows import deal_out
     from quire.session import ship_package
     ship_package(df.sparkSession)
-    call = nav_tree()(F.col(html).outer(), F.lit(root_tag), F.lit(root_id or ""), F.lit(link_class or ""),
-                      F.lit(folder_class))
-    return df.lateralJoin(call)
+    keep = [c for c in df.columns if c != html]
+    links = StructType.fromDDL(NAV_SCHEMA)
+    schema = StructType([df.schema[c] for c in keep] + list(links))
+    types = [pa.int32(), *[pa.string()] * 5, pa.list_(pa.string())]
+    args = (root_tag or "ul", root_id or None, link_class or None, folder_class or "folder")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page = batch.column(html)
+            for lo in range(0, len(page), PAGES):  # a slice's links at a time: long pages stay small
+                at, rows = [], []
+                for i in range(lo, min(lo + PAGES, len(page))):
+                    for row in extract_links(page[i].as_py(), *args):
+                        at.append(i)
+                        rows.append(row)
+                if at:
+                    at = pa.array(at)
+                    columns = [batch.column(c).take(at) for c in keep]
+                    columns += [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=keep + links.names)
+    return deal_out(df).mapInArrow(run, schema)

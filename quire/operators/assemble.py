@@ -86,7 +86,10 @@ def edition_article_lists(editions: DataFrame, articles: DataFrame, key=EDITION_
                     .withColumn("articles", F.coalesce("articles", F.array().cast(lists.schema["articles"].dataType))))
 
 
-def response_join(requests: DataFrame, responses: DataFrame, key: str = "request_key") -> DataFrame:
-    """Align responses to requests by key (not by position); requests without a
-    response keep NULL response columns."""
-    return requests.join(responses, key, "left")
+REQUEST_KEY = ("municipality", "request_key")
+
+
+def response_join(requests: DataFrame, responses: DataFrame, key=REQUEST_KEY) -> DataFrame:
+    """Align responses to requests by portal and key (not by position); requests without
+    a response keep NULL response columns."""
+    return requests.join(responses, list(key), "left")

@@ -80,15 +80,16 @@ def split_inline(dispatched: DataFrame, threshold: int = INLINE_THRESHOLD) -> Da
     })
 
 
-def new_blobs(split: DataFrame, existing: DataFrame | None = None, key: str = "request_key") -> DataFrame:
+def new_blobs(split: DataFrame, existing: DataFrame | None = None, key=("municipality", "request_key")) -> DataFrame:
     """K4 + J11: one row per blob hash not yet in ``existing`` (a content table; only its
     hash column is read).
 
     Copies are collapsed on (hash, one row's key) alone: a partial hash aggregate over two
     narrow columns, anti-joined to the stored hashes. Only the row chosen for a new hash then
-    brings its body, by a join on that key; of rows that share key and hash one is taken."""
+    brings its body, by a join on that key (its columns as far as ``split`` has them: a request
+    key is unique within its portal); of rows that share key and hash one is taken."""
     blobs = keep_where(split, F.col("is_blob")).select(
-        F.xxhash64(F.col(key).cast("string"), F.col("content_hash")).alias("_row"), "content_hash", "content_size", F.col("bytes_").alias("content"))
+        F.xxhash64(*[F.col(k).cast("string") for k in key if k in split.columns], F.col("content_hash")).alias("_row"), "content_hash", "content_size", F.col("bytes_").alias("content"))
     chosen = blobs.groupBy("content_hash").agg(F.min("_row").alias("_row"))
     if existing is not None:
         chosen = chosen.join(existing.select("content_hash"), "content_hash", "left_anti")

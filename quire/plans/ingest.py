@@ -39,7 +39,9 @@ class Corpus:
     links:       municipality, edition_id, article_id, identifier, title, protocol, depth,
                  hierarchy_path + the ``order`` columns giving first-seen order (one row
                  per extracted link, duplicates allowed)
-    split:       content responses after dispatch + split (request_key = identifier)
+    split:       content responses after dispatch + split (request_key = identifier). An
+                 identifier is unique within its portal: with a ``municipality`` column, a
+                 response belongs to that portal's articles alone; without one, to all portals'
     """
 
     def __init__(self, spark: SparkSession, editions_in: DataFrame, links: DataFrame, split: DataFrame,
@@ -63,6 +65,19 @@ class Corpus:
         self.__dict__["_stored"] = True
         return self
 
+    def _with_content(self, links: DataFrame, responses: DataFrame) -> DataFrame:
+        """``links`` with the response to their request: equal identifier, equal portal."""
+        keys = responses.withColumnRenamed("request_key", "_rk").withColumn("_rk", F.col("_rk").cast("string"))
+        cond = F.col("identifier").cast("string") == F.col("_rk")
+        if "municipality" in responses.columns:
+            keys = keys.withColumnRenamed("municipality", "_rm")
+            cond = cond & (F.col("municipality") == F.col("_rm"))
+        return links.join(keys, cond).drop("_rk", "_rm")
+
+    @cached_property
+    def _request_key(self) -> list[str]:
+        return [c for c in ("municipality", "request_key") if c in self._split.columns]
+
     @cached_property
     def content_split(self) -> DataFrame:
         """Valid content responses after dispatch + split (no reason column)."""
@@ -76,12 +91,19 @@ class Corpus:
     @cached_property
     def _articles_core(self) -> DataFrame:
         unique = A.dedupe_keep_deepest(self._links.where(F.col("identifier").isNotNull()), order=self._order)
-        content_cols = self.content_split.select(F.col("request_key").cast("string").alias("_rk"), "content_type",
-                                                 "content_size", "content_hash", "content_path", "inline_text")
+        content_cols = self.content_split.select(*self._request_key, "content_type", "content_size", "content_hash",
+                                                 "content_path", "inline_text")
         # an article's own stand-in content columns (if any) give way to the fetched content
-        return (unique.drop("content_type", "content_size")
-                      .join(content_cols, F.col("identifier").cast("string") == F.col("_rk"))
-                      .drop("_rk"))
+        return self._with_content(unique.drop("content_type", "content_size"), content_cols)
+
+    def counted(self, obs) -> "Corpus":
+        """This corpus, with the number of articles that have content observed while the
+        editions are built."""
+        other = Corpus(self.spark, self._editions_in, self._links, self._split, self._order)
+        other._observe = obs
+        return other
+
+    _observe = None
 
     @cached_property
     def _edition_counts(self) -> DataFrame:
@@ -90,9 +112,10 @@ class Corpus:
         keys = self._links.where(F.col("identifier").isNotNull()).select(
             *dict.fromkeys([*A.EDITION_KEY, "identifier", "depth", *self._order]))
         unique = A.dedupe_keep_deepest(keys, order=self._order)
-        valid = self._split.select(F.col("request_key").cast("string").alias("_rk"), "reason")
-        kept = unique.join(keep_where(valid, F.col("reason").isNull()).select("_rk"),
-                           F.col("identifier").cast("string") == F.col("_rk"))
+        valid = keep_where(self._split.select(*self._request_key, "reason"), F.col("reason").isNull()).drop("reason")
+        kept = self._with_content(unique, valid)
+        if self._observe is not None:
+            kept = kept.observe(self._observe, F.count(F.lit(1)).alias("rows"))
         return kept.groupBy(*A.EDITION_KEY).agg(F.count(F.lit(1)).alias("_n"))
 
     @cached_property
@@ -148,13 +171,14 @@ class Corpus:
                                  F.lit("missing_identifier").alias("reason")))
         bad_content = keep_where(self._split, F.col("reason").isNotNull())
         return structure.unionByName(
-            bad_content.select(F.lit(None).cast("string").alias("municipality"), F.lit("content").alias("phase"),
+            bad_content.select((F.col("municipality") if "municipality" in self._split.columns
+                                else F.lit(None).cast("string")).alias("municipality"), F.lit("content").alias("phase"),
                                F.col("request_key").cast("string").alias("request_key"), "reason"))
 
 
-def structure_links(spark: SparkSession, d: str) -> DataFrame:
+def structure_links(spark: SparkSession, d: str, with_path: bool = True) -> DataFrame:
     """Extracted article links with their edition's municipality."""
-    a = driver.articles(spark, d)
+    a = driver.articles(spark, d, with_path=with_path)
     em = driver.edition_municipality(spark, d)
     return a.join(em, "edition_id")
 
@@ -166,7 +190,8 @@ def assemble_corpus(spark: SparkSession, editions: DataFrame, links: DataFrame,
 
 
 def build_corpus(spark: SparkSession, d: str) -> Corpus:
-    """The pipeline over the driver tables (see the module docstring)."""
+    """The pipeline over the driver tables (see the module docstring). A document answers the
+    request for its key on every portal, so the responses go in without their portal."""
     links = structure_links(spark, d)
     split = C.split_inline(C.dispatch(driver.content_responses(spark, d).drop("municipality")))
     eds = driver.editions_full(spark, d)
@@ -332,13 +357,13 @@ def union_sources(spark, d):
 
 
 def request_response_join(spark, d):
-    """J5 + F2: content requests (distinct identifiers) aligned with landed responses by
-    key; requests without a response get status 404 and no size."""
-    req = driver.articles(spark, d, with_path=False).select(F.col("identifier").alias("request_key")).distinct()
+    """J5 + F2: content requests (distinct identifiers of each portal) aligned with landed
+    responses by portal and key; requests without a response get status 404 and no size."""
+    req = structure_links(spark, d, with_path=False).select("municipality", F.col("identifier").alias("request_key")).distinct()
     resp = C.split_inline(C.dispatch(driver.content_responses(spark, d))).select(
-        "request_key", F.lit(200).alias("status"), "content_size")
+        "municipality", "request_key", F.lit(200).alias("status"), "content_size")
     j = A.response_join(req, resp)
-    return j.select("request_key", F.coalesce("status", F.lit(404)).alias("status"), "content_size",
+    return j.select("municipality", "request_key", F.coalesce("status", F.lit(404)).alias("status"), "content_size",
                     FL.is_success(F.coalesce("status", F.lit(404))).alias("ok"))
 
 

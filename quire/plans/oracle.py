@@ -362,13 +362,15 @@ FETCH_LOG = """log AS (
               WHEN value < 30 THEN 404 WHEN value < 40 THEN 400 ELSE 0 END AS status
   FROM events)"""
 
-SQL["request_response_join"] = """
-WITH req AS (SELECT DISTINCT l_partkey AS request_key FROM lineitem),
-resp AS (SELECT doc_id AS request_key, 200 AS status, CAST(octet_length(encode(text)) AS BIGINT) AS content_size
-         FROM documents)
-SELECT r.request_key, coalesce(s.status, 404) AS status, s.content_size,
+SQL["request_response_join"] = _with(PORTALS, EDITION_MUNI) + """
+, req AS (SELECT DISTINCT m.municipality, l_partkey AS request_key FROM lineitem JOIN edition_muni m ON l_orderkey = m.edition_id),
+resp AS (SELECT p.name AS municipality, doc_id AS request_key, 200 AS status,
+                CAST(octet_length(encode(text)) AS BIGINT) AS content_size
+         FROM documents JOIN portals p
+           ON p.portal_key = coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), 0) % (SELECT count(*) FROM portals))
+SELECT r.municipality, r.request_key, coalesce(s.status, 404) AS status, s.content_size,
        coalesce(s.status, 404) BETWEEN 200 AND 299 AS ok
-FROM req r LEFT JOIN resp s USING (request_key)"""
+FROM req r LEFT JOIN resp s USING (municipality, request_key)"""
 
 SQL["retry_triage"] = _with(FETCH_LOG) + """
 , tri AS (SELECT *, CASE WHEN status BETWEEN 200 AND 299 THEN 'ok' WHEN status = 0 THEN 'retry'

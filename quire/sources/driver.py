@@ -18,7 +18,8 @@ articles  <- lineitem   article_id = l_orderkey*10 + l_linenumber (also first-se
                         depth = l_linenumber - 1, as far as the path's columns go (3),
                         hierarchy_path = first `depth` of [p_type, p_brand, p_name], title = p_name
 content   <- documents  one landed response per document: doc_id -> request_key,
-                        source -> municipality, lang -> MIME header, text -> body
+                        municipality = portal whose position equals the number in source modulo
+                        the portals, lang -> MIME header, text -> body
                         (Spanish documents arrive as JSON {"conteudo": text})
 fetch log <- events     user_id -> request_key, ts -> fetched_at, event_type/value -> status
 payloads  <- events     props (JSON text)
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources.portals import portals
+from quire.sources.portals import PORTALS, portals
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -174,14 +175,16 @@ def article_paths(spark: SparkSession, d: str) -> DataFrame:
 # --------------------------------------------------------------------------- content
 
 def content_responses(spark: SparkSession, d: str) -> DataFrame:
-    """Landed content responses: request_key, municipality, content_type_header, body."""
+    """Landed content responses: request_key, municipality, content_type_header, body. The
+    portal's name is a lookup in a map of the five portals: no join."""
     doc = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
-    lang = F.col("lang")
+    lang, names = F.col("lang"), [p[0] for p in PORTALS]
+    number = F.coalesce(F.regexp_extract("source", "([0-9]+)$", 1).try_cast("bigint"), F.lit(0))
     body = F.when(lang == "es", F.encode(F.to_json(F.struct(F.col("text").alias("conteudo"))), "UTF-8")) \
             .otherwise(F.encode("text", "UTF-8"))
     return doc.select(
         F.col("doc_id").alias("request_key"),
-        F.col("source").alias("municipality"),
+        F.get(F.array(*[F.lit(n) for n in names]), (number % len(names)).cast("int")).alias("municipality"),
         _case(lang, LANG_CONTENT_HEADER).alias("content_type_header"),
         body.alias("body"),
     )

@@ -16,6 +16,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path; none where it does not exist. For a level
+    of bounded fan-out (buckets, prefixes): one listing, whatever lies below."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+
 def read_parquet(spark: SparkSession, path, columns: list[str] | None = None, schema=None) -> DataFrame:
     """One path, a directory, or an explicit list of files; optional projection
     (the scan's ReadSchema then holds only those columns)."""

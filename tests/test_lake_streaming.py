@@ -132,11 +132,14 @@ def test_store_that_cannot_be_read_raises_and_migrate_keeps_prefixes(spark, tmp_
     assert report["content"]["ok"] and report["content"]["rows"] == 1 and not report["editions"]["ok"]
     assert sorted(x for x in os.listdir(f"{tmp_dir}/b/content") if "=" in x) == sorted(
         x for x in os.listdir(f"{tmp_dir}/a/content") if "=" in x)
-    os.makedirs(f"{tmp_dir}/bad/content/prefix=00")
-    with open(f"{tmp_dir}/bad/content/prefix=00/part-0.parquet", "wb") as f:
-        f.write(b"not parquet")
+    own = __import__("hashlib").sha256(body).hexdigest()[:2]
+    for root, prefix in (("bad", own), ("fine", "ff")):  # an unreadable file among the batch's prefixes, and beside them
+        os.makedirs(f"{tmp_dir}/{root}/content/prefix={prefix}")
+        with open(f"{tmp_dir}/{root}/content/prefix={prefix}/part-0.parquet", "wb") as f:
+            f.write(b"not parquet")
     with pytest.raises(Exception):
         lake.append_content(spark, split, f"{tmp_dir}/bad")
+    assert own != "ff" and lake.append_content(spark, split, f"{tmp_dir}/fine") == 1
 
 
 def test_rewrite_same_batch_is_idempotent_and_pruning(spark, sf_small, tmp_dir):
@@ -175,6 +178,217 @@ def test_content_append_skips_known_hashes(spark, tmp_dir):
     assert spark.read.parquet(f"{tmp_dir}/content").count() == 1
 
 
+def _two_portals():
+    """Two portals use the same edition id and identifier; each lands its own body, and one
+    lands another body later."""
+    tree = b'<ul id="tree"><li><a class="linkMateria" data-materia-id="%s" identificador="77">t</a></li></ul>'
+    rows = []
+    for k, portal in enumerate(("ms_corumba", "ro_jaru")):
+        edition = b'{"erro":false,"data":"2024-03-0%d","itens":[{"id":"5","suplemento":0,"numero":"1","tipo_edicao_id":1,"tipo_edicao_nome":"x"}]}' % (k + 1)
+        rows += [(portal, "metadata", "2024", None, "application/json", edition, 10 * k),
+                 (portal, "structure", "5", "5", "text/html", tree % b"1", 10 * k + 1),
+                 (portal, "content", "77", "5", "text/plain", f"body of {portal}".encode(), 10 * k + 2)]
+    return rows
+
+
+def _bodies(df):
+    return {(r.municipality, r.edition_id, r.identifier): r.inline_text for r in df.collect()}
+
+
+def test_each_portal_keeps_its_own_body(spark, tmp_dir):
+    rows = _two_portals()
+    want = {("ms_corumba", "5", "77"): "body of ms_corumba", ("ro_jaru", "5", "77"): "body of ro_jaru"}
+    frame = lambda r: spark.createDataFrame(r, INC.RAW_SCHEMA)
+    corpus, split = INC.process_landed(spark, frame(rows))
+    assert _bodies(corpus.articles) == want and corpus.totals.first().n_articles == 2
+    for i, g in enumerate((rows[:3], rows[3:], [(rows[2][:5] + (b"second body", 99))])):
+        frame(g).coalesce(1).write.parquet(f"{tmp_dir}/land/f{i}")
+    INC.run_incremental(spark, f"{tmp_dir}/land", f"{tmp_dir}/lake", f"{tmp_dir}/ck", "t")
+    got = _bodies(lake.read_current(spark, f"{tmp_dir}/lake", "articles"))
+    assert got == want | {("ms_corumba", "5", "77"): "second body"}
+    # content that only the other portal has landed is missing
+    INC.ingest_batch(spark, frame([rows[0], rows[1], rows[5]]), f"{tmp_dir}/other", "b1")
+    rejects = INC.current_rejects(spark, f"{tmp_dir}/other").collect()
+    assert lake.read_current(spark, f"{tmp_dir}/other", "articles").count() == 0
+    assert [(r.municipality, r.reason) for r in rejects] == [("ms_corumba", "missing_content")]
+
+
+class Stop(Exception):
+    pass
+
+
+def test_a_batch_that_fails_between_its_tables_shows_nothing(spark, tmp_dir, monkeypatch):
+    root, rows = f"{tmp_dir}/lake", _two_portals()
+    frame = lambda r: spark.createDataFrame(r, INC.RAW_SCHEMA)
+    INC.ingest_batch(spark, frame(rows), root, "t_000000")
+    tables = ("editions", "articles", "relationships")
+    state = lambda: {n: sorted(map(str, lake.read_current(spark, root, n).collect())) for n in tables}
+    before, late = state(), [rows[2][:5] + (b"second body", 99)]
+    real = lake._writer
+    for failing in tables:
+        def writer(df, parts, obs=None, zstd_level=lake.ZSTD_LEVEL, table="", failing=failing):
+            if table == failing:
+                raise Stop
+            return real(df, parts, obs, zstd_level, table)
+        monkeypatch.setattr(lake, "_writer", writer)
+        with pytest.raises(Stop):
+            INC.ingest_batch(spark, frame(late), root, "t_000001")
+        assert state() == before, failing
+    monkeypatch.setattr(lake, "_writer", real)
+    monkeypatch.setattr(lake, "commit", lambda *a: (_ for _ in ()).throw(Stop()))
+    with pytest.raises(Stop):  # all tables are there, the marker is not
+        INC.ingest_batch(spark, frame(late), root, "t_000001")
+    assert state() == before
+    monkeypatch.undo()
+    INC.ingest_batch(spark, frame(late), root, "t_000001")
+    assert "second body" in str(state()["articles"]) and state()["editions"] != before["editions"]
+
+
+def test_totals_survive_a_kill_between_batches(spark, tmp_dir, monkeypatch):
+    """A run stopped in its third of four batches, after that batch has stored its bodies."""
+    rows = _two_portals()
+    rows = [r[:5] + (r[5] + b"x" * 3000, r[6]) if r[1] == "content" else r for r in rows]  # bodies out of line
+    late = [rows[2][:5] + (b"z" * 4000, 99)]
+    for i, g in enumerate((rows[:2], rows[3:], rows[2:3], late)):
+        spark.createDataFrame(g, INC.RAW_SCHEMA).coalesce(1).write.parquet(f"{tmp_dir}/land/f{i}")
+    whole = INC.run_incremental(spark, f"{tmp_dir}/land", f"{tmp_dir}/a", f"{tmp_dir}/cka", "t")
+    totals = lambda root: {k: v for k, v in lake.run_totals(spark, root, "t").items() if "second" not in k and "_per_s" not in k}
+    want = totals(f"{tmp_dir}/a")
+    assert len(whole) == 4 and want == {k: lake.run_summary(whole)[k] for k in want} and want["content"] == 3 and want["batches"] == 4
+
+    real, calls = lake.commit, []
+    def commit(spark_, root, stats):
+        calls.append(1)
+        if len(calls) == 3:
+            raise Stop("killed")
+        real(spark_, root, stats)
+    monkeypatch.setattr(lake, "commit", commit)
+    with pytest.raises(Exception):
+        INC.run_incremental(spark, f"{tmp_dir}/land", f"{tmp_dir}/b", f"{tmp_dir}/ckb", "t")
+    monkeypatch.undo()
+    assert totals(f"{tmp_dir}/b")["batches"] == 2
+    seen = INC.ProgressLog()
+    again = INC.run_incremental(spark, f"{tmp_dir}/land", f"{tmp_dir}/b", f"{tmp_dir}/ckb", "t", progress=seen)
+    assert [s["epoch"] for s in again] == [2, 3] and totals(f"{tmp_dir}/b") == want
+    assert {2, 3} <= {b["epoch"] for b in seen.batches} and all(b["rows"] > 0 for b in seen.batches)
+    assert totals(f"{tmp_dir}/none")["batches"] == 0
+
+
+def _phase_file_count(root):
+    import os
+    return sum(f.endswith(".parquet") for _, _, fs in os.walk(root) for f in fs)
+
+
+def test_a_late_page_reads_the_buckets_of_its_keys(spark, tmp_dir):
+    """200 old batches of other editions; a late page opens a few of their files."""
+    root = f"{tmp_dir}/lake"
+    n = 200
+    old = spark.range(n).select(
+        F.lit("m").alias("municipality"), F.format_string("e%d", "id").alias("edition_id"), F.format_string("a%d", "id").alias("article_id"),
+        F.format_string("i%d", "id").alias("identifier"), F.lit("t").alias("title"), F.lit("").alias("protocol"), F.lit(0).alias("depth"),
+        F.array().cast("array<string>").alias("hierarchy_path"), F.col("id").alias("seq"), F.lit(0).alias("pos"),
+        F.format_string("t_%06d", "id").alias("batch_id"))
+    for phase in ("links", "edition_links"):  # one file a batch, as `_store` lays them
+        (old.select(*INC._columns(phase), INC._bucket(*INC.PHASE_KEYS[phase]).alias("bucket"), "batch_id")
+         .write.partitionBy("bucket", "batch_id").parquet(f"{root}/_phases/{phase}"))
+        assert _phase_file_count(f"{root}/_phases/{phase}") == n
+    assert INC.read_phase(spark, root, "links").count() == n
+    key = spark.createDataFrame([("m", "i7")], "municipality string, identifier string")
+    late = INC.read_phase(spark, root, "links", key)
+    assert [r.edition_id for r in late.collect()] == ["e7"]
+    assert len(late.inputFiles()) <= 8 < n
+    page = b'<ul id="tree"><li><a class="linkMateria" data-materia-id="9" identificador="i7">t</a></li></ul>'
+    staged = INC.Staged(spark, spark.createDataFrame([("m", "structure", "p", "e900", "text/html", page, 900)], INC.RAW_SCHEMA), root)
+    assert {r.edition_id for r in INC.touched_editions(spark, root, staged).collect()} == {"e7", "e900"}
+
+
+def test_existence_test_reads_the_prefixes_of_its_own_hashes(spark, tmp_dir):
+    from quire.operators import content as C
+    bodies = [(f"k{i}", "text/plain", (f"{i} " * 1500).encode()) for i in range(40)]
+    schema = "request_key string, content_type_header string, body binary"
+    lake.append_content(spark, C.split_inline(C.dispatch(spark.createDataFrame(bodies, schema))), tmp_dir, "b1")
+    one = C.split_inline(C.dispatch(spark.createDataFrame(bodies[:1], schema)))
+    prefix = one.first().content_hash[:2]
+    found = lake.stored_hashes(spark, tmp_dir, [prefix])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(prefix" in plan or f"PartitionFilters: [(prefix#" in plan or "PartitionFilters: [prefix" in plan
+    assert f"prefix={prefix}" in plan or prefix in plan.split("PartitionFilters")[1]
+    assert 1 <= found.count() < 40
+    assert lake.append_content(spark, one, tmp_dir, "b2") == 0 and lake.append_content(spark, one, tmp_dir, "b1") == found.where("batch_id = 'b1'").count()
+    assert lake.read_content(spark, tmp_dir, one.select("request_key", "content_hash")).first().content == bodies[0][2]
+
+
+def _scanned(df):
+    """Rows that the file scan handed on: row groups skipped are not among them."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_one_identifier_reads_few_row_groups(spark, tmp_dir):
+    """Identifiers without order in dates: statistics cannot skip, the bloom filter can."""
+    rows = spark.range(40000).select(
+        F.lit("m").alias("municipality"), F.lit(2020).alias("year"), F.lit("b").alias("batch_id"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 200).cast("int")).alias("publication_date"),
+        F.sha2(F.col("id").cast("string"), 256).alias("identifier"))
+    parts = ["municipality", "year", "batch_id"]
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        counts = {}
+        for table in ("articles", "plain"):
+            path = f"{tmp_dir}/{table}"
+            lake._writer(rows, parts, table=table).option("parquet.block.size", 64 * 1024).option("parquet.page.size", 4096) \
+                .option("parquet.block.size.row.check.min", 100).mode("overwrite").parquet(path)
+            one = spark.read.parquet(path).where(F.col("identifier") == F.sha2(F.lit("12345"), 256)).select("publication_date")
+            assert one.count() == 1
+            counts[table] = _scanned(one)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert counts["articles"] < counts["plain"] / 4, counts
+
+
+def test_migrate_copies_what_is_missing(spark, tmp_dir, monkeypatch):
+    src, dst = f"{tmp_dir}/src", f"{tmp_dir}/dst"
+    frame = lambda r: spark.createDataFrame(r, INC.RAW_SCHEMA)
+    rows = [r[:5] + (r[5] + b"x" * 3000, r[6]) if r[1] == "content" else r for r in _two_portals()]
+    INC.ingest_batch(spark, frame(rows), src, "t_000000")
+    real = lake._migrate_table
+    def broken(spark_, a, b, name, granularity):
+        if name == "relationships":
+            raise Stop("interrupted")
+        return real(spark_, a, b, name, granularity)
+    monkeypatch.setattr(lake, "_migrate_table", broken)
+    first = {r["table"]: r for r in lake.migrate(spark, src, dst)}
+    assert first["articles"]["copied"] == 2 and not first["relationships"]["ok"]
+    monkeypatch.undo()
+    second = {r["table"]: r for r in lake.migrate(spark, src, dst)}
+    assert second["articles"]["copied"] == 0 and second["relationships"]["copied"] == 2 and all(r["ok"] for r in second.values())
+    files = lambda: _phase_file_count(dst)
+    n = files()
+    assert all(r["copied"] == 0 and r["ok"] for r in lake.migrate(spark, src, dst)) and files() == n
+    INC.ingest_batch(spark, frame([rows[2][:5] + (b"y" * 5000, 99)]), src, "t_000001")
+    third = {r["table"]: r for r in lake.migrate(spark, src, dst)}
+    assert third["articles"]["copied"] == 1 and third["content"]["copied"] >= 1 and third["commits"]["copied"] == 1
+    for name in ("editions", "articles", "relationships"):
+        a, b = (sorted(map(str, lake.read_current(spark, r, name).collect())) for r in (src, dst))
+        assert a == b and a, name
+    assert lake.read_table(spark, src, "content").count() == lake.read_table(spark, dst, "content").count() == 3
+
+
+def test_dry_run_is_one_job_with_one_scan_of_each_input(spark, tmp_dir):
+    editions, links, split, _ = INC.parse_landed(spark, spark.createDataFrame(_two_portals(), INC.RAW_SCHEMA))
+    paths = {}
+    for name, df in (("e", editions), ("l", links), ("s", split)):
+        df.write.parquet(f"{tmp_dir}/{name}")
+        paths[name] = spark.read.parquet(f"{tmp_dir}/{name}")
+    corpus = INC._assemble(spark, paths["e"], paths["l"], paths["s"])
+    assert lake.dry_run(corpus) == {"editions": 2, "articles": 2, "relationships": 2, "orphans": 0}
+    plan = corpus.counted(lake.Observation()).editions._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.strip(" :+-").startswith("Relation [") for line in plan.splitlines()) == 3
+
+
 def test_empty_phases_keep_editions(spark, sf_small, tmp_dir):
     """R5 + D6: a batch whose structure and content phases are empty still yields its
     editions (zero articles) and nothing else."""

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as E
+from quire.plans import catalog
 from tests.oracle_check import compare, duck_connect
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = catalog.queries()
+SQL = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -17,6 +18,7 @@ def duck(sf_small):
 def test_every_query_has_sql():
     missing = sorted(set(QUERIES) - set(SQL))
     assert missing == [], f"queries without an oracle: {missing}"
+    assert set(QUERIES) <= set(E.queries()) and set(SQL) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
