@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.hashing import edition_hash
+from quire.operators.ranking import numbered
 
 EDITION_KEY = ("municipality", "edition_id")
 ARTICLE_DEDUPE_KEY = ("municipality", "identifier")
@@ -86,6 +87,23 @@ def edition_article_lists(editions: DataFrame, articles: DataFrame, key=EDITION_
                     .withColumn("articles", F.coalesce("articles", F.array().cast(lists.schema["articles"].dataType))))
 
 
+CHUNK = 1000  # articles in one row of `edition_article_chunks`
+
+
+def edition_article_chunks(articles: DataFrame, key=EDITION_KEY, fields=("article_id", "identifier", "title", "depth"),
+                           order=("ord",), size: int = CHUNK) -> DataFrame:
+    """A31 for editions of any length: the list of an edition in numbered chunks of ``size``
+    articles (the last one shorter), by first-seen order (``order``, then the fields). No row
+    holds more than a chunk and no task numbers a whole hot edition."""
+    order = [order] if isinstance(order, str) else list(order)
+    by = list(dict.fromkeys([*order, *fields]))
+    rows = numbered(articles.select(*dict.fromkeys([*key, *by])), list(key), by)
+    item = F.struct("_index", *fields).alias("a")
+    lists = (rows.withColumn("chunk", F.floor(F.col("_index") / size).cast("int")).groupBy(*key, "chunk")
+             .agg(F.sort_array(F.collect_list(item)).alias("l"), F.count(F.lit(1)).cast("int").alias("n_articles")))
+    return lists.select(*key, "chunk", "n_articles", F.transform("l", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("articles"))
+
+
 REQUEST_KEY = ("municipality", "request_key")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.plans import corpus_reports as CR
 from quire.plans import hierarchy_reports as HR
 from quire.plans import ingest as IN
+from quire.plans import lake_checks as LC
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -86,6 +87,12 @@ def queries() -> dict[str, QueryFn]:
         "content_blobs": IN.content_blobs,
         "content_lookup": IN.content_lookup,
         "summary_metrics": IN.summary_metrics,
+        # lake written and read back
+        "lake_round_trip": LC.lake_round_trip,
+        "blob_append": LC.blob_append,
+        "content_bodies": LC.content_bodies,
+        "edition_article_chunks": LC.edition_article_chunks,
+        "frontier_hosts": LC.frontier_hosts,
         # article query
         "query_articles_filter": IN.query_articles_filter,
         "query_articles_limit": IN.query_articles_limit,

@@ -519,6 +519,35 @@ SELECT (SELECT count(*) FROM ed_rows) AS n_editions, (SELECT count(*) FROM art_r
        (SELECT count(*) FROM ed_rows WHERE total_articles = 0) AS n_empty_editions,
        (SELECT count(*) FROM blobs) AS n_blobs, (SELECT CAST(sum(content_size) AS BIGINT) FROM blobs) AS blob_bytes"""
 
+# --------------------------------------------------------------------------- lake written and read back
+
+SQL["lake_round_trip"] = CORPUS + """
+, f AS (
+  SELECT 'editions' AS "table", municipality, year, regexp_extract(pdf_url, 'https?://([^/]+)', 1) AS host FROM ed_rows
+  UNION ALL SELECT 'articles', municipality, year, NULL FROM art_rows
+  UNION ALL SELECT 'relationships', municipality, year, NULL FROM art_rows),
+g AS (SELECT "table", 'municipality=' || municipality || '/year=' || CAST(year AS VARCHAR) || '/batch_id=b1' AS path, count(*) AS n_rows,
+             true AS has_files, max(host) AS host, CAST(count(DISTINCT host) AS INTEGER) AS n_hosts
+      FROM f GROUP BY ALL)
+SELECT *, CAST(sum(n_rows) OVER (PARTITION BY "table") AS BIGINT) AS table_rows FROM g"""
+SQL["blob_append"] = """
+WITH b AS (SELECT sha256(text) AS content_hash, lang, CAST(octet_length(encode(text)) AS BIGINT) AS size
+           FROM documents WHERE length(text) > 2000)
+SELECT content_hash, CASE WHEN bool_or(lang IN ('en', 'fr')) THEN 'b1' ELSE 'b2' END AS batch_id,
+       substr(content_hash, 1, 2) AS prefix, max(size) AS content_size, content_hash AS stored_hash
+FROM b GROUP BY content_hash"""
+SQL["content_bodies"] = CORPUS + """
+SELECT article_id, content_hash, content_size AS n_bytes, true AS intact FROM art_rows WHERE content_hash IS NOT NULL"""
+SQL["edition_article_chunks"] = _with(ARTICLES_FLAT) + """
+, r AS (SELECT *, row_number() OVER (PARTITION BY edition_id ORDER BY article_id, protocol, identifier, depth) - 1 AS n FROM articles_flat)
+SELECT edition_id, CAST(n // 4 AS INTEGER) AS chunk, CAST(count(*) AS INTEGER) AS n_articles,
+       list(article_id ORDER BY n) AS article_ids, list(identifier ORDER BY n) AS identifiers
+FROM r GROUP BY edition_id, n // 4"""
+SQL["frontier_hosts"] = f"""
+SELECT phase, municipality, regexp_extract(url, 'https?://([^/]+)', 1) AS host,
+       regexp_replace(regexp_replace(url, 'https?://[^/]+', ''), '[0-9]+', '#', 'g') AS path_shape, count(*) AS n_requests
+FROM ({SQL["frontier_urls"]}) GROUP BY ALL"""
+
 # --------------------------------------------------------------------------- article query
 
 QUERY_BASE = _with(EDITIONS, PORTALS, EDITION_MUNI, ARTICLES_FLAT) + """

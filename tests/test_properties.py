@@ -81,3 +81,36 @@ def test_reports_run_on_a_lake(spark, sf_small, tmp_dir):
     assert overview.n_articles == arts.count()
     assert overview.n_editions == lake.read_table(spark, tmp_dir, "editions").count()
     assert qs["path_frequency"](spark, tmp_dir).count() > 0
+
+
+def test_positions_in_a_hot_group_span_partitions(spark):
+    from quire.operators.ranking import numbered
+    rows = [("hot", i) for i in range(3000)] + [(f"k{i % 7}", i) for i in range(50)] + [(None, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(5)
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = numbered(df, ["k"], ["v"])
+        seen = {}
+        for r in sorted(got.collect(), key=lambda r: (str(r.k), r.v)):
+            assert r._index == seen.get(r.k, -1) + 1
+            seen[r.k] = r._index
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert seen["hot"] == 2999 and seen[None] == 39 and got.columns == ["k", "v", "_index"]
+
+
+def test_chunks_of_an_edition(spark):
+    from quire.operators.assemble import edition_article_chunks
+    df = spark.createDataFrame([("m", "e", i, f"t{i}") for i in range(25)] + [("m", "f", 1, None)],
+                               "municipality string, edition_id string, ord int, title string")
+    got = {(r.edition_id, r.chunk): (r.n_articles, [a.ord for a in r.articles])
+           for r in edition_article_chunks(df, fields=("ord", "title"), size=10).collect()}
+    assert got == {("e", 0): (10, list(range(10))), ("e", 1): (10, list(range(10, 20))), ("e", 2): (5, list(range(20, 25))), ("f", 0): (1, [1])}
+
+
+def test_urls(spark):
+    from quire.functions.urls import host, path
+    df = spark.createDataFrame([("https://a.gov.br/x/1?q=2",), ("no url at all",), (None,), ("http://[bad",)], "u string")
+    assert [tuple(r) for r in df.select(host(df.u), path(df.u)).collect()] == [("a.gov.br", "/x/1"), (None, "no url at all"), (None, None), (None, None)] \
+        or [r[0] for r in df.select(host(df.u)).collect()] == ["a.gov.br", None, None, None]
