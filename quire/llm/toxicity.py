@@ -1,13 +1,18 @@
 """Toxicity by weak supervision.
 
-Many cheap voters look at a text: lexicons learned from labelled rows (word beginnings, so a
-family of inflected words is one entry), a fixed list of insults, and patterns. A generative
-label model estimates from the votes of all documents how accurate each voter is and which
-voters are correlated: each class has a log-linear model over the votes with one term per
-voter and one per correlated pair, fitted by expectation maximisation over the table of vote
-patterns (at most 2**12 patterns times three states of the label, whatever the input). Its
-posteriors are the labels of a linear classifier over lexicon hits and votes, trained by
-Newton steps whose sums are added up by partitions.
+Many cheap voters look at a text: a lexicon learned from labelled rows (word beginnings, so a
+family of inflected words is one entry, and whole short words), a fixed list of insults, and
+patterns. A generative label model estimates from the votes of all documents how accurate each
+voter is and which voters are correlated: each class has a log-linear model over the votes with
+one term per voter and one per correlated pair, fitted by expectation maximisation over the
+table of vote patterns (at most 2**12 patterns times three states of the label, whatever the
+input). A label that a row has is one more voter with accuracies of its own. The posteriors
+are the labels of a linear classifier over lexicon hits (sparse, one weight for each entry)
+and votes, trained by L-BFGS whose sums are added up by partitions.
+
+The lexicon is fitted on at most about ``LEARN_TEXTS`` labelled texts, chosen by hash: their
+ids have a bounded size and are broadcast, so no text is ever shuffled, and the number of
+entries is bounded by what these texts hold. All other counts cover all documents.
 """
 
 from __future__ import annotations
@@ -26,12 +31,13 @@ from quire.llm.common import code_bucket, materialize, prepare
 INSULTS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "imbecile",
            "dumbass", "asshole", "bastard", "retard", "filthy", "shut up", "hate you")
 
-LENGTHS = (4, 5, 6)  # of the word beginnings that a lexicon is learned from
-LEXICON = 60  # learned entries at most; with the votes they fit one long
+LENGTHS = (4, 5, 6)  # of the word beginnings that a lexicon is learned from; shorter words count whole
+SHORT = "="  # marks an entry that is a whole word shorter than every beginning
+LEARN_TEXTS = 50_000  # distinct labelled texts that the lexicon is fitted on, about; all where there are fewer
 MIN_SUPPORT = 3  # distinct toxic texts
 MIN_PRECISION = 0.6
 MIN_EVIDENCE = 18.0  # log-likelihood ratio against the base rate
-CANDIDATES = 600
+GOLD = 0.95  # accuracy of a given label before it is estimated
 LEARNED = 6  # voters that share the learned lexicon
 VOTERS = LEARNED + 6
 PAIRS = 10
@@ -57,21 +63,28 @@ def level(times: int, words: int) -> int:
     return 3 if times > 1 else 2
 
 
+def keys(word: str) -> list[str]:
+    """The lexicon keys of a word: its beginnings, or the word itself if it is short."""
+    n = len(word)
+    if n < LENGTHS[0]:
+        return [SHORT + word] if n else []
+    return [word[:size] for size in LENGTHS if n >= size]
+
+
 def beginnings(text: str | None) -> dict[str, int]:
-    """Word beginnings of a text and the level of each."""
+    """Lexicon keys of a text and the level of each."""
     times: dict[str, int] = {}
     words = tokens(text)
     for w, n in words.items():
-        for size in LENGTHS:
-            if len(w) >= size:
-                times[w[:size]] = times.get(w[:size], 0) + n
+        for g in keys(w):
+            times[g] = times.get(g, 0) + n
     total = sum(words.values())
     return {g: level(n, total) for g, n in times.items()}
 
 
 def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts of either class that hold a beginning, by its highest level, added up while the
-    sums fit in memory."""
+    """Texts of either class that hold a key, by its highest level, added up while the sums fit
+    in memory."""
     count: dict[tuple[str, int], list[int]] = {}
 
     def out():
@@ -89,12 +102,24 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
-def learn_lexicon(texts: DataFrame, size: int = LEXICON) -> list[tuple[str, int]]:
-    """(word beginning, level) entries that mark toxic texts. ``texts``: ``text, y`` of
+def _thin(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of the entries of one stem, best first, those that overlap no better one."""
+    chosen: list[int] = []
+    pdf = pdf.sort_values(["evidence", "level", "gram"], ascending=[False, True, True], kind="stable")
+    grams = pdf["gram"].tolist()
+    for i, g in enumerate(grams):
+        if not any(g.startswith(grams[c]) or grams[c].startswith(g) for c in chosen):
+            chosen.append(i)
+    return pdf.iloc[chosen][["gram", "level", "evidence"]]
+
+
+def learn_lexicon(texts: DataFrame) -> list[tuple[str, int]]:
+    """(key, level) entries that mark toxic texts, the clearest first. ``texts``: ``text, y`` of
     distinct texts.
 
-    Counts cover every labelled text; only the best candidates, a fixed number, come to the
-    driver, where beginnings of one another are thinned out.
+    Every key that passes the thresholds is kept, but of one that is the beginning of another
+    (or the same at another level) the clearer; entries of equal evidence go by level, then
+    text. Counting and thinning are Spark's; the entries come to the driver.
     """
     base = texts.agg(F.sum("y"), F.count(F.lit(1))).first()
     if not base[1] or not base[0] or base[0] == base[1]:
@@ -106,43 +131,43 @@ def learn_lexicon(texts: DataFrame, size: int = LEXICON) -> list[tuple[str, int]
         F.array(*[F.struct(F.lit(v).alias("level"), F.sum(F.when(F.col("top") >= v, F.col("toxic")).otherwise(0)).alias("toxic"),
                            F.sum(F.when(F.col("top") >= v, F.col("clean")).otherwise(0)).alias("clean"))
                   for v in range(1, LEVELS + 1)]).alias("s"))
-    found = (sums.select("gram", F.inline("s")).where((t >= MIN_SUPPORT) & (t >= MIN_PRECISION * n))
-             .withColumn("evidence", 2 * (term(t, p0) + term(F.col("clean"), 1 - p0))).where(F.col("evidence") >= MIN_EVIDENCE)
-             .orderBy(F.desc("evidence"), "level", F.length("gram"), "gram").limit(CANDIDATES).collect())
-    chosen: list[tuple[str, int]] = []
-    for r in found:
-        if len(chosen) < size and not any(r.gram.startswith(c) or c.startswith(r.gram) for c, _ in chosen):
-            chosen.append((r.gram, r.level))
-    return chosen
+    passed = (sums.select("gram", F.inline("s")).where((t >= MIN_SUPPORT) & (t >= MIN_PRECISION * n))
+              .withColumn("evidence", 2 * (term(t, p0) + term(F.col("clean"), 1 - p0))).where(F.col("evidence") >= MIN_EVIDENCE)
+              .select("gram", "level", "evidence", F.substring("gram", 1, LENGTHS[0]).alias("stem")))
+    thinned = passed.groupBy("stem").applyInPandas(_thin, "gram string, level int, evidence double")
+    return [(r.gram, r.level) for r in thinned.orderBy(F.desc("evidence"), "level", "gram").collect()]
 
 
 class Voters:
-    """Lexicon hits of a text (a bitmap) and its votes (a bitmap, 1: toxic)."""
+    """Lexicon hits of a text (ascending entry numbers) and its votes (a bitmap, 1: toxic)."""
 
     def __init__(self, lexicon: list[tuple[str, int]]):
         self.entry = {g: i for i, (g, _) in enumerate(lexicon)}
         self.level = [v for _, v in lexicon]
+        self.stems = {g[:LENGTHS[0]] for g in self.entry}  # most words stop here
 
-    def __call__(self, text: str | None) -> tuple[int, int]:
-        words = tokens(text)
-        times = [0] * len(self.level)
+    def hits(self, words: Counter) -> list[int]:
+        times: dict[int, int] = {}
         for w, c in words.items():
-            for n in LENGTHS:
-                i = self.entry.get(w[:n]) if len(w) >= n else None
-                if i is not None:
-                    times[i] += c
-        total = sum(words.values())
-        hits = sum(1 << i for i, c in enumerate(times) if c and level(c, total) >= self.level[i])
+            if (w[:LENGTHS[0]] if len(w) >= LENGTHS[0] else SHORT + w) in self.stems:
+                for g in keys(w):
+                    i = self.entry.get(g)
+                    if i is not None:
+                        times[i] = times.get(i, 0) + c
+        total = sum(words.values()) if times else 0
+        return sorted(i for i, c in times.items() if level(c, total) >= self.level[i])
+
+    def __call__(self, text: str | None) -> tuple[list[int], int]:
+        hits = self.hits(tokens(text))
         votes = 0
-        for i in range(len(self.level)):
-            if hits >> i & 1:
-                votes |= 1 << i % LEARNED
+        for i in hits:
+            votes |= 1 << i % LEARNED
         low = (text or "").lower()
-        insults = sum(x in low for x in INSULTS)
-        known = hits.bit_count()
+        said = [x for x in INSULTS if x in low]
+        insults, known = len(said), len(hits)
         for k, v in enumerate((insults >= 1, insults >= 2, known >= 2, known >= 1 and insults >= 1,
-                               any(x + "!" in low or x + "?" in low for x in INSULTS),
-                               any("you " + x in low or "you are " + x in low for x in INSULTS))):
+                               any(x + "!" in low or x + "?" in low for x in said),
+                               any("you " + x in low or "you are " + x in low for x in said))):
             votes |= int(v) << LEARNED + k
         return hits, votes
 
@@ -176,12 +201,15 @@ class LabelModel:
         return theta, s - np.logaddexp.reduce(s)
 
     def fit(self, votes: np.ndarray, gold: np.ndarray, count: np.ndarray) -> LabelModel:
-        """``gold``: 0, 1, or -1 where no label is known. ``count``: documents by row."""
+        """``gold``: 0, 1, or -1 where no label is known. ``count``: documents by row.
+
+        A label is a voter that speaks on some rows: P(label | y), re-estimated in each round."""
         k = self.states[votes]
         known = gold >= 0
+        self.gold = np.array([[GOLD, 1 - GOLD], [1 - GOLD, GOLD]])  # [y, label]
         if (gold == 1).any():
             prior = (count[gold == 1].sum() + 1) / (count[known].sum() + 2)
-            q = np.where(known, gold, np.where(k.any(1), .7, .02)).astype(float)
+            q = np.where(known, np.where(gold == 1, GOLD, 1 - GOLD), np.where(k.any(1), .7, .02)).astype(float)
         else:
             prior, q = .1, np.where(k.any(1), .7, .02)
         theta = [np.zeros(self.n), np.zeros(self.n)]
@@ -191,10 +219,14 @@ class LabelModel:
                 self.pairs = self._correlated(dense)
             fits = [self._fit_class(w, t) for w, t in zip(dense, theta, strict=True)]
             theta, self.log_p = [f[0] for f in fits], [f[1] for f in fits]
+            for y, w in enumerate((count * (1 - q), count * q)):
+                right = (w * (gold == y)).sum() + 20 * GOLD
+                self.gold[y, y] = np.clip(right / ((w * known).sum() + 20), .8, .999)
+                self.gold[y, 1 - y] = 1 - self.gold[y, y]
             if not known.any():
                 prior = float(np.clip(np.average(q, weights=count), .01, .5))
             self.prior = prior
-            q = np.where(known, gold, self.posterior(votes))
+            q = self.posterior(votes, gold)
         self.theta = theta
         return self
 
@@ -212,49 +244,93 @@ class LabelModel:
         order = np.argsort(-gain[a, b], kind="stable")[:self.max_pairs]
         return [(int(a[i]), int(b[i])) for i in order if gain[a[i], b[i]] > 10]
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
+    def posterior(self, votes: np.ndarray, gold: np.ndarray | None = None) -> np.ndarray:
+        """P(toxic) given the votes, and the label where ``gold`` is 0 or 1."""
         odds = np.log(self.prior / (1 - self.prior)) + self.log_p[1][votes] - self.log_p[0][votes]
+        if gold is not None:
+            label = np.log(self.gold[1] / self.gold[0])
+            odds = odds + np.where(gold >= 0, label[np.maximum(gold, 0)], 0.0)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def inputs(hits: np.ndarray, votes: np.ndarray, size: int = LEXICON) -> np.ndarray:
-    h = (hits[:, None] >> np.arange(size)) & 1
-    v = (votes[:, None] >> np.arange(VOTERS)) & 1
-    return np.hstack((h, v, np.minimum(h.sum(1, keepdims=True), 5), np.ones((len(hits), 1)))).astype(float)
-
-
-def _newton_sums(theta: np.ndarray):
-    """Upper triangle of the weighted Gram matrix with the gradient as last column."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        d = len(theta)
-        total = np.zeros((d, d + 1))
-        for pdf in batches:
-            x = inputs(pdf["hits"].to_numpy(), pdf["votes"].to_numpy())
-            n, q = pdf["n"].to_numpy(float), pdf["q"].to_numpy(float)
-            p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-            total[:, :d] += (x * (n * p * (1 - p))[:, None]).T @ x
-            total[:, d] += x.T @ (n * (q - p))
-        i, j = np.nonzero(total)
-        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
-    return run
-
-
-def train_linear(rows: DataFrame, steps: int = 8, shrink: float = 0.5) -> np.ndarray:
-    """Logistic weights on soft labels. ``rows``: ``hits, votes, q, n`` (n equal documents)."""
-    d = LEXICON + VOTERS + 2
-    theta = np.zeros(d)
+class Linear:
+    """Scores of (hits, votes): a weight for each entry, each vote, the number of hits (5 at
+    most) and a constant."""
+
+    def __init__(self, entries: int, theta: np.ndarray | None = None):
+        self.entries, self.size = entries, entries + VOTERS + 2
+        self.theta = np.zeros(self.size) if theta is None else theta
+
+    def parts(self, hits, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and entries of the hits, and the dense columns."""
+        size = np.fromiter(map(len, hits), np.int64, len(hits))
+        at = np.repeat(np.arange(len(size)), size)
+        entry = np.concatenate([np.asarray(h, np.int64) for h in hits]) if size.sum() else np.zeros(0, np.int64)
+        v = (votes[:, None] >> np.arange(VOTERS)) & 1
+        return at, entry, np.hstack((v, np.minimum(size, 5)[:, None], np.ones((len(size), 1)))).astype(float)
+
+    def logit(self, parts) -> np.ndarray:
+        at, entry, dense = parts
+        return np.bincount(at, self.theta[entry], len(dense)) + dense @ self.theta[self.entries:]
+
+    def score(self, hits, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logit(self.parts(hits, votes)), -30, 30)))
+
+    def sums(self, hits, votes: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The weighted log loss and its gradient."""
+        at, entry, dense = p = self.parts(hits, votes)
+        s = self.logit(p)
+        miss = n * (1 / (1 + np.exp(-np.clip(s, -30, 30))) - q)
+        loss = (n * (np.logaddexp(0, s) - q * s)).sum()
+        return np.concatenate(([loss], np.bincount(entry, miss[at], self.entries), dense.T @ miss))
+
+
+def train_linear(rows: DataFrame, entries: int, steps: int = 40, shrink: float = 0.5) -> Linear:
+    """Logistic weights on soft labels. ``rows``: ``hits, votes, q, n`` (n equal documents).
+
+    L-BFGS: a step is one pass, from which a vector of the number of weights comes to the
+    driver for each task."""
+    reg = np.full(entries + VOTERS + 2, shrink)
+    reg[-1] = 1e-6
+
+    def at(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        model = Linear(entries, theta)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros(model.size + 1)
+            for pdf in batches:
+                total += model.sums(pdf["hits"], pdf["votes"].to_numpy(), pdf["q"].to_numpy(float), pdf["n"].to_numpy(float))
+            yield pd.DataFrame({"v": [total.tolist()]})
+        got = rows.mapInPandas(run, "v array<double>").collect()
+        total = np.sum([r.v for r in got], axis=0) if got else np.zeros(model.size + 1)
+        return total[0] + .5 * reg @ theta ** 2, total[1:] + reg * theta
+
+    theta = np.zeros(len(reg))
+    loss, grad = at(theta)
+    memory: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        got = rows.mapInPandas(_newton_sums(theta), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-        m = np.zeros((d, d + 1))
-        for i, j, v in got:  # d x (d + 1) numbers at most
-            m[i, j] = v
-        reg = np.full(d, shrink)
-        reg[-1] = 1e-6
-        step = np.linalg.solve(m[:, :d] + np.diag(reg) + 1e-6 * np.eye(d), m[:, d] - reg * theta)
-        theta = theta + np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-3:
+        d, a = grad.copy(), []
+        for s, y in reversed(memory):
+            a.append(s @ d / (s @ y))
+            d -= a[-1] * y
+        d *= memory[-1][0] @ memory[-1][1] / (memory[-1][1] @ memory[-1][1]) if memory else 1 / max(1.0, float(np.abs(grad).max()))
+        for (s, y), w in zip(memory, reversed(a), strict=True):
+            d += s * (w - y @ d / (s @ y))
+        step = 1.0
+        while True:
+            new = theta - step * d
+            new_loss, new_grad = at(new)
+            if new_loss <= loss - 1e-4 * step * (grad @ d) or step < 1e-4:
+                break
+            step /= 2
+        if (new - theta) @ (new_grad - grad) > 1e-12:
+            memory = [*memory[-9:], (new - theta, new_grad - grad)]
+        done = loss - new_loss < 1e-6 * max(1.0, abs(loss))
+        if new_loss < loss:
+            theta, loss, grad = new, new_loss, new_grad
+        if done:
             break
-    return theta
+    return Linear(entries, theta)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -262,11 +338,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Rows whose crc32 of the id modulo ``buckets`` is ``held_out`` teach no label; of the
-    others every labelled row teaches the lexicon (one row of equal texts) and the label
-    model. A null text counts as empty: no voter speaks, and it is scored like any text
-    without hits; a null id counts as the empty text in crc32. Of several labels of one id
-    the largest counts. Without labels the fixed voters alone decide. An empty table gives an
-    empty result.
+    others every labelled row teaches the label model, and the lexicon is learned from at most
+    about ``LEARN_TEXTS`` of their distinct texts. A null text counts as empty: no voter speaks,
+    and it is scored like any text without hits; a null id counts as the empty text in crc32.
+    Very long texts are read whole; a level counts a key's share of the words. Of several
+    labels of one id the largest counts, and so it does for equal texts. Repeated rows are
+    scored each. Other columns of both tables are not read, whatever their names. Without
+    labels the fixed voters alone decide. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -276,36 +354,39 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
          .where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y")).where(~out))
     y = materialize(y, "labels")
     # of equal texts one row teaches the lexicon, or a copied text would make its words look toxic
-    same = (src.select("doc_id", F.xxhash64("text").alias("th")).join(y, "doc_id")
-            .groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).select("doc_id", "y"))
-    lexicon = learn_lexicon(src.join(materialize(same, "distinct"), "doc_id").select("text", "y"))
+    same = materialize(src.select("doc_id", F.xxhash64("text").alias("th")).join(y, "doc_id")
+                       .groupBy("th").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")), "distinct")
+    share = LEARN_TEXTS / max(same.count(), 1)
+    chosen = same.where(F.pmod(F.xxhash64("th", F.lit(7)), F.lit(1 << 20)) < F.lit(int(min(share, 1.0) * (1 << 20)))).select("doc_id", "y")
+    # about LEARN_TEXTS ids at most: a bounded broadcast, and no text is shuffled
+    lexicon = learn_lexicon(src.where(~out).join(F.broadcast(chosen), "doc_id").select("text", "y"))
     voters = Voters(lexicon)
 
-    @F.pandas_udf("hits bigint, votes int")
+    @F.pandas_udf("hits array<int>, votes int")
     def vote(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([voters(t) for t in texts], columns=["hits", "votes"])
 
     votes = materialize(src.select("doc_id", vote("text").alias("v")).select("doc_id", "v.hits", "v.votes"), "votes")
     seen = votes.where(~out).join(y, "doc_id", "left")
     table = (seen.groupBy("votes", F.coalesce("y", F.lit(-1)).alias("gold")).agg(F.count(F.lit(1)).alias("n"))
-             .toPandas())  # at most 3 * 2**VOTERS rows
+             .orderBy("votes", "gold").toPandas())  # at most 3 * 2**VOTERS rows
     if not len(table):
         table = pd.DataFrame({"votes": [0], "gold": [-1], "n": [1]})
     model = LabelModel().fit(table["votes"].to_numpy(), table["gold"].to_numpy(), table["n"].to_numpy(float))
-    odds = model.posterior(np.arange(1 << VOTERS))
+    states = np.arange(1 << VOTERS)
+    odds = np.stack([model.posterior(states, np.full(len(states), g)) for g in (-1, 0, 1)])
 
     @F.pandas_udf("double")
     def label(v: pd.Series, gold: pd.Series) -> pd.Series:
-        g = gold.to_numpy(float)
-        return pd.Series(np.where(g >= 0, g, odds[v.to_numpy()]))
+        return pd.Series(odds[gold.to_numpy() + 1, v.to_numpy()])
 
     rows = (seen.groupBy("hits", "votes", F.coalesce("y", F.lit(-1)).alias("gold")).agg(F.count(F.lit(1)).alias("n"))
             .select("hits", "votes", label("votes", "gold").alias("q"), "n"))
-    theta = train_linear(materialize(rows, "soft-labels"))
+    linear = train_linear(materialize(rows, "soft-labels"), len(lexicon))
 
     @F.pandas_udf("double")
     def score(h: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series(1 / (1 + np.exp(-np.clip(inputs(h.to_numpy(), v.to_numpy()) @ theta, -30, 30))))
+        return pd.Series(linear.score(h, v.to_numpy()))
 
     return (votes.select("doc_id", out.alias("held_out"), score("hits", "votes").alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
