@@ -6,7 +6,7 @@ patterns. A generative label model estimates from the votes of all documents how
 voter is and which voters are correlated: each class has a log-linear model over the votes with
 one term per voter and one per correlated pair, fitted by expectation maximisation over the
 table of vote patterns (at most 2**12 patterns times three states of the label, whatever the
-input). A label that a row has is one more voter with accuracies of its own. The posteriors
+input). A label that a row has is one more voter, of a given accuracy. The posteriors
 are the labels of a linear classifier over lexicon hits (sparse, one weight for each entry)
 and votes, trained by L-BFGS whose sums are added up by partitions.
 
@@ -37,7 +37,7 @@ LEARN_TEXTS = 50_000  # distinct labelled texts that the lexicon is fitted on, a
 MIN_SUPPORT = 3  # distinct toxic texts
 MIN_PRECISION = 0.6
 MIN_EVIDENCE = 18.0  # log-likelihood ratio against the base rate
-GOLD = 0.95  # accuracy of a given label before it is estimated
+GOLD = 0.9999  # accuracy of a given label, as a voter among the others
 LEARNED = 6  # voters that share the learned lexicon
 VOTERS = LEARNED + 6
 PAIRS = 10
@@ -175,8 +175,8 @@ class Voters:
 class LabelModel:
     """P(y) and, by class, a log-linear model of the votes with chosen pair terms."""
 
-    def __init__(self, voters: int = VOTERS, pairs: int = PAIRS, rounds: int = 12):
-        self.n, self.max_pairs, self.rounds = voters, pairs, rounds
+    def __init__(self, voters: int = VOTERS, pairs: int = PAIRS, rounds: int = 12, gold: float = GOLD):
+        self.n, self.max_pairs, self.rounds, self.gold = voters, pairs, rounds, gold
         self.states = (np.arange(1 << voters)[:, None] >> np.arange(voters)) & 1
         self.pairs: list[tuple[int, int]] = []
 
@@ -203,13 +203,13 @@ class LabelModel:
     def fit(self, votes: np.ndarray, gold: np.ndarray, count: np.ndarray) -> LabelModel:
         """``gold``: 0, 1, or -1 where no label is known. ``count``: documents by row.
 
-        A label is a voter that speaks on some rows: P(label | y), re-estimated in each round."""
+        A label is a voter that speaks on some rows; the votes can outvote one that is less
+        than certain."""
         k = self.states[votes]
         known = gold >= 0
-        self.gold = np.array([[GOLD, 1 - GOLD], [1 - GOLD, GOLD]])  # [y, label]
         if (gold == 1).any():
             prior = (count[gold == 1].sum() + 1) / (count[known].sum() + 2)
-            q = np.where(known, np.where(gold == 1, GOLD, 1 - GOLD), np.where(k.any(1), .7, .02)).astype(float)
+            q = np.where(known, np.where(gold == 1, self.gold, 1 - self.gold), np.where(k.any(1), .7, .02)).astype(float)
         else:
             prior, q = .1, np.where(k.any(1), .7, .02)
         theta = [np.zeros(self.n), np.zeros(self.n)]
@@ -219,10 +219,6 @@ class LabelModel:
                 self.pairs = self._correlated(dense)
             fits = [self._fit_class(w, t) for w, t in zip(dense, theta, strict=True)]
             theta, self.log_p = [f[0] for f in fits], [f[1] for f in fits]
-            for y, w in enumerate((count * (1 - q), count * q)):
-                right = (w * (gold == y)).sum() + 20 * GOLD
-                self.gold[y, y] = np.clip(right / ((w * known).sum() + 20), .8, .999)
-                self.gold[y, 1 - y] = 1 - self.gold[y, y]
             if not known.any():
                 prior = float(np.clip(np.average(q, weights=count), .01, .5))
             self.prior = prior
@@ -248,8 +244,7 @@ class LabelModel:
         """P(toxic) given the votes, and the label where ``gold`` is 0 or 1."""
         odds = np.log(self.prior / (1 - self.prior)) + self.log_p[1][votes] - self.log_p[0][votes]
         if gold is not None:
-            label = np.log(self.gold[1] / self.gold[0])
-            odds = odds + np.where(gold >= 0, label[np.maximum(gold, 0)], 0.0)
+            odds = odds + np.where(gold >= 0, (2 * gold - 1) * np.log(self.gold / (1 - self.gold)), 0.0)
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
