@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import itertools
 import re
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,8 @@ LABELS = ("other", *KINDS)
 THRESHOLD = 0.95  # belief from which a token is added
 SKIP_DIGITS = 7  # tokens of that many equal digits share a potential
 RUN_DIGITS = 19  # a base span of digits has no more, so no longer run of tokens can equal one
+RUN_TOKENS = 6  # tokens in a run that no base span or long token is like
+TIE_DIGITS = 4  # tokens with fewer digits (and no at sign) are not tied by themselves
 SLOW = 100  # rounds of message passing after which the steps are halved, and so on: it always ends
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -100,59 +102,116 @@ def shape(token: str) -> int:
     return code
 
 
+def periodic(digits: str) -> bool:
+    """A string that repeats a part of at most half its length: no identifier by itself."""
+    return any(digits[k:] == digits[:-k] for k in range(1, len(digits) // 2 + 1))
+
+
 class Graph:
-    """Candidate tokens of a text, their shapes, labels by base spans, and edges."""
+    """Candidate tokens of a text, their shapes, labels by base spans, and edges.
+
+    Everything but the ties of runs is linear in the number of tokens; a run of tokens is
+    looked at only where its last digits come twice.
+    """
 
     def __init__(self, text: str, spans: list[tuple[int, int, str]]):
-        self.spans = [(m.start(), m.end(), i) for i, m in enumerate(_WORD.finditer(text)) if _HINT.search(m[0])]
-        tokens = [text[a:b] for a, b, _ in self.spans]
-        self.shape = np.array([shape(t) for t in tokens], np.int64)
-        self.label = np.zeros(len(tokens), np.int64)
-        j = 0
-        ordered = sorted(spans)
-        for i, (a, b, _) in enumerate(self.spans):
-            while j < len(ordered) and ordered[j][1] <= a:
-                j += 1
-            k = j
-            while k < len(ordered) and ordered[k][0] < b:
-                if ordered[k][1] > a:
-                    self.label[i] = LABELS.index(ordered[k][2])
-                    break
-                k += 1
-        edges, last, places = [], {}, {}
-        digits = [_NO_DIGIT.sub("", t) for t in tokens]
-        for i, t in enumerate(tokens):
-            if i and self.spans[i][2] == self.spans[i - 1][2] + 1:
-                edges.append((i - 1, i, 0))
-            key = digits[i] if len(digits[i]) >= SKIP_DIGITS and "@" not in t else t.strip(".,;:!?()[]{}\"'<>").lower()
-            if key in last and not (last[key] == i - 1 and edges and edges[-1][:2] == (i - 1, i)):
-                edges.append((last[key], i, 1))  # the pairs that the skip potentials are counted from
-            last[key] = i
-            places.setdefault(key, set()).add((i, i))
-        self.edges = np.array(edges, np.int64).reshape(-1, 3)
-        self._runs(tokens, digits, places)
-        self._base(text, ordered, places)
-        self.hubs = self._hubs(places)
-
-    def _runs(self, tokens: list[str], digits: list[str], places: dict) -> None:
-        """Runs of neighbouring tokens of digits (no letters), by all their digits."""
-        plain = [not any(c.isalpha() or c == "@" for c in t) for t in tokens]
-        for i in range(len(tokens)):
-            run, j = digits[i], i
-            while (plain[i] and j + 1 < len(tokens) and plain[j + 1] and self.spans[j + 1][2] == self.spans[j][2] + 1
-                   and len(run) + len(digits[j + 1]) <= RUN_DIGITS):
-                j += 1
-                run += digits[j]
-                if len(run) >= SKIP_DIGITS:
-                    places.setdefault(run, set()).add((i, j))
+        found = [(m.start(), m.end(), i) for i, m in enumerate(_WORD.finditer(text)) if _HINT.search(m[0])]
+        self.start, self.end, self.word = np.array(found, np.int64).reshape(-1, 3).T.copy()
+        del found
+        n = len(self.start)
+        self.text, self.ordered = text, sorted(spans)
+        self.label = np.zeros(n, np.int64)
+        for a, b, kind in reversed(self.ordered):  # of two spans in a token the first counts
+            lo, hi = np.searchsorted(self.end, a, "right"), np.searchsorted(self.start, b, "left")
+            self.label[lo:hi] = LABELS.index(kind)
+        codes: dict[str, int] = {}
+        self.shape = np.fromiter((codes.get(t) if t in codes else codes.setdefault(t, shape(t)) for t in self.tokens()), np.int64, n)
+        # neighbours, and the pairs of places (one and the next) that the skip potentials are counted from
+        chain = np.flatnonzero(np.diff(self.word) == 1)
+        number: dict[str, int] = {}
+        key = np.fromiter((number.setdefault(self._key(t), len(number)) for t in self.tokens()), np.int64, n)
+        order = np.argsort(key, kind="stable")
+        same = np.flatnonzero(np.diff(key[order]) == 0)
+        pair = np.stack((order[same], order[same + 1]), 1) if len(same) else np.zeros((0, 2), np.int64)
+        pair = pair[(pair[:, 1] - pair[:, 0] > 1) | (self.word[pair[:, 1]] - self.word[pair[:, 0]] > 1)]
+        pair = pair[np.argsort(pair[:, 1], kind="stable")]
+        self.edges = np.concatenate((np.stack((chain, chain + 1, np.zeros_like(chain)), 1), np.column_stack((pair, np.ones(len(pair), np.int64)))))
+        self.edges = self.edges[np.argsort(self.edges[:, 1], kind="stable")]
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def tokens(self) -> Iterator[str]:
+        return (self.text[a:b] for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True))
 
-    def _base(self, text: str, ordered: list, places: dict) -> None:
-        """Whole base spans by their digits."""
-        starts = [a for a, _, _ in self.spans]
-        for a, b, kind in ordered:
-            run = _NO_DIGIT.sub("", text[a:b])
+    @staticmethod
+    def _key(token: str) -> str:
+        digits = _NO_DIGIT.sub("", token)
+        return digits if len(digits) >= SKIP_DIGITS and "@" not in token else token.strip(".,;:!?()[]{}\"'<>").lower()
+
+    @cached_property
+    def hubs(self) -> list[tuple[bool, list[tuple[int, int]]]]:
+        places: dict[str, set] = {}
+        for i, t in enumerate(self.tokens()):
+            if "@" in t or len(_NO_DIGIT.sub("", t)) >= TIE_DIGITS:  # a short number that repeats says nothing
+                places.setdefault(self._key(t), set()).add((i, i))
+        anchors = {k for k in places if len(k) >= SKIP_DIGITS and not _NO_DIGIT.search(k) and not periodic(k)}
+        base = []
+        for a, b, kind in self.ordered:
+            run = _NO_DIGIT.sub("", self.text[a:b])
             if kind != "email" and len(run) >= SKIP_DIGITS:
-                places.setdefault(run, set()).add((bisect_right(starts, a) - 1, bisect_left(starts, b) - 1))
+                at = int(np.searchsorted(self.start, a, "right")) - 1, int(np.searchsorted(self.start, b, "left")) - 1
+                base.append((run, at))
+                anchors.add(run)
+        self._runs(anchors, places)
+        for run, at in base:
+            places.setdefault(run, set()).add(at)
+        return self._hubs(places)
+
+    def _runs(self, anchors: set[str], places: dict) -> None:
+        """Runs of neighbouring tokens of digits (no letters), by all their digits.
+
+        Two runs belong together if one's digits end with the other's, so they have their last
+        SKIP_DIGITS digits in common: only ends of runs whose last digits come twice, or end an
+        anchor (a base span, a long token), are looked at. Without an anchor a run has RUN_TOKENS
+        tokens at most and is not periodic. Last digits that repeat themselves overlap: of such
+        ends those that do not."""
+        n = len(self)
+        if not n:
+            return
+        size = np.zeros(n, np.int64)
+        flat = []
+        for i, t in enumerate(self.tokens()):
+            if not any(c.isalpha() or c == "@" for c in t):
+                d = _NO_DIGIT.sub("", t)
+                size[i] = len(d)
+                flat.append(d)
+        digit = np.frombuffer("".join(flat).encode(), np.uint8).astype(np.int64) - 48
+        del flat
+        ends = np.cumsum(size)  # of each token, in ``digit``
+        broken = np.concatenate(([True], (np.diff(self.word) != 1) | (size[1:] == 0) | (size[:-1] == 0)))
+        first = np.maximum.accumulate(np.where(broken, np.arange(n), 0))  # of the token's stretch
+        whole = np.flatnonzero((size > 0) & (ends - (ends - size)[first] >= SKIP_DIGITS))
+        tail = np.zeros(len(whole), np.int64)
+        for k in range(SKIP_DIGITS):
+            tail = tail * 10 + digit[ends[whole] - SKIP_DIGITS + k]
+        values, back, times = np.unique(tail, return_inverse=True, return_counts=True)
+        anchored = np.isin(values, [int(a[-SKIP_DIGITS:]) for a in anchors])
+        last: dict[int, int] = {}
+        for at in np.flatnonzero((times > 1)[back] | anchored[back]).tolist():
+            j, v = int(whole[at]), int(back[at])
+            far = anchored[v]
+            text = "%0*d" % (SKIP_DIGITS, values[v])
+            if periodic(text):
+                if last.get(v, -1) > ends[j] - SKIP_DIGITS:
+                    continue
+                last[v] = int(ends[j])
+            i, run = j, "".join(map(str, digit[ends[j] - size[j]:ends[j]].tolist())) if size[j] <= RUN_DIGITS else ""
+            while run and i > first[j] and (far or j - i + 1 < RUN_TOKENS) and len(run) + size[i - 1] <= RUN_DIGITS:
+                i -= 1
+                run = "".join(map(str, digit[ends[i] - size[i]:ends[i]].tolist())) + run
+                if len(run) >= SKIP_DIGITS and (far or not periodic(run)):
+                    places.setdefault(run, set()).add((i, j))
 
     @staticmethod
     def _hubs(places: dict) -> list[tuple[bool, list[tuple[int, int]]]]:
@@ -196,7 +255,7 @@ class Graph:
         spans give to each hub: the place of an identifying key has its tokens' one label."""
         edges, known = [], []
         for h, (identifying, at) in enumerate(self.hubs):
-            edges += [(len(self.spans) + h, t, 1) for i, j in at for t in range(i, j + 1)]
+            edges += [(len(self) + h, t, 1) for i, j in at for t in range(i, j + 1)]
             labels = [set(self.label[i:j + 1].tolist()) for i, j in at] if identifying else []
             known.append({y for s in labels if len(s) == 1 for y in s if y})
         return np.array(edges, np.int64).reshape(-1, 3), known
@@ -210,21 +269,33 @@ def beliefs(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, rounds: int
     if len(edges):
         n = len(edges)
         src, dst = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
-        back = np.concatenate((np.arange(n, 2 * n), np.arange(n)))
-        pots = np.concatenate((pair[edges[:, 2]], pair[edges[:, 2]].transpose(0, 2, 1)))
-        msg = np.zeros((2 * n, unary.shape[1]))
+        # edges of one kind and direction share a small table: no potentials are copied
+        kind = np.concatenate((edges[:, 2], edges[:, 2] + len(pair)))
+        tables = [np.exp(t - t.max()) for t in (*pair, *(p.T for p in pair))]
+        groups = [(np.flatnonzero(kind == k), t) for k, t in enumerate(tables)]
+        labels = unary.shape[1]
+
+        def arrived(msg):
+            return unary + np.stack([np.bincount(dst, msg[:, y], len(unary)) for y in range(labels)], 1)
+        msg = np.zeros((2 * n, labels))
         for turn in itertools.count() if rounds is None else range(max(rounds, 1)):
-            total = unary.copy()
-            np.add.at(total, dst, msg)
-            new = np.logaddexp.reduce((total[src] - msg[back])[:, :, None] + pots, axis=1)
-            new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
+            total = arrived(msg)
+            most = 0.0
             part = 0.5 ** (1 + turn // SLOW)
-            step = np.abs(new - msg).max() * part * 2
+            new = np.empty_like(msg)
+            for at, table in groups:
+                x = total[src[at]] - msg[np.where(at < n, at + n, at - n)]
+                x -= x.max(1, keepdims=True)
+                x = np.log(np.exp(x) @ table)
+                x -= np.log(np.exp(x).sum(1, keepdims=True))
+                new[at] = x
+                if len(at):
+                    most = max(most, float(np.abs(x - msg[at]).max()))
+            step = most * part * 2
             msg = new if step < 1e-6 and turn < SLOW else msg + (new - msg) * part
             if step < 1e-6:
                 break
-        total = unary.copy()
-        np.add.at(total, dst, msg)
+        total = arrived(msg)
     total -= np.logaddexp.reduce(total, axis=1, keepdims=True)
     return np.exp(total)
 
@@ -254,7 +325,8 @@ class Model:
         self.pair = np.log(pair) - np.log(pair.sum(2, keepdims=True)) - np.log(pair.sum(1, keepdims=True))
 
     def unary(self, g: Graph, clamp: float = 12.0) -> np.ndarray:
-        u = np.array([self.shapes.get(int(s), self.prior) for s in g.shape]).reshape(-1, len(LABELS))
+        codes, at = np.unique(g.shape, return_inverse=True)
+        u = np.array([self.shapes.get(int(s), self.prior) for s in codes]).reshape(-1, len(LABELS))[at]
         known = g.label > 0
         u[known] = -clamp  # a base span stays what it is
         u[known, g.label[known]] = 0.0
@@ -270,19 +342,19 @@ class Model:
                 hubs[h] = -1e6
                 hubs[h, list(labels)] = 0.0
         edges = np.concatenate((g.edges[g.edges[:, 2] == 0], skips))
-        return beliefs(np.concatenate((self.unary(g, clamp), hubs)), edges, self.pair)[:len(g.spans)]
+        return beliefs(np.concatenate((self.unary(g, clamp), hubs)), edges, self.pair)[:len(g)]
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]], model: Model, threshold: float = THRESHOLD):
     """Spans that the field adds to the base spans; neighbouring tokens of one label join."""
     g = Graph(text, base)
-    if not len(g.spans) or (g.label > 0).all():
+    if not len(g) or (g.label > 0).all():
         return []
     p = model.settle(g)
     best = p.argmax(1)
     out, last = [], -2
     for i in np.flatnonzero((g.label == 0) & (best > 0) & (p.max(1) >= threshold)):
-        a, b, w = g.spans[i]
+        a, b, w = int(g.start[i]), int(g.end[i]), int(g.word[i])
         t = text[a:b]
         a, b = a + len(t) - len(t.lstrip(".,;:!?[]{}\"'<>")), b - len(t) + len(t.rstrip(".,;:!?[]{}\"'<>"))
         kind = LABELS[best[i]]
@@ -301,8 +373,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not text or not _HINT.search(text):
                 continue
             g = Graph(text, base_spans(text))
-            seen.update((0, int(s), int(y)) for s, y in zip(g.shape, g.label, strict=True))
-            seen.update((int(kind) + 1, int(g.label[i]), int(g.label[j])) for i, j, kind in g.edges)
+            for rows in (np.stack((np.zeros_like(g.shape), g.shape, g.label), 1),
+                         np.stack((g.edges[:, 2] + 1, g.label[g.edges[:, 0]], g.label[g.edges[:, 1]]), 1)):
+                kinds, n = np.unique(rows, axis=0, return_counts=True)
+                for k, c in zip(kinds.tolist(), n.tolist(), strict=True):
+                    seen[tuple(k)] += c
     yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["part", "a", "b", "n"])
 
 
@@ -332,7 +407,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     The counts are those of the base spans; ``base`` and ``spans`` (base and added) list
     ``kind:start:end`` in code points, by start, then kind. A null text counts as empty and
     has none. Rows repeat as they come in, ids may be null, an empty table gives an empty
-    result. Without a ``model`` the potentials are trained on ``docs``.
+    result. Very long texts are read whole, in time and memory linear in their tokens; of labels
+    that tie the first one counts. Other columns are not read, whatever their names. Without a
+    ``model`` the potentials are trained on ``docs``.
     """
     prepare(docs.sparkSession)
     model = model or train(docs, text_col)

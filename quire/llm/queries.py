@@ -68,8 +68,8 @@ def op7_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text: base patterns, and what the skip-chain field adds."""
     r = find(table(spark, sf_dir, "documents"))
-    return r.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_added",
-                    F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+    return r.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                    F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

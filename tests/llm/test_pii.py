@@ -125,3 +125,27 @@ def test_all_mentions_are_tied_to_the_only_base_span():
     u = np.zeros((81, 2))
     u[0, 0] = -9
     assert beliefs(u, chain, np.log([[[.999, .001], [.001, .999]]]))[80, 1] > .9  # 80 hops
+
+
+def test_long_texts_of_numbers_end_soon_in_little_memory():
+    """A megabyte of single digits, of one digit, of equal pairs, and with a base span of zeros."""
+    import resource
+    import time
+    rng = random.Random(1)
+    m = model()
+    texts = [" ".join(rng.choices("0123456789", k=500_000)), "0 " * 500_000, "00 " * 300_000, "12 34 " * 160_000,
+             "0 " * 300_000 + "00000000000000", " ".join(f"{rng.randrange(10**8):08d}" for _ in range(110_000))]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for t in texts:
+        start = time.monotonic()
+        added_spans(t, base_spans(t), m)
+        assert time.monotonic() - start < 40
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 700_000  # of all six
+
+
+def test_runs_are_tied_without_a_base_span():
+    broken = "4785 3805 9239 1138"  # fails the checksum
+    g = Graph(f"{broken} a {broken} b 1138", [])
+    assert [at for same, at in g.hubs if same] == [[(0, 3), (4, 7)]]
+    assert Graph("1 2 3 4 5 6 7 a 1 2 3 4 5 6 7", []).hubs == []  # seven tokens, no anchor
+    assert [len(at) for _, at in Graph("1 2 3 4 5 6 7 a 1234567", []).hubs] == [2]
