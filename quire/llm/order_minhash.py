@@ -1,10 +1,12 @@
 """Document fingerprints by Order MinHash, in DataFrame expressions only.
 
-A k-mer is ``k`` consecutive words, numbered by its occurrence in the text. Each numbered
-k-mer has one hash; its leading bits deal it to one of ``bins`` independent selections. A
-selection takes its ``ell`` smallest k-mers, puts them back in text order and hashes that
-tuple: two texts agree in a bin only if the same k-mers win there in the same order, which
-makes the share of agreeing bins follow edit distance rather than set overlap.
+A k-mer is ``k`` consecutive words, numbered by its occurrence in the text; a text of fewer
+than ``FEW_WORDS`` words is cut into k-mers of ``CHAR_K`` code points. Each numbered k-mer has
+one hash; its leading bits deal it to one of ``bins`` independent selections. A selection takes
+its ``ell`` smallest k-mers, going on into the following bins (after the last the first) where
+it holds fewer, so every tuple has ``ell`` k-mers if the text does. It puts them back in text
+order and hashes that tuple: two texts agree in a bin only if the same k-mers win there in the
+same order, which makes the share of agreeing bins follow edit distance rather than set overlap.
 
 Everything happens inside one row on arrays of longs: hash (33 bits) and position (30 bits,
 more than any text has words) share a long, so one primitive sort brings equal k-mers
@@ -17,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import let, materialize, ordered_index, words_array
+from quire.llm.common import SPACES, let, materialize, ordered_index, words_array
 
 K = 2
 ELL = 2
 BINS = 64
+FEW_WORDS = 10
+CHAR_K = 4
 POS_BITS = 30
 _POS = (1 << POS_BITS) - 1
 _TOP = ~_POS & ((1 << 63) - 1)
@@ -31,13 +35,18 @@ def _pack(hash64: Column, pos: Column) -> Column:
     return hash64.bitwiseAND(F.lit(_TOP)).bitwiseOR(pos.cast("bigint"))
 
 
-def _kmers(words: Column, k: int) -> Column:
-    """Hashes of the k-word windows in text order; a shorter text is one window."""
+def _kmers(symbols: Column, k: int) -> Column:
+    """Hashes of the windows of k symbols in text order; a shorter text is one window."""
     def windows(h):
         n = F.size(h)
         full = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[h[i + j] for j in range(k)]))
         return F.when(n == 0, F.array().cast("array<bigint>")).when(n < k, F.array(F.xxhash64(h))).otherwise(full)
-    return let(F.transform(words, lambda w: F.xxhash64(w)), windows)
+    return let(F.transform(symbols, lambda w: F.xxhash64(w)), windows)
+
+
+def _text_kmers(text: Column, k: int) -> Column:
+    chars = F.split(F.trim(text, F.lit(SPACES)), "")
+    return let(words_array(text), lambda w: F.when((F.size(w) > 0) & (F.size(w) < FEW_WORDS), _kmers(chars, CHAR_K)).otherwise(_kmers(w, k)))
 
 
 def _numbered(kmers: Column) -> Column:
@@ -60,31 +69,38 @@ def _numbered(kmers: Column) -> Column:
 
 
 def signature(text: Column, k: int = K, ell: int = ELL, bins: int = BINS) -> Column:
-    """Signature of a text: one int (bin number, 24 bits of the tuple's hash) for every bin
-    that holds a k-mer, by bin. Null and wordless texts have none.
+    """Signature of a text: one int (bin number, 24 bits of the tuple's hash) for every bin,
+    by bin. Null and wordless texts have none.
 
     ``bins`` must be a power of two, 64 at most.
     """
     if bins not in (1, 2, 4, 8, 16, 32, 64):
         raise ValueError("bins must be a power of two, 64 at most")
-    bin_of = lambda x: F.shiftright(x, 63 - (bins.bit_length() - 1))
+    bin_of = lambda x: F.shiftright(x, 63 - (bins.bit_length() - 1)).cast("int")
     text_order = lambda x: F.shiftleft(x.bitwiseAND(F.lit(_POS)), 33).bitwiseOR(F.shiftright(x, POS_BITS))
     hash33 = F.lit((1 << 33) - 1)
 
     def select(z):
+        # z is in hash order: a bin's k-mers are neighbours, and the next bin's follow them
+        def tuples(starts):
+            round_ = F.concat(z, F.slice(z, 1, F.least(F.lit(ell - 1), F.size(z) - 1)))
+            def of_bin(r, i):
+                winners = F.slice(r, i + 1, F.least(F.lit(ell), F.size(z)))
+                return F.xxhash64(F.transform(F.sort_array(F.transform(winners, text_order)),
+                                              lambda y: y.bitwiseAND(hash33))).bitwiseAND(F.lit(0xFFFFFF))
+            hashes = let(round_, lambda r: F.transform(starts, lambda i: of_bin(r, i)))
+            def spread(t):  # an empty bin has the tuple of the next bin that is not
+                served = F.transform(t, lambda h, j: F.array_repeat(h, bin_of(z[starts[j]]) - F.when(
+                    j > 0, bin_of(F.get(z, F.get(starts, j - 1)))).otherwise(F.lit(-1))))
+                return F.concat(F.flatten(served), F.array_repeat(t[0], F.lit(bins - 1) - bin_of(F.element_at(z, -1))))
+            return F.transform(let(hashes, spread), lambda h, b: F.shiftleft(b.cast("bigint"), 24).bitwiseOR(h).cast("int"))
         starts = F.filter(F.sequence(F.lit(0), F.size(z) - 1), lambda i: (i == 0) | (bin_of(z[i]) != bin_of(z[i - 1])))
-        def of_bin(i):
-            # z is in hash order, so the ell smallest of a bin are its first ones
-            winners = F.filter(F.slice(z, i + 1, F.lit(ell)), lambda x: bin_of(x) == bin_of(z[i]))
-            tuple_hash = F.xxhash64(F.transform(F.sort_array(F.transform(winners, text_order)),
-                                                lambda y: y.bitwiseAND(hash33)))
-            return (F.shiftleft(bin_of(z[i]), 24).bitwiseOR(tuple_hash.bitwiseAND(F.lit(0xFFFFFF)))).cast("int")
-        return F.when(F.size(z) == 0, F.array().cast("array<int>")).otherwise(F.transform(starts, of_bin))
-    return let(_numbered(_kmers(words_array(text), k)), select)
+        return F.when(F.size(z) == 0, F.array().cast("array<int>")).otherwise(let(starts, tuples))
+    return let(_numbered(_text_kmers(F.coalesce(text, F.lit("")), k)), select)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal bins among those that either text fills (1 if neither fills any)."""
+    """Share of equal bins (1 if neither text fills any, 0 if one alone does)."""
     bins = lambda s: F.transform(s, lambda x: F.shiftright(x, 24))
     used = F.size(a) + F.size(b) - F.size(F.array_intersect(bins(a), bins(b)))
     return F.when(used == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / used)

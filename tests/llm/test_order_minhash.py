@@ -22,21 +22,24 @@ def top33(h):
 
 def slow_signature(text, k=2, ell=2, bins=64):
     words = (text or "").encode().split()
-    h = [xx([w]) for w in words]
-    if not h:
+    if not words:
         return []
+    if len(words) < 10:
+        words, k = [c.encode() for c in text.strip(" \t\n\x0b\x0c\r")], 4
+    h = [xx([w]) for w in words]
     km = [xx([(v, 8) for v in h])] if len(h) < k else [xx([(v, 8) for v in h[i:i + k]]) for i in range(len(h) - k + 1)]
     seen, items = {}, []
     for pos, v in enumerate(km):
         t = top33(v)
         o = seen[t] = seen.get(t, -1) + 1
         items.append((top33(xx([(t, 8)] if o == 0 else [(t, 8), (o, 4)])), pos))
+    items.sort()
     out = []
     for b in range(bins):
-        win = sorted(x for x in items if x[0] >> (33 - (bins.bit_length() - 1)) == b)[:ell]
-        if win:
-            d = xx([(v, 8) for v, _ in sorted(win, key=lambda x: x[1])])
-            out.append(b << 24 | d & 0xFFFFFF)
+        at = next((i for i, x in enumerate(items) if x[0] >> (33 - (bins.bit_length() - 1)) >= b), 0)
+        win = [items[(at + j) % len(items)] for j in range(min(ell, len(items)))]
+        d = xx([(v, 8) for v, _ in sorted(win, key=lambda x: x[1])])
+        out.append(b << 24 | d & 0xFFFFFF)
     return out
 
 
@@ -99,3 +102,29 @@ def test_native_plan(frame):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_order_counts_in_short_texts(spark):
+    """The same words: a passage moved (far in edit distance) against a word replaced (near)."""
+    rnd = random.Random(7)
+    pairs = []
+    for n in (20, 60, 120):
+        for r in range(60):
+            w = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+            near = list(w)
+            near[rnd.randrange(n)] = "other"
+            pairs.append((n, " ".join(w), " ".join(w[n // 2:] + w[:n // 2]), " ".join(near)))
+    df = spark.createDataFrame(pairs, "n int, a string, moved string, near string")
+    sig = {c: signature(F.col(c)) for c in ("a", "moved", "near")}
+    got = {r.n: r for r in df.select("n", likeness(sig["a"], sig["moved"]).alias("m"), likeness(sig["a"], sig["near"]).alias("e"))
+           .groupBy("n").agg(F.avg("m").alias("m"), F.avg("e").alias("e")).collect()}
+    for n, r in got.items():
+        assert r.m < .6 < r.e and r.e > r.m + .2, (n, r.m, r.e)  # moved halves keep all k-mers but one, as a set
+
+
+def test_a_text_without_spaces_survives_an_edit(spark):
+    rnd = random.Random(8)
+    t = "".join(rnd.choice("abcdefgh\u4e2d\U0001f600") for _ in range(400))
+    df = spark.createDataFrame([(t, t[:200] + "z" + t[201:], t[::-1])], "a string, b string, c string")
+    r = df.select(likeness(signature(F.col("a")), signature(F.col("b"))).alias("e"), likeness(signature(F.col("a")), signature(F.col("c"))).alias("o")).first()
+    assert r.e > .8 and r.o < .2
