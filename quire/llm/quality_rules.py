@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.rows import keep_where
 from quire.llm.common import SPACES, let, pack_row, unpack_row, words_array
 
 MIN_WORDS = 10
@@ -103,7 +104,8 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     ``length_col``, where the table has it, is set to the new length in code points; a text
     that loses no line stays as it is, and so does its length.
     """
-    kept = apply_rules(docs, id_col, text_col, **params).where("kept").select("_row", "lost_words", "clean_text")
+    # a plain filter would be pushed below the rules and judge every line twice
+    kept = keep_where(apply_rules(docs, id_col, text_col, **params), F.col("kept")).select("_row", "lost_words", "clean_text")
     cut = F.col("lost_words") > 0
     cols = []
     for c, t in docs.dtypes:
