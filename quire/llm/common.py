@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,17 +49,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quire_path = path
+    for made in _SCOPES:
+        made.append(path)
     return out
 
 
+_SCOPES: list[list[str]] = []  # of the `scratch` blocks that are open
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table made by `materialize` that no later frame reads."""
     path = getattr(df, "_quire_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """At the end of the block the tables that `materialize` wrote in it are deleted, but those
+    in the list that it yields: put there what is still to be read. A block that fails keeps
+    everything."""
+    made: list[str] = []
+    kept: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield kept
+        left = {getattr(df, "_quire_path", None) for df in kept}
+        for path in made:
+            if path not in left:
+                _delete(spark, path)
+    finally:
+        _SCOPES.remove(made)
 
 
 def pack_row(df: DataFrame) -> DataFrame:
