@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import mixing, packing, pii, quality_rules, simhash
-from quire.llm.common import materialize, table
+from quire.llm.common import materialize, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +57,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; returns the last stage's rows."""
+    """All stages over documents; returns the last stage's rows. What a stage wrote on its way
+    is deleted when its result is there."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as kept:
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
     return docs
 
 
