@@ -88,13 +88,17 @@ class Corpus:
         """Blob metadata: (hash, path, size, references)."""
         return C.blob_refs(self.content_split)
 
+    @cached_property
+    def _unique(self) -> DataFrame:
+        """One link for each identifier of a portal."""
+        return A.dedupe_keep_deepest(self._links.where(F.col("identifier").isNotNull()), order=self._order)
+
     @cached_property
     def _articles_core(self) -> DataFrame:
-        unique = A.dedupe_keep_deepest(self._links.where(F.col("identifier").isNotNull()), order=self._order)
         content_cols = self.content_split.select(*self._request_key, "content_type", "content_size", "content_hash",
                                                  "content_path", "inline_text")
         # an article's own stand-in content columns (if any) give way to the fetched content
-        return self._with_content(unique.drop("content_type", "content_size"), content_cols)
+        return self._with_content(self._unique.drop("content_type", "content_size"), content_cols)
 
     def counted(self, obs) -> "Corpus":
         """This corpus, with the number of articles that have content observed while the
@@ -107,13 +111,11 @@ class Corpus:
 
     @cached_property
     def _edition_counts(self) -> DataFrame:
-        """Articles per edition. Counting needs no body: the dedupe runs on the keys and is
-        joined to the keys of valid responses only."""
-        keys = self._links.where(F.col("identifier").isNotNull()).select(
-            *dict.fromkeys([*A.EDITION_KEY, "identifier", "depth", *self._order]))
-        unique = A.dedupe_keep_deepest(keys, order=self._order)
+        """Articles per edition. Counting needs no body: Spark prunes the dedupe to its keys and
+        the responses to theirs, and where the rows need no more than that, both share the
+        exchanges below."""
         valid = keep_where(self._split.select(*self._request_key, "reason"), F.col("reason").isNull()).drop("reason")
-        kept = self._with_content(unique, valid)
+        kept = self._with_content(self._unique, valid)
         if self._observe is not None:
             kept = kept.observe(self._observe, F.count(F.lit(1)).alias("rows"))
         return kept.groupBy(*A.EDITION_KEY).agg(F.count(F.lit(1)).alias("_n"))
@@ -157,11 +159,15 @@ class Corpus:
     def totals(self) -> DataFrame:
         """One row of run totals (K10) from two aggregates: editions with their counts, and
         blob references. An article is a row of an edition, so their number is the counts' sum."""
+        none = F.lit(None).cast("bigint")
         e = self._eds.agg(F.count(F.lit(1)).alias("n_editions"), F.coalesce(F.sum("total_articles"), F.lit(0)).alias("n_articles"),
                           F.count_if(F.col("total_articles") == 0).alias("n_empty_editions"))
-        b = self.content.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("content_size").alias("bytes"))).scalar()
-        return e.select("n_editions", "n_articles", F.col("n_articles").alias("n_relationships"), "n_empty_editions",
-                        b.getField("n").alias("n_blobs"), b.getField("bytes").alias("blob_bytes"))
+        b = self.content.agg(F.count(F.lit(1)).alias("n_blobs"), F.sum("content_size").alias("blob_bytes"))
+        both = e.select("*", none.alias("n_blobs"), none.alias("blob_bytes")).unionByName(
+            b.select(*[none.alias(c) for c in e.columns], "*"))
+        names = ("n_editions", "n_articles", "n_empty_editions", "n_blobs", "blob_bytes")
+        t = both.agg(*[F.sum(c).alias(c) for c in names])
+        return t.select("n_editions", "n_articles", F.col("n_articles").alias("n_relationships"), "n_empty_editions", "n_blobs", "blob_bytes")
 
     @cached_property
     def rejects(self) -> DataFrame:
