@@ -33,10 +33,11 @@ def lenient(spark: SparkSession):
 
 def charset_of(header: Column) -> Column:
     """The charset named in a content-type header; UTF-8 if none or an unknown one."""
-    cs = F.lower(F.regexp_extract(F.coalesce(header, F.lit("")), r"(?i)charset=\s*\"?([A-Za-z0-9_\-]+)", 1))
-    for alias, name in ALIASES.items():
-        cs = F.when(cs == alias, F.lit(name)).otherwise(cs)
-    return F.when(cs.isin(SUPPORTED_CHARSETS), cs).otherwise(F.lit("utf-8"))
+    # one look-up: a chain of conditions would repeat the pattern match in each of its branches
+    name = F.lower(F.regexp_extract(F.coalesce(header, F.lit("")), r"(?i)charset=\s*\"?([A-Za-z0-9_\-]+)", 1))
+    known = {c: c for c in SUPPORTED_CHARSETS} | ALIASES
+    table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, name), F.lit("utf-8"))
 
 
 def decode_body(body: Column, charset: Column) -> Column:
