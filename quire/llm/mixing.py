@@ -115,8 +115,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``size`` counts words (a null or blank text has none), ``copies`` is how often the mix
     takes the document, ``taken = copies * size``. A null source is a
     source of its own, last in order. Rows of equal id and text are told apart by ``dup``.
-    The draws depend on ids, texts and ``seed`` alone, so reruns agree. An empty table
-    gives an empty result.
+    The draws depend on ids, texts and ``seed`` alone, so reruns agree; documents of equal
+    size are paired in the order of a hash of id, text and ``dup``. Very long texts count whole.
+    Other columns are not read, whatever their names. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     col = lambda c: F.col(f"`{c}`")

@@ -128,7 +128,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     other labelled rows do. A null or empty text has statistics of 0 and is scored like any
     other; a null id counts as the empty text in crc32. Null labels are no labels; of several
     labels of one id the largest counts. Without any label to learn from every score is 0.5.
-    An empty table gives an empty result.
+    Very long texts are measured whole; equal texts have equal scores, and repeated rows one
+    each. Other columns of both tables are not read, whatever their names. An empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     prepare(spark)

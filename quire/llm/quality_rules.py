@@ -77,7 +77,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     clean_text, kept``.
 
     A null text counts as empty: no words, so it fails the base rules. Rows repeat as they
-    come in, ids may be null, an empty table gives an empty result.
+    come in, ids may be null, an empty table gives an empty result. Very long texts and lines
+    are judged whole. Other columns stay inside ``_row``, so no name clashes.
     """
     src = pack_row(docs).withColumn("text", F.coalesce(F.col("_row").getField(text_col), F.lit("")))
     words = words_array(F.col("text"))

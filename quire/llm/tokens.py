@@ -103,8 +103,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     """``doc_id, n_bytes, n_tokens, over_limit`` for every row.
 
     A null text counts as empty: no bytes, no tokens. Rows repeat as they come in, ids may
-    be null, an empty table gives an empty result. ``path`` names a tokenizer file that
-    every executor can read.
+    be null, an empty table gives an empty result. Very long texts are counted whole; other
+    columns are not read, whatever their names. ``path`` names a tokenizer file that every
+    executor can read.
     """
     spark = docs.sparkSession
     prepare(spark)

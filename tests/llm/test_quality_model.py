@@ -56,3 +56,49 @@ def test_empty_and_null_rows(spark, frame):
     assert r.count() == 5 and r.where("score is null or score < 0 or score > 1").count() == 0
     assert [x.score for x in score_quality(df, labels.where("false")).collect()] == [.5] * 5
     assert score_quality(df.where("false"), labels).count() == 0
+
+
+def test_scores_against_brute_force(spark, frame):
+    """The whole result by direct least squares on the rows, and the min-max form of isotonic regression."""
+    import random
+    import zlib
+
+    import xxhash
+
+    from quire.llm import quality_model as Q
+    rng = random.Random(12)
+    def text(good):
+        w = [rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(rng.randrange(5, 80))]
+        return " ".join(w) + (". Well." if good else " " + "#$|" * rng.randrange(6) + "!!")
+    rows = [(i, text(rng.random() < (.85 if i % 2 else .2))) for i in range(420)] + [(500, None), (501, "")]
+    labels = [(i, i % 2) for i in range(0, 420) if i % 5]
+    got = {r.doc_id: r.score for r in Q.score_quality(frame(rows), spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()}
+
+    f = np.array([Q.statistics(t) for _, t in rows], np.float32).astype(float)
+    y = dict(labels)
+    train = [k for k, (i, _) in enumerate(rows) if i in y and zlib.crc32(str(i).encode()) % 3 != 1]
+    fold = np.array([xxhash.xxh64_intdigest(int(rows[k][0]).to_bytes(8, "little"), 42) for k in train], np.uint64).view(np.int64) % Q.FOLDS
+    target = np.array([y[rows[k][0]] for k in train], float)
+    std = f[train].std(0)
+    z = np.clip((f - f[train].mean(0)) / np.where(std > 1e-9, std, 1), -6, 6)
+    draw = np.random.default_rng(Q.SEED)
+    w = draw.normal(size=(f.shape[1], Q.COMPONENTS)) / Q.BANDWIDTH
+    x = np.hstack((np.sqrt(2 / Q.COMPONENTS) * np.cos(z @ w + draw.uniform(0, 2 * np.pi, Q.COMPONENTS)), np.ones((len(f), 1))))
+
+    def solve(keep):
+        a, b = x[np.array(train)[keep]], target[keep]
+        shrink = np.diag([np.sqrt(Q.RIDGE * len(a))] * Q.COMPONENTS + [np.sqrt(1e-9)])
+        return np.linalg.lstsq(np.vstack((a, shrink)), np.concatenate((b, np.zeros(len(shrink)))), rcond=None)[0]
+    unseen = np.zeros(len(train))
+    for k in range(Q.FOLDS):
+        unseen[fold == k] = x[np.array(train)[fold == k]] @ solve(fold != k)
+    bins = np.round(np.clip(unseen, -1, 2) * Q.GRID)
+    at, n = np.unique(bins, return_counts=True)
+    mean = np.array([target[bins == b].mean() for b in at])
+    avg = lambda i, j: (mean[i:j + 1] * n[i:j + 1]).sum() / n[i:j + 1].sum()
+    fit = np.array([max(min(avg(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))])
+    centre = np.array([(at[fit == v] * n[fit == v]).sum() / n[fit == v].sum() for v in np.unique(fit)])
+    want = np.interp(x @ solve(np.ones(len(train), bool)) * Q.GRID, centre, np.unique(fit))
+    assert len(got) == len(rows)
+    close = np.abs(want - [got[i] for i, _ in rows])
+    assert close.max() < 2e-3 and np.median(close) < 1e-6  # a score on the edge of a calibration bin may fall beside it
