@@ -28,6 +28,7 @@ MOST = 2  # times a source's own words
 CHUNK = 8192
 FAN_IN = 64
 SEED = 17
+ALIKE = 4096  # equal rows that are written out in one piece
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -56,6 +57,25 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
                       F.least(cap, F.lit(level) * F.col("w")).cast("double").alias("target"))
 
 
+def told_apart(rows: DataFrame, alike: int = ALIKE) -> DataFrame:
+    """``doc_id, th, source, size`` with ``dup``, the number of each row among those of equal
+    ``doc_id, th``, by source.
+
+    Equal rows are counted, not numbered by a window: a row that makes up a third of the table
+    is one row a task before the exchange. The counts are written out again in pieces of
+    ``alike`` rows, each dealt by itself. A window sees one row for each source.
+    """
+    before = Window.partitionBy("doc_id", "th").orderBy("source", "size").rowsBetween(Window.unboundedPreceding, -1)
+    counted = (rows.groupBy("doc_id", "th", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+               .withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)) + 1))
+    end = F.col("first") + F.col("n") - 1
+    pieces = (counted.withColumn("end", end)
+              .withColumn("start", F.explode(F.sequence("first", "end", F.lit(alike).cast("bigint"))))
+              .repartition("doc_id", "th", "start"))
+    dup = F.explode(F.sequence("start", F.least(F.col("start") + F.lit(alike - 1), F.col("end"))))
+    return pieces.select("doc_id", "th", "source", "size", dup.alias("dup")).withColumn("dup", F.col("dup").cast("int"))
+
+
 def pivot(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
     """Round the fractions ``p`` to 0 or 1, keeping the sum of ``size * p`` exactly.
 
@@ -121,11 +141,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     prepare(docs.sparkSession)
     col = lambda c: F.col(f"`{c}`")
-    same = Window.partitionBy("doc_id", "th").orderBy("source")
-    sizes = materialize(
+    sizes = materialize(told_apart(
         docs.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), F.xxhash64(col(text_col)).alias("th"),
-                    F.size(words_array(col(text_col))).cast("bigint").alias("size"))
-        .withColumn("dup", F.row_number().over(same)), "sizes")
+                    F.size(words_array(col(text_col))).cast("bigint").alias("size"))), "sizes")
     per = materialize(source_targets(sizes, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     chunks = F.greatest(F.ceil(F.col("n_docs") / chunk), F.lit(1))

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quire.llm.mixing import mix, mixed_documents, pivot
+from quire.llm.mixing import mix, mixed_documents, pivot, told_apart
 
 
 def slow_targets(size, weights=(5, 2, 1), share=1.5):
@@ -74,3 +74,21 @@ def test_repeated_rows_nulls_and_output_rows(spark, frame):
     assert out.count() == m["copies"][m["size"] > 0].sum() + m["copies"][m["size"] == 0].sum()
     assert mix(df.where("false")).count() == 0
     assert set(mix(df.where("doc_id > 1")).toPandas()["taken"]) == {0}
+
+
+def test_equal_rows_are_told_apart_in_pieces(spark):
+    rows = [(1, 9, "s", 3)] * 2000 + [(1, 9, None, 3)] * 3 + [(None, 9, "s", 3)] * 2 + [(2, 9, "s", 3), (2, 8, "s", 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, th bigint, source string, size bigint")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small partitions are left as they are
+    try:
+        out = told_apart(df, alike=50).withColumn("part", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert out.groupby("part").size().max() < 1000
+    out["source"] = out["source"].where(out["source"].notna(), None)
+    got = sorted(out[["doc_id", "th", "source", "size", "dup"]].fillna({"doc_id": -1, "source": ""}).itertuples(index=False, name=None))
+    want = [(-1, 9, "s", 3, i) for i in (1, 2)] + [(1, 9, "", 3, i) for i in (1, 2, 3)]
+    want += [(1, 9, "s", 3, i) for i in range(4, 2004)] + [(2, 8, "s", 4, 1), (2, 9, "s", 3, 1)]
+    assert got == sorted(want)
+    assert told_apart(df.where("false")).count() == 0
