@@ -16,11 +16,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import materialize, ordered_index, pack_row, prepare, unpack_row, words_array
+from quire.llm.common import join_groups, materialize, ordered_index, pack_row, prepare, unpack_row, words_array
+from quire.operators.ranking import numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)  # by source in code point order, repeating
 SHARE = 1.5  # of all words
@@ -172,15 +173,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                          (copies * F.col("size")).alias("taken"))
 
 
+def _alike(id_: Column, th: Column, source: Column) -> Column:
+    """One string for id, text hash and source; a null id or source is a value of its own."""
+    text = F.coalesce(F.concat(F.lit("i"), id_.cast("string")), F.lit("-"))
+    return F.concat(th.cast("string"), F.lit(":"), F.length(text).cast("string"), F.lit(":"), text,
+                    F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("-")))
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                     **params) -> DataFrame:
-    """The mix itself: every document as often as it is taken, columns as they were."""
-    m = mix(docs, id_col, text_col, source_col, **params).where("copies > 0")
-    m = materialize(m.select("doc_id", "th", "dup", "source", "copies"), "copies")
-    same = Window.partitionBy("_id", "_th").orderBy("_source")
-    src = (pack_row(docs).withColumn("_id", F.col("_row").getField(id_col))
-           .withColumn("_source", F.col("_row").getField(source_col))
-           .withColumn("_th", F.xxhash64(F.col("_row").getField(text_col)))
-           .withColumn("_dup", F.row_number().over(same)))
-    j = src.join(m, src["_id"].eqNullSafe(m["doc_id"]) & (src["_th"] == m["th"]) & (src["_dup"] == m["dup"]))
-    return unpack_row(j.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))), docs.columns)
+    """The mix itself: every document as often as it is taken, columns as they were.
+
+    Rows of equal id, text and source are taken equally often, or some of them once more than
+    the others; which ones these are is not defined. Only rows of the latter kind are numbered,
+    over range partitions. A row that makes up a third of the table is joined to its number of
+    copies where it lies (`join_groups`). Nulls, empty tables and clashing names as in `mix`.
+    """
+    m = mix(docs, id_col, text_col, source_col, **params)
+    least = F.min("copies")
+    groups = materialize(
+        m.groupBy(_alike(F.col("doc_id"), F.col("th"), F.col("source")).alias("_key"))
+        .agg(F.count(F.lit(1)).alias("_rows"), least.alias("_least"), (F.sum("copies") - F.count(F.lit(1)) * least).alias("_more")), "copies")
+    n = groups.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    row = lambda c: F.col("_row").getField(c)
+    src = pack_row(docs).withColumn("_key", _alike(row(id_col), F.xxhash64(row(text_col)), row(source_col)))
+    even, uneven = groups.where("_more = 0 and _least > 0"), groups.where("_more > 0")
+    out = join_groups(src, even, "_key", "_rows", n).select("_row", F.col("_least").alias("_copies"))
+    if not uneven.isEmpty():
+        some = numbered(join_groups(src, uneven, "_key", "_rows", n).withColumn("_tie", F.rand(SEED)), ["_key"], ["_tie"])
+        out = out.unionByName(some.select("_row", (F.col("_least") + (F.col("_index") < F.col("_more")).cast("int")).alias("_copies")))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
+    return unpack_row(out.where("_copies > 0").withColumn("_copy", copies), docs.columns)

@@ -92,3 +92,21 @@ def test_equal_rows_are_told_apart_in_pieces(spark):
     want += [(1, 9, "s", 3, i) for i in range(4, 2004)] + [(2, 8, "s", 4, 1), (2, 9, "s", 3, 1)]
     assert got == sorted(want)
     assert told_apart(df.where("false")).count() == 0
+
+
+def test_mixed_documents_take_what_the_mix_says(spark):
+    rnd = random.Random(3)
+    rows = [(1, "a b c", "s", i) for i in range(900)] + [(1, "a b c", None, -1), (None, "a b c", "s", -2), (2, None, "s", -3)]
+    rows += [(i, "w " * rnd.randrange(1, 30), rnd.choice(["s", "t", "u", None]), i) for i in range(10, 400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _key int")
+    m = mix(df, chunk=64, fan_in=4).toPandas()
+    want = m.assign(doc_id=m["doc_id"].fillna(-1), source=m["source"].fillna("-")).groupby(["doc_id", "source", "size"])["copies"].sum()
+    out = mixed_documents(df, chunk=64, fan_in=4)
+    assert out.columns == df.columns
+    out = out.toPandas()
+    out["size"] = out["text"].fillna("").str.split().map(len)
+    got = out.assign(doc_id=out["doc_id"].fillna(-1), source=out["source"].fillna("-")).groupby(["doc_id", "source", "size"]).size()
+    assert got.to_dict() == want[want > 0].to_dict()
+    same = m[(m["doc_id"] == 1) & (m["source"] == "s")]["copies"]
+    times = out[(out["doc_id"] == 1) & (out["source"] == "s")].groupby("_key").size().reindex(range(900), fill_value=0)
+    assert sorted(times) == sorted(same) and same.nunique() == 2
