@@ -60,7 +60,6 @@ CONTEXTS = 3  # the word before, the last short word, the last two short words
 KNOWN = 3  # how well a context is known: never seen, fewer than four times, more
 MAX_SLOTS = 19  # bits; of one context's table
 LOCAL_RATE = 0.02
-LEARN_EVERY = 4  # weights learn from every fourth stretch of text; counts come from all
 COUNT_AT = 1 << 18  # words that are counted at once
 _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -475,7 +474,7 @@ class TextMixer:
 
 def _learn_texts(model: TextMixer, classes: Classes):
     def run(batches):
-        numbers, tokens, stretch, held = Tokens(), 0, 0, []
+        numbers, tokens, held = Tokens(), 0, []
 
         def count():
             if held:
@@ -484,9 +483,7 @@ def _learn_texts(model: TextMixer, classes: Classes):
         for batch in batches:
             raw = [text_words(t) for t in batch.column(0).to_pylist()]
             for code, ctx, kind, _ in model.parts([numbers(w) for w in raw], [classes(set(w)) for w in raw]):
-                if stretch % LEARN_EVERY == 0:
-                    model.learn(code, ctx, kind)
-                stretch += 1
+                model.learn(code, ctx, kind)
                 tokens += len(code)
                 held.append((code, ctx))
                 if sum(len(c) for c, _ in held) >= COUNT_AT:

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import quire.llm.context_mixing as cm
@@ -204,3 +205,19 @@ def test_the_order_of_words_counts(spark, frame):
     got = {r.doc_id: r for r in score_texts(frame(rows + mixed)).collect()}
     gap = [got[i - 1000].score - got[i].score for i, _ in mixed]
     assert len(gap) > 5 and min(gap) > 3 and all(abs(got[i].base_score - got[i - 1000].base_score) < 1e-6 for i, _ in mixed)
+
+
+def test_weights_learn_from_every_stretch(monkeypatch):
+    # every word of every text, however many stretches they fill, moves the weights
+    seen = []
+    learn = cm.TextMixer.learn
+    monkeypatch.setattr(cm.TextMixer, "learn", lambda self, code, ctx, kind: (seen.append(len(code)), learn(self, code, ctx, kind))[1])
+    monkeypatch.setattr(cm, "SEGMENT", 64)
+    texts = [t for _, t in corpus(200)]
+    model = cm.TextMixer(np.full((1, 1 << cm.DEPTH), 1 / (1 << cm.DEPTH)), 12)
+    classes = cm.Classes({}, np.zeros((0, 0)))
+    list(cm._learn_texts(model, classes)([pa.RecordBatch.from_pydict({"text": texts[:120]}), pa.RecordBatch.from_pydict({"text": texts[120:]})]))
+    tokens = sum(len(text_words(t)) for t in texts)
+    assert sum(seen) == tokens
+    # the adaptive map has every bit of every word
+    assert round(float(model.sums.sum())) == tokens * cm.DEPTH
