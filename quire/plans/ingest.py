@@ -466,8 +466,10 @@ def nav_tree_paths(spark, d):
     link = F.concat(F.lit('<li><a class="linkMateria" data-materia-id="'), F.col("article_id").cast("string"),
                     F.lit('" identificador="'), F.col("identifier").cast("string"), F.lit('" data-protocolo="'),
                     F.col("protocol"), F.lit('"> '), esc(F.col("title")), F.lit(" </a></li>"))
-    tree = F.aggregate(F.reverse("hierarchy_path"), link, lambda acc, x: F.concat(
-        F.lit('<li><span class="folder"> '), esc(x), F.lit("</span><ul>"), acc, F.lit("</ul></li>")))
+    folders = F.transform("hierarchy_path", lambda x: F.concat(F.lit('<li><span class="folder"> '), esc(x), F.lit("</span><ul>")))
+    # a folder without a name leaves no page; array_join would pass over it
+    tree = F.when(~F.exists("hierarchy_path", lambda x: x.isNull()), F.concat(
+        F.array_join(folders, ""), link, F.repeat(F.lit("</ul></li>"), F.size("hierarchy_path"))))
     pages = a.select("edition_id", F.concat(F.lit('<div><ul><li>menu</li></ul><ul id="tree">'), tree, F.lit("</ul></div>")).alias("html"))
     return extract(pages, "html").select("edition_id", "article_id", "identifier", "protocol", "title",
                                          F.size("hierarchy_path").alias("depth"), F.concat_ws("|", "hierarchy_path").alias("path"))

@@ -79,3 +79,21 @@ def test_dedupe_ties_and_keys(spark):
     assert out == {"X": ["A"], "Y": ["C", "D"]}
     by_edition = dedupe_keep_deepest(df, key=("edition_id", "identifier")).count()
     assert by_edition == 3
+
+
+def test_plain_pages_need_no_tree(monkeypatch):
+    # one pass over plain markup gives what the element tree gives, and does not build it
+    import random
+
+    from quire.functions import navtree as N
+    rnd = random.Random(2)
+    parts = ['<ul>', '</ul>', '<ul id="tree">', '<li>', '</li>', '<span class="x folder">', '<span>', '</span>', ' t ', '&amp; x',
+             '<a class="linkMateria" identificador="7" data-materia-id="a&amp;b" href="u">', '<a>', '</a>', '<br>', '<P>', '</p>', '<ol>', '</ol>']
+    odd = ['<!-- c -->', '<script>x</script>', '< b', '</a x="y">', '<li y=3>']
+    pages = ['<ul id="tree">' + "".join(rnd.choices(parts + (odd if k % 5 == 0 else []), k=rnd.randrange(1, 45))) for k in range(4000)]
+    ways = [("ul", "tree", "linkMateria", "folder"), ("ul", None, None, "folder"), ("li", None, None, "folder")]
+    want = [list(N._tree_links(p, *w)) for p in pages for w in ways]
+    assert [list(N.extract_links(p, *w)) for p in pages for w in ways] == want and any(r[6] for x in want for r in x)
+    monkeypatch.setattr(N, "_parse", None)
+    plain = '<ul id="tree"><li><span class="folder">F</span><ul><li><a class="linkMateria" identificador="1">t</a></li></ul></li></ul>'
+    assert [r[6] for r in N.extract_links(plain)] == [["F"]]
