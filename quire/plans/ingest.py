@@ -42,12 +42,14 @@ class Corpus:
     split:       content responses after dispatch + split (request_key = identifier). An
                  identifier is unique within its portal: with a ``municipality`` column, a
                  response belongs to that portal's articles alone; without one, to all portals'
+    describe:    where given, links come without title and hierarchy_path, and it adds both to the
+                 deduplicated ones, so the dedupe moves narrow rows
     """
 
     def __init__(self, spark: SparkSession, editions_in: DataFrame, links: DataFrame, split: DataFrame,
-                 order=("ord",)):
+                 order=("ord",), describe=None):
         self.spark, self._editions_in, self._links, self._split = spark, editions_in, links, split
-        self._order = list(order)
+        self._order, self._describe = list(order), describe
 
     def materialize(self, fallback: str | None = None) -> "Corpus":
         """Checkpoint the deduplicated, content-joined articles (the expensive shared core
@@ -59,7 +61,7 @@ class Corpus:
         from quire.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(self.spark, fallback)
         core = self._articles_core.checkpoint(eager=True)
-        for name in ("_articles_core", "_eds", "editions", "articles", "relationships"):
+        for name in ("_articles_core", "_counted", "_eds", "editions", "articles", "relationships"):
             self.__dict__.pop(name, None)
         self.__dict__["_articles_core"] = core
         self.__dict__["_stored"] = True
@@ -91,7 +93,8 @@ class Corpus:
     @cached_property
     def _unique(self) -> DataFrame:
         """One link for each identifier of a portal."""
-        return A.dedupe_keep_deepest(self._links.where(F.col("identifier").isNotNull()), order=self._order)
+        unique = A.dedupe_keep_deepest(self._links.where(F.col("identifier").isNotNull()), order=self._order)
+        return unique if self._describe is None else self._describe(unique)
 
     @cached_property
     def _articles_core(self) -> DataFrame:
@@ -103,7 +106,7 @@ class Corpus:
     def counted(self, obs) -> "Corpus":
         """This corpus, with the number of articles that have content observed while the
         editions are built."""
-        other = Corpus(self.spark, self._editions_in, self._links, self._split, self._order)
+        other = Corpus(self.spark, self._editions_in, self._links, self._split, self._order, self._describe)
         other._observe = obs
         return other
 
@@ -121,14 +124,18 @@ class Corpus:
         return kept.groupBy(*A.EDITION_KEY).agg(F.count(F.lit(1)).alias("_n"))
 
     @cached_property
-    def _eds(self) -> DataFrame:
+    def _counted(self) -> DataFrame:
+        """Editions with their article count, not yet hashed."""
         eds = self._editions_in.withColumn("publication_date_str", F.date_format("publication_date", ISO_DATE))
         eds = E.with_pdf_url(eds, self.spark)
         counts = self._edition_counts if "_stored" not in self.__dict__ else self._articles_core.groupBy(
             *A.EDITION_KEY).agg(F.count(F.lit(1)).alias("_n"))
-        eds = (eds.join(counts, list(A.EDITION_KEY), "left")
-                  .withColumn("total_articles", F.coalesce("_n", F.lit(0)).cast("int")).drop("_n"))
-        return A.with_edition_hash(eds)
+        return (eds.join(counts, list(A.EDITION_KEY), "left")
+                   .withColumn("total_articles", F.coalesce("_n", F.lit(0)).cast("int")).drop("_n"))
+
+    @cached_property
+    def _eds(self) -> DataFrame:
+        return A.with_edition_hash(self._counted)
 
     @cached_property
     def editions(self) -> DataFrame:
@@ -139,8 +146,9 @@ class Corpus:
 
     @cached_property
     def articles(self) -> DataFrame:
-        e_keys = self._eds.select(*A.EDITION_KEY, "edition_hash", "publication_date")
-        return (self._articles_core.join(e_keys, list(A.EDITION_KEY))
+        # the hash is taken behind the join: a digest does not compress in the exchange
+        e_keys = self._counted.select(*A.EDITION_KEY, "publication_date", "publication_date_str", "total_articles")
+        return (A.with_edition_hash(self._articles_core.join(e_keys, list(A.EDITION_KEY)))
                     .select("municipality", F.col("article_id").cast("string").alias("article_id"),
                             F.col("edition_id").cast("string").alias("edition_id"), "edition_hash",
                             "publication_date", "title", "hierarchy_path",
@@ -190,19 +198,20 @@ def structure_links(spark: SparkSession, d: str, with_path: bool = True) -> Data
 
 
 def assemble_corpus(spark: SparkSession, editions: DataFrame, links: DataFrame, split: DataFrame,
-                    order=("ord",)) -> Corpus:
+                    order=("ord",), describe=None) -> Corpus:
     """See :class:`Corpus`."""
-    return Corpus(spark, editions, links, split, order)
+    return Corpus(spark, editions, links, split, order, describe)
 
 
 def build_corpus(spark: SparkSession, d: str) -> Corpus:
     """The pipeline over the driver tables (see the module docstring). A document answers the
     request for its key on every portal, so the responses go in without their portal."""
-    links = structure_links(spark, d)
+    links = structure_links(spark, d, with_path=False).where(F.col("identifier").isNotNull())
     split = C.split_inline(C.dispatch(driver.content_responses(spark, d).drop("municipality")))
     eds = driver.editions_full(spark, d)
     # first-seen order: article_id is not unique in the driver data, protocol completes it
-    return assemble_corpus(spark, eds, links, split, order=("article_id", "protocol"))
+    return assemble_corpus(spark, eds, links, split, order=("article_id", "protocol"),
+                           describe=lambda unique: driver.with_path(spark, d, unique))
 
 
 # --------------------------------------------------------------------------- registered queries

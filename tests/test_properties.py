@@ -114,3 +114,42 @@ def test_urls(spark):
     df = spark.createDataFrame([("https://a.gov.br/x/1?q=2",), ("no url at all",), (None,), ("http://[bad",)], "u string")
     assert [tuple(r) for r in df.select(host(df.u), path(df.u)).collect()] == [("a.gov.br", "/x/1"), (None, "no url at all"), (None, None), (None, None)] \
         or [r[0] for r in df.select(host(df.u)).collect()] == ["a.gov.br", None, None, None]
+
+
+def test_titles_are_joined_behind_the_dedupe(spark, sf_small, tmp_dir):
+    # links move without title and path; repeated parts, unknown parts and null identifiers change nothing
+    import json
+    import os
+    li = spark.read.parquet(f"{sf_small}/lineitem.parquet").limit(0)
+    orders = [r.o_orderkey for r in spark.read.parquet(f"{sf_small}/orders.parquet").select("o_orderkey").orderBy("o_orderkey").limit(40).collect()]
+    rows = [{"l_orderkey": o, "l_linenumber": n, "l_partkey": None if n == 5 else (o + n) % 7, "l_suppkey": n % 3} for o in orders for n in range(1, 6)]
+    kinds = dict(li.dtypes)
+    rows = [tuple(r.get(c, "A" if kinds[c] == "string" else None) for c in li.columns) for r in rows]
+    spark.createDataFrame(rows, li.schema).coalesce(1).write.mode("overwrite").parquet(f"{tmp_dir}/l")
+    part = spark.read.parquet(f"{sf_small}/part.parquet").where("p_partkey < 6")  # 6 is unknown
+    part.unionByName(part).unionByName(part.where("p_partkey = 1")).coalesce(1).write.mode("overwrite").parquet(f"{tmp_dir}/p")
+    d = f"{tmp_dir}/d"
+    os.makedirs(d)
+    for n in os.listdir(sf_small):
+        src = {"lineitem.parquet": f"{tmp_dir}/l", "part.parquet": f"{tmp_dir}/p"}.get(n, f"{sf_small}/{n}")
+        os.symlink(src, f"{d}/{n}")
+    c = IN.build_corpus(spark, d)
+    assert "hierarchy_path" not in c._links.columns and "title" not in c._links.columns
+    got = sorted((r.municipality, int(r.identifier), int(r.article_id), r.protocol, r.depth, r.title, r.hierarchy_path_json) for r in c.articles.collect())
+    where = {r.edition_id: r.municipality for r in c.editions.collect()}
+    parts = {r.p_partkey: tuple(r) for r in part.select("p_partkey", "p_type", "p_brand", "p_name").collect()}
+    docs = {r.doc_id for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id").collect()}
+    best = {}
+    for o in orders:
+        for n in range(1, 5):
+            k = (o + n) % 7
+            if k in parts and k in docs and str(o) in where:
+                best.setdefault((where[str(o)], k), []).append((-min(n - 1, 3), o * 10 + n, str(n % 3)))
+    want = []
+    for (m, k), found in best.items():
+        depth, article, protocol = min(found)
+        path = list(parts[k][1:])[:-depth]
+        want.append((m, k, article, protocol, -depth, parts[k][3], json.dumps(path, separators=(",", ":"))))
+    strip = lambda rows: sorted((*r[:6], json.loads(r[6])) for r in rows)
+    assert got and strip(got) == strip(want)
+    assert sum(r.total_articles for r in c.editions.collect()) == len(want)
