@@ -13,6 +13,7 @@ edition) and the blob dedupe (on hash, narrow first).
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,20 @@ from quire.operators import editions as E
 from quire.operators import fetchlog as FL
 from quire.operators import frontier as FR
 from quire.sources import driver
+from quire.sources.files import delete_path
 from quire.sources.portals import portals
 
 
+COLUMNS = {
+    "editions": ("municipality", "edition_id", "publication_date", "edition_number", "supplement", "edition_type_id",
+                 "edition_type_name", "pdf_url", "total_articles", "edition_hash"),
+    "articles": ("municipality", "article_id", "edition_id", "edition_hash", "publication_date", "title", "hierarchy_path",
+                 "hierarchy_path_json", "identifier", "protocol", "depth", "content_type", "content_size", "content_hash",
+                 "content_path", "inline_text"),
+    "relationships": ("municipality", "edition_id", "article_id", "edition_hash", "publication_date"),
+}
+
+
 class Corpus:
     """J1-J5 + K1-K3 from parsed parts, built lazily: each table is constructed on first
     access, so a query that needs one table does not plan the others.
@@ -52,21 +64,34 @@ class Corpus:
         self._order, self._describe = list(order), describe
 
     def materialize(self, fallback: str | None = None) -> "Corpus":
-        """Checkpoint the deduplicated, content-joined articles (the expensive shared core
-        of all three tables) into the session's ``spark.checkpoint.dir`` (``fallback`` where
-        that is unset: a folder every executor shares). Writing the
-        editions, articles and relationships tables then reads it instead of re-running
-        the pipeline three times; the checkpoint also cuts the lineage, so a lost
-        executor recomputes from the checkpoint files, not from the raw responses."""
+        """Store what the three tables share, as Parquet in the session's
+        ``spark.checkpoint.dir`` (``fallback`` where that is unset: a folder every executor
+        shares): the deduplicated links, and the editions with their counts. Neither holds a
+        body. Writing the editions, articles and relationships tables then reads them instead of
+        re-running the pipeline three times, and a lost executor recomputes from the files.
+        `release` deletes them."""
         from quire.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(self.spark, fallback)
-        core = self._articles_core.checkpoint(eager=True)
-        for name in ("_articles_core", "_counted", "_eds", "editions", "articles", "relationships"):
-            self.__dict__.pop(name, None)
-        self.__dict__["_articles_core"] = core
-        self.__dict__["_stored"] = True
+        self.release()
+        self._folder = f"{ensure_checkpoint_dir(self.spark, fallback).rstrip('/')}/corpus-{uuid.uuid4().hex[:12]}"
+        # an article's own stand-in content columns (if any) give way to the fetched content
+        self.__dict__["_unique"] = self._store(self._unique.drop("content_type", "content_size"), "links")
+        self.__dict__["_counted"] = self._store(self._counted, "editions")
         return self
 
+    _folder = None
+
+    def _store(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self._folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self._folder}/{name}")
+
+    def release(self) -> None:
+        """Delete what `materialize` stored; the tables are computed from the inputs again."""
+        for name in [n for n, v in vars(type(self)).items() if isinstance(v, cached_property)]:
+            self.__dict__.pop(name, None)
+        if self._folder is not None:
+            delete_path(self.spark, self._folder)
+            self._folder = None
+
     def _with_content(self, links: DataFrame, responses: DataFrame) -> DataFrame:
         """``links`` with the response to their request: equal identifier, equal portal."""
         keys = responses.withColumnRenamed("request_key", "_rk").withColumn("_rk", F.col("_rk").cast("string"))
@@ -98,10 +123,13 @@ class Corpus:
 
     @cached_property
     def _articles_core(self) -> DataFrame:
-        content_cols = self.content_split.select(*self._request_key, "content_type", "content_size", "content_hash",
-                                                 "content_path", "inline_text")
         # an article's own stand-in content columns (if any) give way to the fetched content
-        return self._with_content(self._unique.drop("content_type", "content_size"), content_cols)
+        return self._with_content(self._unique.drop("content_type", "content_size"), self._content_cols)
+
+    @cached_property
+    def _content_cols(self) -> DataFrame:
+        return self.content_split.select(*self._request_key, "content_type", "content_size", "content_hash",
+                                         "content_path", "inline_text")
 
     def counted(self, obs) -> "Corpus":
         """This corpus, with the number of articles that have content observed while the
@@ -128,40 +156,50 @@ class Corpus:
         """Editions with their article count, not yet hashed."""
         eds = self._editions_in.withColumn("publication_date_str", F.date_format("publication_date", ISO_DATE))
         eds = E.with_pdf_url(eds, self.spark)
-        counts = self._edition_counts if "_stored" not in self.__dict__ else self._articles_core.groupBy(
-            *A.EDITION_KEY).agg(F.count(F.lit(1)).alias("_n"))
-        return (eds.join(counts, list(A.EDITION_KEY), "left")
+        return (eds.join(self._edition_counts, list(A.EDITION_KEY), "left")
                    .withColumn("total_articles", F.coalesce("_n", F.lit(0)).cast("int")).drop("_n"))
 
     @cached_property
     def _eds(self) -> DataFrame:
         return A.with_edition_hash(self._counted)
 
+    def rows(self, name: str) -> DataFrame:
+        """A table without what `finished` derives from the rest of a row."""
+        if name == "editions":
+            return self._counted.drop("publication_date_str").select("*", *date_parts("publication_date"))
+        e_keys = self._counted.select(*A.EDITION_KEY, "publication_date", "total_articles")
+        if self._folder is None:
+            found = self._articles_core.join(e_keys, list(A.EDITION_KEY))
+        else:  # bodies come last: the join to the editions moves none
+            found = self._with_content(self._unique.join(e_keys, list(A.EDITION_KEY)), self._content_cols)
+        if name == "relationships":
+            found = found.select(*A.EDITION_KEY, "article_id", "publication_date", "total_articles")
+        else:
+            found = found.drop("_n", "publication_date_str")
+        return found.select("*", *date_parts("publication_date"))
+
+    @staticmethod
+    def finished(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        """The columns of a table from its `rows` (and ``more`` of theirs). Row by row: behind an
+        exchange it saves what does not compress there, as digests and repeated paths."""
+        out = A.with_edition_hash(rows.withColumn("publication_date_str", F.date_format("publication_date", ISO_DATE)))
+        text = {c: F.col(c).cast("string").alias(c) for c in ("edition_id", "article_id", "identifier")}
+        derived = text | {"hierarchy_path_json": path_to_json("hierarchy_path").alias("hierarchy_path_json"),
+                          "protocol": F.coalesce("protocol", F.lit("")).alias("protocol")}
+        return out.select(*[derived.get(c, c) for c in (*COLUMNS[name], "year", "month", "day", *more)])
+
     @cached_property
     def editions(self) -> DataFrame:
-        return self._eds.select(
-            "municipality", F.col("edition_id").cast("string").alias("edition_id"), "publication_date",
-            "edition_number", "supplement", "edition_type_id", "edition_type_name", "pdf_url",
-            "total_articles", "edition_hash", *date_parts("publication_date"))
+        return self.finished(self.rows("editions"), "editions")
 
     @cached_property
     def articles(self) -> DataFrame:
         # the hash is taken behind the join: a digest does not compress in the exchange
-        e_keys = self._counted.select(*A.EDITION_KEY, "publication_date", "publication_date_str", "total_articles")
-        return (A.with_edition_hash(self._articles_core.join(e_keys, list(A.EDITION_KEY)))
-                    .select("municipality", F.col("article_id").cast("string").alias("article_id"),
-                            F.col("edition_id").cast("string").alias("edition_id"), "edition_hash",
-                            "publication_date", "title", "hierarchy_path",
-                            path_to_json("hierarchy_path").alias("hierarchy_path_json"),
-                            F.col("identifier").cast("string").alias("identifier"),
-                            F.coalesce("protocol", F.lit("")).alias("protocol"), "depth",
-                            "content_type", "content_size", "content_hash", "content_path", "inline_text",
-                            *date_parts("publication_date")))
+        return self.finished(self.rows("articles"), "articles")
 
     @cached_property
     def relationships(self) -> DataFrame:
-        return self.articles.select("municipality", "edition_id", "article_id", "edition_hash",
-                                    "publication_date", "year", "month", "day")
+        return self.finished(self.rows("relationships"), "relationships")
 
     @cached_property
     def totals(self) -> DataFrame:

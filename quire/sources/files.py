@@ -16,6 +16,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediates with all it holds."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def subfolders(spark: SparkSession, path: str) -> list[str]:
     """Names of the folders directly below a path; none where it does not exist. For a level
     of bounded fan-out (buckets, prefixes): one listing, whatever lies below."""
