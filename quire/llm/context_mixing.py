@@ -29,10 +29,12 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,7 @@ BUCKETS = 33  # of the adaptive map, over stretched probabilities from -8 to 8
 SEGMENT = 1 << 15  # bytes handled at a time
 TASKS = 256  # tasks that learn, at most: their sums meet in one group for each block
 TOP = 1 << 16  # most frequent words that are broadcast
+PIECE = 1 << 24  # bytes of text whose words are handled at once
 FLUSH = 400_000  # distinct words that a task holds before it passes their counts on
 CLASSES = 6
 MARKS = 512  # short frequent words whose company tells the classes
@@ -88,14 +91,43 @@ def bits(byte: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray
     """For each of the eight bits: (place, bit, node of the byte's bit tree, slot by order)."""
     for b in range(8):
         node = (1 << b) | (byte >> (8 - b))
-        slot = ((hashes ^ (node.astype(np.uint64) * _Q)) * _R) >> np.uint64(64 - SLOT_BITS)
-        yield b, (byte >> (7 - b)) & 1, node, slot.astype(np.int64)
+        slot = hashes ^ (node.astype(np.uint64) * _Q)
+        slot *= _R
+        slot >>= np.uint64(64 - SLOT_BITS)
+        yield b, (byte >> (7 - b)) & 1, node, slot.view(np.int64)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
 
+def chance(s: np.ndarray) -> np.ndarray:
+    """`squash` of stretched probabilities within -8 and 8."""
+    p = np.exp(-s)
+    p += 1
+    return np.divide(1, p, out=p)
+
+
+def shared(at: np.ndarray, part: np.ndarray, size: int) -> np.ndarray:
+    """Sums of an adaptive map: each event is split between its bucket ``at`` and the next one
+    (two places on), which gets ``part``."""
+    above = np.bincount(at, part, size)
+    out = np.bincount(at, minlength=size) - above
+    out[2:] += above[:-2]
+    return out
+
+
+def averaged(s: np.ndarray, refine: np.ndarray, at: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A mixer's prediction, averaged with the adaptive map between buckets ``at`` and ``at + 1``."""
+    flat = refine.ravel()
+    p = np.append(np.diff(flat), np.float32(0)).take(at)
+    p *= part
+    p += flat.take(at)
+    p += chance(s)
+    p *= np.float32(.5)
+    return np.clip(p, 1e-6, 1 - 1e-6, out=p)
+
+
 class Mixer:
     """Tables of counts by order, weights by gate, and the adaptive map."""
 
@@ -117,24 +149,31 @@ class Mixer:
         order that says anything. Given the bits, each event is left out of the counts that
         predict it."""
         x = np.full((len(ORDERS) + 1, slot.shape[1]), .3, np.float32)
-        state = np.zeros(slot.shape[1], np.int64)
+        state = np.zeros(slot.shape[1], np.uint8)
         if bit is not None:
             own = bit.astype(np.float32)
             other = 1 - own
         for k, s in enumerate(slot):
             if bit is None:
-                x[k] = self.ready[k].take(s)
+                self.ready[k].take(s, out=x[k], mode="clip")
             else:
                 n = self.counts[k].view(np.complex64)[:, 0].take(s)  # both counts in one look-up
-                x[k] = np.log(np.maximum(n.imag - own, 0) + np.float32(.2)) - np.log(np.maximum(n.real - other, 0) + np.float32(.2))
-            state[x[k] != 0] = k + 1
-        return x, state
+                n1, n0 = n.imag - own, n.real - other
+                for m in (n1, n0):
+                    np.maximum(m, 0, out=m)
+                    m += np.float32(.2)
+                n1 /= n0
+                np.log(n1, out=x[k])
+            np.maximum(state, (x[k] != 0).view(np.uint8) * np.uint8(k + 1), out=state)
+        return x, state.astype(np.int64)
 
     def mix(self, b: int, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-        s = np.zeros(x.shape[1], np.float32)
+        s, w = np.zeros(x.shape[1], np.float32), np.ascontiguousarray(self.weights[b].T)
         for k in range(len(x)):
-            s += self.weights[b, :, k].take(state) * x[k]
-        return np.clip(s, -8, 8)
+            term = w[k].take(state)
+            term *= x[k]
+            s += term
+        return np.clip(s, -8, 8, out=s)
 
     def learn(self, b: int, bit: np.ndarray, node: np.ndarray, slot: np.ndarray) -> None:
         """One online step: each gate's weights move along the mean gradient of its events,
@@ -143,34 +182,32 @@ class Mixer:
         s = self.mix(b, x, state)
         pick = (np.arange(SEEN)[:, None] == state).astype(np.float32)
         n = pick.sum(1)
-        step = pick @ (x * (bit - squash(s)).astype(np.float32)).T
+        step = pick @ (x * (bit.astype(np.float32) - chance(s))).T
         self.weights[b] += (RATE * np.minimum(n / 50, 1) / np.maximum(n, 1))[:, None] * step
         low, part = self.place(s)
-        at = (node * BUCKETS + low) * 2 + bit
-        size = self.sums.size
-        self.sums += (np.bincount(at, 1 - part, size) + np.bincount(at + 2, part, size + 2)[:size]).reshape(self.sums.shape)
+        self.sums += shared((node * BUCKETS + low) * 2 + bit, part, self.sums.size).reshape(self.sums.shape)
 
     @staticmethod
     def place(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = (s + 8) / 16 * (BUCKETS - 1)
-        low = np.minimum(at.astype(np.int64), BUCKETS - 2)
-        return low, at - low
+        at = (s + np.float32(8)) * np.float32((BUCKETS - 1) / 16)
+        low = np.minimum(at.astype(np.int32), BUCKETS - 2)
+        at -= low.astype(np.float32)
+        return low.astype(np.int64), at
 
     def refined(self, s: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Probability of a one: the mixer's, averaged with the adaptive map's."""
         low, part = self.place(s)
-        p = (squash(s) + self.refine[node, low] * (1 - part) + self.refine[node, low + 1] * part) / 2
-        return np.clip(p, 1e-6, 1 - 1e-6)
+        return averaged(s, self.refine, node * BUCKETS + low, part)
 
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         """Natural log of the probability that each word is spelled."""
         out = np.zeros(len(words))
         for byte, hashes, word in segments(words):
-            total = np.zeros(len(byte))
+            total = np.ones(len(byte))
             for b, bit, node, slot in bits(byte, hashes):
                 p = self.refined(self.mix(b, *self.inputs(slot)), node)
-                total += np.log(np.where(bit == 1, p, 1 - p))
-            out += np.bincount(word, total, len(words))
+                total *= np.where(bit == 1, p, 1 - p)
+            out += np.bincount(word, np.log(total), len(words))
         return out
 
 
@@ -279,6 +316,16 @@ def text_words(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
+def pieces(batch: pa.RecordBatch, column: int = 0) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of some PIECE bytes of text, a row at least."""
+    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size) // PIECE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _count_short(batches):
     count = Counter()
     for batch in batches:
@@ -334,6 +381,18 @@ class Classes:
         at = [self.marks[w] for w in self.marks.keys() & words]
         return int((np.log(self.prior) + np.log(self.p[:, at]).sum(1)).argmax())
 
+    def of(self, run: Running) -> np.ndarray:
+        """The class of each text of ``run``, whose words were read with the marks as ``known``."""
+        there = np.zeros((len(run.size), len(self.marks)))
+        at = run.known[run.at]
+        marked = at >= 0
+        there[run.text[marked], at[marked]] = 1
+        return (np.log(self.prior) + sum_columns(there, np.log(self.p[:, :len(self.marks)]))).argmax(1)
+
+
+def sum_columns(there: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.einsum("tm,km->tk", there, weights)  # small: not worth the threads of a matrix product
+
 
 def find_classes(texts: DataFrame) -> Classes:
     """``texts``: one column of training texts. MARKS words and their pairs reach the driver."""
@@ -348,19 +407,60 @@ def word_code(word: bytes) -> int:
 
 
 class Tokens(dict):
-    """Words as numbers, remembered: the top of the hash, the code, and whether it is short."""
+    """Words met so far, with their places. For each ``hashes`` has the hash, ``numbers`` its top
+    with the code and whether the word is short, and each of ``lists`` a number where the list
+    has the word, else -1."""
 
     LOW = DEPTH + 1
 
+    def __init__(self, *lists: dict):
+        super().__init__()
+        self.lists, self.codes = lists, {}  # codes by ending: a few bytes, so there are few
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.hashes = self.numbers = np.zeros(0, np.uint64)
+        self.of = [np.zeros(0, np.int64) for _ in self.lists]
+
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word) >> self.LOW << self.LOW
-        h = self[word] = h | word_code(word) << 1 | (0 < len(word) <= SHORT)
-        return h
+        n = self[word] = len(self)
+        return n
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
+    def _code(self, end: bytes) -> int:
+        if end not in self.codes:
+            self.codes[end] = word_code(end)
+        return self.codes[end]
+
+    def places(self, words: list[bytes]) -> np.ndarray:
         if len(self) > FLUSH:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+            self.forget()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        new = list(islice(self, len(self.numbers), None))
+        if new:
+            h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+            size = np.fromiter(map(len, new), np.int64, len(new))
+            code = np.fromiter((self._code(w[-ENDING:]) for w in new), np.uint64, len(new))
+            low = np.uint64(self.LOW)
+            number = h >> low << low | code << np.uint64(1) | ((size > 0) & (size <= SHORT)).astype(np.uint64)
+            self.hashes, self.numbers = np.append(self.hashes, h), np.append(self.numbers, number)
+            self.of = [np.append(have, np.fromiter((there.get(w, -1) for w in new), np.int64, len(new)))
+                       for there, have in zip(self.lists, self.of, strict=True)]
+        return at
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        return self.numbers[self.places(words)]
+
+
+class Running:
+    """The words of many texts as places in ``tokens``, whose first list has the marks."""
+
+    def __init__(self, texts: pa.Array, tokens: Tokens):
+        raw = [text_words(t) for t in texts.to_pylist()]
+        self.size = np.fromiter(map(len, raw), np.int64, len(raw))  # words of each text
+        self.text = np.repeat(np.arange(len(raw)), self.size)
+        self.at = tokens.places(list(chain.from_iterable(raw)))
+        self.known, self.numbers = tokens.of[0], tokens.numbers
 
 
 def _before(h: np.ndarray, at: np.ndarray, start: np.ndarray, none: int) -> np.ndarray:
@@ -382,7 +482,13 @@ class TextMixer:
             one[:, 1 << b:2 << b] = part[:, :, 1] / part.sum(2)
         one = np.clip(one, 1e-5, 1 - 1e-5)
         self.one = one.ravel().astype(np.float32)  # by class and node: P(1) without context
+        self.none = (1 - one + 1j * one).ravel().astype(np.complex64)  # what an unseen context counts as
         self.ready = np.log(one / (1 - one)).ravel().astype(np.float32)
+        code = np.arange(1 << DEPTH)
+        self.alone = np.zeros((len(mass), 1 << DEPTH))  # log of the code's probability without context
+        for b in range(DEPTH):
+            p = self.one.reshape(len(mass), -1)[:, (1 << b) | (code >> (DEPTH - b))].astype(float)
+            self.alone += np.log(np.where(code >> (DEPTH - 1 - b) & 1, p, 1 - p))
         self.counts = np.zeros((CONTEXTS, 2 << slots), np.float32)
         self.weights = np.full((DEPTH, KNOWN ** CONTEXTS, CONTEXTS), .4, np.float32)
         self.sums = np.zeros((DEPTH, BUCKETS, 2), np.float32)  # of the adaptive map
@@ -395,11 +501,15 @@ class TextMixer:
     @staticmethod
     def parts(texts: list[np.ndarray], told: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(code, context hashes, class, text index) of SEGMENT words at a time, in order."""
-        if not texts:
+        if texts:
+            yield from TextMixer.stretches(np.concatenate(texts), np.fromiter(map(len, texts), np.int64, len(texts)), told)
+
+    @staticmethod
+    def stretches(h: np.ndarray, size: np.ndarray, told) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """`parts` of texts that follow each other in ``h``, of so many words each."""
+        if not len(h):
             return
-        h = np.concatenate(texts)
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        text = np.repeat(np.arange(len(texts)), size)
+        text = np.repeat(np.arange(len(size)), size)
         start = np.repeat(np.cumsum(size) - size, size)
         at = np.arange(len(h))
         short = np.maximum.accumulate(np.where(h & np.uint64(1) == 1, at, -1))  # the last short word so far
@@ -416,27 +526,35 @@ class TextMixer:
         """For each bit of the codes: (place, bit, node, slot by context)."""
         for b in range(DEPTH):
             node = (1 << b) | (code >> (DEPTH - b))
-            slot = ((ctx ^ (node.astype(np.uint64) * _Q)) * _R) >> np.uint64(64 - self.slots)
-            yield b, (code >> (DEPTH - 1 - b)) & 1, node, slot.astype(np.int64)
+            slot = ctx ^ (node.astype(np.uint64) * _Q)
+            slot *= _R
+            slot >>= np.uint64(64 - self.slots)
+            yield b, (code >> (DEPTH - 1 - b)) & 1, node, slot.view(np.int64)
 
     def inputs(self, node: np.ndarray, kind: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Stretched prediction without context, what each context adds, and the gate's state."""
         at = (kind << DEPTH) + node
-        s0, p0 = self.ready.take(at), self.one.take(at)
-        x, state = np.empty((CONTEXTS, len(node)), np.float32), np.zeros(len(node), np.int64)
+        s0, none = self.ready.take(at), self.none.take(at)
+        x, state = np.empty((CONTEXTS, len(node)), np.float32), np.zeros(len(node), np.uint8)
         for k in range(CONTEXTS):
             n = self.counts[k].view(np.complex64).take(slot[k])  # both counts in one look-up
-            n0, n1 = n.real, n.imag
-            x[k] = np.log((n1 + p0) / (n0 + 1 - p0)) - s0
-            seen = n0 + n1
-            state = state * KNOWN + (seen > 0) + (seen >= 4)
-        return s0, x, state
+            seen = n.real + n.imag
+            state *= KNOWN
+            state += (seen > 0).view(np.uint8)
+            state += (seen >= 4).view(np.uint8)
+            n += none
+            np.divide(n.imag, n.real, out=x[k])
+        np.log(x, out=x)
+        x -= s0
+        return s0, x, state.astype(np.int64)
 
     def mix(self, b: int, s0: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
-        s = s0.copy()
+        s, w = s0.copy(), np.ascontiguousarray(self.weights[b].T)
         for k in range(CONTEXTS):
-            s += self.weights[b, :, k].take(state) * x[k]
-        return np.clip(s, -8, 8)
+            term = w[k].take(state)
+            term *= x[k]
+            s += term
+        return np.clip(s, -8, 8, out=s)
 
     def learn(self, code: np.ndarray, ctx: np.ndarray, kind: np.ndarray) -> None:
         """Predict a stretch of text with what is counted so far, and move the weights."""
@@ -444,45 +562,48 @@ class TextMixer:
         for b, bit, node, slot in self.bits(code, ctx):
             s0, x, state = self.inputs(node, kind, slot)
             s = self.mix(b, s0, x, state)
-            miss = (bit - squash(s)).astype(np.float32)
+            miss = bit.astype(np.float32) - chance(s)
             n = np.bincount(state, minlength=size)
             step = np.stack([np.bincount(state, miss * x[k], size) for k in range(CONTEXTS)], 1)
             self.weights[b] += (LOCAL_RATE * np.minimum(n / 50, 1) / np.maximum(n, 1))[:, None] * step
             low, part = Mixer.place(s)
-            place = low * 2 + bit
-            self.sums[b] += (np.bincount(place, 1 - part, 2 * BUCKETS) + np.bincount(place + 2, part, 2 * BUCKETS)).reshape(BUCKETS, 2)
+            self.sums[b] += shared(low * 2 + bit, part, 2 * BUCKETS).reshape(BUCKETS, 2)
 
     def count(self, code: np.ndarray, ctx: np.ndarray) -> None:
-        at = np.concatenate([slot * 2 + bit for _, bit, _, slot in self.bits(code, ctx)], 1)
+        at = np.empty((CONTEXTS, DEPTH, len(code)), np.int64)
+        for b, bit, _, slot in self.bits(code, ctx):
+            slot *= 2
+            np.add(slot, bit, out=at[:, b])
         for k in range(CONTEXTS):
-            self.counts[k] += np.bincount(at[k], minlength=2 << self.slots)
+            self.counts[k] += np.bincount(at[k].ravel(), minlength=2 << self.slots)
 
     def gain(self, texts: list[np.ndarray], told: list[int]) -> np.ndarray:
         """Natural log of how much likelier each text is in its order than by P0 alone."""
-        out = np.zeros(len(texts))
-        for code, ctx, kind, text in self.parts(texts, told):
-            ratio = np.ones(len(code))
+        return self._gain(self.parts(texts, told), len(texts))
+
+    def _gain(self, parts: Iterator, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        for code, ctx, kind, text in parts:
+            total = np.ones(len(code))
             for b, bit, node, slot in self.bits(code, ctx):
                 s = self.mix(b, *self.inputs(node, kind, slot))
-                low, part = Mixer.place(s)
-                p = (squash(s) + self.refine[b].take(low) * (1 - part) + self.refine[b].take(low + 1) * part) / 2
-                p, p0 = np.clip(p, 1e-6, 1 - 1e-6), self.one.take((kind << DEPTH) + node)
-                ratio *= np.where(bit == 1, p / p0, (1 - p) / (1 - p0))
-            out += np.bincount(text, np.log(ratio), len(texts))
+                p = averaged(s, self.refine[b], *Mixer.place(s))
+                total *= np.where(bit == 1, p, 1 - p)
+            out += np.bincount(text, np.log(total) - self.alone[kind, code], n)
         return out
 
 
 def _learn_texts(model: TextMixer, classes: Classes):
     def run(batches):
-        numbers, tokens, held = Tokens(), 0, []
+        read, tokens, held = Tokens(classes.marks), 0, []
 
         def count():
             if held:
                 model.count(np.concatenate([c for c, _ in held]), np.concatenate([x for _, x in held], 1))
                 held.clear()
-        for batch in batches:
-            raw = [text_words(t) for t in batch.column(0).to_pylist()]
-            for code, ctx, kind, _ in model.parts([numbers(w) for w in raw], [classes(set(w)) for w in raw]):
+        for batch in (p for b in batches for p in pieces(b)):
+            words = Running(batch.column(0), read)
+            for code, ctx, kind, _ in model.stretches(words.numbers[words.at], words.size, classes.of(words)):
                 model.learn(code, ctx, kind)
                 tokens += len(code)
                 held.append((code, ctx))
@@ -514,24 +635,22 @@ def train_texts(texts: DataFrame, prior: np.ndarray, tokens: int, classes: Class
 def _count_words(classes: Classes):
     n = len(classes.prior)
 
-    def out(count, unseen):
-        words = list(unseen.union(*count))
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *(pa.array([c[w] for w in words], pa.int64()) for c in count)],
+    def out(place, count):
+        return pa.RecordBatch.from_arrays([pa.array(list(place), pa.binary()), *(pa.array(c[:len(place)], pa.int64()) for c in count)],
                                           ["word", *(f"c{k}" for k in range(n))])
 
     def run(batches):
-        count, unseen = [Counter() for _ in range(n)], set()
-        for batch in batches:
-            for text, learn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = text_words(text)
-                if learn:
-                    count[classes(set(words))].update(words)
-                else:
-                    unseen.update(words)
-                if sum(map(len, count)) + len(unseen) > FLUSH:
-                    yield out(count, unseen)
-                    count, unseen = [Counter() for _ in range(n)], set()
-        yield out(count, unseen)
+        place, count = Tokens(classes.marks), np.zeros((n, 0), np.int64)
+        for batch in (p for b in batches for p in pieces(b)):
+            words = Running(batch.column(0), place)
+            if len(place) > count.shape[1]:
+                count = np.concatenate((count, np.zeros((n, 2 * len(place) - count.shape[1]), np.int64)), 1)
+            learn = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[words.text]
+            np.add.at(count.ravel(), classes.of(words)[words.text[learn]] * count.shape[1] + words.at[learn], 1)
+            if len(place) > FLUSH:
+                yield out(place, count)
+                place, count = Tokens(classes.marks), np.zeros((n, 0), np.int64)
+        yield out(place, count)
     return run
 
 
@@ -555,43 +674,35 @@ def _score_words(model: Mixer, evidence: np.ndarray):
 def _score_texts(index: dict, known: np.ndarray, table: np.ndarray, classes: Classes, mixer: TextMixer):
     """Sums over the broadcast words of a text, its class by its marks, and what its order gains
     there; its other words as key, check and count."""
+    columns = np.ascontiguousarray(table.T)
+
     def run(batches):
-        numbers = Tokens()
-        for batch in batches:
-            rows, ends, keys, checks, ns, running, told = [], [0], [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                raw = text_words(text)
-                words = Counter(raw)
-                running.append(numbers(raw))
-                at, times = [], []
-                for w, n in words.items():
-                    i = index.get(w)
-                    if i is None:
-                        keys.append(xxhash.xxh64_intdigest(w))
-                        checks.append(xxhash.xxh32_intdigest(w))
-                        ns.append(n)
-                    else:
-                        at.append(i)
-                        times.append(n)
-                times = np.array(times, float)
-                at = np.array(at, np.int64)
-                ends.append(len(keys))
-                sums = times @ table[at]
-                told.append(classes(set(words)))
-                rows.append((len((text or "").encode("utf-8", "surrogatepass")), sum(words.values()), int(times @ known[at]), sums.tolist()))
-            rest = pa.StructArray.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(checks, pa.int64()),
-                                               pa.array(ns, pa.int64())], ["key", "chk", "n"])
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, _SUMS, strict=True)),
-                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest),
-                                              pa.array(mixer.gain(running, told)), pa.array(told, pa.int32())],
-                                             ["doc_id", "n_bytes", "n_tokens", "n_known", "sums", "rest", "gain", "kind"])
+        read = Tokens(classes.marks, index)
+        for batch in (p for b in batches for p in pieces(b, 1)):
+            words, texts = Running(batch.column(1), read), batch.num_rows
+            told = classes.of(words)
+            at = read.of[1][words.at]
+            here = at >= 0
+            text, at = words.text[here], at[here]
+            sums = np.stack([np.bincount(text, column.take(at), texts) for column in columns], 1).astype(float)  # without words: integers
+            # the other words: each once for a text, with its number there
+            pair, ns = np.unique(words.text[~here] * len(read) + words.at[~here], return_counts=True)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(pair // len(read), minlength=texts))))
+            rare, pair = np.unique(pair % len(read), return_inverse=True)
+            spelled = list(read)
+            key = read.hashes[rare].view(np.int64)
+            check = np.fromiter((xxhash.xxh32_intdigest(spelled[i]) for i in rare.tolist()), np.int64, len(rare))
+            rest = pa.StructArray.from_arrays([pa.array(key[pair].view(np.int64)), pa.array(check[pair]), pa.array(ns.astype(np.int64))], ["key", "chk", "n"])
+            gain = mixer._gain(mixer.stretches(words.numbers[words.at], words.size, told), texts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pc.binary_length(batch.column(1)).fill_null(0).cast(pa.int64()), pa.array(words.size),
+                 pa.array(np.bincount(text, known.take(at), texts).astype(np.int64)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(texts + 1) * len(columns), pa.int32()), pa.array(sums.ravel())),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest), pa.array(gain), pa.array(told, pa.int32())],
+                ["doc_id", "n_bytes", "n_tokens", "n_known", "sums", "rest", "gain", "kind"])
     return run
 
 
-_SUMS = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
-
-
 def frequent(words: DataFrame, most: int) -> DataFrame:
     """The words with the highest counts, ``most`` at most: all from a count on. The count
     comes from a histogram over 32 steps for each doubling, so no task sends its own top."""
