@@ -65,18 +65,17 @@ CLUSTER = {"articles": ("publication_date", "identifier")}
 BLOOM = {"articles": ("identifier",)}
 
 
-def _writer(df: DataFrame, parts: list[str], obs: Observation | None = None, zstd_level: int = ZSTD_LEVEL, table: str = "",
-            finish=None):
+def _writer(df: DataFrame, parts: list[str], obs: Observation | None = None, zstd_level: int = ZSTD_LEVEL, table: str = ""):
     """K5: zstd, dictionary encoding and column statistics (parquet defaults kept on); for a
     table in ``CLUSTER`` its row order, for one in ``BLOOM`` its filters, sized by what they hold.
 
     A REBALANCE hint on the partition columns brings a partition value's rows together, and
     AQE splits a value by its measured size when it exceeds the advisory partition size: a hot
-    municipality-day is written by as many tasks as it needs. ``finish`` completes the rows
-    behind that exchange."""
+    municipality-day is written by as many tasks as it needs. A frame with a
+    ``_finish`` has its rows completed by it behind that exchange."""
     out = df.hint("rebalance", *[F.col(k) for k in parts])
-    if finish is not None:
-        out = finish(out)
+    if getattr(df, "_finish", None) is not None:
+        out = df._finish(out)
     if table in CLUSTER:
         out = out.sortWithinPartitions(*parts, *CLUSTER[table])
     if obs is not None:
@@ -113,10 +112,14 @@ def write_corpus(spark: SparkSession, corpus, root: str, batch_id: str, granular
             stats["content"] = append_content(spark, content_bodies, root, batch_id)
         for name in ("articles", "relationships", "editions"):
             rows, finish = getattr(corpus, name, None), None
-            if hasattr(corpus, "rows"):
+            if not hasattr(corpus, "rows"):
+                rows, finish = getattr(corpus, name), None
+            else:
                 rows, finish = corpus.rows(name), lambda df, name=name: corpus.finished(df, name, "batch_id", "processed_at")
             obs = Observation(f"{name}_{batch_id}")
-            _writer(stamp(rows, batch_id), parts, obs, table=name, finish=finish).mode("overwrite").parquet(f"{root}/{name}")
+            stamped = stamp(rows, batch_id)
+            stamped._finish = finish
+            _writer(stamped, parts, obs, table=name).mode("overwrite").parquet(f"{root}/{name}")
             stats[name] = obs.get["rows"]
     finally:
         if hasattr(corpus, "release"):
