@@ -27,9 +27,9 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import count, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,7 @@ BLOCK = 1 << 14  # numbers in one row of a sum
 RATE = 0.1
 BUCKETS = 33  # of the adaptive map, over stretched probabilities from -8 to 8
 SEGMENT = 1 << 15  # bytes handled at a time
+NEAR = 1 << 14  # words scored at a time: their arrays stay in the processor's cache
 TASKS = 256  # tasks that learn, at most: their sums meet in one group for each block
 TOP = 1 << 16  # most frequent words that are broadcast
 PIECE = 1 << 24  # bytes of text whose words are handled at once
@@ -65,6 +66,7 @@ MAX_SLOTS = 19  # bits; of one context's table
 LOCAL_RATE = 0.02
 COUNT_AT = 1 << 18  # words that are counted at once
 _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+NODES = np.arange(1 << 8, dtype=np.uint64) * _Q  # hashes of the nodes of a bit tree
 
 
 def segments(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -73,25 +75,29 @@ def segments(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     for s in range(0, len(flat), SEGMENT):
-        at = np.arange(s, min(s + SEGMENT, len(flat)))
-        word = np.searchsorted(ends, at, side="right")
-        pos = at - starts[word]
-        h = np.zeros(len(at), np.uint64)
-        hashes, k = np.empty((len(ORDERS), len(at)), np.uint64), 0
+        end, margin = min(s + SEGMENT, len(flat)), min(s, ORDERS[-1])
+        first, last = np.searchsorted(ends, (s, end - 1), side="right")
+        inside = np.minimum(ends[first:last + 1], end) - np.maximum(starts[first:last + 1], s)
+        word = np.repeat(np.arange(first, last + 1), inside)
+        pos = np.arange(s, end) - np.repeat(starts[first:last + 1], inside)
+        # bytes from one on: what lies before the word counts as a zero byte
+        near = np.concatenate((np.zeros(ORDERS[-1] - margin, np.uint64), flat[s - margin:end].astype(np.uint64) + np.uint64(1)))
+        h = np.zeros(end - s, np.uint64)
+        hashes, k = np.empty((len(ORDERS), end - s), np.uint64), 0
         for i, order in enumerate(ORDERS):
             while k < order:
                 k += 1
-                before = np.where(pos >= k, flat[np.maximum(at - k, 0)], 256).astype(np.uint64)
-                h = (h + before + np.uint64(1)) * _P
-            hashes[i] = h + np.uint64(order * int(_R) % (1 << 64))
-        yield flat[at].astype(np.int64), hashes, word
+                h += np.where(pos >= k, near[ORDERS[-1] - k:len(near) - k], np.uint64(1))
+                h *= _P
+            np.add(h, np.uint64(order * int(_R) % (1 << 64)), out=hashes[i])
+        yield flat[s:end].astype(np.int64), hashes, word
 
 
 def bits(byte: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For each of the eight bits: (place, bit, node of the byte's bit tree, slot by order)."""
     for b in range(8):
         node = (1 << b) | (byte >> (8 - b))
-        slot = hashes ^ (node.astype(np.uint64) * _Q)
+        slot = hashes ^ NODES.take(node)
         slot *= _R
         slot >>= np.uint64(64 - SLOT_BITS)
         yield b, (byte >> (7 - b)) & 1, node, slot.view(np.int64)
@@ -128,6 +134,12 @@ def averaged(s: np.ndarray, refine: np.ndarray, at: np.ndarray, part: np.ndarray
     return np.clip(p, 1e-6, 1 - 1e-6, out=p)
 
 
+def likelihood(p: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """``p`` where the bit is one, else ``1 - p``; ``p`` is overwritten."""
+    p -= 1 - bit.astype(np.float32)
+    return np.abs(p, out=p)
+
+
 class Mixer:
     """Tables of counts by order, weights by gate, and the adaptive map."""
 
@@ -151,19 +163,18 @@ class Mixer:
         x = np.full((len(ORDERS) + 1, slot.shape[1]), .3, np.float32)
         state = np.zeros(slot.shape[1], np.uint8)
         if bit is not None:
-            own = bit.astype(np.float32)
-            other = 1 - own
+            own = np.empty(len(bit), np.complex64)
+            own.imag = bit
+            own.real = 1 - bit
         for k, s in enumerate(slot):
             if bit is None:
                 self.ready[k].take(s, out=x[k], mode="clip")
             else:
                 n = self.counts[k].view(np.complex64)[:, 0].take(s)  # both counts in one look-up
-                n1, n0 = n.imag - own, n.real - other
-                for m in (n1, n0):
-                    np.maximum(m, 0, out=m)
-                    m += np.float32(.2)
-                n1 /= n0
-                np.log(n1, out=x[k])
+                n -= own
+                n += np.complex64(.2 + .2j)
+                np.divide(n.imag, n.real, out=x[k])
+                np.log(x[k], out=x[k])
             np.maximum(state, (x[k] != 0).view(np.uint8) * np.uint8(k + 1), out=state)
         return x, state.astype(np.int64)
 
@@ -203,30 +214,47 @@ class Mixer:
         """Natural log of the probability that each word is spelled."""
         out = np.zeros(len(words))
         for byte, hashes, word in segments(words):
-            total = np.ones(len(byte))
-            for b, bit, node, slot in bits(byte, hashes):
-                p = self.refined(self.mix(b, *self.inputs(slot)), node)
-                total *= np.where(bit == 1, p, 1 - p)
-            out += np.bincount(word, np.log(total), len(words))
+            out += np.bincount(word, self.log_bytes(byte, hashes), len(words))
         return out
 
+    def log_bytes(self, byte: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each byte."""
+        total = np.ones(len(byte))
+        for b, bit, node, slot in bits(byte, hashes):
+            total *= likelihood(self.refined(self.mix(b, *self.inputs(slot)), node), bit)
+        return np.log(total, out=total)
+
 
 def class_slots(byte: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (((hashes[ORDERS.index(3)] + byte.astype(np.uint64)) * _Q * _R) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
 
 
-def class_odds(words: list[bytes], evidence: np.ndarray, damp: float = 0.7) -> np.ndarray:
-    """log P(class | spelling) - log P(class) of each word, by its four-byte sequences.
-    ``evidence``: counts of sequences by slot and class."""
-    prior = np.log((evidence.sum(0) + 1) / (evidence.sum() + evidence.shape[1]))
-    seen = np.log(evidence + .5 * np.exp(prior)) - np.log(evidence.sum(1, keepdims=True) + .5) - prior
-    total = np.zeros((len(words), evidence.shape[1]))
-    for byte, hashes, word in segments(words):
-        got = seen[class_slots(byte, hashes)]
-        for k in range(evidence.shape[1]):
-            total[:, k] += np.bincount(word, got[:, k], len(words))
-    post = damp * total + prior
-    return post - np.logaddexp.reduce(post, axis=1, keepdims=True) - prior
+class Odds:
+    """Odds of the classes by spelling. ``evidence``: counts of four-byte sequences by slot and
+    class."""
+
+    def __init__(self, evidence: np.ndarray, damp: float = 0.7):
+        self.damp, self.prior = damp, np.log((evidence.sum(0) + 1) / (evidence.sum() + evidence.shape[1]))
+        seen = np.log(evidence + .5 * np.exp(self.prior)) - np.log(evidence.sum(1, keepdims=True) + .5) - self.prior
+        self.columns = np.ascontiguousarray(seen.T)
+
+    def add(self, total: np.ndarray, byte: np.ndarray, hashes: np.ndarray, word: np.ndarray) -> None:
+        """Adds what a segment tells to the sums by word and class."""
+        slot = class_slots(byte, hashes)
+        for k, column in enumerate(self.columns):
+            total[:, k] += np.bincount(word, column.take(slot), len(total))
+
+    def of(self, total: np.ndarray) -> np.ndarray:
+        post = self.damp * total + self.prior
+        return post - np.logaddexp.reduce(post, axis=1, keepdims=True) - self.prior
+
+
+def class_odds(words: list[bytes], evidence: np.ndarray) -> np.ndarray:
+    """log P(class | spelling) - log P(class) of each word, by its four-byte sequences."""
+    odds, total = Odds(evidence), np.zeros((len(words), evidence.shape[1]))
+    for segment in segments(words):
+        odds.add(total, *segment)
+    return odds.of(total)
 
 
 def _sums(part: int, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -256,26 +284,27 @@ def _total(rows: DataFrame, run, size: int) -> np.ndarray:
 
 
 def _words_of(batch: pa.RecordBatch) -> list[bytes]:
-    return batch.column(0).to_pylist()
+    return batch.column(0).to_numpy(zero_copy_only=False).tolist()
 
 
 def _count_contexts(classes: int):
     """Counts of bits by context, and of four-byte sequences by class, over distinct words."""
     def run(batches):
-        counts = np.zeros((len(ORDERS), 2 << SLOT_BITS), np.float32)
-        evidence = np.zeros((1 << CLASS_BITS, classes), np.float32)
+        counts = np.zeros((len(ORDERS), 2 << SLOT_BITS), np.int64)
+        evidence = np.zeros((classes, 1 << CLASS_BITS))
         for batch in batches:
             c = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(classes)], 1).astype(float)
             share = c / np.maximum(c.sum(1, keepdims=True), 1)
             for byte, hashes, word in segments(_words_of(batch)):
-                at = np.concatenate([slot * 2 + bit for _, bit, _, slot in bits(byte, hashes)], 1)
-                for k in range(len(ORDERS)):
-                    counts[k] += np.bincount(at[k], minlength=2 << SLOT_BITS)
+                places = [slot * 2 + bit for _, bit, _, slot in bits(byte, hashes)]
+                for k in range(len(ORDERS)):  # one table after the other stays in the cache
+                    for at in places:
+                        np.add.at(counts[k], at[k], 1)
                 slot = class_slots(byte, hashes)
                 for k in range(classes):
-                    evidence[:, k] += np.bincount(slot, share[word, k], 1 << CLASS_BITS)
+                    np.add.at(evidence[k], slot, share[:, k].take(word))
         yield from _sums(0, counts)
-        yield from _sums(counts.size // BLOCK, evidence)
+        yield from _sums(counts.size // BLOCK, evidence.T)
     return run
 
 
@@ -326,11 +355,25 @@ def pieces(batch: pa.RecordBatch, column: int = 0) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+def split_texts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """`text_words` of many texts in one array, and the number of each text's."""
+    t = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    # a space behind the last word: the empty word is split off there, in the empty text anyway
+    t = pc.ascii_split_whitespace(pc.if_else(pc.equal(t, ""), t, pc.binary_join_element_wise(t, "", " ")))
+    return t.flatten().cast(pa.binary()), np.diff(t.offsets.to_numpy()).astype(np.int64)
+
+
 def _count_short(batches):
     count = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            count.update({w for w in text_words(text) if 0 < len(w) <= MARK_BYTES})
+    for batch in (p for b in batches for p in pieces(b)):
+        words, size = split_texts(batch.column(0))
+        length = pc.binary_length(words).to_numpy()
+        short = (length > 0) & (length <= MARK_BYTES)
+        met = words.filter(pa.array(short)).dictionary_encode()
+        kinds = len(met.dictionary)
+        pair = np.unique(np.repeat(np.arange(len(size)), size)[short] * kinds + met.indices.to_numpy())  # once for a text
+        if kinds:
+            count.update(dict(zip(met.dictionary.to_pylist(), np.bincount(pair % kinds).tolist(), strict=True)))
         if len(count) > FLUSH:
             yield pa.RecordBatch.from_pydict({"word": list(count), "n": list(count.values())})
             count.clear()
@@ -340,11 +383,12 @@ def _count_short(batches):
 def _company(marks: dict):
     """How many texts hold each pair of marks."""
     def run(batches):
-        total = np.zeros((len(marks), len(marks)), np.float32)
-        for batch in batches:
-            there = np.zeros((batch.num_rows, len(marks)), np.float32)
-            for i, text in enumerate(batch.column(0).to_pylist()):
-                there[i, [marks[w] for w in set(text_words(text)) if w in marks]] = 1
+        total, listed = np.zeros((len(marks), len(marks)), np.float32), pa.array(marks, pa.binary())
+        for batch in (p for b in batches for p in pieces(b)):
+            words, size = split_texts(batch.column(0))
+            mark = pc.index_in(words, value_set=listed).fill_null(-1).to_numpy()
+            there = np.zeros((len(size), len(marks)), np.float32)
+            there[np.repeat(np.arange(len(size)), size)[mark >= 0], mark[mark >= 0]] = 1
             total += there.T @ there
         yield from _sums(0, total)
     return run
@@ -406,7 +450,27 @@ def word_code(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word[-ENDING:], 1) >> (64 - DEPTH)
 
 
-class Tokens(dict):
+class Codes(dict):
+    """`word_code` of many words; endings are a few bytes, so there are few."""
+
+    def __missing__(self, end: bytes) -> int:
+        self[end] = code = word_code(end)
+        return code
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        ends = pc.binary_slice(words, -ENDING).dictionary_encode()
+        return np.array([self[e] for e in ends.dictionary.to_pylist()], np.uint64).take(ends.indices.to_numpy())
+
+
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def checks(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words))
+
+
+class Tokens(defaultdict):
     """Words met so far, with their places. For each ``hashes`` has the hash, ``numbers`` its top
     with the code and whether the word is short, and each of ``lists`` a number where the list
     has the word, else -1."""
@@ -415,51 +479,50 @@ class Tokens(dict):
 
     def __init__(self, *lists: dict):
         super().__init__()
-        self.lists, self.codes = lists, {}  # codes by ending: a few bytes, so there are few
+        self.lists, self.codes = lists, Codes()
         self.forget()
 
     def forget(self) -> None:
         self.clear()
+        self.default_factory = count().__next__  # a new word has the next place
         self.hashes = self.numbers = np.zeros(0, np.uint64)
         self.of = [np.zeros(0, np.int64) for _ in self.lists]
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
-
-    def _code(self, end: bytes) -> int:
-        if end not in self.codes:
-            self.codes[end] = word_code(end)
-        return self.codes[end]
-
     def places(self, words: list[bytes]) -> np.ndarray:
         if len(self) > FLUSH:
             self.forget()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.lists:
+            new = list(islice(self, len(self.of[0]), None))
+            self.of = [np.append(have, np.fromiter(map(there.get, new, repeat(-1)), np.int64, len(new)))
+                       for there, have in zip(self.lists, self.of, strict=True)]
+        return at
+
+    def hash_new(self) -> None:
+        """Fills ``hashes`` and ``numbers``; who only counts words does without."""
         new = list(islice(self, len(self.numbers), None))
         if new:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-            size = np.fromiter(map(len, new), np.int64, len(new))
-            code = np.fromiter((self._code(w[-ENDING:]) for w in new), np.uint64, len(new))
-            low = np.uint64(self.LOW)
+            h, column, low = hashed(new), pa.array(new, pa.binary()), np.uint64(self.LOW)
+            size, code = pc.binary_length(column).to_numpy(), self.codes(column)
             number = h >> low << low | code << np.uint64(1) | ((size > 0) & (size <= SHORT)).astype(np.uint64)
             self.hashes, self.numbers = np.append(self.hashes, h), np.append(self.numbers, number)
-            self.of = [np.append(have, np.fromiter((there.get(w, -1) for w in new), np.int64, len(new)))
-                       for there, have in zip(self.lists, self.of, strict=True)]
-        return at
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        return self.numbers[self.places(words)]
+        at = self.places(words)
+        self.hash_new()
+        return self.numbers[at]
 
 
 class Running:
     """The words of many texts as places in ``tokens``, whose first list has the marks."""
 
-    def __init__(self, texts: pa.Array, tokens: Tokens):
-        raw = [text_words(t) for t in texts.to_pylist()]
-        self.size = np.fromiter(map(len, raw), np.int64, len(raw))  # words of each text
-        self.text = np.repeat(np.arange(len(raw)), self.size)
-        self.at = tokens.places(list(chain.from_iterable(raw)))
+    def __init__(self, texts: pa.Array, tokens: Tokens, hashes: bool = True):
+        words, self.size = split_texts(texts)  # words of each text
+        self.text = np.repeat(np.arange(len(self.size)), self.size)
+        met = words.dictionary_encode()  # each word is looked up once
+        self.at = tokens.places(met.dictionary.to_numpy(zero_copy_only=False).tolist()).take(met.indices.to_numpy())
+        if hashes:
+            tokens.hash_new()
         self.known, self.numbers = tokens.of[0], tokens.numbers
 
 
@@ -482,13 +545,17 @@ class TextMixer:
             one[:, 1 << b:2 << b] = part[:, :, 1] / part.sum(2)
         one = np.clip(one, 1e-5, 1 - 1e-5)
         self.one = one.ravel().astype(np.float32)  # by class and node: P(1) without context
-        self.none = (1 - one + 1j * one).ravel().astype(np.complex64)  # what an unseen context counts as
-        self.ready = np.log(one / (1 - one)).ravel().astype(np.float32)
         code = np.arange(1 << DEPTH)
+        nodes = [(1 << b) | (code >> (DEPTH - b)) for b in range(DEPTH)]
+        self.hashes = [NODES[node] for node in nodes]  # by code, for each bit
+        self.ones = [code >> (DEPTH - 1 - b) & 1 for b in range(DEPTH)]
+        # by class and code, for each bit: what an unseen context counts as, stretched and plain
+        self.ready = [np.log(one / (1 - one))[:, node].ravel().astype(np.float32) for node in nodes]
+        self.none = [(1 - one + 1j * one)[:, node].ravel().astype(np.complex64) for node in nodes]
         self.alone = np.zeros((len(mass), 1 << DEPTH))  # log of the code's probability without context
-        for b in range(DEPTH):
-            p = self.one.reshape(len(mass), -1)[:, (1 << b) | (code >> (DEPTH - b))].astype(float)
-            self.alone += np.log(np.where(code >> (DEPTH - 1 - b) & 1, p, 1 - p))
+        for node, bit in zip(nodes, self.ones, strict=True):
+            p = self.one.reshape(len(mass), -1)[:, node].astype(float)
+            self.alone += np.log(np.where(bit, p, 1 - p))
         self.counts = np.zeros((CONTEXTS, 2 << slots), np.float32)
         self.weights = np.full((DEPTH, KNOWN ** CONTEXTS, CONTEXTS), .4, np.float32)
         self.sums = np.zeros((DEPTH, BUCKETS, 2), np.float32)  # of the adaptive map
@@ -505,8 +572,9 @@ class TextMixer:
             yield from TextMixer.stretches(np.concatenate(texts), np.fromiter(map(len, texts), np.int64, len(texts)), told)
 
     @staticmethod
-    def stretches(h: np.ndarray, size: np.ndarray, told) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """`parts` of texts that follow each other in ``h``, of so many words each."""
+    def stretches(h: np.ndarray, size: np.ndarray, told, step: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """`parts` of texts that follow each other in ``h``, of so many words each; of ``step``
+        words where that is given."""
         if not len(h):
             return
         text = np.repeat(np.arange(len(size)), size)
@@ -519,23 +587,23 @@ class TextMixer:
         ctx = np.stack(((_before(h, at - 1, start, 1) + np.uint64(1)) * _P, (one + np.uint64(5)) * _Q, (one * _P + two + np.uint64(11)) * _R))
         code = (h >> np.uint64(1)).astype(np.int64) & ((1 << DEPTH) - 1)
         kind = np.array(told, np.int64)[text]
-        for i in range(0, len(h), SEGMENT):
-            yield code[i:i + SEGMENT], ctx[:, i:i + SEGMENT], kind[i:i + SEGMENT], text[i:i + SEGMENT]
+        step = step or SEGMENT
+        for i in range(0, len(h), step):
+            yield code[i:i + step], ctx[:, i:i + step], kind[i:i + step], text[i:i + step]
 
-    def bits(self, code: np.ndarray, ctx: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each bit of the codes: (place, bit, node, slot by context)."""
+    def bits(self, code: np.ndarray, ctx: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each bit of the codes: (place, bit, slot by context)."""
         for b in range(DEPTH):
-            node = (1 << b) | (code >> (DEPTH - b))
-            slot = ctx ^ (node.astype(np.uint64) * _Q)
+            slot = ctx ^ self.hashes[b].take(code)
             slot *= _R
             slot >>= np.uint64(64 - self.slots)
-            yield b, (code >> (DEPTH - 1 - b)) & 1, node, slot.view(np.int64)
+            yield b, self.ones[b].take(code), slot.view(np.int64)
 
-    def inputs(self, node: np.ndarray, kind: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Stretched prediction without context, what each context adds, and the gate's state."""
-        at = (kind << DEPTH) + node
-        s0, none = self.ready.take(at), self.none.take(at)
-        x, state = np.empty((CONTEXTS, len(node)), np.float32), np.zeros(len(node), np.uint8)
+    def inputs(self, b: int, own: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Stretched prediction without context, what each context adds, and the gate's state.
+        ``own``: class and code in one number."""
+        s0, none = self.ready[b].take(own), self.none[b].take(own)
+        x, state = np.empty((CONTEXTS, len(own)), np.float32), np.zeros(len(own), np.uint8)
         for k in range(CONTEXTS):
             n = self.counts[k].view(np.complex64).take(slot[k])  # both counts in one look-up
             seen = n.real + n.imag
@@ -559,8 +627,9 @@ class TextMixer:
     def learn(self, code: np.ndarray, ctx: np.ndarray, kind: np.ndarray) -> None:
         """Predict a stretch of text with what is counted so far, and move the weights."""
         size = KNOWN ** CONTEXTS
-        for b, bit, node, slot in self.bits(code, ctx):
-            s0, x, state = self.inputs(node, kind, slot)
+        own = (kind << DEPTH) + code
+        for b, bit, slot in self.bits(code, ctx):
+            s0, x, state = self.inputs(b, own, slot)
             s = self.mix(b, s0, x, state)
             miss = bit.astype(np.float32) - chance(s)
             n = np.bincount(state, minlength=size)
@@ -570,12 +639,17 @@ class TextMixer:
             self.sums[b] += shared(low * 2 + bit, part, 2 * BUCKETS).reshape(BUCKETS, 2)
 
     def count(self, code: np.ndarray, ctx: np.ndarray) -> None:
-        at = np.empty((CONTEXTS, DEPTH, len(code)), np.int64)
-        for b, bit, _, slot in self.bits(code, ctx):
-            slot *= 2
-            np.add(slot, bit, out=at[:, b])
-        for k in range(CONTEXTS):
-            self.counts[k] += np.bincount(at[k].ravel(), minlength=2 << self.slots)
+        self.count_all([(code, ctx)])
+
+    def count_all(self, stretches: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        met = np.zeros(self.counts.shape, np.int32)  # whole numbers: exact, however many
+        for code, ctx in stretches:
+            for _, bit, slot in self.bits(code, ctx):
+                slot *= 2
+                slot += bit
+                for k in range(CONTEXTS):
+                    np.add.at(met[k], slot[k], np.int32(1))
+        self.counts += met
 
     def gain(self, texts: list[np.ndarray], told: list[int]) -> np.ndarray:
         """Natural log of how much likelier each text is in its order than by P0 alone."""
@@ -584,32 +658,29 @@ class TextMixer:
     def _gain(self, parts: Iterator, n: int) -> np.ndarray:
         out = np.zeros(n)
         for code, ctx, kind, text in parts:
-            total = np.ones(len(code))
-            for b, bit, node, slot in self.bits(code, ctx):
-                s = self.mix(b, *self.inputs(node, kind, slot))
-                p = averaged(s, self.refine[b], *Mixer.place(s))
-                total *= np.where(bit == 1, p, 1 - p)
-            out += np.bincount(text, np.log(total) - self.alone[kind, code], n)
+            total, own = np.ones(len(code)), (kind << DEPTH) + code
+            for b, bit, slot in self.bits(code, ctx):
+                s = self.mix(b, *self.inputs(b, own, slot))
+                total *= likelihood(averaged(s, self.refine[b], *Mixer.place(s)), bit)
+            first, last = text[0], text[-1] + 1
+            out[first:last] += np.bincount(text - first, np.log(total) - self.alone[kind, code], last - first)
         return out
 
 
 def _learn_texts(model: TextMixer, classes: Classes):
     def run(batches):
-        read, tokens, held = Tokens(classes.marks), 0, []
-
-        def count():
-            if held:
-                model.count(np.concatenate([c for c, _ in held]), np.concatenate([x for _, x in held], 1))
-                held.clear()
+        read, tokens, held, size = Tokens(classes.marks), 0, [], 0
         for batch in (p for b in batches for p in pieces(b)):
             words = Running(batch.column(0), read)
             for code, ctx, kind, _ in model.stretches(words.numbers[words.at], words.size, classes.of(words)):
                 model.learn(code, ctx, kind)
                 tokens += len(code)
                 held.append((code, ctx))
-                if sum(len(c) for c, _ in held) >= COUNT_AT:
-                    count()
-        count()
+                size += len(code)
+                if size >= COUNT_AT:
+                    model.count_all(held)
+                    held, size = [], 0
+        model.count_all(held)
         if tokens:
             w = np.zeros(BLOCK, "f4")
             w[:model.weights.size], w[-1] = model.weights.ravel() * tokens, tokens
@@ -642,7 +713,7 @@ def _count_words(classes: Classes):
     def run(batches):
         place, count = Tokens(classes.marks), np.zeros((n, 0), np.int64)
         for batch in (p for b in batches for p in pieces(b)):
-            words = Running(batch.column(0), place)
+            words = Running(batch.column(0), place, hashes=False)
             if len(place) > count.shape[1]:
                 count = np.concatenate((count, np.zeros((n, 2 * len(place) - count.shape[1]), np.int64)), 1)
             learn = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[words.text]
@@ -658,15 +729,17 @@ def _score_words(model: Mixer, evidence: np.ndarray):
     classes = evidence.shape[1]
 
     def run(batches):
+        tell, codes = Odds(evidence), Codes()
         for batch in batches:
             words = _words_of(batch)
-            lp, odds = np.zeros(0), np.zeros((0, classes))
-            if words:
-                lp, odds = model.log_probability(words), class_odds(words, evidence)
-            key = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
-            check = np.array([xxhash.xxh32_intdigest(w) for w in words], np.int64)
-            codes = pa.array([word_code(w) for w in words], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key), pa.array(check), codes, *(pa.array(lp + odds[:, k]) for k in range(classes))],
+            lp, odds = np.zeros(len(words)), np.zeros((len(words), classes))
+            for byte, hashes, word in segments(words) if words else ():
+                lp += np.bincount(word, model.log_bytes(byte, hashes), len(words))
+                tell.add(odds, byte, hashes, word)
+            odds = tell.of(odds)
+            code = pa.array(codes(batch.column(0)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashed(words).view(np.int64)), pa.array(checks(words)), code,
+                                              *(pa.array(lp + odds[:, k]) for k in range(classes))],
                                              [*batch.schema.names, "key", "chk", "code", *(f"s{k}" for k in range(classes))])
     return run
 
@@ -688,12 +761,13 @@ def _score_texts(index: dict, known: np.ndarray, table: np.ndarray, classes: Cla
             # the other words: each once for a text, with its number there
             pair, ns = np.unique(words.text[~here] * len(read) + words.at[~here], return_counts=True)
             ends = np.concatenate(([0], np.cumsum(np.bincount(pair // len(read), minlength=texts))))
-            rare, pair = np.unique(pair % len(read), return_inverse=True)
-            spelled = list(read)
-            key = read.hashes[rare].view(np.int64)
-            check = np.fromiter((xxhash.xxh32_intdigest(spelled[i]) for i in rare.tolist()), np.int64, len(rare))
-            rest = pa.StructArray.from_arrays([pa.array(key[pair].view(np.int64)), pa.array(check[pair]), pa.array(ns.astype(np.int64))], ["key", "chk", "n"])
-            gain = mixer._gain(mixer.stretches(words.numbers[words.at], words.size, told), texts)
+            pair %= len(read)
+            check = np.zeros(len(read), np.int64)
+            check[pair] = 1
+            rare, spelled = np.flatnonzero(check), list(read)
+            check[rare] = checks([spelled[i] for i in rare.tolist()])
+            rest = pa.StructArray.from_arrays([pa.array(read.hashes.take(pair).view(np.int64)), pa.array(check.take(pair)), pa.array(ns.astype(np.int64))], ["key", "chk", "n"])
+            gain = mixer._gain(mixer.stretches(words.numbers[words.at], words.size, told, NEAR), texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pc.binary_length(batch.column(1)).fill_null(0).cast(pa.int64()), pa.array(words.size),
                  pa.array(np.bincount(text, known.take(at), texts).astype(np.int64)),
@@ -736,7 +810,8 @@ def route_weights(scored: DataFrame, sizes: list[int], rounds: int = 8) -> tuple
             b = F.lit(trust[1]) * (F.col("c") - 1) / F.lit(float(total - 1))
             every = a + b + F.lit(trust[2]) * F.exp(f"s{k}")
             sums += [F.sum(F.when(c > 0, c * _safe(x, every)).otherwise(0.0)) for x in (a, b)]
-        got = [float(x or 0) / total for x in scored.where("c > 0").agg(*sums).first()]
+        # a word met once is left out of all its counts: it speaks for the spelling alone
+        got = [float(x or 0) / total for x in scored.where("c > 1").agg(*sums).first()]
         first, second = max(sum(got[::2]), 1e-4), max(sum(got[1::2]), 1e-4)
         new = (first, second, max(1 - first - second, 1e-4))
         moved = max(abs(x - y) for x, y in zip(new, trust, strict=True))
