@@ -386,7 +386,7 @@ def _company(marks: dict):
         total, listed = np.zeros((len(marks), len(marks)), np.float32), pa.array(marks, pa.binary())
         for batch in (p for b in batches for p in pieces(b)):
             words, size = split_texts(batch.column(0))
-            mark = pc.index_in(words, value_set=listed).fill_null(-1).to_numpy()
+            mark = found(words, listed)
             there = np.zeros((len(size), len(marks)), np.float32)
             there[np.repeat(np.arange(len(size)), size)[mark >= 0], mark[mark >= 0]] = 1
             total += there.T @ there
@@ -425,7 +425,7 @@ class Classes:
         at = [self.marks[w] for w in self.marks.keys() & words]
         return int((np.log(self.prior) + np.log(self.p[:, at]).sum(1)).argmax())
 
-    def of(self, run: Running) -> np.ndarray:
+    def of(self, run: Running | Met) -> np.ndarray:
         """The class of each text of ``run``, whose words were read with the marks as ``known``."""
         there = np.zeros((len(run.size), len(self.marks)))
         at = run.known[run.at]
@@ -462,6 +462,12 @@ class Codes(dict):
         return np.array([self[e] for e in ends.dictionary.to_pylist()], np.uint64).take(ends.indices.to_numpy())
 
 
+    def numbers(self, hashes: np.ndarray, words: pa.Array) -> np.ndarray:
+        """The tops of the hashes, the codes, and whether the words are short."""
+        low, size = np.uint64(1 + DEPTH), pc.binary_length(words).to_numpy()
+        return hashes >> low << low | self(words) << np.uint64(1) | ((size > 0) & (size <= SHORT)).astype(np.uint64)
+
+
 def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
@@ -475,8 +481,6 @@ class Tokens(defaultdict):
     with the code and whether the word is short, and each of ``lists`` a number where the list
     has the word, else -1."""
 
-    LOW = DEPTH + 1
-
     def __init__(self, *lists: dict):
         super().__init__()
         self.lists, self.codes = lists, Codes()
@@ -502,9 +506,8 @@ class Tokens(defaultdict):
         """Fills ``hashes`` and ``numbers``; who only counts words does without."""
         new = list(islice(self, len(self.numbers), None))
         if new:
-            h, column, low = hashed(new), pa.array(new, pa.binary()), np.uint64(self.LOW)
-            size, code = pc.binary_length(column).to_numpy(), self.codes(column)
-            number = h >> low << low | code << np.uint64(1) | ((size > 0) & (size <= SHORT)).astype(np.uint64)
+            h = hashed(new)
+            number = self.codes.numbers(h, pa.array(new, pa.binary()))
             self.hashes, self.numbers = np.append(self.hashes, h), np.append(self.numbers, number)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
@@ -526,6 +529,24 @@ class Running:
         self.known, self.numbers = tokens.of[0], tokens.numbers
 
 
+def found(words: pa.Array, listed: pa.Array) -> np.ndarray:
+    """Place of each word in the list, or -1."""
+    return pc.index_in(words, value_set=listed).fill_null(-1).to_numpy().astype(np.int64)
+
+
+class Met:
+    """`Running` with the distinct words of these texts alone: none is kept for the next ones."""
+
+    def __init__(self, texts: pa.Array, marks: pa.Array, codes: Codes):
+        words, self.size = split_texts(texts)
+        self.text = np.repeat(np.arange(len(self.size)), self.size)
+        met = words.dictionary_encode()
+        self.at, self.column = met.indices.to_numpy().astype(np.int64), met.dictionary
+        self.words = self.column.to_numpy(zero_copy_only=False).tolist()
+        self.hashes, self.known = hashed(self.words), found(self.column, marks)
+        self.numbers = codes.numbers(self.hashes, self.column)
+
+
 def _before(h: np.ndarray, at: np.ndarray, start: np.ndarray, none: int) -> np.ndarray:
     """The words at places ``at``; ``none`` where that lies before the text's start."""
     return np.where(at >= start, h[np.maximum(at, 0)], np.uint64(none))
@@ -644,11 +665,10 @@ class TextMixer:
     def count_all(self, stretches: list[tuple[np.ndarray, np.ndarray]]) -> None:
         met = np.zeros(self.counts.shape, np.int32)  # whole numbers: exact, however many
         for code, ctx in stretches:
-            for _, bit, slot in self.bits(code, ctx):
-                slot *= 2
-                slot += bit
-                for k in range(CONTEXTS):
-                    np.add.at(met[k], slot[k], np.int32(1))
+            places = [slot * 2 + bit for _, bit, slot in self.bits(code, ctx)]
+            for k in range(CONTEXTS):  # one table after the other stays in the cache
+                for at in places:
+                    np.add.at(met[k], at[k], np.int32(1))
         self.counts += met
 
     def gain(self, texts: list[np.ndarray], told: list[int]) -> np.ndarray:
@@ -669,9 +689,9 @@ class TextMixer:
 
 def _learn_texts(model: TextMixer, classes: Classes):
     def run(batches):
-        read, tokens, held, size = Tokens(classes.marks), 0, [], 0
+        marks, codes, tokens, held, size = pa.array(classes.marks, pa.binary()), Codes(), 0, [], 0
         for batch in (p for b in batches for p in pieces(b)):
-            words = Running(batch.column(0), read)
+            words = Met(batch.column(0), marks, codes)
             for code, ctx, kind, _ in model.stretches(words.numbers[words.at], words.size, classes.of(words)):
                 model.learn(code, ctx, kind)
                 tokens += len(code)
@@ -750,23 +770,24 @@ def _score_texts(index: dict, known: np.ndarray, table: np.ndarray, classes: Cla
     columns = np.ascontiguousarray(table.T)
 
     def run(batches):
-        read = Tokens(classes.marks, index)
+        marks, top, codes = pa.array(classes.marks, pa.binary()), pa.array(index, pa.binary()), Codes()
         for batch in (p for b in batches for p in pieces(b, 1)):
-            words, texts = Running(batch.column(1), read), batch.num_rows
+            words, texts = Met(batch.column(1), marks, codes), batch.num_rows
             told = classes.of(words)
-            at = read.of[1][words.at]
+            at = found(words.column, top).take(words.at)
             here = at >= 0
             text, at = words.text[here], at[here]
             sums = np.stack([np.bincount(text, column.take(at), texts) for column in columns], 1).astype(float)  # without words: integers
             # the other words: each once for a text, with its number there
-            pair, ns = np.unique(words.text[~here] * len(read) + words.at[~here], return_counts=True)
-            ends = np.concatenate(([0], np.cumsum(np.bincount(pair // len(read), minlength=texts))))
-            pair %= len(read)
-            check = np.zeros(len(read), np.int64)
+            kinds = len(words.words)
+            pair, ns = np.unique(words.text[~here] * kinds + words.at[~here], return_counts=True)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(pair // max(kinds, 1), minlength=texts))))
+            pair %= max(kinds, 1)
+            check = np.zeros(kinds, np.int64)
             check[pair] = 1
-            rare, spelled = np.flatnonzero(check), list(read)
-            check[rare] = checks([spelled[i] for i in rare.tolist()])
-            rest = pa.StructArray.from_arrays([pa.array(read.hashes.take(pair).view(np.int64)), pa.array(check.take(pair)), pa.array(ns.astype(np.int64))], ["key", "chk", "n"])
+            rare = np.flatnonzero(check)
+            check[rare] = checks([words.words[i] for i in rare.tolist()])
+            rest = pa.StructArray.from_arrays([pa.array(words.hashes[pair].view(np.int64)), pa.array(check[pair]), pa.array(ns.astype(np.int64))], ["key", "chk", "n"])
             gain = mixer._gain(mixer.stretches(words.numbers[words.at], words.size, told, NEAR), texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pc.binary_length(batch.column(1)).fill_null(0).cast(pa.int64()), pa.array(words.size),
