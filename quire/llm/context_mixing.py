@@ -52,6 +52,7 @@ NEAR = 1 << 14  # words scored at a time: their arrays stay in the processor's c
 TASKS = 256  # tasks that learn, at most: their sums meet in one group for each block
 TOP = 1 << 16  # most frequent words that are broadcast
 PIECE = 1 << 24  # bytes of text whose words are handled at once
+SPELLED = 1 << 15  # words that are spelled together, in their order
 FLUSH = 400_000  # distinct words that a task holds before it passes their counts on
 CLASSES = 6
 MARKS = 512  # short frequent words whose company tells the classes
@@ -103,6 +104,25 @@ def bits(byte: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray
         yield b, (byte >> (7 - b)) & 1, node, slot.view(np.int64)
 
 
+def beginnings(byte: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words that follow each other share their beginning: which bytes of a segment the word
+    before does not have in the same way, and for each byte the place among those that serves it."""
+    begin = np.flatnonzero(np.diff(word, prepend=-1))
+    size = np.diff(begin, append=len(word))
+    pos = np.arange(len(word)) - np.repeat(begin, size)
+    there = np.concatenate(([0], size[:-1]))  # bytes of the word before
+    if len(there) > 1:  # the segment's first word may be the rest of one
+        there[1] = 0
+    before = np.repeat(np.concatenate(([0], begin[:-1])), size) + pos
+    same = (pos < np.repeat(there, size)) & (byte.take(np.minimum(before, len(byte) - 1)) == byte)
+    new = pos >= np.repeat(np.minimum.reduceat(np.where(same, len(word), pos), begin), size)
+    # place by place, the last new byte serves those that follow it
+    order = np.argsort(pos, kind="stable")
+    of = np.empty(len(word), np.int64)
+    of[order] = order[np.maximum.accumulate(np.where(new[order], np.arange(len(word)), 0))]
+    return new, (np.cumsum(new) - 1)[of]
+
+
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
@@ -240,9 +260,12 @@ class Odds:
 
     def add(self, total: np.ndarray, byte: np.ndarray, hashes: np.ndarray, word: np.ndarray) -> None:
         """Adds what a segment tells to the sums by word and class."""
-        slot = class_slots(byte, hashes)
+        self.add_slots(total, class_slots(byte, hashes), np.arange(len(byte)), word)
+
+    def add_slots(self, total: np.ndarray, slot: np.ndarray, of: np.ndarray, word: np.ndarray) -> None:
+        first, last = word[0], word[-1] + 1
         for k, column in enumerate(self.columns):
-            total[:, k] += np.bincount(word, column.take(slot), len(total))
+            total[first:last, k] += np.bincount(word - first, column.take(slot).take(of), last - first)
 
     def of(self, total: np.ndarray) -> np.ndarray:
         post = self.damp * total + self.prior
@@ -287,22 +310,43 @@ def _words_of(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column(0).to_numpy(zero_copy_only=False).tolist()
 
 
+def _spelled(batches) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches of some SPELLED rows, or PIECE bytes, with their words in order."""
+    held, rows, size = [], 0, 0
+
+    def out():
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        batch = batch.take(pc.sort_indices(batch.column(0)))
+        return batch, _words_of(batch)
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= SPELLED or size >= PIECE:
+            yield out()
+            held, rows, size = [], 0, 0
+    if held:
+        yield out()
+
+
 def _count_contexts(classes: int):
     """Counts of bits by context, and of four-byte sequences by class, over distinct words."""
     def run(batches):
         counts = np.zeros((len(ORDERS), 2 << SLOT_BITS), np.int64)
         evidence = np.zeros((classes, 1 << CLASS_BITS))
-        for batch in batches:
+        for batch, words in _spelled(batches):
             c = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False) for k in range(classes)], 1).astype(float)
             share = c / np.maximum(c.sum(1, keepdims=True), 1)
-            for byte, hashes, word in segments(_words_of(batch)):
+            for byte, hashes, word in segments(words):
+                new, of = beginnings(byte, word)
+                byte, hashes, times = byte[new], hashes[:, new], np.bincount(of)
                 places = [slot * 2 + bit for _, bit, _, slot in bits(byte, hashes)]
                 for k in range(len(ORDERS)):  # one table after the other stays in the cache
                     for at in places:
-                        np.add.at(counts[k], at[k], 1)
+                        np.add.at(counts[k], at[k], times)
                 slot = class_slots(byte, hashes)
                 for k in range(classes):
-                    np.add.at(evidence[k], slot, share[:, k].take(word))
+                    np.add.at(evidence[k], slot, np.bincount(of, share[:, k].take(word), len(slot)))
         yield from _sums(0, counts)
         yield from _sums(counts.size // BLOCK, evidence.T)
     return run
@@ -750,12 +794,13 @@ def _score_words(model: Mixer, evidence: np.ndarray):
 
     def run(batches):
         tell, codes = Odds(evidence), Codes()
-        for batch in batches:
-            words = _words_of(batch)
+        for batch, words in _spelled(batches):
             lp, odds = np.zeros(len(words)), np.zeros((len(words), classes))
-            for byte, hashes, word in segments(words) if words else ():
-                lp += np.bincount(word, model.log_bytes(byte, hashes), len(words))
-                tell.add(odds, byte, hashes, word)
+            for byte, hashes, word in segments(words):
+                new, of = beginnings(byte, word)
+                byte, hashes, first, last = byte[new], hashes[:, new], word[0], word[-1] + 1
+                lp[first:last] += np.bincount(word - first, model.log_bytes(byte, hashes).take(of), last - first)
+                tell.add_slots(odds, class_slots(byte, hashes), of, word)
             odds = tell.of(odds)
             code = pa.array(codes(batch.column(0)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hashed(words).view(np.int64)), pa.array(checks(words)), code,
@@ -823,6 +868,8 @@ def route_weights(scored: DataFrame, sizes: list[int], rounds: int = 8) -> tuple
     if total < 2:
         return 0.0, 0.0, 1.0
     trust = (.5, .3, .2)
+    # a word met once is left out of all its counts: it speaks for the spelling alone
+    again = materialize(scored.where("c > 1").select("c", *[f"{x}{k}" for x in "cs" for k in range(len(sizes))]), "again")
     for _ in range(rounds):
         sums = []
         for k, n in enumerate(sizes):
@@ -831,14 +878,14 @@ def route_weights(scored: DataFrame, sizes: list[int], rounds: int = 8) -> tuple
             b = F.lit(trust[1]) * (F.col("c") - 1) / F.lit(float(total - 1))
             every = a + b + F.lit(trust[2]) * F.exp(f"s{k}")
             sums += [F.sum(F.when(c > 0, c * _safe(x, every)).otherwise(0.0)) for x in (a, b)]
-        # a word met once is left out of all its counts: it speaks for the spelling alone
-        got = [float(x or 0) / total for x in scored.where("c > 1").agg(*sums).first()]
+        got = [float(x or 0) / total for x in again.agg(*sums).first()]
         first, second = max(sum(got[::2]), 1e-4), max(sum(got[1::2]), 1e-4)
         new = (first, second, max(1 - first - second, 1e-4))
         moved = max(abs(x - y) for x, y in zip(new, trust, strict=True))
         trust = tuple(x / sum(new) for x in new)
         if moved < 1e-3:
             break
+    release(again)
     return trust
 
 
